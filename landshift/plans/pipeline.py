@@ -1,0 +1,110 @@
+"""The analysis chain over all AOIs of a data set, stage by stage.
+
+A stage is computed on first use and kept as a stage table, as a user would keep
+detection runs and reuse them in later analyses.
+"""
+
+from __future__ import annotations
+
+from functools import cached_property
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from landshift.config import Policy
+from landshift.operators import change, quality, regions, signals, tracks, triage
+from landshift.plans import fixtures
+from landshift.session import configure, materialize
+
+# The fixture grid is 20 pixels wide; tiles of 16 make regions cross tile borders.
+FIXTURE_POLICY = Policy(tile=16)
+
+
+class Pipeline:
+    """Lazily built stages of one data set."""
+
+    def __init__(self, spark: SparkSession, sf_dir: str, policy: Policy = FIXTURE_POLICY):
+        self.spark = configure(spark)
+        self.sf_dir = sf_dir
+        self.policy = policy
+
+    @cached_property
+    def pixels(self) -> DataFrame:
+        return materialize(fixtures.pixels(self.spark, self.sf_dir), "pixels")
+
+    @cached_property
+    def scenes(self) -> DataFrame:
+        return materialize(fixtures.scenes(self.spark, self.sf_dir), "scenes")
+
+    @cached_property
+    def acquisitions(self) -> DataFrame:
+        return materialize(quality.assess_scenes(self.pixels, self.scenes, self.policy), "acquisitions")
+
+    @cached_property
+    def sequence(self) -> DataFrame:
+        return change.sequence(change.eligible(self.acquisitions))
+
+    @cached_property
+    def detection(self) -> regions.Detection:
+        return regions.detect(self.pixels, self.acquisitions, self.policy, equal_area=False)
+
+    @cached_property
+    def region_pixels(self) -> DataFrame:
+        return materialize(self.detection.region_pixels(), "region-pixels")
+
+    @cached_property
+    def overlap(self) -> DataFrame:
+        return materialize(
+            tracks.region_overlap(self.region_pixels, self.detection.regions, self.policy), "overlap"
+        )
+
+    @cached_property
+    def tracks(self) -> DataFrame:
+        return materialize(tracks.track_regions(self.detection.regions, self.overlap), "tracks")
+
+    @cached_property
+    def signals(self) -> DataFrame:
+        d = self.detection
+        return materialize(signals.build_signals(self.tracks, d.regions, d.runs, self.policy), "signals")
+
+    @cached_property
+    def relationships(self) -> DataFrame:
+        return materialize(signals.build_relationships(self.detection.runs, self.tracks), "relationships")
+
+    @cached_property
+    def analyses(self) -> DataFrame:
+        return materialize(
+            signals.build_analyses(self.sequence, self.detection.runs, self.signals, self.policy), "analyses"
+        )
+
+    @cached_property
+    def candidates(self) -> DataFrame:
+        d = self.detection
+        return materialize(
+            triage.triage(self.signals, d.regions, d.runs, self.analyses, self.relationships), "candidates"
+        )
+
+    @cached_property
+    def reviews(self) -> DataFrame:
+        return materialize(triage.current_reviews(fixtures.review_log(self.spark, self.sf_dir)), "reviews")
+
+    @cached_property
+    def reviewed(self) -> DataFrame:
+        return triage.with_review_state(self.candidates, self.reviews)
+
+
+_pipelines: dict[tuple[str, str], Pipeline] = {}
+
+
+def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
+    """The shared pipeline of a data set in this application."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _pipelines:
+        _pipelines[key] = Pipeline(spark, sf_dir)
+    configure(spark)
+    return _pipelines[key]
+
+
+def forget_pipelines() -> None:
+    """Drop the kept stages, so that the next query computes everything again."""
+    _pipelines.clear()
