@@ -11,7 +11,7 @@ from landshift.config import DETECTOR_VERSION, PROCESSING_VERSION, Policy
 from landshift.functions import geometry, spectral
 from landshift.operators import change
 from landshift.operators.components import (
-    SCOPE, connect_fragments, explode_pixels, key_col, key_row, label_tiles, pixel_key, with_region_key,
+    SCOPE, connect_fragments, explode_pixels, key_col, key_row, label_tiles, with_region_key,
 )
 from landshift.operators.skew import number_buckets
 from landshift.session import materialize
@@ -32,9 +32,17 @@ class Detection:
 
     def region_pixels(self) -> DataFrame:
         """Pixels of the kept regions. The join key is a tile fragment, hence bounded."""
-        kept = self.fragments.select(*SCOPE, "label", "region_key", "region_no")
+        kept = self.fragments.select(*SCOPE, "label", "region_key", "region_no", "pixel_count")
         return explode_pixels(self.tiles).join(kept, [*SCOPE, "label"]).drop("label")
 
+    def track_pixels(self, tracks: DataFrame) -> DataFrame:
+        """Distinct pixels of each track: the union of its regions."""
+        born = self.fragments.join(tracks, [*SCOPE, "region_no"]).select(
+            *SCOPE, "label", "birth_k", "birth_no"
+        )
+        pixels = explode_pixels(self.tiles).join(born, [*SCOPE, "label"])
+        return pixels.select("aoi_id", "birth_k", "birth_no", "row", "col").distinct()
+
 
 def pixel_areas(pixels: DataFrame, grids: DataFrame | None) -> DataFrame:
     """Add ``area``: equal-area square metres per pixel.
@@ -172,7 +180,9 @@ def detect(
     changed = pixel_areas(explode_pixels(tiles), grids if equal_area else None)
     fragments = materialize(with_region_key(fragment_stats(changed), stars), "fragments")
     regions = materialize(keep_regions(region_stats(fragments), policy), "regions")
-    kept = fragments.join(regions.select(*SCOPE, "region_key", "region_no"), [*SCOPE, "region_key"])
+    kept = fragments.join(
+        regions.select(*SCOPE, "region_key", "region_no", "pixel_count"), [*SCOPE, "region_key"]
+    )
     sizes = grids.select("aoi_id", (F.col("grid.width") * F.col("grid.height")).cast("bigint").alias("grid_pixels"))
     runs = materialize(run_stats(run_exclusions(tiles, pairs, sizes), regions, policy), "runs")
     return Detection(pairs, tiles, kept, regions, runs)

@@ -7,10 +7,10 @@ from pyspark.sql import functions as F
 
 from landshift.config import Policy
 from landshift.operators.components import SCOPE
-from landshift.session import materialize
+from landshift.session import materialize, stage_path
 
 
-def region_overlap(region_pixels: DataFrame, regions: DataFrame, policy: Policy = Policy(), minimum: float | None = None) -> DataFrame:
+def region_overlap(region_pixels: DataFrame, policy: Policy = Policy(), minimum: float | None = None) -> DataFrame:
     """Earlier/later region pairs of an AOI that share pixels, with their IoU.
 
     The regions that cover a pixel form its stack. Pixels with the same stack are
@@ -22,9 +22,8 @@ def region_overlap(region_pixels: DataFrame, regions: DataFrame, policy: Policy
     minimum = policy.iou_threshold if minimum is None else minimum
     side = policy.tile
     tile = ["aoi_id", "_tr", "_tc"]
-    sized = region_pixels.join(regions.select(*SCOPE, "region_no", "pixel_count"), [*SCOPE, "region_no"])
     stacks = (
-        sized.withColumn("_tr", F.floor(F.col("row") / side))
+        region_pixels.withColumn("_tr", F.floor(F.col("row") / side))
         .withColumn("_tc", F.floor(F.col("col") / side))
         .repartition(*tile)
         .groupBy(*tile, "row", "col")
@@ -62,20 +61,25 @@ def region_overlap(region_pixels: DataFrame, regions: DataFrame, policy: Policy
 
 
 TRACK = ["birth_k", "birth_no"]
-ENTRY = "aoi_id bigint, k int, region_no bigint, birth_k int, birth_no bigint, iou double, from_k int, from_no bigint"
+REGION = [*SCOPE, "region_no"]
 
 
-def best_matches(links: DataFrame, live: DataFrame) -> DataFrame:
-    """Best live track per region: highest IoU, then the oldest track.
+def live_tracks(assigned: DataFrame) -> DataFrame:
+    """Last region and birth of each track: assigned regions that nothing followed."""
+    followed = assigned.where(F.col("from_no").isNotNull()).select(
+        "aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")
+    )
+    return assigned.join(followed, REGION, "left_anti").select(*REGION, *TRACK)
 
-    ``live`` holds the last region (k, region_no) and the birth of each track.
-    """
+
+def best_matches(links: DataFrame, live: DataFrame) -> DataFrame:
+    """Best live track per region: highest IoU, then the oldest track."""
     last = live.select("aoi_id", F.col("k").alias("from_k"), F.col("region_no").alias("from_no"), *TRACK)
     open_links = links.join(last, ["aoi_id", "from_k", "from_no"])
     choice = F.struct("iou", (-F.col("birth_k")).alias("k"), (-F.col("birth_no")).alias("no"))
-    return open_links.groupBy(*SCOPE, "region_no").agg(
+    return open_links.groupBy(*REGION).agg(
         F.max_by(F.struct("from_k", "from_no", *TRACK, "iou"), choice).alias("m")
-    ).select(*SCOPE, "region_no", "m.*")
+    ).select(*REGION, "m.*")
 
 
 def track_winners(matches: DataFrame) -> DataFrame:
@@ -84,52 +88,41 @@ def track_winners(matches: DataFrame) -> DataFrame:
     return matches.join(first, ["aoi_id", *TRACK, "region_no"])
 
 
+def with_births(regions: DataFrame, won: DataFrame) -> DataFrame:
+    """Matched regions continue their track; all others start one."""
+    return regions.join(won, REGION, "left").select(
+        *REGION,
+        F.coalesce("birth_k", "k").alias("birth_k"),
+        F.coalesce("birth_no", "region_no").alias("birth_no"),
+        F.coalesce("iou", F.lit(1.0)).alias("iou"),
+        "from_k",
+        "from_no",
+    )
+
+
 def track_regions(regions: DataFrame, overlap: DataFrame) -> DataFrame:
     """Assign every region to a track, named by the region that started it.
 
     Matching looks at the last region of each track, however old; a region that loses
     its best track starts a new one. Regions that overlap nothing are tracks of their
     own and never enter the loop. The loop steps over the intervals in which some
-    region has an earlier partner, for all AOIs at once, and holds only linked regions.
+    region has an earlier partner, for all AOIs at once, and holds only linked regions;
+    each step appends its assignments to one stage table.
     """
     spark = regions.sparkSession
-    links = materialize(
-        overlap.select("aoi_id", "from_k", "from_no", "k", "region_no", "iou"), "links"
-    )
-    targets = links.select(*SCOPE, "region_no").distinct()
+    links = materialize(overlap.select(*REGION, "from_k", "from_no", "iou"), "links")
+    targets = links.select(*REGION).distinct()
     sources = links.select("aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")).distinct()
-    newborn = lambda rows: rows.select(
-        *SCOPE, "region_no", F.col("k").alias("birth_k"), F.col("region_no").alias("birth_no")
-    )
-    started = newborn(sources.join(targets, [*SCOPE, "region_no"], "left_anti"))
-    live = materialize(started, "live")
-    steps = targets.agg(F.array_sort(F.collect_set("k"))).first()[0] or []
-    matched: list[DataFrame] = []
-    for k in steps:
-        current = links.where(F.col("k") == k)
-        won = materialize(track_winners(best_matches(current, live)), f"matched-{k}")
-        matched.append(won)
-        lost = newborn(targets.where(F.col("k") == k).join(won, [*SCOPE, "region_no"], "left_anti"))
-        replaced = won.select("aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no"))
-        live = materialize(
-            live.join(replaced, [*SCOPE, "region_no"], "left_anti")
-            .unionByName(won.select(*SCOPE, "region_no", *TRACK))
-            .unionByName(lost),
-            f"live-{k}",
-        )
-    everything = spark.createDataFrame([], ENTRY)
-    for part in matched:
-        everything = everything.unionByName(part.select(*everything.columns))
-    return (
-        regions.select(*SCOPE, "region_no")
-        .join(everything, [*SCOPE, "region_no"], "left")
-        .select(
-            *SCOPE,
-            "region_no",
-            F.coalesce("birth_k", "k").alias("birth_k"),
-            F.coalesce("birth_no", "region_no").alias("birth_no"),
-            F.coalesce("iou", F.lit(1.0)).alias("iou"),
-            "from_k",
-            "from_no",
-        )
+    nothing = links.limit(0).select(
+        *REGION, F.col("k").alias("birth_k"), F.col("region_no").alias("birth_no"), "iou", "from_k", "from_no"
     )
+    path = stage_path(spark, "assigned")
+    started = with_births(sources.join(targets, REGION, "left_anti"), nothing)
+    started.write.parquet(f"{path}/step=-1")
+    assigned = lambda: spark.read.schema(started.schema).parquet(path).select(*started.columns)
+    for k in targets.agg(F.array_sort(F.collect_set("k"))).first()[0]:
+        won = track_winners(best_matches(links.where(F.col("k") == k), live_tracks(assigned())))
+        with_births(targets.where(F.col("k") == k), won).write.parquet(f"{path}/step={k}")
+    linked = assigned()
+    alone = regions.select(*REGION).join(linked, REGION, "left_anti")
+    return linked.unionByName(with_births(alone, nothing))

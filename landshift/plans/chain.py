@@ -20,7 +20,7 @@ from landshift.session import configure, materialize
 FIXTURE_POLICY = Policy(tile=16)
 
 
-class Pipeline:
+class Chain:
     """Lazily built stages of one data set."""
 
     def __init__(self, spark: SparkSession, sf_dir: str, policy: Policy = FIXTURE_POLICY):
@@ -54,9 +54,7 @@ class Pipeline:
 
     @cached_property
     def overlap(self) -> DataFrame:
-        return materialize(
-            tracks.region_overlap(self.region_pixels, self.detection.regions, self.policy), "overlap"
-        )
+        return materialize(tracks.region_overlap(self.region_pixels, self.policy), "overlap")
 
     @cached_property
     def tracks(self) -> DataFrame:
@@ -93,18 +91,18 @@ class Pipeline:
         return triage.with_review_state(self.candidates, self.reviews)
 
 
-_pipelines: dict[tuple[str, str], Pipeline] = {}
+_chains: dict[tuple[str, str], Chain] = {}
 
 
-def pipeline(spark: SparkSession, sf_dir: str) -> Pipeline:
-    """The shared pipeline of a data set in this application."""
+def chain(spark: SparkSession, sf_dir: str) -> Chain:
+    """The shared chain of a data set in this application."""
     key = (spark.sparkContext.applicationId, sf_dir)
-    if key not in _pipelines:
-        _pipelines[key] = Pipeline(spark, sf_dir)
+    if key not in _chains:
+        _chains[key] = Chain(spark, sf_dir)
     configure(spark)
-    return _pipelines[key]
+    return _chains[key]
 
 
-def forget_pipelines() -> None:
+def forget_chains() -> None:
     """Drop the kept stages, so that the next query computes everything again."""
-    _pipelines.clear()
+    _chains.clear()
