@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landshift.config import PROCESSING_VERSION
 from landshift.functions.scoring import POOR_QUALITY
+from landshift.functions.text import fixed
 
 
 def observation_limits(
@@ -41,6 +42,6 @@ def signal_limits(quality: Column) -> Column:
     return F.array_compact(F.array(F.when(
         (quality > 0) & (quality < POOR_QUALITY),
         F.format_string(
-            "Temporal quality limitation: temporal quality support is degraded (%.2f < 0.40); "
-            "signal confidence is dampened", quality),
+            "Temporal quality limitation: temporal quality support is degraded (%s < 0.40); "
+            "signal confidence is dampened", fixed(quality, 2)),
     )))

@@ -186,11 +186,11 @@ FROM iv i LEFT JOIN counters c USING (aoi_id, k) LEFT JOIN run_regions r USING (
     "iv", "counters", "run_regions")
 
 cte("overlap_all", """
-SELECT a.aoi_id, a.k AS from_k, a.region_no AS from_no, b.k, b.region_no,
-       a.pixel_count AS from_pixels, b.pixel_count AS to_pixels, count(*) AS shared,
-       count(*) / (a.pixel_count + b.pixel_count - count(*)) AS iou
-FROM rpx a JOIN rpx b ON b.aoi_id = a.aoi_id AND b."row" = a."row" AND b."col" = a."col" AND b.k > a.k
-GROUP BY ALL""", "rpx")
+SELECT *, shared / (from_pixels + to_pixels - shared) AS iou FROM (
+  SELECT a.aoi_id, a.k AS from_k, a.region_no AS from_no, b.k, b.region_no,
+         a.pixel_count AS from_pixels, b.pixel_count AS to_pixels, count(*) AS shared
+  FROM rpx a JOIN rpx b ON b.aoi_id = a.aoi_id AND b."row" = a."row" AND b."col" = a."col" AND b.k > a.k
+  GROUP BY ALL)""", "rpx")
 cte("links", "SELECT * FROM overlap_all WHERE iou >= 0.25", "overlap_all")
 
 # One step per interval: the last region of every open track, the best open track per
@@ -225,7 +225,8 @@ cte("tracks", f"SELECT * FROM track_{MAX_INTERVALS}", f"track_{MAX_INTERVALS}")
 cte("entries", """
 SELECT t.*, r.region_id, r.pixel_count, r.area_m2, r.mean_change_signal, r.max_change_signal,
        u.run_id, u.before_acq, u.after_acq, u.before_ts, u.after_ts, u.quality_support,
-       u.mean_change_signal AS run_mean, u.max_change_signal AS run_max,
+       u.mean_change_signal AS run_mean, u.max_change_signal AS run_max, u.total_changed_area_m2 AS run_area,
+       u.raw_changed_pixel_count,
        CAST(dayofyear(make_timestamp((epoch_us(u.before_ts) + epoch_us(u.after_ts)) // 2)) AS INTEGER) AS mid_day,
        lag(t.k) OVER tr AS previous_k,
        first_value(dayofyear(make_timestamp((epoch_us(u.before_ts) + epoch_us(u.after_ts)) // 2))) OVER tr AS anchor_day
@@ -249,7 +250,8 @@ SELECT aoi_id, birth_k, birth_no, CAST(count(*) AS INTEGER) AS support_count,
        list(region_id ORDER BY k) AS source_region_ids,
        list(DISTINCT run_id ORDER BY run_id) AS detection_run_ids,
        list_sort(list_distinct(list_concat(list(before_acq), list(after_acq)))) AS acquisition_ids,
-       max(area_m2) AS area_m2, avg(mean_change_signal) AS mean_delta, max(max_change_signal) AS max_delta
+       max(area_m2) AS area_m2, avg(mean_change_signal) AS mean_delta, max(max_change_signal) AS max_delta,
+       max(run_area) AS runs_area, avg(run_mean) AS runs_mean, max(run_max) AS runs_max
 FROM entries GROUP BY aoi_id, birth_k, birth_no""", "entries")
 
 cte("signals", """
@@ -297,7 +299,7 @@ SELECT s.*, greatest(0.0, least(1.0, persistence_ratio)) AS pers,
        greatest(0.0, least(1.0, matched_region_coverage)) AS cover,
        greatest(0.0, least(1.0, (mean_delta - 0.20::DOUBLE) / 0.60::DOUBLE)) AS norm_delta,
        greatest(0.0, least(1.0, (area_m2 - 500.0) / 9500.0)) AS norm_area
-FROM signals s JOIN analyses a USING (analysis_id) WHERE a.state <> 'insufficient_history'""", "signals", "analyses")
+FROM signals s WHERE analysis_id IN (SELECT analysis_id FROM analyses WHERE state <> 'insufficient_history')""", "signals", "analyses")
 
 cte("scored_2", """
 SELECT *, round(norm_delta * 0.6::DOUBLE + norm_area * 0.4::DOUBLE, 6) AS magnitude FROM scored_1""", "scored_1")

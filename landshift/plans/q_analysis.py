@@ -145,9 +145,9 @@ def semi_aoi_in_use(c):
 
 
 @query("join_evidence", """
-SELECT c.candidate_id, e.run_id, e.before_acq, e.after_acq, u.raw_changed_pixel_count, CAST(count(*) AS INTEGER) AS regions, CAST(sum(e.pixel_count) AS BIGINT) AS pixels
-FROM candidates c JOIN entries e USING (aoi_id, birth_k, birth_no) JOIN runs u USING (run_id)
-GROUP BY ALL""", "candidates", "entries", "runs")
+SELECT c.candidate_id, e.run_id, e.before_acq, e.after_acq, e.raw_changed_pixel_count, CAST(count(*) AS INTEGER) AS regions, CAST(sum(e.pixel_count) AS BIGINT) AS pixels
+FROM candidates c JOIN entries e USING (aoi_id, birth_k, birth_no)
+GROUP BY ALL""", "candidates", "entries")
 def join_evidence(c):
     found = evidence.evidence_intervals(c.candidates, c.detection.runs, c.detection.regions)
     return found.select(
@@ -270,18 +270,12 @@ def agg_region_union(c):
 
 # The ladder of stand-ins: signals whose references or interval figures were removed.
 LADDER = """CASE WHEN signal_id % 4 = 0 THEN {full} WHEN signal_id % 4 = 1 THEN {interval} WHEN signal_id % 4 = 2 THEN {run} ELSE {none} END"""
-cte("signal_runs", """
-SELECT s.analysis_id, s.signal_id, max(u.total_changed_area_m2)::DOUBLE AS run_area, avg(u.mean_change_signal) AS run_mean,
-       max(u.max_change_signal) AS run_max
-FROM signals s JOIN entries e USING (aoi_id, birth_k, birth_no) JOIN runs u ON u.run_id = e.run_id GROUP BY ALL""", "signals", "entries", "runs")
-
-
 @query("agg_physical_metrics", f"""
 SELECT analysis_id, signal_id,
-  round({LADDER.format(full='area_m2', interval='run_area', run='run_area', none='0.0')}::DOUBLE, 6) AS area_m2,
-  round({LADDER.format(full='mean_delta', interval='list_avg(interval_means)', run='CASE WHEN run_mean > 0 THEN run_mean ELSE 0.2 END', none='0.2')}, 6) AS mean_delta,
-  round({LADDER.format(full='max_delta', interval='list_max(interval_maxima)', run='CASE WHEN run_max > 0 THEN run_max ELSE 0.2 END', none='0.2')}, 6) AS max_delta
-FROM signals JOIN signal_runs USING (analysis_id, signal_id)""", "signals", "signal_runs")
+  round({LADDER.format(full='area_m2', interval='runs_area', run='runs_area', none='0.0')}::DOUBLE, 6) AS area_m2,
+  round({LADDER.format(full='mean_delta', interval='list_avg(interval_means)', run='CASE WHEN runs_mean > 0 THEN runs_mean ELSE 0.2 END', none='0.2')}, 6) AS mean_delta,
+  round({LADDER.format(full='max_delta', interval='list_max(interval_maxima)', run='CASE WHEN runs_max > 0 THEN runs_max ELSE 0.2 END', none='0.2')}, 6) AS max_delta
+FROM signals""", "signals")
 def agg_physical_metrics(c):
     kind = F.pmod("signal_id", F.lit(4))
     nothing = lambda name, keep: F.when(keep, F.col(name)).otherwise(F.slice(name, 1, 0))
@@ -385,10 +379,6 @@ def win_elapsed_days(c):
     return change.intervals(c.sequence).select("run_id", r6("elapsed_days").alias("elapsed_days"))
 
 
-cte("coarse_times", """
-SELECT aoi_id, acq_id, CASE WHEN acq_id % 3 = 0 THEN ts ELSE date_trunc('year', ts) - INTERVAL 1 YEAR END AS ts FROM seqd""", "seqd")
-
-
 @query("win_strict_increase", f"""
 SELECT acq_id, {sql_stamp('ts')} AS ts FROM (
   SELECT *, lag(ts) OVER (PARTITION BY aoi_id ORDER BY ts, acq_id) AS previous_ts FROM (
