@@ -172,8 +172,11 @@ def boundary(spark: SparkSession) -> DataFrame:
 
 
 def review_log(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return review_rows(table(spark, sf_dir, "orders"))
+
+
+def review_rows(o: DataFrame) -> DataFrame:
     """Review decisions from orders; some candidates and decisions do not exist."""
-    o = table(spark, sf_dir, "orders")
     step = F.substring("o_orderpriority", 1, 1)
     decision = (
         F.when(step == "1", "accepted").when(step == "2", "rejected").when(step == "3", "investigate")
