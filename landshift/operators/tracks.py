@@ -64,20 +64,27 @@ TRACK = ["birth_k", "birth_no"]
 REGION = [*SCOPE, "region_no"]
 
 
-def live_tracks(assigned: DataFrame) -> DataFrame:
-    """Last region and birth of each track: assigned regions that nothing followed."""
-    followed = assigned.where(F.col("from_no").isNotNull()).select(
-        "aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")
+SOURCE = ["aoi_id", "from_k", "from_no"]
+
+
+def open_links(links: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Links whose earlier region is the last one of its track, with the track's birth.
+
+    ``links`` are those of one step and few; both lookups join them to the assigned
+    regions from the small side, so the growing table is scanned but not shuffled.
+    """
+    births = assigned.select(
+        "aoi_id", F.col("k").alias("from_k"), F.col("region_no").alias("from_no"), *TRACK
     )
-    return assigned.join(followed, REGION, "left_anti").select(*REGION, *TRACK)
+    followed = assigned.where(F.col("from_no").isNotNull()).select(*SOURCE)
+    taken = links.select(*SOURCE).distinct().join(followed, SOURCE)
+    return links.join(births, SOURCE).join(taken, SOURCE, "left_anti")
 
 
-def best_matches(links: DataFrame, live: DataFrame) -> DataFrame:
-    """Best live track per region: highest IoU, then the oldest track."""
-    last = live.select("aoi_id", F.col("k").alias("from_k"), F.col("region_no").alias("from_no"), *TRACK)
-    open_links = links.join(last, ["aoi_id", "from_k", "from_no"])
+def best_matches(links: DataFrame) -> DataFrame:
+    """Best open track per region: highest IoU, then the oldest track."""
     choice = F.struct("iou", (-F.col("birth_k")).alias("k"), (-F.col("birth_no")).alias("no"))
-    return open_links.groupBy(*REGION).agg(
+    return links.groupBy(*REGION).agg(
         F.max_by(F.struct("from_k", "from_no", *TRACK, "iou"), choice).alias("m")
     ).select(*REGION, "m.*")
 
@@ -100,6 +107,13 @@ def with_births(regions: DataFrame, won: DataFrame) -> DataFrame:
     )
 
 
+def no_matches(links: DataFrame) -> DataFrame:
+    """Empty result of a matching step."""
+    return links.where(F.lit(False)).select(
+        *REGION, F.col("k").alias("birth_k"), F.col("region_no").alias("birth_no"), "iou", "from_k", "from_no"
+    )
+
+
 def track_regions(regions: DataFrame, overlap: DataFrame) -> DataFrame:
     """Assign every region to a track, named by the region that started it.
 
@@ -110,18 +124,16 @@ def track_regions(regions: DataFrame, overlap: DataFrame) -> DataFrame:
     each step appends its assignments to one stage table.
     """
     spark = regions.sparkSession
-    links = materialize(overlap.select(*REGION, "from_k", "from_no", "iou"), "links")
+    links = materialize(overlap.select(*REGION, "from_k", "from_no", "iou"), "links", partition_by=("k",))
     targets = links.select(*REGION).distinct()
     sources = links.select("aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")).distinct()
-    nothing = links.limit(0).select(
-        *REGION, F.col("k").alias("birth_k"), F.col("region_no").alias("birth_no"), "iou", "from_k", "from_no"
-    )
+    nothing = no_matches(links)
     path = stage_path(spark, "assigned")
     started = with_births(sources.join(targets, REGION, "left_anti"), nothing)
     started.write.parquet(f"{path}/step=-1")
     assigned = lambda: spark.read.schema(started.schema).parquet(path).select(*started.columns)
     for k in targets.agg(F.array_sort(F.collect_set("k"))).first()[0]:
-        won = track_winners(best_matches(links.where(F.col("k") == k), live_tracks(assigned())))
+        won = track_winners(best_matches(open_links(links.where(F.col("k") == k), assigned())))
         with_births(targets.where(F.col("k") == k), won).write.parquet(f"{path}/step={k}")
     linked = assigned()
     alone = regions.select(*REGION).join(linked, REGION, "left_anti")

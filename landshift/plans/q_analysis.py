@@ -434,10 +434,10 @@ QUALIFY row_number() OVER (PARTITION BY aoi_id, k, region_no ORDER BY iou DESC,
 
 
 def step_matches(c: Chain):
-    links = c.overlap.where("from_k = k - 1")
+    links = c.overlap.where("from_k = k - 1").select("aoi_id", "k", "region_no", "from_k", "from_no", "iou")
     ends = links.select("aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")).distinct()
-    live = ends.select("*", F.col("k").alias("birth_k"), F.col("region_no").alias("birth_no"))
-    return tracks.best_matches(links, live)
+    starts = tracks.with_births(ends, tracks.no_matches(links))
+    return tracks.best_matches(tracks.open_links(links, starts))
 
 
 STEP = "SELECT aoi_id, from_k, from_no, k, region_no, round(iou, 6) AS iou FROM {}"

@@ -84,7 +84,7 @@ def src_aoi(c):
 SELECT aoi_id, CASE kind WHEN 0 THEN 'valid' WHEN 1 THEN 'valid' WHEN 2 THEN 'outside boundary'
   WHEN 3 THEN 'invalid' ELSE 'malformed' END AS verdict FROM raw_aoi""", "raw_aoi")
 def flt_aoi_valid(c):
-    return tables.parse_aois(raw_aois(c)).join(fixtures.boundary(c.spark)).select(
+    return tables.parse_aois(raw_aois(c)).withColumn("boundary_rings", fixtures.boundary(c.spark).scalar()).select(
         "aoi_id", tables.aoi_verdict(F.col("rings"), F.col("boundary_rings")).alias("verdict")
     )
 
@@ -94,7 +94,7 @@ SELECT item_id, fl >= {LEFT} AND fr <= {RIGHT} AND fb >= {BOTTOM} AND ft <= {TOP
        fl <= {RIGHT} AND fr >= {LEFT} AND fb <= {TOP} AND ft >= {BOTTOM} AS touches
 FROM items WHERE has_footprint""", "items")
 def src_boundary(c):
-    outlined = items(c).where(F.col("rings").isNotNull()).join(fixtures.boundary(c.spark))
+    outlined = items(c).where(F.col("rings").isNotNull()).withColumn("boundary_rings", fixtures.boundary(c.spark).scalar())
     return outlined.select(
         "item_id",
         geometry.covers(F.col("boundary_rings"), F.col("rings")).alias("inside"),

@@ -80,11 +80,11 @@ def covering(found: DataFrame) -> DataFrame:
 def domain_violations(found: DataFrame, boundary: DataFrame) -> DataFrame:
     """Footprints that do not touch the domain boundary. These are errors, not drops.
 
-    ``boundary`` has one row.
+    ``boundary`` is one row with one column of rings; it is read as a scalar.
     """
     return (
         found.where(has_required_assets(F.col("assets")) & geometry.is_valid(F.col("rings")))
-        .join(boundary)
+        .withColumn("boundary_rings", boundary.scalar())
         .where(~geometry.intersects(F.col("rings"), F.col("boundary_rings")))
         .drop("boundary_rings")
     )

@@ -63,9 +63,9 @@ def aoi_verdict(rings: Column, boundary: Column) -> Column:
 
 
 def valid_aois(raw: DataFrame, boundary: DataFrame) -> DataFrame:
-    """AOI list without unreadable, invalid or foreign polygons. ``boundary`` has one row."""
+    """AOI list without unreadable, invalid or foreign polygons. ``boundary`` is a scalar."""
     return (
-        parse_aois(raw).join(boundary)
+        parse_aois(raw).withColumn("boundary_rings", boundary.scalar())
         .where(aoi_verdict(F.col("rings"), F.col("boundary_rings")) == "valid")
         .drop("boundary_rings")
     )
