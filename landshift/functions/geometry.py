@@ -173,14 +173,16 @@ def covers(outer: Column, inner: Column) -> Column:
 
 
 def intersects(left: Column, right: Column) -> Column:
-    """Any shared point: touching edges, or one polygon inside the other."""
-    touch = F.exists(
-        all_segments(left), lambda s: F.exists(all_segments(right), lambda t: _segments_touch(s, t))
-    )
+    """Any shared point: one polygon inside the other, or touching edges.
+
+    The point tests come first because they are linear and usually decide.
+    """
     return (
-        touch
-        | contains_point(left, right[0][0]["x"], right[0][0]["y"])
+        contains_point(left, right[0][0]["x"], right[0][0]["y"])
         | contains_point(right, left[0][0]["x"], left[0][0]["y"])
+        | F.exists(
+            all_segments(left), lambda s: F.exists(all_segments(right), lambda t: _segments_touch(s, t))
+        )
     )
 
 

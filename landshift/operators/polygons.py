@@ -3,9 +3,10 @@
 from __future__ import annotations
 
 import sys
+from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -19,7 +20,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 KEY = ["aoi_id", "k", "region_no"]
 # Regions above this size are outlined tile by tile; their polygons join up at tile
 # borders, so the outline is still complete.
-WHOLE_REGION_PIXELS = 4_000_000
+WHOLE_REGION_PIXELS = 1_000_000
 
 
 def outline_edges(region_pixels: DataFrame, policy: Policy = Policy(), whole: int = WHOLE_REGION_PIXELS) -> DataFrame:
@@ -47,17 +48,17 @@ def outline_edges(region_pixels: DataFrame, policy: Policy = Policy(), whole: in
     )
 
 
-def _successors(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start vertices, and for every edge the one that follows it."""
-    h, forward = edges["horizontal"].to_numpy(), edges["sign"].to_numpy() > 0
-    row, col = edges["row"].to_numpy(np.int64), edges["col"].to_numpy(np.int64)
-    d_row = np.where(h, 0, np.where(forward, 1, -1))
-    d_col = np.where(h, np.where(forward, 1, -1), 0)
-    start_row = row + (~h & ~forward)
-    start_col = col + (h & ~forward)
-    stride = col.max() + 2
-    start = start_row * stride + start_col
-    end = (start_row + d_row) * stride + start_col + d_col
+def _successors(
+    group: np.ndarray, horizontal: np.ndarray, row: np.ndarray, col: np.ndarray, forward: np.ndarray
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start vertices, and for every edge the one that follows it in its group."""
+    d_row = np.where(horizontal, 0, np.where(forward, 1, -1))
+    d_col = np.where(horizontal, np.where(forward, 1, -1), 0)
+    start_row = row + (~horizontal & ~forward)
+    start_col = col + (horizontal & ~forward)
+    width, height = int(col.max()) + 2, int(row.max()) + 2
+    start = (group * height + start_row) * width + start_col
+    end = start + d_row * width + d_col
     order = np.argsort(start, kind="stable")
     at = np.searchsorted(start[order], end)
     first = order[at]
@@ -67,11 +68,10 @@ def _successors(edges: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray
     return start_row, start_col, np.where(right, second, first)
 
 
-def _walk(start_row: np.ndarray, start_col: np.ndarray, following: np.ndarray) -> list[np.ndarray]:
-    """Closed rings as (n, 2) arrays of x=col, y=row, without collinear points."""
+def _walk(start_row: np.ndarray, start_col: np.ndarray, following: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    """Closed rings as (first edge, (n, 2) array of x=col, y=row) without collinear points."""
     step = following.tolist()
-    seen = np.zeros(len(step), dtype=bool)
-    rings = []
+    seen = [False] * len(step)
     for first in range(len(step)):
         if seen[first]:
             continue
@@ -83,8 +83,7 @@ def _walk(start_row: np.ndarray, start_col: np.ndarray, following: np.ndarray) -
         ring = np.stack([start_col[path], start_row[path]], axis=1)
         turns = np.any(np.roll(ring, 1, axis=0) + np.roll(ring, -1, axis=0) != 2 * ring, axis=1)
         ring = ring[turns]
-        rings.append(np.concatenate([ring, ring[:1]]))
-    return rings
+        yield first, np.concatenate([ring, ring[:1]])
 
 
 def _ring_area(ring: np.ndarray) -> float:
@@ -99,37 +98,64 @@ def _encloses(ring: np.ndarray, x: float, y: float) -> bool:
     return bool(np.count_nonzero(vertical & spans & (a[:, 0] > x)) % 2)
 
 
-def _polygons(edges: pd.DataFrame) -> pd.DataFrame:
-    edges = edges.sort_values(["row", "col", "horizontal"], ascending=[True, True, False], ignore_index=True)
-    rings = _walk(*_successors(edges))
-    outer = [r for r in rings if _ring_area(r) > 0]
-    polygons: list[list[np.ndarray]] = [[r] for r in outer]
-    for hole in (r for r in rings if _ring_area(r) < 0):
-        # The region lies outside the hole: the pixel above the topmost side of the hole.
+def _with_holes(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
+    """Outer rings, each followed by its holes."""
+    areas = [_ring_area(r) for r in rings]
+    outer = sorted((a, i) for i, a in enumerate(areas) if a > 0)
+    found = {i: [rings[i]] for _, i in outer}
+    for hole in (rings[i] for i, a in enumerate(areas) if a < 0):
+        # The pixel above the topmost side of a hole belongs to the polygon around it.
         top = hole[np.lexsort((hole[:, 0], hole[:, 1]))[0]]
-        owner = 0
-        if len(outer) > 1:
-            owner = min(
-                (i for i, r in enumerate(outer) if _encloses(r, top[0] + 0.5, top[1] - 0.5)),
-                key=lambda i: _ring_area(outer[i]),
-            )
-        polygons[owner].append(hole)
-    keys = {name: edges[name].iloc[0] for name in (*KEY, "part")}
-    as_points = lambda ring: [{"x": float(x), "y": float(y)} for x, y in ring]
-    return pd.DataFrame([
-        {**keys, "polygon_no": n, "rings": [as_points(r) for r in polygon]}
-        for n, polygon in enumerate(polygons, start=1)
-    ])
+        owner = next(
+            i for _, i in outer if len(outer) == 1 or _encloses(rings[i], top[0] + 0.5, top[1] - 0.5)
+        )
+        found[owner].append(hole)
+    return [found[i] for i in sorted(found)]
+
+
+def _outline_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        if batch.num_rows == 0:
+            continue
+        lists = batch.column("edges")
+        edges = lists.flatten()
+        field = lambda name: edges.field(name).to_numpy(zero_copy_only=False)
+        group = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+        start_row, start_col, following = _successors(
+            group, field("horizontal"), field("row").astype(np.int64), field("col").astype(np.int64), field("sign") > 0
+        )
+        rings: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
+        for first, ring in _walk(start_row, start_col, following):
+            rings[group[first]].append(ring)
+        polygons = [(i, n, p) for i, r in enumerate(rings) for n, p in enumerate(_with_holes(r), start=1)]
+        flat = [ring for _, _, p in polygons for ring in p]
+        points = np.concatenate(flat).astype(np.float64)
+        ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32())
+        xy = pa.StructArray.from_arrays([pa.array(points[:, 0].copy()), pa.array(points[:, 1].copy())], names=["x", "y"])
+        nested = pa.ListArray.from_arrays(
+            ends([len(p) for _, _, p in polygons]), pa.ListArray.from_arrays(ends([len(r) for r in flat]), xy)
+        )
+        rows = pa.array([i for i, _, _ in polygons])
+        names = [n for n in batch.schema.names if n != "edges"]
+        yield pa.RecordBatch.from_arrays(
+            [batch.column(n).take(rows) for n in names]
+            + [pa.array([n for _, n, _ in polygons], type=pa.int32()), nested],
+            names=[*names, "polygon_no", "rings"],
+        )
 
 
 def polygonize(region_pixels: DataFrame, policy: Policy = Policy(), whole: int = WHOLE_REGION_PIXELS) -> DataFrame:
     """Polygons in pixel-corner coordinates (x = column, y = row).
 
-    Pixels that touch only at a corner give separate polygons of one region.
+    Pixels that touch only at a corner give separate polygons of one region. The edges
+    of a region part form one row, whose length ``whole`` bounds.
     """
     edges = outline_edges(region_pixels, policy, whole)
+    rows = edges.groupBy(*KEY, "part").agg(
+        F.array_sort(F.collect_list(F.struct("row", "col", "horizontal", "sign"))).alias("edges")
+    )
     schema = f"aoi_id bigint, k int, region_no bigint, part bigint, polygon_no int, rings {RINGS}"
-    return edges.groupBy(*KEY, "part").applyInPandas(_polygons, schema)
+    return rows.mapInArrow(_outline_batches, schema)
 
 
 def georeference(polygons: DataFrame, grids: DataFrame) -> DataFrame:

@@ -202,7 +202,7 @@ SELECT r.aoi_id, r.k, u.before_acq, u.after_acq, r.region_no, r.pixel_count, r.a
        round(r.mean_change_signal, 6) AS mean_change_signal, round(r.max_change_signal, 6) AS max_change_signal, u.changed_pixel_percentage
 FROM regions r JOIN runs u USING (aoi_id, k)""", "regions", "runs")
 def job_detect(c):
-    found = regions.detect(c.pixels, c.acquisitions, c.policy, equal_area=False)
+    found = c.detection
     figures = found.runs.select("aoi_id", "k", "before_acq", "after_acq", "changed_pixel_percentage")
     return found.regions.join(figures, ["aoi_id", "k"]).select(
         "aoi_id", "k", "before_acq", "after_acq", "region_no", "pixel_count", "area_m2",
