@@ -142,7 +142,7 @@ def is_changed(threshold: float):
 def change_tiles(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Counters and changed pixels per (interval, tile).
 
-    The arrays hold at most ``tile * tile`` entries. Grouping extends the partitioning
+    The arrays hold at most ``tile * tile`` entries, in no order. Grouping extends the partitioning
     of the pairs, so this adds no shuffle.
     """
     changed = is_changed(policy.threshold)
@@ -154,5 +154,5 @@ def change_tiles(pairs: DataFrame, policy: Policy = Policy()) -> DataFrame:
         F.count_if(changed).alias("raw_changed_pixels"),
         F.coalesce(F.sum(F.when(changed, signal)), F.lit(0.0)).alias("signal_sum"),
         F.coalesce(F.max(F.when(changed, signal)), F.lit(0.0)).alias("signal_max"),
-        F.array_sort(F.collect_list(F.when(changed, F.struct("row", "col", "signal")))).alias("changed"),
+        F.collect_list(F.when(changed, F.struct("row", "col", "signal"))).alias("changed"),
     )

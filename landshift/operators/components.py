@@ -57,23 +57,57 @@ def _roots(count: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return parent
 
 
+def _meet(position: np.ndarray, step: int, dense: np.ndarray | None) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs of sorted positions that are ``step`` apart."""
+    if dense is None:
+        at = np.searchsorted(position, position + step)
+        at[at == position.size] = 0
+        hit = np.flatnonzero(position[at] == position + step)
+        return hit, at[hit]
+    at = dense[position + step]
+    hit = np.flatnonzero(at >= 0)
+    return hit, at[hit]
+
+
 def label_pixels(group: np.ndarray, row: np.ndarray, col: np.ndarray) -> np.ndarray:
-    """Index of the first pixel of each pixel's component.
+    """Index of the first pixel, in row-major order, of each pixel's component.
 
-    Pixels are sorted by (group, row, col); groups never connect.
+    Groups never connect; the order of the input does not matter. Runs of neighbours in
+    a row are merged first, so that only runs enter the component search.
     """
     if group.size == 0:
         return np.zeros(0, dtype=np.int64)
     width = int(col.max()) + 3
     height = int(row.max()) + 2
     position = (group.astype(np.int64) * height + row) * width + col + 1
+    order = None
+    if np.any(position[1:] < position[:-1]):
+        order = np.argsort(position, kind="stable")
+        position = position[order]
+    starts = np.concatenate([[True], position[1:] != position[:-1] + 1])
+    run = np.cumsum(starts) - 1
+    dense = None
+    if position[-1] < 16 * position.size:
+        dense = np.full(int(position[-1]) + width + 2, -1, dtype=np.int64)
+        dense[position] = np.arange(position.size)
     left, right = [], []
-    for step in (1, width - 1, width, width + 1):
-        at = np.searchsorted(position, position + step)
-        hit = np.flatnonzero(position[np.minimum(at, position.size - 1)] == position + step)
-        left.append(hit)
-        right.append(at[hit])
-    return _roots(position.size, np.concatenate(left), np.concatenate(right))
+    for step in (width - 1, width, width + 1):
+        a, b = (run[i] for i in _meet(position, step, dense))
+        fresh = np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])[: a.size]
+        left.append(a[fresh])
+        right.append(b[fresh])
+    roots = _roots(int(run[-1]) + 1, np.concatenate(left), np.concatenate(right))
+    first = np.flatnonzero(starts)[roots][run]
+    if order is None:
+        return first
+    original = np.empty_like(first)
+    original[order] = order[first]
+    return original
+
+
+def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
+    offsets = np.concatenate([[0], np.cumsum(lengths)])
+    return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
 
 
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -81,26 +115,37 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         changed = batch.column("changed")
         pixels = changed.flatten()
         lengths = np.diff(changed.offsets.to_numpy())
+        group = np.repeat(np.arange(len(lengths)), lengths)
+        side = batch.column("side").to_numpy()
         row = pixels.field("row").to_numpy(zero_copy_only=False).astype(np.int64)
         col = pixels.field("col").to_numpy(zero_copy_only=False).astype(np.int64)
-        group = np.repeat(np.arange(len(lengths)), lengths)
-        base = np.repeat(batch.column("tile_row").to_numpy() * batch.column("side").to_numpy(), lengths)
-        left = np.repeat(batch.column("tile_col").to_numpy() * batch.column("side").to_numpy(), lengths)
-        first = label_pixels(group, row - base, col - left)
-        labels = pa.array((row[first] << 32) + col[first], type=pa.int64())
-        offsets = pa.array(np.concatenate([[0], np.cumsum(lengths)]), type=pa.int32())
+        local_row = row - (batch.column("tile_row").to_numpy() * side)[group]
+        local_col = col - (batch.column("tile_col").to_numpy() * side)[group]
+        first = label_pixels(group, local_row, local_col)
+        labels = (row[first] << 32) + col[first]
+        last = side[group] - 1
+        edge = np.flatnonzero((local_row == 0) | (local_col == 0) | (local_row == last) | (local_col == last))
+        border = pa.StructArray.from_arrays(
+            [pa.array(row[edge].astype(np.int32)), pa.array(col[edge].astype(np.int32)), pa.array(labels[edge])],
+            names=["row", "col", "label"],
+        )
         names = [n for n in batch.schema.names if n != "side"]
         yield pa.RecordBatch.from_arrays(
-            [batch.column(n) for n in names] + [pa.ListArray.from_arrays(offsets, labels)],
-            names=[*names, "labels"],
+            [batch.column(n) for n in names]
+            + [_lists(lengths, pa.array(labels)), _lists(np.bincount(group[edge], minlength=len(lengths)), border)],
+            names=[*names, "labels", "border"],
         )
 
 
 def label_tiles(tiles: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """Add ``labels``, one per entry of ``changed``: the component inside the tile."""
+    """Label the changed pixels of every tile on its own.
+
+    Adds ``labels``, one per entry of ``changed``, and ``border``, the labelled pixels on
+    the rim of the tile, which is all that joining tiles has to read.
+    """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema.fields)
     return tiles.withColumn("side", F.lit(policy.tile)).mapInArrow(
-        _label_batches, f"{fields}, labels array<bigint>"
+        _label_batches, f"{fields}, labels array<bigint>, border array<struct<row:int,col:int,label:bigint>>"
     )
 
 
@@ -117,10 +162,9 @@ def explode_pixels(labelled: DataFrame) -> DataFrame:
     )
 
 
-def border_edges(pixels: DataFrame, side: int) -> DataFrame:
+def border_edges(labelled: DataFrame, side: int) -> DataFrame:
     """Pairs of fragments that touch across a tile border, larger label first."""
-    r, c = F.pmod("row", F.lit(side)), F.pmod("col", F.lit(side))
-    edge = pixels.where(r.isin(0, side - 1) | c.isin(0, side - 1)).select(*SCOPE, "row", "col", "label")
+    edge = labelled.select(*SCOPE, F.inline("border"))
     forward = F.array(*[
         F.struct((F.col("row") + dr).alias("row"), (F.col("col") + dc).alias("col"))
         for dr, dc in ((0, 1), (1, -1), (1, 0), (1, 1))
@@ -185,7 +229,7 @@ def resolve_stars(edges: DataFrame) -> DataFrame:
 
 def connect_fragments(labelled: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Map from tile labels to component labels, for labels that differ."""
-    stars = resolve_stars(border_edges(explode_pixels(labelled), policy.tile))
+    stars = resolve_stars(border_edges(labelled, policy.tile))
     return stars.select(*SCOPE, F.col("big").alias("label"), F.col("small").alias("region_key"))
 
 

@@ -77,7 +77,7 @@ def mask_tiles(spark, masks: dict[int, np.ndarray], side: int):
         pixels.withColumn("tile_row", F.floor(F.col("row") / side).cast("int"))
         .withColumn("tile_col", F.floor(F.col("col") / side).cast("int"))
         .groupBy("aoi_id", "tile_row", "tile_col", "k")
-        .agg(F.array_sort(F.collect_list(F.struct("row", "col", "signal"))).alias("changed"))
+        .agg(F.shuffle(F.collect_list(F.struct("row", "col", "signal"))).alias("changed"))
     )
 
 
