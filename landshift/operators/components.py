@@ -18,10 +18,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.config import Policy
-from landshift.operators.skew import attach_group_values
+from landshift.operators.skew import SALTS, attach_group_values
 from landshift.session import materialize
 
 SCOPE = ["aoi_id", "k"]
+# Border edges up to which a fragment graph is contracted without salting.
+SMALL_GRAPH = 1_000_000
 
 # Executors need not have this package installed: the labelling functions travel with
 # the job.
@@ -183,12 +185,12 @@ def border_edges(labelled: DataFrame, side: int) -> DataFrame:
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
+def _large_star(edges: DataFrame, salts: int) -> DataFrame:
     """Every larger neighbour of a node is linked to the node's smallest neighbour."""
     both = edges.select(*SCOPE, F.col("small").alias("node"), F.col("big").alias("other")).unionByName(
         edges.select(*SCOPE, F.col("big").alias("node"), F.col("small").alias("other"))
     )
-    nearest = attach_group_values(both, [*SCOPE, "node"], ["other"], {"low": (F.min, F.col("other"))})
+    nearest = attach_group_values(both, [*SCOPE, "node"], ["other"], {"low": (F.min, F.col("other"))}, salts)
     return (
         nearest.where("other > node")
         .select(*SCOPE, F.col("other").alias("big"), F.least("low", "node").alias("small"))
@@ -196,9 +198,9 @@ def _large_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, salts: int) -> DataFrame:
     """A node and its smaller neighbours are linked to the smallest of them."""
-    nearest = attach_group_values(edges, [*SCOPE, "big"], ["small"], {"low": (F.min, F.col("small"))})
+    nearest = attach_group_values(edges, [*SCOPE, "big"], ["small"], {"low": (F.min, F.col("small"))}, salts)
     own = nearest.select(*SCOPE, "big", F.col("low").alias("small"))
     others = nearest.where("small <> low").select(
         *SCOPE, F.col("small").alias("big"), F.col("low").alias("small")
@@ -222,8 +224,10 @@ def resolve_stars(edges: DataFrame) -> DataFrame:
     is written out, so a lost executor never replays earlier rounds.
     """
     edges = materialize(edges, "fragment-edges")
+    # Rounds never add edges, so this count, read from file footers, bounds them all.
+    salts = 1 if edges.count() <= SMALL_GRAPH else SALTS
     while not _is_star_forest(edges):
-        edges = materialize(_small_star(_large_star(edges)), "fragment-stars")
+        edges = materialize(_small_star(_large_star(edges, salts), salts), "fragment-stars")
     return edges
 
 

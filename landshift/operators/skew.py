@@ -17,16 +17,20 @@ def attach_group_values(
     keys: Sequence[str],
     spread: Sequence[str],
     values: dict[str, tuple[Callable[[Column], Column], Column]],
+    salts: int = SALTS,
 ) -> DataFrame:
     """Add per-key aggregates to every row without collecting a key in one task.
 
     ``values`` maps a new column to (aggregate, expression); the aggregate must
     combine with itself (min, max, sum, bool_or ...). Rows are salted by ``spread``.
     The aggregate runs per (key, salt), then per key, and is joined back on
-    (key, salt), so a key that holds a third of all rows is shared by ``SALTS`` join
-    groups while a rare key is not replicated at all.
+    (key, salt), so a key that holds a third of all rows is shared by ``salts`` join
+    groups while a rare key is not replicated at all. ``salts=1`` is for tables counted
+    to be so small that one task can hold them.
     """
-    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(SALTS)))
+    if salts == 1:
+        return rows.join(rows.groupBy(*keys).agg(*[fn(e).alias(n) for n, (fn, e) in values.items()]), list(keys))
+    salted = rows.withColumn("_salt", F.pmod(F.xxhash64(*spread), F.lit(salts)))
     partial = salted.groupBy(*keys, "_salt").agg(
         *[fn(expr).alias(name) for name, (fn, expr) in values.items()]
     )

@@ -95,8 +95,9 @@ def spiral(size: int) -> np.ndarray:
     return mask
 
 
-@pytest.mark.parametrize("side", [2, 5, 64])
-def test_components_match_flood_fill(spark, side):
+@pytest.mark.parametrize("side,small", [(3, 0), (5, 10**6), (64, 10**6)])
+def test_components_match_flood_fill(spark, monkeypatch, side, small):
+    monkeypatch.setattr(components, "SMALL_GRAPH", small)
     rng = np.random.default_rng(side)
     masks = {k: rng.random((23, 31)) < share for k, share in enumerate((0.1, 0.35, 0.45, 0.7))}
     masks[4] = spiral(25)
