@@ -199,6 +199,32 @@ def is_valid(rings: Column) -> Column:
     return F.coalesce((F.size(rings) > 0) & closed & ~crossed & ~pinched, F.lit(False))
 
 
+INNER_SCALES = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.35, 0.2)
+
+
+def inner_box(rings: Column) -> Column:
+    """Bounds of a large box inside the polygon, or NULL if none is found.
+
+    Tries boxes around the middle of the bounds, so points in it need no polygon test.
+    """
+    box = bounds(rings)
+    corner = lambda x, y: F.struct(x.alias("x"), y.alias("y"))
+
+    def scaled(s: Column) -> Column:
+        half = lambda low, high: (high - low) / 2.0 * s
+        middle = lambda low, high: (low + high) / 2.0
+        dx, dy, mx, my = half(box[0], box[2]), half(box[1], box[3]), middle(box[0], box[2]), middle(box[1], box[3])
+        return F.array(mx - dx, my - dy, mx + dx, my + dy)
+
+    def outline(q: Column) -> Column:
+        return F.array(F.array(
+            corner(q[0], q[1]), corner(q[2], q[1]), corner(q[2], q[3]), corner(q[0], q[3]), corner(q[0], q[1])
+        ))
+
+    boxes = F.transform(F.array(*[F.lit(s) for s in INNER_SCALES]), scaled)
+    return F.get(F.filter(boxes, lambda q: covers(rings, outline(q))), F.lit(0))
+
+
 def geojson(rings: Column) -> Column:
     """GeoJSON text of a polygon."""
     coordinates = F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landshift.functions import geometry
 from landshift.operators.skew import latest_by
 from landshift.schemas import AOI_GEOJSON, PIXELS
+from landshift.session import materialize
 
 
 def write_pixels(pixels: DataFrame, path: str) -> None:
@@ -74,22 +75,31 @@ def valid_aois(raw: DataFrame, boundary: DataFrame) -> DataFrame:
 def clip_to_aoi(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:
     """Pixels whose centre lies in the AOI polygon, with the others dropped as nodata.
 
-    Scene headers and AOI rings are one row per scene or AOI. The bounding box decides
-    before the polygon test is run.
+    Scene headers and AOI rings are one row per scene or AOI. Comparisons with the outer
+    and an inner box decide for most pixels; only those between run the polygon test.
     """
-    header = scenes.select("aoi_id", "acq_id", "grid").join(aois.select("aoi_id", "rings"), "aoi_id").select(
-        "aoi_id", "acq_id",
-        F.col("grid.transform").alias("_t"),
-        geometry.project_rings(F.col("rings"), F.col("grid.crs")).alias("_rings"),
-    ).withColumn("_box", geometry.bounds(F.col("_rings")))
+    rings = F.col("_rings")
+    shapes = materialize(
+        scenes.select("aoi_id", F.col("grid.crs").alias("_crs")).distinct()
+        .join(aois.select("aoi_id", "rings"), "aoi_id")
+        .select("aoi_id", "_crs", geometry.project_rings(F.col("rings"), F.col("_crs")).alias("_rings")),
+        "aoi-shapes",
+    )
+    boxed = materialize(
+        shapes.withColumns({"_box": geometry.bounds(rings), "_core": geometry.inner_box(rings)}), "aoi-boxes"
+    )
+    header = scenes.select(
+        "aoi_id", "acq_id", F.col("grid.transform").alias("_t"), F.col("grid.crs").alias("_crs")
+    ).join(boxed, ["aoi_id", "_crs"])
     x = F.col("_t")[2] + (F.col("col") + 0.5) * F.col("_t")[0]
     y = F.col("_t")[5] + (F.col("row") + 0.5) * F.col("_t")[4]
+    located = pixels.join(header, ["aoi_id", "acq_id"]).withColumns({"_x": x, "_y": y})
+    x, y, box, core = F.col("_x"), F.col("_y"), F.col("_box"), F.col("_core")
+    clearly = F.coalesce((x > core[0]) & (x < core[2]) & (y > core[1]) & (y < core[3]), F.lit(False))
     return (
-        pixels.join(header, ["aoi_id", "acq_id"])
-        .withColumns({"_x": x, "_y": y})
-        .where(F.col("_x").between(F.col("_box")[0], F.col("_box")[2]) & F.col("_y").between(F.col("_box")[1], F.col("_box")[3]))
-        .where(geometry.contains_point(F.col("_rings"), F.col("_x"), F.col("_y")))
-        .drop("_t", "_rings", "_box", "_x", "_y")
+        located.where(x.between(box[0], box[2]) & y.between(box[1], box[3]))
+        .where(clearly | geometry.contains_point(F.col("_rings"), x, y))
+        .drop("_t", "_crs", "_rings", "_box", "_core", "_x", "_y")
     )
 
 
