@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.config import DECISIONS, Policy
+from landshift.config import DECISIONS
 from landshift.functions import scoring, text
-from landshift.operators.skew import attach_group_values, latest_by, rank_within
+from landshift.operators.skew import attach_group_values, rank_within
 
 DEFAULT_DELTA = 0.20
 

@@ -9,7 +9,6 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from landshift.config import Policy
 from landshift.operators import change, quality, regions, signals, tracks, triage

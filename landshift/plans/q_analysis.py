@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from landshift.config import SIGNAL_STATES, Policy
-from landshift.functions import history, limits, scoring, spectral, text
+from landshift.config import SIGNAL_STATES
+from landshift.functions import limits, scoring, spectral, text
 from landshift.operators import (
     change, components, display, evidence, provenance, quality, regions, reuse, signals, tracks, triage,
 )
 from landshift.plans import fixtures
 from landshift.plans.chain import Chain
-from landshift.plans.oracle_chain import PRIORITY_WEIGHT, SEVERITY_WEIGHT, cte
+from landshift.plans.oracle_chain import cte
 from landshift.plans.q_sources import INSIDE, artifacts
 from landshift.plans.registry import joined, query, r6, sql_list, sql_stamp, stamp
 from landshift.sources import tables

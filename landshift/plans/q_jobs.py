@@ -14,7 +14,7 @@ from landshift.plans.q_analysis import GRAY, located, shown
 from landshift.plans.q_sources import (
     EXPORT_SQL, INSIDE, artifacts, assembled, discovered, export_fields, exported, items, raw_aois, reusable,
 )
-from landshift.plans.registry import joined, query, r6, sql_list, sql_stamp, stamp
+from landshift.plans.registry import query, r6, sql_stamp, stamp
 from landshift.session import stage_path
 from landshift.sources import tables
 from landshift.streaming import jobs as streams

@@ -6,11 +6,11 @@ from pyspark.sql import functions as F
 
 from landshift.config import DISPLAY_VERSION
 from landshift.functions import geometry, grids, history
-from landshift.operators import change, display, evidence, provenance, quality, reuse, signals, triage
+from landshift.operators import change, evidence, reuse, triage
 from landshift.plans import fixtures
 from landshift.plans.chain import Chain
 from landshift.plans.oracle_chain import BOUNDARY, CATALOG_FROM, CATALOG_TO, cte
-from landshift.plans.registry import joined, query, r6, sql_list, sql_stamp, stamp
+from landshift.plans.registry import query, r6, sql_stamp, stamp
 from landshift.session import materialize, stage_path
 from landshift.sources import catalog, tables
 
