@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import mixing, sharding
+from landshift.llm import mixing, quality, sharding, toxicity
+from landshift.llm.labelled import held_out
 from landshift.session import configure
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -101,3 +102,31 @@ JOIN slices s ON d.source IS NOT DISTINCT FROM s.source AND d.bucket = s.bucket
 @register("op6_mixing", MIXING_SQL)
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+# --- classifiers -----------------------------------------------------------------------
+
+
+def judged(docs: DataFrame, threshold: float) -> DataFrame:
+    return docs.select(
+        "doc_id", held_out(F.col("doc_id")).alias("held_out"), "score",
+        F.when(F.col("score") >= threshold, 1).otherwise(0).alias("predicted"),
+    )
+
+
+def learnable(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where(~held_out(F.col("doc_id")))
+
+
+@register("op2_toxicity")
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    machine = toxicity.train(docs, learnable(spark, sf_dir))
+    return judged(toxicity.with_score(docs, machine), 0.5)
+
+
+@register("op9_quality")
+def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, learnable(spark, sf_dir))
+    return judged(quality.with_score(docs, model), quality.AT_CUT)

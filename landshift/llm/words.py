@@ -81,13 +81,13 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return padded, bounds - bounds[0]
 
 
-def split_words(column: pa.Array, lower: bool = False) -> Words:
-    """All words of a string column."""
+def split_words(column: pa.Array, lower: bool = False, breaks: np.ndarray = WHITE) -> Words:
+    """All words of a string column, or the pieces between other ``breaks`` (a flag per byte)."""
     data, bounds = text_bytes(column)
     if lower:
         data = LOWER[data]
     size = int(bounds[-1])
-    inside = ~WHITE[data[:size]]
+    inside = ~breaks[data[:size]]
     edge = np.zeros(size + 1, dtype=bool)  # a row starts here
     edge[bounds] = True
     if not size:
