@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import mixing, quality, sharding, toxicity
+from landshift.llm import mixing, near_dup, quality, sharding, toxicity
 from landshift.llm.labelled import held_out
 from landshift.session import configure
 
@@ -130,3 +130,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     model = quality.train(docs, learnable(spark, sf_dir))
     return judged(quality.with_score(docs, model), quality.AT_CUT)
+
+
+# --- near duplicates -------------------------------------------------------------------
+
+
+@register("op7_near_dup")
+def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dup.grouped(table(spark, sf_dir, "documents"))
