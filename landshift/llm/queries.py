@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import mixing, near_dup, quality, sharding, toxicity
+from landshift.llm import mixing, near_dup, quality, sharding, substring, toxicity
 from landshift.llm.labelled import held_out
 from landshift.session import configure
 
@@ -138,3 +138,11 @@ def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op7_near_dup")
 def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dup.grouped(table(spark, sf_dir, "documents"))
+
+
+# --- repeated passages -----------------------------------------------------------------
+
+
+@register("op3_substring_dedup")
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.without_repeats(table(spark, sf_dir, "documents"), texts=False)
