@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import mixing, near_dup, quality, sharding, substring, toxicity
+from landshift.llm import decontaminate, mixing, near_dup, quality, sharding, substring, toxicity
 from landshift.llm.labelled import held_out
 from landshift.session import configure
 
@@ -146,3 +146,11 @@ def op7_near_dup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_substring_dedup")
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.without_repeats(table(spark, sf_dir, "documents"), texts=False)
+
+
+# --- benchmark leaks -------------------------------------------------------------------
+
+
+@register("op1_decontamination")
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
