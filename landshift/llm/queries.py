@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import decontaminate, mixing, near_dup, quality, sharding, substring, toxicity
+from landshift.llm import decontaminate, mixing, near_dup, quality, secrets, sharding, substring, toxicity
 from landshift.llm.labelled import held_out
 from landshift.session import configure
 
@@ -154,3 +154,15 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op1_decontamination")
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+# --- secrets ---------------------------------------------------------------------------
+
+
+@register("op4_secrets")
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secrets.scan(table(spark, sf_dir, "documents"))
+    return found.select(
+        "doc_id", *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
+        F.sha2(secrets.written(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.written(secrets.KINDS).alias("spans"),
+    )
