@@ -7,7 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from landshift.llm import decontaminate, mixing, near_dup, quality, secrets, sharding, substring, toxicity
+from landshift.llm import (
+    decontaminate, mixing, near_dup, neighbours, quality, secrets, sharding, substring, token_counts, toxicity,
+)
 from landshift.llm.labelled import held_out
 from landshift.session import configure
 
@@ -166,3 +168,35 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", *[F.size(kind).cast("bigint").alias(f"n_{kind}") for kind in secrets.KINDS],
         F.sha2(secrets.written(secrets.KINDS[:3]), 256).alias("base_sha256"), secrets.written(secrets.KINDS).alias("spans"),
     )
+
+
+# --- token counts ----------------------------------------------------------------------
+
+
+def own_edits(docs: DataFrame, per_document: int = 3) -> DataFrame:
+    """Documents with edits made of their own text: pieces of it replace others of up to 24 characters."""
+    size = F.coalesce(F.char_length("text"), F.lit(0))
+    place = lambda k: F.pmod(F.xxhash64("doc_id", F.lit(k)), size + 1).cast("int")
+    change = lambda k: F.struct(
+        place(3 * k).alias("start"), (place(3 * k) + F.pmod(F.xxhash64("doc_id", F.lit(3 * k + 1)), F.lit(25))).cast("int").alias("stop"),
+        F.substr(F.coalesce("text", F.lit("")), place(3 * k + 2) + 1, F.lit(16)).alias("insert"),
+    )
+    return docs.withColumn("edits", F.array(*[change(k) for k in range(per_document)]))
+
+
+@register("op8_token_counts")
+def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = own_edits(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    indexed = token_counts.with_tree(docs).withColumn("n_tokens", token_counts.n_tokens())
+    return token_counts.with_edits(indexed).select(
+        "doc_id", "n_tokens", token_counts.n_tokens().alias("n_tokens_edited"), "encoded_chars"
+    )
+
+
+# --- nearest neighbours ----------------------------------------------------------------
+
+
+@register("op10_neighbours")
+def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
