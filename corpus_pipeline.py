@@ -3,10 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from landshift.llm import mixing, sharding
-from landshift.llm.queries import SHARDS, TABLE_SIZE
+from landshift.llm import decontaminate, mixing, near_dup, sharding, toxicity
+from landshift.llm.queries import SHARDS, TABLE_SIZE, learnable, table
 from landshift.session import configure, materialize
 
 # All sources together get 1.9 times their words and no source more than twice its own. Weights
@@ -15,6 +14,22 @@ from landshift.session import configure, materialize
 MIX_SHARE, MIX_EPOCHS, MIX_CYCLE = 1.9, 2.0, (3, 1, 2)
 
 
+def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that are more likely toxic than not."""
+    machine = toxicity.train(docs, learnable(spark, sf_dir))
+    return toxicity.with_score(docs, machine, "__score").where("__score < 0.5").select(*docs.columns)
+
+
+def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keep one document of each group of near duplicates."""
+    return near_dup.deduplicate(docs)
+
+
+def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drop documents that hold a benchmark item, edited or not."""
+    return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+
+
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that sources meet their target weights."""
     weigh = lambda ordinal, size: mixing.cycled(ordinal, size, MIX_CYCLE) * size
@@ -26,7 +41,13 @@ def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return sharding.place(docs, "doc_id", SHARDS, TABLE_SIZE)
 
 
-STAGES = [("mixing", mix_stage), ("sharding", shard_stage)]
+STAGES = [
+    ("toxicity", toxicity_stage),
+    ("near_dup", near_dup_stage),
+    ("decontamination", decontamination_stage),
+    ("mixing", mix_stage),
+    ("sharding", shard_stage),
+]
 
 # Toxicity is a trained model and edit distance over all windows is no SQL expression.
 ORACLE_SQL = None
