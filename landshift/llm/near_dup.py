@@ -18,7 +18,8 @@ meet. A pair at similarity 0.85 misses every band with a probability of 5e-7.
 * Round two: in buckets that still hold several groups, all members outside the bucket's
   largest group meet all members, block against block, unless they are grouped already.
   Pairs whose signatures agree too little (more than four standard deviations below the
-  threshold) are passed over. No link between different groups is left out by a cap.
+  threshold) are passed over, and so are pairs whose ``SKETCH`` least shingle hashes, which
+  for shorter documents are all of them, do. No cap leaves out a link between groups.
 * Links are grouped by union-find inside partitions and star contraction across them.
 
 Defined results: null or empty texts have no shingle and are linked with nothing; rows that
@@ -48,6 +49,7 @@ NUMERATOR, DENOMINATOR = 85, 100
 BLOCK = 512
 SIGMA = (NUMERATOR / DENOMINATOR * (1 - NUMERATOR / DENOMINATOR) / SLOTS) ** 0.5
 NEAR = NUMERATOR / DENOMINATOR - 4 * SIGMA  # estimates below are passed over
+SKETCH = 256
 LIKELY = 0.8  # estimates that are worth a check in round one
 
 
@@ -155,6 +157,45 @@ def _marks(table: pa.Table) -> np.ndarray:
     return data[: int(bounds[-1])].reshape(-1, SLOTS)
 
 
+def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """rep, text -> the least hashes of the shingles, in order, as 16-bit prefixes."""
+    for part in words.slices(batches):
+        rows, values = shingles(part.column("text"))
+        hashes = words.mix(values ^ np.uint64(0x5851F42D4C957F2D))
+        order = np.lexsort((hashes, rows))
+        size = np.bincount(rows, minlength=part.num_rows)
+        place = np.arange(len(rows)) - np.repeat(np.cumsum(size) - size, size)
+        least = (hashes[order] >> np.uint64(48)).astype("<u2")[place < SKETCH]
+        bounds = np.concatenate([[0], np.cumsum(np.minimum(size, SKETCH))]).astype(np.int32) * 2
+        flat = pa.BinaryArray.from_buffers(pa.binary(), part.num_rows, [None, pa.py_buffer(bounds.tobytes()), pa.py_buffer(least.tobytes())])
+        yield pa.RecordBatch.from_arrays([part.column("rep"), flat], ["rep", "sketch"])
+
+
+def may_link(i: np.ndarray, j: np.ndarray, values: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the sketches of rows i[p] and j[p] allow a link. Below ``limit`` both hold all their hashes."""
+    out = np.zeros(len(i), dtype=bool)
+    last = np.where(size > SKETCH, values[np.maximum(bounds[1:] - 1, 0)].astype(np.int64), 1 << 16)
+    for start in range(0, len(i), 4096):
+        a, b = i[start : start + 4096], j[start : start + 4096]
+        limit = np.minimum(last[a], last[b])
+        sides = []
+        for rows in (a, b):
+            count = np.diff(bounds)[rows]
+            pair = np.repeat(np.arange(len(rows)), count)
+            value = values[np.arange(count.sum()) + np.repeat(bounds[rows] - np.cumsum(count) + count, count)].astype(np.int64)
+            below = value < limit[pair]
+            sides.append((pair[below], pair[below] << 16 | value[below]))
+        (pair, one), (other, two) = sides
+        if not len(one) or not len(two):
+            continue
+        same = two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one
+        common = np.bincount(pair[same], minlength=len(a))
+        union = np.bincount(pair, minlength=len(a)) + np.bincount(other, minlength=len(a)) - common
+        needed = NUMERATOR / DENOMINATOR - 4 * np.where(limit < 1 << 16, SIGMA * (SLOTS / np.maximum(union, 1)) ** 0.5, 0)
+        out[start : start + 4096] = common >= needed * union - 1e-9
+    return out
+
+
 def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     """Share of equal slots of every left row with every right row."""
     out = np.empty((len(left), len(right)), dtype=np.float32)
@@ -193,6 +234,8 @@ def across_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
         asks, largest = table.column("asks").to_numpy(zero_copy_only=False), table.column("largest").to_numpy()
         band = table.column("key").to_numpy() >> (8 * ROWS)
         marks = _marks(table)
+        data, cuts = words.text_bytes(table.column("sketch").combine_chunks().cast(pa.large_binary()).view(pa.large_string()))
+        least, cuts = data[: int(cuts[-1])].view("<u2"), cuts // 2
         a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
         for start, stop in zip(bounds[:-1], bounds[1:]):
             rows = np.arange(start, stop)
@@ -208,9 +251,10 @@ def across_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             i, j = np.nonzero(wanted)
             i, j = left[i], right[j]
             common = (marks[i] == marks[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
-            first = common == band[start]
-            a.append(rep[i[first]])
-            b.append(rep[j[first]])
+            i, j = i[common == band[start]], j[common == band[start]]
+            good = may_link(i, j, least, cuts, size)
+            a.append(rep[i[good]])
+            b.append(rep[j[good]])
         a, b = np.concatenate(a), np.concatenate(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
@@ -265,8 +309,8 @@ def components(links: DataFrame) -> DataFrame:
 def confirmed(candidates: DataFrame, texts: DataFrame) -> DataFrame:
     """Distinct candidate pairs (a, b) that the full sets link."""
     pairs = candidates.distinct()
-    sides = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")), "a").join(
-        texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")), "b"
+    sides = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
+        texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b"
     )
     return sides.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a bigint, b bigint").distinct()
 
@@ -289,8 +333,9 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
     banded = classes.select("rep", F.explode("keys").alias("key"))
     crowded = banded.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
-    shared = materialize(banded.join(crowded, "key"), "near-dup-shared")
-    members = shared.select("rep").distinct()
+    # These sides grow with the data, so they are never broadcast.
+    shared = materialize(banded.join(crowded.hint("merge"), "key"), "near-dup-shared")
+    members = shared.select("rep").distinct().hint("merge")
     marked = materialize(
         classes.select("rep", "n_shingles", "marks").join(members, "rep", "left_semi"), "near-dup-members"
     )
@@ -299,7 +344,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     )
 
     blocked = shared.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    met = blocked.select("rep", "key", "block").join(marked, "rep").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
+    met = blocked.select("rep", "key", "block").join(marked.hint("merge"), "rep").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     first = materialize(
         confirmed(met.mapInArrow(nearest_earlier, "a bigint, b bigint"), texts), "near-dup-links"
     )
@@ -322,7 +367,11 @@ def grouped(docs: DataFrame) -> DataFrame:
         *keep, F.lit(True).alias("asks"), spread(asking, 1).alias("block"), each(asked).alias("other")
     )
     answers = open_.select(*keep, F.lit(False).alias("asks"), each(asking).alias("block"), spread(asked, 2).alias("other"))
-    crossed = asks.unionByName(answers).join(marked, "rep").repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "rep")
+    sketches = materialize(
+        texts.join(open_.select("rep").distinct().hint("merge"), "rep", "left_semi").mapInArrow(sketch, "rep bigint, sketch binary"),
+        "near-dup-sketches",
+    )
+    crossed = asks.unionByName(answers).join(marked.hint("merge"), "rep").join(sketches.hint("merge"), "rep").repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "rep")
     second = confirmed(crossed.mapInArrow(across_groups, "a bigint, b bigint"), texts)
     links = materialize(first.unionByName(second), "near-dup-all-links")
 
