@@ -9,7 +9,7 @@ equal slots as an estimate of the Jaccard similarity. Visits go on, rank by rank
 until no slot of the document can still fall, so long documents stop after few ranks.
 
 Slots are kept as bytes. ``ROWS`` bytes make a band's key; documents that share a key
-meet. A pair at similarity 0.85 misses every band with a probability of 5e-7.
+meet. A pair at similarity 0.85 misses every band with a probability of 5e-7, one at 0.8 of 5e-5.
 
 * Documents with equal sets form a class first; one representative stands for it, so copies
   are never compared, however many there are.
@@ -31,6 +31,7 @@ are linked with nothing and stay; an empty table gives an empty result. Only ``d
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -45,12 +46,10 @@ WIDTH = 5
 ROWS = 5
 BANDS = 25
 SLOTS = ROWS * BANDS
-NUMERATOR, DENOMINATOR = 85, 100
+PERCENT = 85  # of the union that two linked sets share
 BLOCK = 512
-SIGMA = (NUMERATOR / DENOMINATOR * (1 - NUMERATOR / DENOMINATOR) / SLOTS) ** 0.5
-NEAR = NUMERATOR / DENOMINATOR - 4 * SIGMA  # estimates below are passed over
 SKETCH = 256
-LIKELY = 0.8  # estimates that are worth a check in round one
+LIKELY = 0.05  # below the threshold, estimates are still worth a check in round one
 
 
 def shingles(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -171,7 +170,7 @@ def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([part.column("rep"), flat], ["rep", "sketch"])
 
 
-def may_link(i: np.ndarray, j: np.ndarray, values: np.ndarray, bounds: np.ndarray, size: np.ndarray) -> np.ndarray:
+def may_link(i: np.ndarray, j: np.ndarray, values: np.ndarray, bounds: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """Whether the sketches of rows i[p] and j[p] allow a link. Below ``limit`` both hold all their hashes."""
     out = np.zeros(len(i), dtype=bool)
     last = np.where(size > SKETCH, values[np.maximum(bounds[1:] - 1, 0)].astype(np.int64), 1 << 16)
@@ -191,7 +190,7 @@ def may_link(i: np.ndarray, j: np.ndarray, values: np.ndarray, bounds: np.ndarra
         same = two[np.minimum(np.searchsorted(two, one), len(two) - 1)] == one
         common = np.bincount(pair[same], minlength=len(a))
         union = np.bincount(pair, minlength=len(a)) + np.bincount(other, minlength=len(a)) - common
-        needed = NUMERATOR / DENOMINATOR - 4 * np.where(limit < 1 << 16, SIGMA * (SLOTS / np.maximum(union, 1)) ** 0.5, 0)
+        needed = np.where(limit < 1 << 16, passed_over(percent, np.maximum(union, 1)), percent / 100)
         out[start : start + 4096] = common >= needed * union - 1e-9
     return out
 
@@ -204,30 +203,36 @@ def agreement(left: np.ndarray, right: np.ndarray) -> np.ndarray:
     return out / SLOTS
 
 
-def similar_sizes(left: np.ndarray, right: np.ndarray) -> np.ndarray:
-    return np.minimum(left, right) * DENOMINATOR >= np.maximum(left, right) * NUMERATOR
+def similar_sizes(left: np.ndarray, right: np.ndarray, percent: int) -> np.ndarray:
+    return np.minimum(left, right) * 100 >= np.maximum(left, right) * percent
 
 
-def nearest_earlier(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def passed_over(percent: int, slots: np.ndarray | int) -> np.ndarray:
+    """Estimates below this, four standard deviations under the threshold, are passed over."""
+    p = percent / 100
+    return p - 4 * (p * (1 - p) / slots) ** 0.5
+
+
+def nearest_earlier(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Round one: per block, each member with its most similar earlier member."""
     for table, bounds in _groups(batches, ["key", "block"]):
         rep, size, marks = table.column("rep").to_numpy(), table.column("n_shingles").to_numpy(), _marks(table)
-        starts, width = bounds[:-1], np.diff(bounds)
+        starts, width, likely = bounds[:-1], np.diff(bounds), percent / 100 - LIKELY
         pairs = starts[width == 2]
-        alike = ((marks[pairs] == marks[pairs + 1]).mean(axis=1) >= LIKELY) & similar_sizes(size[pairs], size[pairs + 1])
+        alike = ((marks[pairs] == marks[pairs + 1]).mean(axis=1) >= likely) & similar_sizes(size[pairs], size[pairs + 1], percent)
         a, b = [rep[pairs[alike]]], [rep[pairs[alike] + 1]]
         for start, stop in zip(starts[width > 2], bounds[1:][width > 2]):
             share = agreement(marks[start:stop], marks[start:stop])
-            share = np.tril(np.where(similar_sizes(size[start:stop, None], size[None, start:stop]), share, 0), -1)
+            share = np.tril(np.where(similar_sizes(size[start:stop, None], size[None, start:stop], percent), share, 0), -1)
             best = share.argmax(axis=1)
-            good = share[np.arange(stop - start), best] >= LIKELY
+            good = share[np.arange(stop - start), best] >= likely
             a.append(rep[start:stop][good])
             b.append(rep[start + best[good]])
         a, b = np.concatenate(a), np.concatenate(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def across_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def across_groups(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Round two: members outside the largest group with members of other groups, in their first common band."""
     for table, bounds in _groups(batches, ["key", "block", "other"]):
         rep, size, group = (table.column(c).to_numpy() for c in ("rep", "n_shingles", "component"))
@@ -244,22 +249,22 @@ def across_groups(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
                 continue
             share = agreement(marks[left], marks[right])
             wanted = (
-                (share >= NEAR) & (group[left][:, None] != group[right][None, :])
-                & similar_sizes(size[left][:, None], size[right][None, :])
+                (share >= passed_over(percent, SLOTS)) & (group[left][:, None] != group[right][None, :])
+                & similar_sizes(size[left][:, None], size[right][None, :], percent)
                 & ((group[right] == largest[start])[None, :] | (rep[left][:, None] < rep[right][None, :]))
             )
             i, j = np.nonzero(wanted)
             i, j = left[i], right[j]
             common = (marks[i] == marks[j]).reshape(-1, BANDS, ROWS).all(axis=2).argmax(axis=1)
             i, j = i[common == band[start]], j[common == band[start]]
-            good = may_link(i, j, least, cuts, size)
+            good = may_link(i, j, least, cuts, size, percent)
             a.append(rep[i[good]])
             b.append(rep[j[good]])
         a, b = np.concatenate(a), np.concatenate(b)
         yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Pairs whose full sets reach the threshold."""
     for part in words.slices(batches, "text_a", words.SLICE_BYTES // 2):
         one, two = shingles(part.column("text_a")), shingles(part.column("text_b"))
@@ -268,7 +273,7 @@ def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         common = np.isin(tagged[0], tagged[1], assume_unique=True)
         shared = np.bincount(one[0][common], minlength=n)
         union = np.bincount(one[0], minlength=n) + np.bincount(two[0], minlength=n) - shared
-        linked = (shared * DENOMINATOR >= union * NUMERATOR) & (shared > 0)
+        linked = (shared * 100 >= union * percent) & (shared > 0)
         yield part.select(["a", "b"]).filter(pa.array(linked))
 
 
@@ -306,16 +311,16 @@ def components(links: DataFrame) -> DataFrame:
     return stars.select(F.col("big").alias("rep"), F.col("small").alias("component"))
 
 
-def confirmed(candidates: DataFrame, texts: DataFrame) -> DataFrame:
+def confirmed(candidates: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
     """Distinct candidate pairs (a, b) that the full sets link."""
     pairs = candidates.distinct()
     sides = pairs.join(texts.select(F.col("rep").alias("a"), F.col("text").alias("text_a")).hint("merge"), "a").join(
         texts.select(F.col("rep").alias("b"), F.col("text").alias("text_b")).hint("merge"), "b"
     )
-    return sides.select("a", "b", "text_a", "text_b").mapInArrow(confirm, "a bigint, b bigint").distinct()
+    return sides.select("a", "b", "text_a", "text_b").mapInArrow(partial(confirm, percent=percent), "a bigint, b bigint").distinct()
 
 
-def grouped(docs: DataFrame) -> DataFrame:
+def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id, kept."""
     docs = docs.select("doc_id", "text")
     signed = materialize(
@@ -346,7 +351,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     blocked = shared.withColumn("block", F.pmod(F.xxhash64("rep"), F.ceil(F.col("n") / BLOCK)).cast("int"))
     met = blocked.select("rep", "key", "block").join(marked.hint("merge"), "rep").repartition("key", "block").sortWithinPartitions("key", "block", "rep")
     first = materialize(
-        confirmed(met.mapInArrow(nearest_earlier, "a bigint, b bigint"), texts), "near-dup-links"
+        confirmed(met.mapInArrow(partial(nearest_earlier, percent=percent), "a bigint, b bigint"), texts, percent), "near-dup-links"
     )
 
     known = materialize(
@@ -372,7 +377,7 @@ def grouped(docs: DataFrame) -> DataFrame:
         "near-dup-sketches",
     )
     crossed = asks.unionByName(answers).join(marked.hint("merge"), "rep").join(sketches.hint("merge"), "rep").repartition("key", "block", "other").sortWithinPartitions("key", "block", "other", "rep")
-    second = confirmed(crossed.mapInArrow(across_groups, "a bigint, b bigint"), texts)
+    second = confirmed(crossed.mapInArrow(partial(across_groups, percent=percent), "a bigint, b bigint"), texts, percent)
     links = materialize(first.unionByName(second), "near-dup-all-links")
 
     named = classes.select(*same, "rep").join(components(links), "rep", "left").select(
@@ -386,7 +391,7 @@ def grouped(docs: DataFrame) -> DataFrame:
     return rows.unionByName(unnamed).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
-def deduplicate(docs: DataFrame) -> DataFrame:
+def deduplicate(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """All columns of the documents; of each group only the document with the least id stays."""
-    gone = materialize(grouped(docs).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-dup-gone")
+    gone = materialize(grouped(docs, percent).where("not kept").select(F.col("doc_id").alias("__gone")).distinct(), "near-dup-gone")
     return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
