@@ -110,23 +110,23 @@ def suspects(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> Dat
     return shared.select(*columns).unionByName(followers.select(*columns)).where("doc_id > head or place <> head_place")
 
 
-def _segment(found: words.Words, row: int, number: int, window: int, period: int) -> tuple[int, bytes]:
+def _segment(found: words.Words, row: int, number: int, window: int, period: int, segment: int) -> tuple[int, bytes]:
     """First word and bytes of a segment with the margins that its anchors' windows need."""
     begin, end = found.first[row], found.first[row + 1]
-    low = max(number * SEGMENT - period + 1, 0)
-    high = min((number + 1) * SEGMENT + window, end - begin)
+    low = max(number * segment - period + 1, 0)
+    high = min((number + 1) * segment + window, end - begin)
     if high <= low:
         return low, b""
     return low, found.data[found.starts[begin + low] : found.ends[begin + high - 1]].tobytes()
 
 
-def cut_heads(window: int, period: int):
+def cut_heads(window: int, period: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches):
             found = words.split_words(part.column("text"))
             out: list[tuple] = []
             for row, (doc, wanted) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("segments").to_pylist())):
-                out += [(doc, number, _segment(found, row, number, window, period)[1]) for number in wanted]
+                out += [(doc, number, _segment(found, row, number, window, period, segment)[1]) for number in wanted]
             head, number, text = zip(*out) if out else ((), (), ())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(head, pa.int64()), pa.array(number, pa.int32()), pa.array(text, pa.binary())],
@@ -136,14 +136,14 @@ def cut_heads(window: int, period: int):
     return run
 
 
-def cut_pairs(window: int, period: int):
+def cut_pairs(window: int, period: int, segment: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in words.slices(batches):
             found = words.split_words(part.column("text"))
             out: list[tuple] = []
             for row, (doc, pairs) in enumerate(zip(part.column("doc_id").to_pylist(), part.column("pairs").to_pylist())):
                 for pair in pairs:
-                    low, text = _segment(found, row, pair["segment"], window, period)
+                    low, text = _segment(found, row, pair["segment"], window, period, segment)
                     places = [p - low for p in pair["places"]]
                     out.append((doc, pair["head"], pair["head_segment"], low, places, text))
             doc, head, number, low, places, text = zip(*out) if out else ((),) * 6
@@ -206,11 +206,13 @@ def extend(window: int, period: int):
     return run
 
 
-def repeated_spans(docs: DataFrame, window: int = WINDOW, period: int = PERIOD) -> tuple[DataFrame, DataFrame]:
+def repeated_spans(
+    docs: DataFrame, window: int = WINDOW, period: int = PERIOD, segment: int = SEGMENT
+) -> tuple[DataFrame, DataFrame]:
     """(spans, texts): (doc_id, start, stop) of words that go, possibly overlapping, and the texts they are in."""
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     found = materialize(suspects(docs, window, period), "passage-suspects")
-    number = lambda c: F.floor(F.col(c) / SEGMENT).cast("int")
+    number = lambda c: F.floor(F.col(c) / segment).cast("int")
     pairs = found.groupBy(
         "doc_id", number("place").alias("segment"), "head", number("head_place").alias("head_segment")
     ).agg(F.collect_list("place").alias("places"))
@@ -221,10 +223,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, period: int = PERIOD)
     wanted = by_doc.join(by_head, "doc_id", "full")
     texts = materialize(docs.join(wanted, "doc_id"), "passage-texts")
     heads = texts.where("segments is not null").select("doc_id", "text", "segments").mapInArrow(
-        cut_heads(window, period), "head bigint, head_segment int, head_text binary"
+        cut_heads(window, period, segment), "head bigint, head_segment int, head_text binary"
     )
     sides = texts.where("pairs is not null").select("doc_id", "text", "pairs").mapInArrow(
-        cut_pairs(window, period), "doc_id bigint, head bigint, head_segment int, low int, places array<int>, text binary"
+        cut_pairs(window, period, segment), "doc_id bigint, head bigint, head_segment int, low int, places array<int>, text binary"
     ).join(heads, ["head", "head_segment"])
     extended = materialize(
         sides.select("doc_id", "head", "low", "places", "text", "head_text").mapInArrow(
@@ -265,13 +267,15 @@ def cleaned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 CLEANED = "doc_id bigint, n_words bigint, n_removed bigint, kept_sha256 string, kept_text string"
 
 
-def without_repeats(docs: DataFrame, texts: bool = True, window: int = WINDOW, period: int = PERIOD) -> DataFrame:
+def without_repeats(
+    docs: DataFrame, texts: bool = True, window: int = WINDOW, period: int = PERIOD, segment: int = SEGMENT
+) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_sha256 and, if asked for, kept_text.
 
     Documents that lose nothing are told by their own text in the scan; only the texts of
     documents with suspect anchors were shuffled.
     """
-    spans, held = repeated_spans(docs, window, period)
+    spans, held = repeated_spans(docs, window, period, segment)
     by_doc = spans.groupBy("doc_id").agg(F.collect_set(F.struct("start", "stop")).alias("spans"))
     columns = ["doc_id", "n_words", "n_removed", "kept_sha256", *(["kept_text"] if texts else [])]
     changed = materialize(held.join(by_doc, "doc_id").mapInArrow(cleaned, CLEANED).select(*columns).distinct(), "passage-changed")
