@@ -41,7 +41,7 @@ from landshift.llm import words
 from landshift.session import materialize
 
 EDITS = 0.2
-TARGET = 0.95
+TARGET = 0.99
 MIN_WORDS = 8
 BLOCK = 20_000
 MOST_REPETITIONS = 48
