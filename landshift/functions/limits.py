@@ -1,4 +1,4 @@
-"""Texts that state the limits of an observation or a signal as evidence."""
+"""Limits of an observation or a signal as evidence: codes with the facts behind them."""
 
 from __future__ import annotations
 
@@ -7,41 +7,31 @@ from pyspark.sql import functions as F
 
 from landshift.config import PROCESSING_VERSION
 from landshift.functions.scoring import POOR_QUALITY
-from landshift.functions.text import fixed
+
+
+def _limit(acq_id: Column, code: str, fact: Column) -> Column:
+    return F.struct(acq_id.cast("bigint").alias("acq_id"), F.lit(code).alias("code"), fact.cast("string").alias("fact"))
 
 
 def observation_limits(
-    acq_id: Column, item_id: Column, state: Column, reason: Column, version: Column,
-    mask_available: Column, display_available: Column,
+    acq_id: Column, state: Column, reason: Column, version: Column, mask_available: Column, display_available: Column
 ) -> Column:
-    """Limitation texts of one observation, as an array."""
-    who = F.concat(F.lit("Observation "), acq_id.cast("string"))
-    named = F.concat(who, F.lit(" ("), item_id, F.lit(")"))
-    because = F.when(F.coalesce(reason, F.lit("")) != "", F.concat(F.lit(" ("), reason, F.lit(")"))).otherwise("")
+    """Limits of one observation, as array<struct<acq_id, code, fact>>."""
+    none = F.lit(None).cast("string")
+    told = F.nullif(reason, F.lit(""))
     usable = state == "usable"
-    text = lambda subject, tail: F.concat(subject, F.lit(tail))
     return F.array_compact(F.array(
-        F.when(state == "valid_unusable", F.concat(
-            text(named, " is valid_unusable: usable pixel fraction is below the 0.50 threshold"), because)),
-        F.when(state == "legacy_unassessed", text(
-            named, " is legacy_unassessed: ingested before quality assessment")),
-        F.when(state == "failed", F.concat(
-            text(named, " preprocessing failed: "), F.coalesce(F.nullif(reason, F.lit("")), F.lit("unspecified error")))),
-        F.when(state.isin("discovered", "acquired"), F.concat(
-            text(named, " has not completed preprocessing (state: "), state, F.lit(")"))),
-        F.when(usable & ~mask_available, text(who, " quality mask is missing or unreadable on disk storage")),
-        F.when(usable & (version != PROCESSING_VERSION), F.concat(
-            text(who, " uses non-standard quality processing version '"), version, F.lit("'"))),
-        F.when(usable & ~display_available, text(
-            who, " display artifact is unavailable or uses incompatible visualization version")),
+        F.when(state == "valid_unusable", _limit(acq_id, "too_few_usable_pixels", told)),
+        F.when(state == "legacy_unassessed", _limit(acq_id, "never_assessed", none)),
+        F.when(state == "failed", _limit(acq_id, "preparation_failed", told)),
+        F.when(state.isin("discovered", "acquired"), _limit(acq_id, "preparation_pending", state)),
+        F.when(usable & ~mask_available, _limit(acq_id, "no_class_mask", none)),
+        F.when(usable & (version != PROCESSING_VERSION), _limit(acq_id, "other_mask_version", version)),
+        F.when(usable & ~display_available, _limit(acq_id, "no_current_picture", none)),
     ))
 
 
 def signal_limits(quality: Column) -> Column:
-    """Limitation text of weakly supported signals, as an array of at most one."""
-    return F.array_compact(F.array(F.when(
-        (quality > 0) & (quality < POOR_QUALITY),
-        F.format_string(
-            "Temporal quality limitation: temporal quality support is degraded (%s < 0.40); "
-            "signal confidence is dampened", fixed(quality, 2)),
-    )))
+    """The limit of a weakly supported signal, in an array of at most one; it names no observation."""
+    weak = (quality > 0) & (quality < POOR_QUALITY)
+    return F.array_compact(F.array(F.when(weak, _limit(F.lit(None), "weak_quality_support", F.round(quality, 2)))))

@@ -8,14 +8,19 @@ from pyspark.sql import functions as F
 from landshift.config import NOTE_LIMIT
 
 
+# The characters that stay in names of stored and downloaded files.
+STORED_NAME = r"[^A-Za-z0-9_.-]"
+DOWNLOAD_NAME = r"[^a-zA-Z0-9_-]"
+
+
 def safe_path_id(value: Column) -> Column:
     """Item id as used in storage paths."""
-    return F.regexp_replace(value, r"[^A-Za-z0-9_.-]", "_")
+    return F.regexp_replace(value, STORED_NAME, "_")
 
 
 def safe_file_id(value: Column) -> Column:
     """Candidate id as used in download names; dots are replaced too."""
-    return F.regexp_replace(value, r"[^a-zA-Z0-9_-]", "_")
+    return F.regexp_replace(value, DOWNLOAD_NAME, "_")
 
 
 def normalize_note(note: Column) -> Column:
@@ -38,20 +43,3 @@ def candidate_id(analysis: Column, signal: Column) -> Column:
 
 def words(reason: Column) -> Column:
     return F.translate(reason, "_", " ")
-
-
-def fixed(value: Column, places: int) -> Column:
-    """Non-negative number as text with ``places`` decimals, rounded on its exact value.
-
-    ``format_string`` rounds the shortest decimal form of a double, so it turns 0.4745,
-    which is stored slightly below that, into 0.475. Here the scaled value and its exact
-    rounding error decide; true ties go to the even digit.
-    """
-    scale = float(10**places)
-    high = value * 134217729.0 - (value * 134217729.0 - value)
-    product = value * scale
-    error = (high * scale - product) + (value - high) * scale
-    whole = F.floor(product)
-    part = product - whole
-    up = (part > 0.5) | ((part == 0.5) & ((error > 0) | ((error == 0) & (whole % 2 == 1))))
-    return F.format_string(f"%.{places}f", (whole + F.when(up, 1).otherwise(0)) / scale)

@@ -55,7 +55,7 @@ def evidence_observations(candidates: DataFrame, acquisitions: DataFrame) -> Dat
     return refs.join(facts, "acq_id").withColumn(
         "limits",
         limits.observation_limits(
-            F.col("acq_id"), F.col("item_id"), F.col("state"), F.col("reason"), F.col("processing_version"),
+            F.col("acq_id"), F.col("state"), F.col("reason"), F.col("processing_version"),
             F.col("mask_available"), F.col("display_available"),
         ),
     )
@@ -81,10 +81,10 @@ def assemble(candidates: DataFrame, intervals: DataFrame, observations: DataFram
     )
     details = grids.alignment(F.col("before.grid"), F.col("after.grid"))
     return joined.withColumns({
-        "quality_limitation_reasons": reasons,
+        "quality_limits": reasons,
         "is_quality_limited": F.size(reasons) > 0,
-        "alignment_details": details,
-        "is_spatially_aligned": details.startswith("Fully aligned"),
+        "alignment": details,
+        "is_spatially_aligned": details["aligned"],
     })
 
 
@@ -137,7 +137,7 @@ def snapshots(evidence: DataFrame, reviews: DataFrame, centroids: DataFrame) ->
         "detection_summary": summary,
         "export_version": F.lit(EXPORT_VERSION),
         "observation_quality": F.struct(
-            "is_quality_limited", "quality_limitation_reasons", F.col("alignment_details").alias("spatial_alignment")
+            "is_quality_limited", "quality_limits", F.col("alignment").alias("spatial_alignment")
         ),
         "priority": F.col("priority"),
         "provenance": F.struct(
@@ -154,11 +154,7 @@ def snapshots(evidence: DataFrame, reviews: DataFrame, centroids: DataFrame) ->
         "score": F.col("score"),
         "severity": F.col("severity"),
         "signal_id": F.col("signal_id"),
-        "system_explanation": F.struct(
-            F.col("explanation.limiting_factors").alias("limiting_factors"),
-            F.col("explanation.positive_factors").alias("positive_factors"),
-            F.col("explanation.summary").alias("summary"),
-        ),
+        "system_explanation": F.col("explanation"),
         "temporal_evidence": temporal,
     }
     document = F.struct(*[fields[name].alias(name) for name in sorted(fields)])
