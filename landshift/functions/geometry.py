@@ -21,13 +21,14 @@ def rings_from_coordinates(coordinates: Column) -> Column:
 
 
 def segments(ring: Column) -> Column:
-    """Edges of a ring as structs (a, b)."""
+    """Edges of a ring as structs (a, b); repeated vertices make none."""
     count = F.greatest(F.size(ring) - 1, F.lit(0))
-    return F.zip_with(
+    edges = F.zip_with(
         F.slice(ring, 1, count),
         F.slice(ring, 2, count),
         lambda a, b: F.struct(a.alias("a"), b.alias("b")),
     )
+    return F.filter(edges, lambda s: s["a"] != s["b"])
 
 
 def all_segments(rings: Column) -> Column:
@@ -145,30 +146,53 @@ def _segments_touch(s: Column, t: Column) -> Column:
     )
 
 
+def interior_point(ring: Column) -> Column:
+    """A point inside a simple ring: halfway between its two left-most crossings with a line
+    between its two lowest vertex heights."""
+    heights = F.array_sort(F.array_distinct(F.transform(ring, lambda p: p["y"])))
+    y = (heights[0] + heights[1]) / 2.0
+    spans = F.filter(segments(ring), lambda s: (s["a"]["y"] > y) != (s["b"]["y"] > y))
+    at = F.array_sort(F.transform(
+        spans, lambda s: s["a"]["x"] + (y - s["a"]["y"]) * (s["b"]["x"] - s["a"]["x"]) / (s["b"]["y"] - s["a"]["y"])
+    ))
+    return F.struct(((at[0] + at[1]) / 2.0).alias("x"), y.alias("y"))
+
+
+def _parts(s: Column, points: Column) -> Column:
+    """Midpoints of the parts of an edge between the given points that lie on it."""
+    along = lambda p: (p["x"] - s["a"]["x"]) * (s["b"]["x"] - s["a"]["x"]) + (p["y"] - s["a"]["y"]) * (s["b"]["y"] - s["a"]["y"])
+    met = F.concat(F.array(s["a"], s["b"]), F.filter(points, lambda p: _within(p, s)))
+    ordered = F.array_sort(F.array_distinct(F.transform(
+        met, lambda p: F.struct(along(p).alias("at"), p["x"].alias("x"), p["y"].alias("y"))
+    )))
+    count = F.size(ordered) - 1
+    return F.zip_with(
+        F.slice(ordered, 1, count), F.slice(ordered, 2, count),
+        lambda a, b: F.struct(((a["x"] + b["x"]) / 2.0).alias("x"), ((a["y"] + b["y"]) / 2.0).alias("y")),
+    )
+
+
 def covers(outer: Column, inner: Column) -> Column:
     """Every point of ``inner`` lies in ``outer``; touching boundaries are fine.
 
-    Vertices and edge midpoints of the inner polygon must lie in the outer one, no
-    two edges may cross, and no outer hole may start inside the inner polygon.
+    No two edges may cross. Inner edges are cut where vertices of the outer polygon touch
+    them; the inner vertices and the middle of each part must lie in the outer polygon.
+    What is left are outer holes, which lie in the inner polygon or apart from it as a whole.
     """
     inside = lambda p: contains_point(outer, p["x"], p["y"]) | on_boundary(outer, p["x"], p["y"])
-    midpoint = lambda s: F.struct(
-        ((s["a"]["x"] + s["b"]["x"]) / 2.0).alias("x"), ((s["a"]["y"] + s["b"]["y"]) / 2.0).alias("y")
-    )
-    edges = all_segments(inner)
+    edges, corners = all_segments(inner), F.flatten(outer)
     crossing = F.exists(all_segments(outer), lambda s: F.exists(edges, lambda t: _proper_crossing(s, t)))
     holes = F.slice(outer, 2, F.greatest(F.size(outer), F.lit(1)))
-    hole_inside = F.exists(
-        holes,
-        lambda r: F.exists(
-            r, lambda p: contains_point(inner, p["x"], p["y"]) & ~on_boundary(inner, p["x"], p["y"])
-        ),
-    )
+
+    def hole_inside(r: Column) -> Column:
+        p = interior_point(r)
+        return contains_point(inner, p["x"], p["y"])
+
     return (
         F.forall(F.flatten(inner), inside)
-        & F.forall(edges, lambda s: inside(midpoint(s)))
         & ~crossing
-        & ~hole_inside
+        & F.forall(edges, lambda s: F.forall(_parts(s, corners), inside))
+        & ~F.exists(holes, hole_inside)
     )
 
 
@@ -186,17 +210,40 @@ def intersects(left: Column, right: Column) -> Column:
     )
 
 
+def _vertices(ring: Column) -> Column:
+    return F.array_distinct(F.slice(ring, 1, F.greatest(F.size(ring) - 1, F.lit(0))))
+
+
 def is_valid(rings: Column) -> Column:
-    """Closed rings of at least four points, non-zero area, no self-crossing edges."""
+    """Closed rings with area that do not cross, holes inside the shell and apart from each other.
+
+    A ring touches itself nowhere; two rings may touch in one point. Repeated vertices are fine.
+    """
     closed = F.forall(
-        rings, lambda r: (F.size(r) >= 4) & (r[0] == F.element_at(r, -1)) & (signed_area(r) != 0)
+        rings, lambda r: (F.size(_vertices(r)) >= 3) & (r[0] == F.element_at(r, -1)) & (signed_area(r) != 0)
     )
     edges = all_segments(rings)
     crossed = F.exists(edges, lambda s: F.exists(edges, lambda t: _proper_crossing(s, t)))
-    # A vertex may touch only the two edges that meet in it.
-    points = F.flatten(F.transform(rings, lambda r: F.slice(r, 1, F.greatest(F.size(r) - 1, F.lit(0)))))
-    pinched = F.exists(points, lambda p: F.size(F.filter(edges, lambda s: _within(p, s))) > 2)
-    return F.coalesce((F.size(rings) > 0) & closed & ~crossed & ~pinched, F.lit(False))
+    pinched = F.exists(
+        rings, lambda r: F.exists(_vertices(r), lambda p: F.size(F.filter(segments(r), lambda s: _within(p, s))) > 2)
+    )
+    touching = lambda a, b: F.size(F.array_distinct(F.concat(
+        F.filter(_vertices(a), lambda p: F.exists(segments(b), lambda s: _within(p, s))),
+        F.filter(_vertices(b), lambda p: F.exists(segments(a), lambda s: _within(p, s))),
+    )))
+    holds = lambda a, b: contains_point(F.array(a), interior_point(b)["x"], interior_point(b)["y"])
+    holes = F.slice(rings, 2, F.greatest(F.size(rings), F.lit(1)))
+    numbered = F.transform(rings, lambda r, i: F.struct(i.alias("i"), r.alias("ring")))
+    joined = F.exists(numbered, lambda a: F.exists(
+        numbered, lambda b: (a["i"] < b["i"]) & (touching(a["ring"], b["ring"]) > 1)
+    ))
+    nested = F.exists(numbered, lambda a: F.exists(
+        numbered, lambda b: (a["i"] > 0) & (b["i"] > 0) & (a["i"] != b["i"]) & holds(a["ring"], b["ring"])
+    ))
+    stray = F.exists(holes, lambda h: ~holds(rings[0], h))
+    return F.coalesce(
+        F.when(~((F.size(rings) > 0) & closed), False).otherwise(~crossed & ~pinched & ~joined & ~stray & ~nested), F.lit(False)
+    )
 
 
 INNER_SCALES = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.35, 0.2)
