@@ -37,7 +37,8 @@ class Policy:
     min_region_pixels: int = 4
     min_usable_fraction: float = 0.5
     iou_threshold: float = 0.25
-    catalog_limit: int = 25
+    # Newest results per AOI that a search keeps; all of them by default.
+    catalog_limit: int | None = None
     seasonal_days: int = 60
     coverage_epsilon: float = 1e-6
     # Physical layout: the side of the square pixel tiles that detection works on.

@@ -143,7 +143,6 @@ def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     shift = F.pmod("event_id", F.lit(10)).cast("double")
     left, bottom = F.lit(76.0) + shift * 0.25, F.lit(11.5) + shift * 0.125
     return e.select(
-        (F.pmod("user_id", F.lit(4)) + 1).cast("bigint").alias("aoi_id"),
         F.format_string("item-%06d", "event_id").alias("item_id"),
         F.when(F.pmod("event_id", F.lit(11)) == 0, "landsat-c2-l2").otherwise(CATALOG_COLLECTION).alias("collection"),
         F.col("ts").cast("timestamp").alias("ts"),
@@ -154,6 +153,22 @@ def catalog_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def catalog_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The items as lines of feature collections; every third footprint is a multi-polygon."""
+    ring = F.transform(F.col("rings")[0], lambda p: F.array(p["x"], p["y"]))
+    polygon = F.to_json(F.struct(F.lit("Polygon").alias("type"), F.array(ring).alias("coordinates")))
+    multi = F.to_json(F.struct(F.lit("MultiPolygon").alias("type"), F.array(F.array(ring)).alias("coordinates")))
+    third = F.pmod(F.substring("item_id", 6, 12).cast("int"), F.lit(3)) == 0
+    shape = F.when(F.col("rings").isNull(), "null").otherwise(F.when(third, multi).otherwise(polygon))
+    feature = F.concat(
+        F.lit('{"id":"'), F.col("item_id"), F.lit('","collection":"'), F.col("collection"), F.lit('","geometry":'), shape,
+        F.lit(',"properties":'), F.to_json(F.create_map(
+            F.lit("datetime"), F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS'Z'"), F.lit("eo:cloud_cover"), F.col("cloud_cover"))),
+        F.lit(',"assets":'), F.to_json("assets"), F.lit("}"),
+    )
+    return catalog_items(spark, sf_dir).select(F.concat(F.lit('{"type":"FeatureCollection","features":['), feature, F.lit("]}")).alias("value"))
+
+
 def catalog_aois(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The four AOI boxes that the catalog items are searched for."""
     ids = table(spark, sf_dir, "events").select(

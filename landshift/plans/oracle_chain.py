@@ -104,7 +104,7 @@ cte("iv", """
 SELECT b.aoi_id, b.seq AS k, b.acq_id AS before_acq, a.acq_id AS after_acq, b.ts AS before_ts, a.ts AS after_ts,
        least(b.usable_percentage, a.usable_percentage) / 100.0 AS quality_support,
        (epoch(a.ts) - epoch(b.ts)) / 86400.0 AS elapsed_days,
-       (b.aoi_id << 16) + b.seq AS run_id
+       (b.aoi_id << 12) + b.seq AS run_id
 FROM seqd b JOIN seqd a ON a.aoi_id = b.aoi_id AND a.seq = b.seq + 1""", "seqd")
 
 cte("ndvi", """
@@ -146,7 +146,7 @@ FROM comp GROUP BY aoi_id, k, region_key""", "comp")
 
 cte("regions", f"""
 SELECT *, region_key // {SIDE} AS first_row, region_key % {SIDE} AS first_col,
-       (((aoi_id << 16) + k) << 27) + region_no AS region_id
+       (((aoi_id << 12) + k) << 25) + region_no AS region_id
 FROM (SELECT *, row_number() OVER (PARTITION BY aoi_id, k ORDER BY region_key) AS region_no
       FROM all_regions WHERE pixel_count >= 4)""", "all_regions")
 
@@ -352,26 +352,28 @@ FROM candidates c LEFT JOIN reviews r USING (candidate_id)""", "candidates", "re
 # --- catalog ------------------------------------------------------------------------
 
 cte("items", """
-SELECT CAST(user_id % 4 + 1 AS BIGINT) AS aoi_id, printf('item-%06d', event_id) AS item_id, event_id, event_type,
+SELECT printf('item-%06d', event_id) AS item_id, event_id, event_type,
        CASE WHEN event_id % 11 = 0 THEN 'landsat-c2-l2' ELSE 'sentinel-2-l2a' END AS collection, ts,
        CASE WHEN event_type = 'error' THEN 'n/a' ELSE printf('%.4f', value / 5.0) END AS cloud_cover,
        CASE WHEN event_type = 'error' THEN NULL ELSE CAST(printf('%.4f', value / 5.0) AS DOUBLE) END AS cloud,
        event_type <> 'signup' AND TRUE AS has_bands, event_type <> 'view' AS has_scl, event_type <> 'click' AS has_display,
        event_id % 17 <> 0 AS has_footprint,
        76.0::DOUBLE + (event_id % 10) * 0.25 AS fl, 11.5::DOUBLE + (event_id % 10) * 0.125 AS fb,
-       78.0::DOUBLE + (event_id % 10) * 0.25 AS fr, 13.5::DOUBLE + (event_id % 10) * 0.125 AS ft,
-       77.0::DOUBLE + (user_id % 4 + 1) * 0.25 AS al, 12.0::DOUBLE + (user_id % 4 + 1) * 0.25 AS ab,
-       77.25::DOUBLE + (user_id % 4 + 1) * 0.25 AS ar, 12.25::DOUBLE + (user_id % 4 + 1) * 0.25 AS atop
+       78.0::DOUBLE + (event_id % 10) * 0.25 AS fr, 13.5::DOUBLE + (event_id % 10) * 0.125 AS ft
 FROM events""")
 
+cte("catalog_aois", """
+SELECT aoi_id, 77.0::DOUBLE + aoi_id * 0.25 AS al, 12.0::DOUBLE + aoi_id * 0.25 AS ab,
+       77.25::DOUBLE + aoi_id * 0.25 AS ar, 12.25::DOUBLE + aoi_id * 0.25 AS atop
+FROM (SELECT DISTINCT CAST(user_id % 4 + 1 AS BIGINT) AS aoi_id FROM events)""")
+
 CATALOG_FROM, CATALOG_TO = "2024-01-03", "2024-01-25"
 
 cte("found", f"""
 SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY ts DESC, item_id) AS result_no
-FROM items
+FROM items, catalog_aois
 WHERE collection = 'sentinel-2-l2a' AND ts >= TIMESTAMP '{CATALOG_FROM}' AND ts <= TIMESTAMP '{CATALOG_TO}'
-  AND has_footprint AND fl <= ar AND fr >= al AND fb <= atop AND ft >= ab
-QUALIFY result_no <= 25""", "items")
+  AND has_footprint AND fl <= ar AND fr >= al AND fb <= atop AND ft >= ab""", "items", "catalog_aois")
 
 cte("discovered", """
 SELECT *, row_number() OVER (PARTITION BY aoi_id ORDER BY cloud ASC NULLS LAST, ts, item_id) AS position

@@ -404,7 +404,7 @@ def win_latest_run(c):
     return reuse.newest_runs(runs).select("before_acq", "after_acq", "run_id")
 
 
-@query("win_region_number", "SELECT run_id, region_no, CAST(first_row AS INTEGER) AS first_row, CAST(first_col AS INTEGER) AS first_col, region_id FROM (SELECT *, (aoi_id << 16) + k AS run_id FROM regions)", "regions")
+@query("win_region_number", "SELECT run_id, region_no, CAST(first_row AS INTEGER) AS first_row, CAST(first_col AS INTEGER) AS first_col, region_id FROM (SELECT *, (aoi_id << 12) + k AS run_id FROM regions)", "regions")
 def win_region_number(c):
     return c.detection.regions.select("run_id", "region_no", "first_row", "first_col", "region_id")
 
@@ -574,27 +574,34 @@ def fn_quality_state(c):
 
 
 cte("explained", """
-SELECT candidate_id,
-  printf('Deterministic evidence score %.3f (%s priority, %s severity) for %s land-surface change.', score, priority, severity, state) AS summary,
+SELECT candidate_id, severity, priority, state, score, area_m2, mean_delta, quality_support, round(magnitude, 4) AS change_magnitude,
   array_to_string(list_filter([
-    CASE WHEN round(pers, 4) >= 0.7 THEN printf('Strong temporal persistence (%.2f)', round(pers, 4)) END,
-    CASE WHEN round(cons, 4) >= 0.7 THEN printf('High spatial tracking consistency across intervals (%.2f)', round(cons, 4)) END,
-    CASE WHEN round(magnitude, 4) >= 0.4 THEN 'Significant physical change magnitude (mean ΔNDVI: ' || printf('%.2f', mean_delta) || ', area: ' || printf('%.0f', area_m2::DOUBLE) || ' m²)' END,
-    CASE WHEN quality_support >= 0.7 THEN printf('High observation quality support (%.2f)', quality_support) END], lambda x: x IS NOT NULL), '|') AS positive,
+    CASE WHEN round(pers, 4) >= 0.7 THEN 'temporal_persistence ' || printf('%.4f', round(pers, 4)) END,
+    CASE WHEN round(cons, 4) >= 0.7 THEN 'temporal_consistency ' || printf('%.4f', round(cons, 4)) END,
+    CASE WHEN round(magnitude, 4) >= 0.4 THEN 'change_magnitude ' || printf('%.4f', round(magnitude, 4)) END,
+    CASE WHEN quality_support >= 0.7 THEN 'quality_support ' || printf('%.4f', quality_support) END], lambda x: x IS NOT NULL), '|') AS raised_by,
   array_to_string(list_filter([
-    CASE WHEN round(pers, 4) < 0.4 THEN printf('Low temporal persistence (%.2f)', round(pers, 4)) END,
-    CASE WHEN round(cons, 4) < 0.4 THEN printf('Low spatial tracking overlap across intervals (%.2f)', round(cons, 4)) END,
-    CASE WHEN round(magnitude, 4) < 0.2 THEN 'Limited physical change magnitude (mean ΔNDVI: ' || printf('%.2f', mean_delta) || ')' END,
-    CASE WHEN quality_support > 0 AND quality_support < 0.4 THEN printf('Limited observation quality support (%.2f): confidence is reduced due to limited observation quality, not because absence of change was demonstrated', quality_support) END], lambda x: x IS NOT NULL), '|') AS limiting
+    CASE WHEN round(pers, 4) < 0.4 THEN 'temporal_persistence ' || printf('%.4f', round(pers, 4)) END,
+    CASE WHEN round(cons, 4) < 0.4 THEN 'temporal_consistency ' || printf('%.4f', round(cons, 4)) END,
+    CASE WHEN round(magnitude, 4) < 0.2 THEN 'change_magnitude ' || printf('%.4f', round(magnitude, 4)) END,
+    CASE WHEN quality_support > 0 AND quality_support < 0.4 THEN 'quality_support ' || printf('%.4f', quality_support) END], lambda x: x IS NOT NULL), '|') AS lowered_by
 FROM candidates""", "candidates")
 
 
-@query("fn_explain", "SELECT candidate_id, summary, positive, limiting FROM explained", "explained")
+@query("fn_explain", """
+SELECT candidate_id, raised_by, lowered_by, severity, priority, state, round(score, 6) AS score, round(area_m2::DOUBLE, 6) AS area_m2,
+       round(mean_delta, 6) AS mean_delta, round(quality_support, 6) AS quality_support, change_magnitude FROM explained""", "explained")
 def fn_explain(c):
     e = F.col("explanation")
+    told = lambda name: F.array_join(
+        F.transform(e[name], lambda m: F.concat_ws(" ", m["measure"], F.format_string("%.4f", m["value"]))), "|"
+    ).alias(name)
+    basis, urgency = e["severity_basis"], e["priority_basis"]
     return c.candidates.select(
-        "candidate_id", e["summary"].alias("summary"), F.array_join(e["positive_factors"], "|").alias("positive"),
-        F.array_join(e["limiting_factors"], "|").alias("limiting"),
+        "candidate_id", told("raised_by"), told("lowered_by"), basis["severity"].alias("severity"),
+        urgency["priority"].alias("priority"), urgency["state"].alias("state"), r6(urgency["score"]).alias("score"),
+        r6(basis["area_m2"]).alias("area_m2"), r6(basis["mean_delta"]).alias("mean_delta"),
+        r6(urgency["quality_support"]).alias("quality_support"), basis["change_magnitude"].alias("change_magnitude"),
     )
 
 
@@ -606,13 +613,13 @@ SELECT acq_id, item_id, reason, usable_percentage,
 
 @query("fn_quality_limits", """
 SELECT acq_id, array_to_string(list_filter([
-  CASE WHEN state = 'valid_unusable' THEN printf('Observation %d (%s) is valid_unusable: usable pixel fraction is below the 0.50 threshold (%s)', acq_id, item_id, reason) END,
-  CASE WHEN state = 'legacy_unassessed' THEN printf('Observation %d (%s) is legacy_unassessed: ingested before quality assessment', acq_id, item_id) END,
-  CASE WHEN state = 'failed' THEN printf('Observation %d (%s) preprocessing failed: %s', acq_id, item_id, reason) END,
-  CASE WHEN state = 'acquired' THEN printf('Observation %d (%s) has not completed preprocessing (state: acquired)', acq_id, item_id) END,
-  CASE WHEN state = 'usable' AND NOT has_mask THEN printf('Observation %d quality mask is missing or unreadable on disk storage', acq_id) END,
-  CASE WHEN state = 'usable' AND NOT has_display THEN printf('Observation %d display artifact is unavailable or uses incompatible visualization version', acq_id) END,
-  CASE WHEN usable_percentage < 50 THEN 'Temporal quality limitation: temporal quality support is degraded (' || printf('%.2f', usable_percentage / 200) || ' < 0.40); signal confidence is dampened' END
+  CASE WHEN state = 'valid_unusable' THEN concat_ws(' ', acq_id, 'too_few_usable_pixels', reason) END,
+  CASE WHEN state = 'legacy_unassessed' THEN concat_ws(' ', acq_id, 'never_assessed') END,
+  CASE WHEN state = 'failed' THEN concat_ws(' ', acq_id, 'preparation_failed', reason) END,
+  CASE WHEN state = 'acquired' THEN concat_ws(' ', acq_id, 'preparation_pending acquired') END,
+  CASE WHEN state = 'usable' AND NOT has_mask THEN concat_ws(' ', acq_id, 'no_class_mask') END,
+  CASE WHEN state = 'usable' AND NOT has_display THEN concat_ws(' ', acq_id, 'no_current_picture') END,
+  CASE WHEN usable_percentage < 50 THEN concat_ws(' ', 'weak_quality_support', CAST(round(usable_percentage / 200, 2) AS VARCHAR)) END
   ], lambda x: x IS NOT NULL), '|') AS limits
 FROM observed""", "observed")
 def fn_quality_limits(c):
@@ -621,10 +628,13 @@ def fn_quality_limits(c):
     seen = artifacts(c)
     shown = F.col("has_display") & (F.col("visualization_version") != "rgb-v1")
     texts = limits.observation_limits(
-        F.col("acq_id"), F.col("item_id"), state, F.col("reason"), F.col("processing_version"), F.col("has_mask"), shown
+        F.col("acq_id"), state, F.col("reason"), F.col("processing_version"), F.col("has_mask"), shown
+    )
+    told = lambda found: F.array_join(
+        F.transform(found, lambda m: F.concat_ws(" ", m["acq_id"].cast("string"), m["code"], m["fact"])), "|"
     )
     support = F.when(F.col("usable_percentage") < 50, F.col("usable_percentage") / 200).otherwise(1.0)
-    return seen.select("acq_id", F.array_join(F.concat(texts, limits.signal_limits(support)), "|").alias("limits"))
+    return seen.select("acq_id", told(F.concat(texts, limits.signal_limits(support))).alias("limits"))
 
 
 cte("display", f"""

@@ -145,7 +145,7 @@ SELECT aoi_id, k, region_no, round(sum(a), 2) AS area_m2 FROM (
            - (max(ey) FILTER (n = 2) - max(ey) FILTER (n = 0)) * (max(ex) FILTER (n = 3) - max(ex) FILTER (n = 1))) / 2 AS a
   FROM flat_corners GROUP BY aoi_id, k, region_no, pr, pc) GROUP BY aoi_id, k, region_no""", "flat_corners")
 def agg_region_area(c):
-    grid = c.scenes.groupBy("aoi_id").agg(F.any_value("grid").alias("grid"))
+    grid = c.sequence.select("aoi_id", F.col("seq").alias("k"), "grid")
     sized = regions.pixel_areas(c.region_pixels, grid)
     return sized.groupBy("aoi_id", "k", "region_no").agg(F.round(F.sum("area"), 2).alias("area_m2"))
 
@@ -261,7 +261,7 @@ def job_evidence(c):
     e = assembled(c)
     return e.select(
         "candidate_id", F.size("intervals").alias("interval_rows"), F.size("observations").alias("observation_rows"),
-        "is_spatially_aligned", F.size("quality_limitation_reasons").alias("limit_count"),
+        "is_spatially_aligned", F.size("quality_limits").alias("limit_count"),
         F.col("primary_run.run_id").alias("primary_run"), F.col("before.acq_id").alias("before_acq"),
     )
 

@@ -27,10 +27,13 @@ ACQUISITIONS = (
 
 # A saved page of catalog search results: one GeoJSON feature collection per line.
 CATALOG_PAGE = (
-    "features array<struct<id:string,collection:string,"
-    "geometry:struct<type:string,coordinates:array<array<array<double>>>>,"
+    "features array<struct<id:string,collection:string,geometry:string,"
     "properties:map<string,string>,"
     "assets:map<string,struct<href:string>>>>"
 )
 
 AOI_GEOJSON = "struct<type:string,coordinates:array<array<array<double>>>>"
+
+# Coordinates of the two area types; a polygon is an array of rings of positions.
+POLYGON_COORDINATES = "coordinates array<array<array<double>>>"
+MULTIPOLYGON_COORDINATES = "coordinates array<array<array<array<double>>>>"

@@ -7,20 +7,34 @@ from pyspark.sql import functions as F
 
 from landshift.config import QUALITY_BAND, REQUIRED_BANDS, Policy
 from landshift.functions import geometry, text
-from landshift.schemas import CATALOG_PAGE
+from landshift.schemas import CATALOG_PAGE, MULTIPOLYGON_COORDINATES, POLYGON_COORDINATES
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
-    """Items of saved feature collections, one collection per line."""
+    """Items of saved feature collections, one collection per line.
+
+    A multi-polygon gives one row per part. Items with another geometry or none keep one row
+    with NULL rings; :func:`unreadable_items` lists them.
+    """
     pages = spark.read.schema(CATALOG_PAGE).json(path)
+    kind = F.get_json_object("f.geometry", "$.type")
+    one = F.array(F.from_json("f.geometry", POLYGON_COORDINATES)["coordinates"])
+    many = F.from_json("f.geometry", MULTIPOLYGON_COORDINATES)["coordinates"]
+    parts = F.when(kind == "Polygon", one).when(kind == "MultiPolygon", many)
     return pages.select(F.explode("features").alias("f")).select(
         F.col("f.id").alias("item_id"),
         F.col("f.collection").alias("collection"),
         text.parse_iso(F.element_at("f.properties", F.lit("datetime"))).alias("ts"),
         F.element_at("f.properties", F.lit("eo:cloud_cover")).alias("cloud_cover"),
         F.col("f.assets").alias("assets"),
-        geometry.rings_from_coordinates(F.col("f.geometry.coordinates")).alias("rings"),
-    )
+        kind.alias("geometry_type"),
+        F.explode_outer(parts).alias("_part"),
+    ).withColumn("rings", geometry.rings_from_coordinates(F.col("_part"))).drop("_part")
+
+
+def unreadable_items(items: DataFrame) -> DataFrame:
+    """Items that no search can find, with the type of geometry they have."""
+    return items.where(F.col("rings").isNull()).select("item_id", "collection", "geometry_type")
 
 
 def has_asset(assets: Column, band: str) -> Column:
@@ -40,41 +54,65 @@ def cloud_order(cloud_cover: Column) -> Column:
     return cloud_cover.try_cast("double")
 
 
+CELL_DEGREES = 1.0
+
+
+def meeting(items: DataFrame, aois: DataFrame) -> DataFrame:
+    """Items joined with every AOI that their footprint meets (aoi_id, aoi_rings).
+
+    Both sides are spread over the grid cells of their boxes and joined on the cell. A pair
+    counts in the cell of the lower left corner of what its boxes share, hence once. The boxes
+    decide first; only pairs of meeting boxes run the polygon test.
+    """
+    cell = lambda value: F.floor(value / CELL_DEGREES).cast("int")
+
+    def spread(rows: DataFrame, box: str, prefix: str) -> DataFrame:
+        b = F.col(box)
+        return rows.withColumn(f"{prefix}x", F.explode(F.sequence(cell(b[0]), cell(b[2])))).withColumn(
+            f"{prefix}y", F.explode(F.sequence(cell(b[1]), cell(b[3])))
+        )
+
+    left = items.drop("aoi_id", "aoi_rings").where(F.col("rings").isNotNull()).withColumn("_box", geometry.bounds(F.col("rings")))
+    right = aois.select("aoi_id", F.col("rings").alias("aoi_rings"), geometry.bounds(F.col("rings")).alias("_aoi_box"))
+    a, b = F.col("_box"), F.col("_aoi_box")
+    return (
+        spread(left, "_box", "_i").join(
+            spread(right, "_aoi_box", "_a"),
+            (F.col("_ix") == F.col("_ax")) & (F.col("_iy") == F.col("_ay"))
+            & (F.col("_ix") == cell(F.greatest(a[0], b[0]))) & (F.col("_iy") == cell(F.greatest(a[1], b[1]))),
+        )
+        .where((a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1]))
+        .where(geometry.intersects(F.col("rings"), F.col("aoi_rings")))
+        .drop("_box", "_aoi_box", "_ix", "_iy", "_ax", "_ay")
+    )
+
+
 def search(items: DataFrame, aois: DataFrame, collection: str, start: str, end: str, policy: Policy = Policy()) -> DataFrame:
-    """Items of one collection that meet their AOI in a closed time range.
+    """Items of one collection that meet an AOI in a closed time range, one row per AOI met.
 
-    The limit is part of the search: it keeps the newest results per AOI. The AOI table
-    is joined on its id; its rings are a few points each.
+    A limit in the policy is part of the search: it keeps the newest items per AOI.
     """
-    hits = (
+    hits = meeting(
         items.where(
             (F.col("collection") == collection)
             & F.col("ts").between(F.lit(start).cast("timestamp"), F.lit(end).cast("timestamp"))
-            & F.col("rings").isNotNull()
-        )
-        .join(aois.select("aoi_id", F.col("rings").alias("aoi_rings")), "aoi_id")
-        .where(_boxes_meet("rings", "aoi_rings"))
-        .where(geometry.intersects(F.col("rings"), F.col("aoi_rings")))
+        ),
+        aois,
     )
+    if policy.catalog_limit is None:
+        return hits
     newest = Window.partitionBy("aoi_id").orderBy(F.col("ts").desc(), "item_id")
-    return (
-        hits.withColumn("result_no", F.row_number().over(newest))
-        .where(F.col("result_no") <= policy.catalog_limit)
-    )
-
-
-def _boxes_meet(left: str, right: str) -> Column:
-    a, b = geometry.bounds(F.col(left)), geometry.bounds(F.col(right))
-    return (a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1])
+    return hits.withColumn("result_no", F.dense_rank().over(newest)).where(F.col("result_no") <= policy.catalog_limit)
 
 
 def covering(found: DataFrame) -> DataFrame:
-    """Search results with all bands whose valid footprint covers the AOI."""
-    return found.where(
+    """Search results with all bands whose valid footprint covers the AOI, each item once per AOI."""
+    whole = found.where(
         has_required_assets(F.col("assets"))
         & geometry.is_valid(F.col("rings"))
         & geometry.covers(F.col("rings"), F.col("aoi_rings"))
     )
+    return whole.dropDuplicates(["aoi_id", "item_id"])
 
 
 def domain_violations(found: DataFrame, boundary: DataFrame) -> DataFrame:

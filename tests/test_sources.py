@@ -33,7 +33,7 @@ def test_catalog_discovery(spark):
     path = stage_path(spark, "catalog")
     page = spark.createDataFrame([(json.dumps({"type": "FeatureCollection", "features": features}),)], "value string")
     page.write.text(path)
-    items = catalog.read_catalog(spark, path).withColumn("aoi_id", F.lit(1).cast("bigint"))
+    items = catalog.read_catalog(spark, path)
     aois = spark.createDataFrame([(1, [[tuple(p) for p in box(77.2, 12.8, 77.8, 13.2)]])], f"aoi_id bigint, rings {schemas.RINGS}")
     found = catalog.discover(items, aois, "c", "2024-01-01", "2024-12-31")
     assert [r.item_id for r in found.orderBy("position").collect()] == ["early", "clear", "cloudy", "unknown"]
@@ -68,7 +68,7 @@ def test_clip_uses_pixel_centres_of_a_projected_aoi(spark):
 def test_hot_key_helpers(spark):
     rows = spark.range(2000).select(F.when(F.col("id") % 3 < 2, 0).otherwise(F.col("id")).alias("key"), "id")
     plain = rows.groupBy("key").agg(F.min("id").alias("low"))
-    for salts in (1, 8):
+    for salts in (2, 8):
         attached = skew.attach_group_values(rows, ["key"], ["id"], {"low": (F.min, F.col("id"))}, salts)
         assert attached.count() == 2000
         assert attached.select("key", "low").distinct().exceptAll(plain).isEmpty()
@@ -77,3 +77,20 @@ def test_hot_key_helpers(spark):
     assert [r["id"] for r in ranked] == sorted((r["id"] for r in ranked), reverse=True)
     newest = skew.latest_by(rows, ["key"], ["id"])
     assert newest.where("key = 0").first()["id"] == 1999 - 1999 % 3 + (1 if 1999 % 3 >= 1 else 0)
+
+
+def test_footprints_meet_areas_without_ids(spark):
+    multi = item("multi", 2, None)
+    multi["geometry"] = {"type": "MultiPolygon", "coordinates": [[box(10, 10, 11, 11)], [box(-0.5, -0.5, 2.5, 2.5)]]}
+    point = item("point", 2, None)
+    point["geometry"] = {"type": "Point", "coordinates": [1.0, 1.0]}
+    features = [multi, point, item("touching", 5, box(1, 1, 4, 4)), item("far", 1, box(50, 50, 51, 51)), item("cells", 3, box(-7.5, -7.5, 7.5, 7.5))]
+    path = stage_path(spark, "catalog")
+    spark.createDataFrame([(json.dumps({"features": [f]}),) for f in features], "value string").write.text(path)
+    items = catalog.read_catalog(spark, path)
+    rings = lambda *b: [[tuple(map(float, p)) for p in box(*b)]]
+    aois = spark.createDataFrame([(1, rings(0.25, 0.25, 1, 1)), (2, rings(10.5, 10.5, 10.75, 10.75))], f"aoi_id bigint, rings {schemas.RINGS}")
+    found = catalog.search(items, aois, "c", "2024-01-01", "2024-12-31")
+    assert sorted((r.aoi_id, r.item_id) for r in found.collect()) == [(1, "cells"), (1, "multi"), (1, "touching"), (2, "multi")]
+    assert sorted((r.aoi_id, r.item_id) for r in catalog.covering(found).collect()) == [(1, "cells"), (1, "multi"), (2, "multi")]
+    assert [(r.item_id, r.geometry_type) for r in catalog.unreadable_items(items).collect()] == [("point", "Point")]
