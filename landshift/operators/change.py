@@ -6,19 +6,27 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.config import Policy
-from landshift.functions import history, spectral
+from landshift.functions import geometry, grids, history, spectral
 
 # Ids carry their parents, so they are stable across runs: a run id holds the AOI and
-# the interval, a region id the run and the region number.
-INTERVAL_BITS, REGION_BITS = 16, 27
+# the interval, a region id the run and the region number. A part that does not fit its
+# bits stops the job; it never runs into its neighbour.
+AOI_BITS, INTERVAL_BITS, REGION_BITS = 26, 12, 25
+
+
+def _fits(value, bits: int, what: str):
+    value = value.cast("bigint")
+    return F.when(value.between(0, (1 << bits) - 1), value).when(
+        value.isNotNull(), F.raise_error(F.concat(F.lit(f"{what} does not fit {bits} bits: "), value.cast("string")))
+    )
 
 
 def run_id(aoi, k):
-    return F.shiftleft(aoi.cast("bigint"), INTERVAL_BITS) + k.cast("bigint")
+    return F.shiftleft(_fits(aoi, AOI_BITS, "AOI id"), INTERVAL_BITS) + _fits(k, INTERVAL_BITS, "interval number")
 
 
 def region_id(run, number):
-    return F.shiftleft(run.cast("bigint"), REGION_BITS) + number.cast("bigint")
+    return F.shiftleft(run.cast("bigint"), REGION_BITS) + _fits(number, REGION_BITS, "region number")
 
 
 def eligible(acquisitions: DataFrame, start=None, end=None) -> DataFrame:
@@ -58,6 +66,42 @@ def intervals(sequenced: DataFrame) -> DataFrame:
     )
 
 
+def comparisons(sequenced: DataFrame, aois: DataFrame | None = None, policy: Policy = Policy()) -> DataFrame:
+    """Intervals with the first rule that forbids comparing their scenes (``rule``, NULL if none).
+
+    Headers decide: strictly increasing time, one processing version, grids that match,
+    class masks (column ``mask_grid``, if there is one) that fit their bands, and, if AOIs
+    are given, grids that cover them.
+    """
+    has = set(sequenced.columns)
+    facts = sequenced.withColumns({
+        "_version": F.col("processing_version") if "processing_version" in has else F.lit(None).cast("string"),
+        "_mask": grids.mask_alignment(F.col("mask_grid"), F.col("grid")) if "mask_grid" in has else F.lit("aligned"),
+        "_covers": F.lit(True),
+    })
+    if aois is not None:
+        shape = aois.select("aoi_id", F.col("rings").alias("_rings"))
+        box = geometry.bounds(geometry.project_rings(F.col("_rings"), F.col("grid.crs")))
+        facts = facts.join(shape, "aoi_id", "left").withColumn(
+            "_covers", F.coalesce(grids.covers_bounds(F.col("grid.bounds"), box, policy.coverage_epsilon), F.lit(False))
+        ).drop("_rings")
+    checked = ("ts", "grid", "_version", "_mask", "_covers")
+    window = Window.partitionBy("aoi_id").orderBy("seq")
+    facts = facts.withColumn("_after", F.lead(F.struct(*checked)).over(window)).where(F.col("_after").isNotNull())
+    after = F.col("_after")
+    grid_rule = grids.compatibility(F.col("grid"), after["grid"])
+    rule = (
+        F.when(F.col("ts") >= after["ts"], "time order")
+        .when(~F.col("_version").eqNullSafe(after["_version"]), "processing version")
+        .when(grid_rule != "compatible", F.concat(F.lit("grid: "), grid_rule))
+        .when(F.col("_mask") != "aligned", F.concat(F.lit("mask: "), F.col("_mask")))
+        .when(after["_mask"] != "aligned", F.concat(F.lit("mask: "), after["_mask"]))
+        .when(~F.col("_covers") | ~after["_covers"], "coverage")
+    )
+    verdict = facts.select("aoi_id", F.col("seq").alias("k"), rule.alias("rule"))
+    return intervals(sequenced).join(verdict, ["aoi_id", "k"])
+
+
 def order_violations(acquisitions: DataFrame) -> DataFrame:
     """Observations whose timestamp does not increase strictly within their AOI."""
     window = Window.partitionBy("aoi_id").orderBy("ts", "acq_id")
@@ -94,11 +138,14 @@ def request_checks(requests: DataFrame, acquisitions: DataFrame) -> DataFrame:
 def pixel_pairs(pixels: DataFrame, sequenced: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Band-valid pixels present in both observations of an interval.
 
+    Where ``sequenced`` has a column ``opens``, only intervals that an observation opens count.
+
     A window over the pixel replaces the before/after self-join. Rows are partitioned
     by AOI tile, which also serves the window and every per-tile aggregate behind it,
     so the pixel table is shuffled once and one large AOI spreads over many tasks.
     """
-    observed = sequenced.select("aoi_id", "acq_id", "seq")
+    opens = F.col("opens") if "opens" in sequenced.columns else F.lit(True)
+    observed = sequenced.select("aoi_id", "acq_id", "seq", opens.alias("opens"))
     side = policy.tile
     compact = (
         pixels.join(observed, ["aoi_id", "acq_id"])
@@ -110,6 +157,7 @@ def pixel_pairs(pixels: DataFrame, sequenced: DataFrame, policy: Policy = Policy
             "row",
             "col",
             "seq",
+            "opens",
             spectral.ndvi(F.col("red"), F.col("nir")).alias("ndvi"),
             spectral.scl_code(F.col("scl")).alias("code"),
         )
@@ -119,7 +167,7 @@ def pixel_pairs(pixels: DataFrame, sequenced: DataFrame, policy: Policy = Policy
     paired = (
         compact.repartition(*tile)
         .withColumn("_next", F.lead(F.struct("seq", "ndvi", "code")).over(window))
-        .where(F.col("_next.seq") == F.col("seq") + 1)
+        .where(F.col("opens") & (F.col("_next.seq") == F.col("seq") + 1))
     )
     flags = spectral.comparison_flags(F.col("code"), F.col("_next.code"))
     return paired.select(

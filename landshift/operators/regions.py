@@ -13,7 +13,7 @@ from landshift.operators import change
 from landshift.operators.components import (
     SCOPE, connect_fragments, explode_pixels, key_col, key_row, label_tiles, with_region_key,
 )
-from landshift.operators.skew import number_buckets
+from landshift.operators.skew import SALTS, number_buckets
 from landshift.session import materialize
 
 # Rows of the grid per numbering slice: bounds a slice whatever the region count.
@@ -29,6 +29,8 @@ class Detection:
     fragments: DataFrame
     regions: DataFrame
     runs: DataFrame
+    # Intervals that must not be compared (aoi_id, k, before_acq, after_acq, rule); in no run.
+    violations: DataFrame
 
     def region_pixels(self) -> DataFrame:
         """Pixels of the kept regions. The join key is a tile fragment, hence bounded."""
@@ -47,6 +49,7 @@ class Detection:
 def pixel_areas(pixels: DataFrame, grids: DataFrame | None) -> DataFrame:
     """Add ``area``: equal-area square metres per pixel.
 
+    ``grids`` has one header per interval; a salt spreads a large scene over many tasks.
     Without grid headers the nominal 10 m pixel is used.
     """
     if grids is None:
@@ -55,7 +58,9 @@ def pixel_areas(pixels: DataFrame, grids: DataFrame | None) -> DataFrame:
     x = t[2] + F.col("col") * t[0]
     y = t[5] + F.col("row") * t[4]
     area = geometry.pixel_area_m2(x, y, F.abs(t[0]), F.abs(t[4]), F.col("grid.crs"))
-    return pixels.join(grids.select("aoi_id", "grid"), "aoi_id").withColumn("area", area).drop("grid")
+    salt = F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)).cast("int")
+    copies = grids.select(*SCOPE, "grid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
+    return pixels.withColumn("_salt", salt).join(copies, [*SCOPE, "_salt"]).withColumn("area", area).drop("grid", "_salt")
 
 
 def fragment_stats(pixels: DataFrame) -> DataFrame:
@@ -111,7 +116,7 @@ def run_exclusions(tiles: DataFrame, intervals: DataFrame, sizes: DataFrame) ->
         F.sum("signal_sum").alias("signal_sum"),
         F.max("signal_max").alias("signal_max"),
     )
-    joined = intervals.join(sizes, "aoi_id").join(counters, SCOPE, "left")
+    joined = intervals.join(sizes, SCOPE).join(counters, SCOPE, "left")
     count = lambda name: F.coalesce(name, F.lit(0)).cast("bigint")
     raw, valid = count("raw_changed_pixels"), count("valid_pixels")
     return joined.select(
@@ -161,31 +166,45 @@ def detect(
     acquisitions: DataFrame,
     policy: Policy = Policy(),
     equal_area: bool = True,
+    aois: DataFrame | None = None,
 ) -> Detection:
-    """Change regions and runs for all neighbouring observations of all AOIs."""
+    """Change regions and runs for all neighbouring observations of all AOIs.
+
+    Intervals whose headers forbid a comparison, and those without one usable pixel in
+    common, are told as violations and give neither runs nor regions.
+    """
+    optional = [c for c in ("processing_version", "mask_grid") if c in acquisitions.columns]
+    ordered = change.sequence(change.eligible(acquisitions)).select(
+        "aoi_id", "acq_id", "ts", "seq", "usable_percentage", "grid", *optional
+    )
+    checked = materialize(change.comparisons(ordered, aois, policy), "intervals")
+    refused = checked.where(F.col("rule").isNotNull())
+    pairs = checked.where(F.col("rule").isNull()).drop("rule")
+    allowed = pairs.select("aoi_id", F.col("k").alias("seq"), F.lit(True).alias("opens"))
     sequenced = materialize(
-        change.sequence(change.eligible(acquisitions)).select(
-            "aoi_id", "acq_id", "ts", "seq", "usable_percentage", "grid"
-        ),
-        "sequence",
+        ordered.join(allowed, ["aoi_id", "seq"], "left").withColumn("opens", F.coalesce("opens", F.lit(False))), "sequence"
     )
-    pairs = materialize(change.intervals(sequenced), "intervals")
-    # Grids of one AOI are equal by the compatibility check, so one header stands for all.
-    grids = sequenced.where("seq = 0").select("aoi_id", "grid")
+    # The scene that opens an interval has its grid.
+    headers = sequenced.where("opens").select("aoi_id", F.col("seq").alias("k"), "grid")
     tiles = materialize(
         label_tiles(change.change_tiles(change.pixel_pairs(pixels, sequenced, policy), policy), policy),
         "tiles",
     )
     stars = connect_fragments(tiles, policy)
-    changed = pixel_areas(explode_pixels(tiles), grids if equal_area else None)
+    changed = pixel_areas(explode_pixels(tiles), headers if equal_area else None)
     fragments = materialize(with_region_key(fragment_stats(changed), stars), "fragments")
     regions = materialize(keep_regions(region_stats(fragments), policy), "regions")
     kept = fragments.join(
         regions.select(*SCOPE, "region_key", "region_no", "pixel_count"), [*SCOPE, "region_key"]
     )
-    sizes = grids.select("aoi_id", (F.col("grid.width") * F.col("grid.height")).cast("bigint").alias("grid_pixels"))
+    sizes = headers.select(*SCOPE, (F.col("grid.width") * F.col("grid.height")).cast("bigint").alias("grid_pixels"))
     runs = materialize(run_stats(run_exclusions(tiles, pairs, sizes), regions, policy), "runs")
-    return Detection(pairs, tiles, kept, regions, runs)
+    told = ["aoi_id", "k", "before_acq", "after_acq"]
+    violations = refused.select(*told, "rule").unionByName(
+        missing_comparisons(runs).select(*told, F.lit("no usable pixel").alias("rule"))
+    )
+    compared = runs.where(F.col("quality_valid_pixel_count") > 0)
+    return Detection(pairs, tiles, kept, regions, compared, violations)
 
 
 def missing_comparisons(runs: DataFrame) -> DataFrame:

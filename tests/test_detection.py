@@ -95,9 +95,8 @@ def spiral(size: int) -> np.ndarray:
     return mask
 
 
-@pytest.mark.parametrize("side,small", [(3, 0), (5, 10**6), (64, 10**6)])
-def test_components_match_flood_fill(spark, monkeypatch, side, small):
-    monkeypatch.setattr(components, "SMALL_GRAPH", small)
+@pytest.mark.parametrize("side", [3, 5, 64])
+def test_components_match_flood_fill(spark, side):
     rng = np.random.default_rng(side)
     masks = {k: rng.random((23, 31)) < share for k, share in enumerate((0.1, 0.35, 0.45, 0.7))}
     masks[4] = spiral(25)
@@ -142,3 +141,44 @@ def test_pixel_gap_is_not_bridged(spark):
     acquisitions = quality.assess_scenes(pixels, scene_table(spark, [1, 2, 3], 2, 1), Policy(min_usable_fraction=0.1))
     pairs = change.pixel_pairs(pixels, change.sequence(change.eligible(acquisitions)))
     assert sorted((r.k, r.col) for r in pairs.collect()) == [(0, 0), (1, 0)]
+
+
+def test_incomparable_pairs_are_told_and_not_compared(spark):
+    """One AOI per rule; AOI 1 has a pair that may be compared."""
+    from datetime import datetime
+
+    from helpers import grid
+
+    ok, before, after = grid(4, 4), np.full((4, 4), 6), np.full((4, 4), 2)
+    scenes, parts = [], []
+    cases = {
+        1: ({}, "v", 2), 2: ({"crs": "EPSG:32633"}, "v", 2), 3: ({"transform": [20.0, 0.0, 600000.0, 0.0, -20.0, 5000000.0]}, "v", 2),
+        4: ({}, "v", 1), 5: ({}, "other", 2), 6: ({"count": 3}, "v", 2), 7: ({}, "v", 2),
+    }
+    for aoi, (change_, version, month) in cases.items():
+        scl = np.full((4, 4), 4)
+        left, right = scl.copy(), scl.copy()
+        if aoi == 7:  # usable halves that do not meet
+            left[:, :2], right[:, 2:] = 9, 9
+        parts += [pixel_rows(10 * aoi, np.full((4, 4), 2), before, left, aoi), pixel_rows(10 * aoi + 1, np.full((4, 4), 2), after, right, aoi)]
+        scenes += [(aoi, 10 * aoi, datetime(2024, 1, 1), ok, "v"), (aoi, 10 * aoi + 1, datetime(2024, month, 1), {**ok, **change_}, version)]
+    from landshift import schemas
+
+    headers = spark.createDataFrame(scenes, f"aoi_id bigint, acq_id bigint, ts timestamp, grid {schemas.GRID}, processing_version string").withColumns(
+        {"state": F.lit("usable"), "usable_percentage": F.lit(50.0)}
+    )
+    found = regions.detect(pixel_table(spark, *parts), headers, Policy(min_region_pixels=1), equal_area=False)
+    assert {(r.aoi_id, r.rule) for r in found.violations.collect()} == {
+        (2, "grid: crs"), (3, "grid: transform"), (4, "time order"), (5, "processing version"), (6, "grid: band count"), (7, "no usable pixel"),
+    }
+    assert [r.aoi_id for r in found.runs.collect()] == [1]
+    assert {r.aoi_id for r in found.regions.collect()} == {1}
+
+
+def test_ids_that_do_not_fit_stop_the_job(spark):
+    for aoi, k in ((1 << change.AOI_BITS, 0), (1, 1 << change.INTERVAL_BITS), (-1, 0)):
+        frame = spark.createDataFrame([(aoi, k)], "aoi bigint, k int")
+        with pytest.raises(Exception, match="does not fit"):
+            frame.select(change.run_id(F.col("aoi"), F.col("k"))).collect()
+    top = spark.createDataFrame([((1 << change.AOI_BITS) - 1, (1 << change.INTERVAL_BITS) - 1, (1 << change.REGION_BITS) - 1)], "a bigint, k int, n bigint")
+    assert top.select(change.region_id(change.run_id(F.col("a"), F.col("k")), F.col("n"))).first()[0] == 2**63 - 1

@@ -7,21 +7,21 @@ from landshift.operators import quality
 
 
 def test_scene_quality_counts(spark):
-    red = np.full((4, 4), 10)
-    red[0, 0] = 0
-    scl = [[4, 4, 8, 3], [4, 0, 4, 4], [4, 4, 9, 10], [7, 2, 4, 12]]
-    pixels = pixel_table(spark, pixel_rows(1, red, np.full((4, 4), 20), scl))
-    row = quality.assess_scenes(pixels, scene_table(spark, [1], 4, 4)).first()
-    assert (row.invalid_pixels, row.cloud_pixels, row.shadow_pixels, row.usable_pixels) == (5, 3, 1, 7)
-    assert row.total_pixels == 16
+    red = np.full((3, 6), 10)
+    red[2, 5] = 0
+    scl = [[5, 4, 9, 3, 6, 3], [0, 8, 4, 11, 4, 5], [10, 4, 1, 4, 2, 6]]
+    pixels = pixel_table(spark, pixel_rows(1, red, np.full((3, 6), 20), scl))
+    row = quality.assess_scenes(pixels, scene_table(spark, [1], 6, 3)).first()
+    assert (row.invalid_pixels, row.cloud_pixels, row.shadow_pixels, row.usable_pixels) == (5, 3, 2, 8)
+    assert row.total_pixels == 18
     assert (row.state, row.reason) == ("valid_unusable", "insufficient_usable_pixels")
 
 
 def test_half_usable_passes(spark):
-    scl = [[4, 4, 8, 3], [4, 0, 4, 4], [4, 4, 9, 10], [7, 2, 4, 12]]
-    pixels = pixel_table(spark, pixel_rows(1, np.full((4, 4), 10), np.full((4, 4), 20), scl))
-    row = quality.assess_scenes(pixels, scene_table(spark, [1], 4, 4)).first()
-    assert row.usable_pixels == 8
+    scl = [[5, 4, 9, 3, 6, 4], [0, 8, 4, 9, 4, 5], [10, 4, 1, 4, 2, 3]]
+    pixels = pixel_table(spark, pixel_rows(1, np.full((3, 6), 10), np.full((3, 6), 20), scl))
+    row = quality.assess_scenes(pixels, scene_table(spark, [1], 6, 3)).first()
+    assert row.usable_pixels == 9
     assert (row.state, row.usable_percentage) == ("usable", 50.0)
 
 
