@@ -33,12 +33,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from landshift.llm import words
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the pattern that the rank files above were made with.
 PRETOKENS = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 PIECES = 16
 GROW = 8  # a leaf with more than so many times its pieces has the tree built anew
-REMEMBERED = 1_000_000
+REMEMBERED = 200_000
 CUT = re.compile(r"(?<=\S)(?= \S)")
 TREE = ("tree_chars", "tree_tokens")
 
@@ -157,7 +159,7 @@ def with_tree(docs: DataFrame, vocabulary: str = VOCABULARY) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = pieces_of(vocabulary)
-        for batch in batches:
+        for batch in words.slices(batches):
             rows = [build(text or "", counter) for text in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, *_trees(rows)], [*kept, *TREE])
 
@@ -174,7 +176,7 @@ def with_edits(indexed: DataFrame, edits: str = "edits", vocabulary: str = VOCAB
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = pieces_of(vocabulary)
-        for batch in batches:
+        for batch in words.slices(batches):
             texts, trees, encoded = [], [], []
             columns = [batch.column(c).to_pylist() for c in ("text", *TREE, edits)]
             for text, chars, tokens, changes in zip(*columns):
