@@ -57,7 +57,7 @@ def many_components(spark: SparkSession) -> DataFrame:
     block = lambda r, c: (F.pmod(r, F.lit(8)) < 4) & (F.pmod(c, F.lit(8)) < 4)
     tiles = materialize(label_tiles(_mask(spark, 512, block, policy), policy), "bench-tiles")
     pixels = components(tiles, policy).withColumn("region_no", F.col("region_key")).withColumn("pixel_count", F.lit(16))
-    return polygonize(pixels, policy)
+    return polygonize(pixels)
 
 
 CEILINGS = {"label_4096x4096_full_mask": full_mask, "polygonise_512x512_4096_components": many_components}

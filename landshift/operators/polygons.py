@@ -11,27 +11,20 @@ from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.config import Policy
 from landshift.functions import geometry
 from landshift.schemas import RINGS
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = ["aoi_id", "k", "region_no"]
-# Regions above this size are outlined tile by tile; their polygons join up at tile
-# borders, so the outline is still complete.
-WHOLE_REGION_PIXELS = 1_000_000
 
 
-def outline_edges(region_pixels: DataFrame, policy: Policy = Policy(), whole: int = WHOLE_REGION_PIXELS) -> DataFrame:
+def outline_edges(region_pixels: DataFrame) -> DataFrame:
     """Directed boundary edges with the region on their right.
 
     Every pixel emits its four sides; a side shared by two pixels of the region is
     emitted once in each direction and cancels out.
     """
-    side = policy.tile
-    tile = F.floor(F.col("row") / side) * F.lit(1 << 24) + F.floor(F.col("col") / side)
-    part = F.when(F.col("pixel_count") > whole, tile).otherwise(F.lit(-1)).cast("bigint")
     r, c = F.col("row"), F.col("col")
 
     def edge(horizontal: bool, row, col, sign: int):
@@ -41,8 +34,8 @@ def outline_edges(region_pixels: DataFrame, policy: Policy = Policy(), whole: in
 
     sides = F.array(edge(True, r, c, 1), edge(True, r + 1, c, -1), edge(False, r, c, -1), edge(False, r, c + 1, 1))
     return (
-        region_pixels.select(*KEY, part.alias("part"), F.explode(sides).alias("e"))
-        .groupBy(*KEY, "part", "e.horizontal", "e.row", "e.col")
+        region_pixels.select(*KEY, F.explode(sides).alias("e"))
+        .groupBy(*KEY, "e.horizontal", "e.row", "e.col")
         .agg(F.sum("e.sign").alias("sign"))
         .where("sign <> 0")
     )
@@ -68,49 +61,52 @@ def _successors(
     return start_row, start_col, np.where(right, second, first)
 
 
-def _walk(start_row: np.ndarray, start_col: np.ndarray, following: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
-    """Closed rings as (first edge, (n, 2) array of x=col, y=row) without collinear points."""
-    step = following.tolist()
-    seen = [False] * len(step)
-    for first in range(len(step)):
-        if seen[first]:
-            continue
-        path, i = [], first
-        while not seen[i]:
-            seen[i] = True
-            path.append(i)
-            i = step[i]
-        ring = np.stack([start_col[path], start_row[path]], axis=1)
-        turns = np.any(np.roll(ring, 1, axis=0) + np.roll(ring, -1, axis=0) != 2 * ring, axis=1)
-        ring = ring[turns]
-        yield first, np.concatenate([ring, ring[:1]])
-
-
-def _ring_area(ring: np.ndarray) -> float:
+def _rings(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least edge of every edge's ring, and its steps from there to the ring's end, by pointer doubling."""
+    least, jump, reach = np.arange(len(following)), following, 1
+    while reach < len(following):
+        least = np.minimum(least, least[jump])
+        jump, reach = jump[jump], 2 * reach
+    last = following == least
+    steps, jump = np.where(last, 0, 1), np.where(last, np.arange(len(following)), following)
+    while (jump != jump[jump]).any():
+        steps = steps + steps[jump]
+        jump = jump[jump]
+    return least, steps
+
+
+def _doubled_area(ring: np.ndarray) -> int:
+    """Twice the signed area of a closed ring; negative for holes."""
     x, y = ring[:, 0], ring[:, 1]
-    return float(np.sum(x[:-1] * y[1:] - x[1:] * y[:-1])) / 2.0
-
-
-def _encloses(ring: np.ndarray, x: float, y: float) -> bool:
-    a, b = ring[:-1], ring[1:]
-    vertical = a[:, 0] == b[:, 0]
-    spans = (a[:, 1] > y) != (b[:, 1] > y)
-    return bool(np.count_nonzero(vertical & spans & (a[:, 0] > x)) % 2)
-
-
-def _with_holes(rings: list[np.ndarray]) -> list[list[np.ndarray]]:
-    """Outer rings, each followed by its holes."""
-    areas = [_ring_area(r) for r in rings]
-    outer = sorted((a, i) for i, a in enumerate(areas) if a > 0)
-    found = {i: [rings[i]] for _, i in outer}
-    for hole in (rings[i] for i, a in enumerate(areas) if a < 0):
-        # The pixel above the topmost side of a hole belongs to the polygon around it.
-        top = hole[np.lexsort((hole[:, 0], hole[:, 1]))[0]]
-        owner = next(
-            i for _, i in outer if len(outer) == 1 or _encloses(rings[i], top[0] + 0.5, top[1] - 0.5)
-        )
-        found[owner].append(hole)
-    return [found[i] for i in sorted(found)]
+    return int((x[:-1] * y[1:] - x[1:] * y[:-1]).sum())
+
+
+def _corners(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
+    """Flags of the points, in ring order, at which a ring turns."""
+    opens = np.flatnonzero(np.diff(ring, prepend=-1))
+    closes = np.append(opens[1:], len(ring)) - 1
+    before, after = np.arange(len(ring)) - 1, np.arange(len(ring)) + 1
+    before[opens], after[closes] = closes, opens
+    return (x[before] + x[after] != 2 * x) | (y[before] + y[after] != 2 * y)
+
+
+def _owners(top: np.ndarray, group: np.ndarray, row: np.ndarray, col: np.ndarray, ring: np.ndarray, hole: np.ndarray) -> np.ndarray:
+    """Outer ring of every ring.
+
+    From the pixel above the topmost side of a hole, the next vertical side to the right bounds
+    the same polygon. It is part of the outer ring or of a hole further right. ``group``, ``row``,
+    ``col`` and ``ring`` describe the vertical sides, ``top`` has group, row and column of that pixel.
+    """
+    key = np.lexsort((col, row, group))
+    height, width = int(max(row.max(), top[:, 1].max())) + 2, int(max(col.max(), top[:, 2].max())) + 3
+    flat = (group * height + row) * width + col
+    wanted = (top[:, 0] * height + top[:, 1]) * width + top[:, 2] + 1
+    owner = np.arange(len(hole))
+    at = np.minimum(np.searchsorted(flat[key], wanted[hole]), len(key) - 1)
+    owner[hole] = ring[key][at]
+    while hole[owner].any():
+        owner = owner[owner]
+    return owner
 
 
 def _outline_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -124,10 +120,31 @@ def _outline_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         start_row, start_col, following = _successors(
             group, field("horizontal"), field("row").astype(np.int64), field("col").astype(np.int64), field("sign") > 0
         )
-        rings: list[list[np.ndarray]] = [[] for _ in range(batch.num_rows)]
-        for first, ring in _walk(start_row, start_col, following):
-            rings[group[first]].append(ring)
-        polygons = [(i, n, p) for i, r in enumerate(rings) for n, p in enumerate(_with_holes(r), start=1)]
+        least, steps = _rings(following)
+        order = np.lexsort((-steps, least))
+        names, ring = np.unique(least[order], return_inverse=True)
+        x, y = start_col[order], start_row[order]
+        turn = _corners(x, y, ring)
+        x, y, ring = x[turn], y[turn], ring[turn]
+        bounds = np.searchsorted(ring, np.arange(len(names) + 1))
+        parts = [np.stack([x[a:b], y[a:b]], axis=1) for a, b in zip(bounds[:-1], bounds[1:])]
+        parts = [np.concatenate([p, p[:1]]) for p in parts]
+        hole = np.array([_doubled_area(p) < 0 for p in parts])
+        top = np.array([[group[n], t[1] - 1, t[0]] for n, p in zip(names, parts) for t in [p[np.lexsort((p[:, 0], p[:, 1]))[0]]]])
+        upright = ~field("horizontal")
+        place = np.searchsorted(names, least)
+        owner = _owners(
+            top, group[upright], field("row").astype(np.int64)[upright], field("col").astype(np.int64)[upright], place[upright], hole
+        )
+        found: dict[int, list[np.ndarray]] = {i: [parts[i]] for i in np.flatnonzero(~hole)}
+        for i in np.flatnonzero(hole):
+            found[owner[i]].append(parts[i])
+        numbers: dict[int, int] = {}
+        polygons = []
+        for i in sorted(found):
+            region = int(group[names[i]])
+            numbers[region] = numbers.get(region, 0) + 1
+            polygons.append((region, numbers[region], found[i]))
         flat = [ring for _, _, p in polygons for ring in p]
         points = np.concatenate(flat).astype(np.float64)
         ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32())
@@ -144,18 +161,17 @@ def _outline_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBat
         )
 
 
-def polygonize(region_pixels: DataFrame, policy: Policy = Policy(), whole: int = WHOLE_REGION_PIXELS) -> DataFrame:
+def polygonize(region_pixels: DataFrame) -> DataFrame:
     """Polygons in pixel-corner coordinates (x = column, y = row).
 
-    Pixels that touch only at a corner give separate polygons of one region. The edges
-    of a region part form one row, whose length ``whole`` bounds.
+    Pixels that touch only at a corner give separate polygons of one region. Sides between
+    pixels cancel in a distributed sum; what is left of a region, its outline, forms one row,
+    which is as long as the polygons that come out of it. Sizes and tiles change nothing.
     """
-    edges = outline_edges(region_pixels, policy, whole)
-    rows = edges.groupBy(*KEY, "part").agg(
+    rows = outline_edges(region_pixels).groupBy(*KEY).agg(
         F.array_sort(F.collect_list(F.struct("row", "col", "horizontal", "sign"))).alias("edges")
     )
-    schema = f"aoi_id bigint, k int, region_no bigint, part bigint, polygon_no int, rings {RINGS}"
-    return rows.mapInArrow(_outline_batches, schema)
+    return rows.mapInArrow(_outline_batches, f"aoi_id bigint, k int, region_no bigint, polygon_no int, rings {RINGS}")
 
 
 def georeference(polygons: DataFrame, grids: DataFrame) -> DataFrame:

@@ -168,12 +168,36 @@ def track_regions(c):
     return found.select("aoi_id", "k", "region_no", "birth_k", "birth_no", r6("iou").alias("iou"), "from_k", "from_no")
 
 
-@query("polygonize", "SELECT aoi_id, k, region_no, pixel_count AS area_pixels FROM regions", "regions")
+# Figures of an outline from pixels alone: a grid corner with one or three region pixels around it
+# is one vertex, one with two that face each other is two; polygons less holes are pixels less
+# neighbour pairs plus full blocks of four.
+cte("around", """
+SELECT aoi_id, k, region_no, "row" + dy AS y, "col" + dx AS x, count(*) AS n, min((dx + dy) % 2) = max((dx + dy) % 2) AS facing
+FROM rpx, range(2) a(dy), range(2) b(dx) GROUP BY ALL""", "rpx")
+cte("beside", """
+SELECT p.aoi_id, p.k, p.region_no, count(*) AS pairs FROM rpx p JOIN rpx q
+  ON p.aoi_id = q.aoi_id AND p.k = q.k AND p.region_no = q.region_no
+ AND ((q."row" = p."row" AND q."col" = p."col" + 1) OR (q."row" = p."row" + 1 AND q."col" = p."col"))
+GROUP BY ALL""", "rpx")
+
+
+@query("polygonize", """
+SELECT r.aoi_id, r.k, r.region_no, r.pixel_count AS area_pixels, v.vertices, r.pixel_count - coalesce(b.pairs, 0) + v.blocks AS shells_less_holes,
+       v.left_x, v.top_y, v.right_x, v.bottom_y
+FROM regions r JOIN (
+  SELECT aoi_id, k, region_no, CAST(sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND facing THEN 2 ELSE 0 END) AS BIGINT) AS vertices,
+         count(*) FILTER (n = 4) AS blocks, CAST(min(x) AS DOUBLE) AS left_x, CAST(min(y) AS DOUBLE) AS top_y,
+         CAST(max(x) AS DOUBLE) AS right_x, CAST(max(y) AS DOUBLE) AS bottom_y
+  FROM around GROUP BY ALL) v USING (aoi_id, k, region_no)
+LEFT JOIN beside b USING (aoi_id, k, region_no)""", "regions", "around", "beside")
 def polygonize(c):
-    """Outlines; the shoelace area of all polygons of a region is its pixel count."""
-    outlines = polygons.polygonize(c.region_pixels, c.policy)
-    return outlines.groupBy("aoi_id", "k", "region_no").agg(
-        F.round(F.sum(geometry.polygon_area(F.col("rings")))).cast("bigint").alias("area_pixels")
+    """Outlines per region: area, vertices, shells less holes, and box."""
+    box = geometry.bounds(F.col("rings"))
+    corners = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring) - 1)
+    return polygons.polygonize(c.region_pixels).groupBy("aoi_id", "k", "region_no").agg(
+        F.round(F.sum(geometry.polygon_area(F.col("rings")))).cast("bigint").alias("area_pixels"),
+        F.sum(corners).alias("vertices"), F.sum(2 - F.size("rings")).alias("shells_less_holes"),
+        F.min(box[0]).alias("left_x"), F.min(box[1]).alias("top_y"), F.max(box[2]).alias("right_x"), F.max(box[3]).alias("bottom_y"),
     )
 
 
