@@ -166,8 +166,12 @@ def sink_acquisitions(c):
         F.when(failed, "asset unreadable").otherwise(F.col("reason")).alias("reason"),
         "usable_percentage", moment("2020-02-01").alias("created_at"),
     )
-    merged = tables.merge_acquisitions(stored, incoming)
-    return merged.select(
+    path = stage_path(c.spark, "stored-acquisitions")
+    columns = ["aoi_id", "item_id", "state", "reason", "usable_percentage", "created_at"]
+    tables.put(stored.select(*columns), path, ["aoi_id", "item_id"])
+    for _ in range(2):  # a repeated job leaves the same rows
+        tables.put(incoming.select(*columns), path, ["aoi_id", "item_id"], merge=tables.merge_acquisitions)
+    return tables.read_table(c.spark, path, stored.select(*columns).schema).select(
         "aoi_id", "item_id", "state", "reason", "usable_percentage", stamp("created_at").alias("created_at")
     )
 
@@ -176,13 +180,15 @@ def sink_acquisitions(c):
 SELECT u.run_id, u.raw_changed_pixel_count, count(r.region_id) AS stored_regions, CAST(coalesce(sum(r.pixel_count), 0) AS BIGINT) AS stored_pixels
 FROM runs u LEFT JOIN (SELECT *, (aoi_id << 12) + k AS run_id FROM regions) r USING (run_id) GROUP BY ALL""", "runs", "regions")
 def sink_detection(c):
-    """Runs and regions appended, then read back."""
+    """Runs and their regions, written twice under their run and read back."""
     d = c.detection
     run_path, region_path = stage_path(c.spark, "stored-runs"), stage_path(c.spark, "stored-regions")
-    tables.append(d.runs, run_path)
-    tables.append(d.regions, region_path)
-    runs = c.spark.read.schema(d.runs.schema).parquet(run_path)
-    regions = c.spark.read.schema(d.regions.schema).parquet(region_path)
+    scope = d.runs.select("run_id")
+    for _ in range(2):
+        tables.put(d.runs, run_path, ["run_id"])
+        tables.put(d.regions, region_path, ["run_id"], scope)
+    runs = tables.read_table(c.spark, run_path, d.runs.schema)
+    regions = tables.read_table(c.spark, region_path, d.regions.schema)
     counted = regions.groupBy("run_id").agg(
         F.count(F.lit(1)).alias("stored_regions"), F.sum("pixel_count").alias("stored_pixels")
     )
@@ -201,7 +207,7 @@ JOIN (SELECT aoi_id AS analysis_id, count(*) AS relationships FROM runs GROUP BY
 LEFT JOIN (SELECT analysis_id, count(*) AS signals FROM signals GROUP BY 1) s USING (analysis_id)""",
        "analyses", "seqd", "runs", "signals")
 def sink_temporal(c):
-    """The four temporal tables appended, then read back."""
+    """The four temporal tables, written twice under their analysis and read back."""
     stored = {}
     for name, rows in {
         "analyses": c.analyses,
@@ -210,8 +216,9 @@ def sink_temporal(c):
         "signals": c.signals,
     }.items():
         path = stage_path(c.spark, f"stored-{name}")
-        tables.append(rows, path)
-        stored[name] = c.spark.read.schema(rows.schema).parquet(path)
+        for _ in range(2):
+            tables.put(rows, path, ["analysis_id"], c.analyses.select("analysis_id"))
+        stored[name] = tables.read_table(c.spark, path, rows.schema)
     count = lambda name: stored[name].groupBy("analysis_id").agg(F.count(F.lit(1)).alias(name))
     return (
         stored["analyses"].select("analysis_id", "state")
@@ -234,8 +241,14 @@ def sink_candidates(c):
         F.lit("low").alias("severity"), F.lit("low").alias("priority"), F.lit("accepted").alias("review_state"),
         old.alias("created_at"), old.alias("updated_at"),
     )
-    merged = triage.upsert_candidates(stored, c.candidates, F.lit("2020-02-01").cast("timestamp"))
-    return merged.select(
+    path = stage_path(c.spark, "stored-candidates")
+    first = triage.upsert_candidates(stored.where("false"), stored, old).withColumn("review_state", F.lit("accepted"))
+    tables.put(first, path, ["candidate_id"])
+    merge = lambda before, new: triage.upsert_candidates(before, new, F.lit("2020-02-01").cast("timestamp"))
+    shaped = triage.upsert_candidates(stored.where("false"), c.candidates, old)
+    for _ in range(2):
+        tables.put(shaped, path, ["candidate_id"], merge=merge)
+    return tables.read_table(c.spark, path, shaped.schema).select(
         "candidate_id", "score", "rank", "priority", "review_state",
         stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"),
     )
@@ -245,7 +258,10 @@ def sink_candidates(c):
 SELECT candidate_id, decision, note, {sql_stamp('created_at')} AS created_at, {sql_stamp('updated_at')} AS updated_at
 FROM reviews""", "reviews")
 def sink_review(c):
-    return c.reviews.select(
+    path = stage_path(c.spark, "stored-reviews")
+    for _ in range(2):
+        tables.put(c.reviews, path, ["candidate_id"])
+    return tables.read_table(c.spark, path, c.reviews.schema).select(
         "candidate_id", "decision", "note", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at")
     )
 

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from landshift.functions import geometry
 from landshift.operators.skew import latest_by
@@ -135,9 +139,52 @@ def merge_acquisitions(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     )
 
 
-def append(df: DataFrame, path: str) -> None:
-    """Append result rows; ids are functions of the keys, so a repeat is detectable."""
-    df.write.mode("append").parquet(path)
+BUCKETS = 64
+
+
+def read_table(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """Rows of a keyed table; a table that was never written is empty."""
+    try:
+        stored = spark.read.schema(_stored_schema(schema)).parquet(path)
+    except AnalysisException as error:
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        stored = spark.createDataFrame([], _stored_schema(schema))
+    return stored.where("_marker = false").select(*schema.fieldNames())
+
+
+def _stored_schema(schema: StructType) -> StructType:
+    return StructType([*schema.fields, StructField("_marker", BooleanType()), StructField("_bucket", IntegerType())])
+
+
+def put(
+    incoming: DataFrame,
+    path: str,
+    keys: list[str],
+    scope: DataFrame | None = None,
+    merge: Callable[[DataFrame, DataFrame], DataFrame] | None = None,
+) -> None:
+    """Write rows by key: what is stored under the keys of ``scope`` makes way for ``incoming``.
+
+    ``scope`` names the keys that were worked on (those of ``incoming`` by default), so a run
+    that now has no rows loses its old ones. ``merge(stored, incoming)`` may combine both instead.
+    The table lies in buckets of its keys. Only buckets of the scope are read; they are staged
+    and then replaced as whole partitions, so a repeated or resumed job leaves the same rows.
+    A marker row per bucket keeps an emptied bucket from being passed over.
+    """
+    spark, schema = incoming.sparkSession, incoming.schema
+    bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
+    worked = materialize((incoming if scope is None else scope).select(*keys).distinct(), "worked-keys")
+    buckets = worked.select(bucket.alias("_bucket")).distinct()
+    near = read_table(spark, path, schema).withColumn("_bucket", bucket).join(buckets, "_bucket", "left_semi").drop("_bucket")
+    merged = merge(near, incoming) if merge else near.join(worked, keys, "left_anti").unionByName(incoming)
+    rows = merged.select(*schema.fieldNames(), F.lit(False).alias("_marker"), bucket.alias("_bucket"))
+    empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
+    markers = buckets.select(*empty, F.lit(True).alias("_marker"), "_bucket")
+    staged = materialize(rows.unionByName(markers), "put")
+    staged.repartition("_bucket", F.xxhash64(*keys) % 8).write.partitionBy("_bucket").mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).parquet(path)
 
 
 def write_json(snapshots: DataFrame, path: str) -> None:

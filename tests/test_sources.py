@@ -94,3 +94,19 @@ def test_footprints_meet_areas_without_ids(spark):
     assert sorted((r.aoi_id, r.item_id) for r in found.collect()) == [(1, "cells"), (1, "multi"), (1, "touching"), (2, "multi")]
     assert sorted((r.aoi_id, r.item_id) for r in catalog.covering(found).collect()) == [(1, "cells"), (1, "multi"), (2, "multi")]
     assert [(r.item_id, r.geometry_type) for r in catalog.unreadable_items(items).collect()] == [("point", "Point")]
+
+
+def test_keyed_writes_repeat_and_empty(spark):
+    path = stage_path(spark, "keyed")
+    rows = lambda *r: spark.createDataFrame(list(r), "run_id bigint, n int")
+    stored = lambda: sorted(tuple(r) for r in tables.read_table(spark, path, rows((0, 0)).schema).collect())
+    assert stored() == []
+    for _ in range(2):
+        tables.put(rows((1, 1), (1, 2), (2, 1)), path, ["run_id"])
+    assert stored() == [(1, 1), (1, 2), (2, 1)]
+    tables.put(rows((1, 7)), path, ["run_id"])
+    assert stored() == [(1, 7), (2, 1)]
+    tables.put(rows((3, 3)), path, ["run_id"], scope=rows((1, 0), (3, 0)).select("run_id"))
+    assert stored() == [(2, 1), (3, 3)]
+    tables.put(rows((2, 5)), path, ["run_id"], merge=lambda old, new: old.unionByName(new))
+    assert stored() == [(2, 1), (2, 5), (3, 3)]
