@@ -67,18 +67,10 @@ REGION = [*SCOPE, "region_no"]
 SOURCE = ["aoi_id", "from_k", "from_no"]
 
 
-def open_links(links: DataFrame, assigned: DataFrame) -> DataFrame:
-    """Links whose earlier region is the last one of its track, with the track's birth.
-
-    ``links`` are those of one step and few; both lookups join them to the assigned
-    regions from the small side, so the growing table is scanned but not shuffled.
-    """
-    births = assigned.select(
-        "aoi_id", F.col("k").alias("from_k"), F.col("region_no").alias("from_no"), *TRACK
-    )
-    followed = assigned.where(F.col("from_no").isNotNull()).select(*SOURCE)
-    taken = links.select(*SOURCE).distinct().join(followed, SOURCE)
-    return links.join(births, SOURCE).join(taken, SOURCE, "left_anti")
+def open_links(links: DataFrame, ends: DataFrame) -> DataFrame:
+    """Links whose earlier region is the end of a track, with the track's birth."""
+    births = ends.select("aoi_id", F.col("k").alias("from_k"), F.col("region_no").alias("from_no"), *TRACK)
+    return links.join(births, SOURCE)
 
 
 def best_matches(links: DataFrame) -> DataFrame:
@@ -96,7 +88,8 @@ def track_winners(matches: DataFrame) -> DataFrame:
 
 
 def with_births(regions: DataFrame, won: DataFrame) -> DataFrame:
-    """Matched regions continue their track; all others start one."""
+    """Matched regions continue their track; all others start one. Other columns stay."""
+    rest = [c for c in regions.columns if c not in REGION]
     return regions.join(won, REGION, "left").select(
         *REGION,
         F.coalesce("birth_k", "k").alias("birth_k"),
@@ -104,6 +97,7 @@ def with_births(regions: DataFrame, won: DataFrame) -> DataFrame:
         F.coalesce("iou", F.lit(1.0)).alias("iou"),
         "from_k",
         "from_no",
+        *rest,
     )
 
 
@@ -119,22 +113,35 @@ def track_regions(regions: DataFrame, overlap: DataFrame) -> DataFrame:
 
     Matching looks at the last region of each track, however old; a region that loses
     its best track starts a new one. Regions that overlap nothing are tracks of their
-    own and never enter the loop. The loop steps over the intervals in which some
-    region has an earlier partner, for all AOIs at once, and holds only linked regions;
-    each step appends its assignments to one stage table.
+    own and never enter the loop, which steps over the intervals in which some region
+    has an earlier partner, for all AOIs at once.
+
+    A step reads only what the step before it wrote: the ends of tracks that a later link
+    can still reach. It writes its own regions (``fresh``) and the ends it passes on, so
+    the bytes read per step follow the open tracks and not the history.
     """
     spark = regions.sparkSession
     links = materialize(overlap.select(*REGION, "from_k", "from_no", "iou"), "links", partition_by=("k",))
+    sources = links.groupBy("aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")).agg(
+        F.max(links["k"]).alias("until")
+    )
     targets = links.select(*REGION).distinct()
-    sources = links.select("aoi_id", F.col("from_k").alias("k"), F.col("from_no").alias("region_no")).distinct()
+    nodes = materialize(targets.join(sources, REGION, "left"), "track-nodes", partition_by=("k",))
     nothing = no_matches(links)
     path = stage_path(spark, "assigned")
-    started = with_births(sources.join(targets, REGION, "left_anti"), nothing)
+    started = with_births(sources.join(targets, REGION, "left_anti"), nothing).withColumn("fresh", F.lit(True))
+    columns = started.columns
     started.write.parquet(f"{path}/step=-1")
-    assigned = lambda: spark.read.schema(started.schema).parquet(path).select(*started.columns)
+    read = lambda place: spark.read.schema(started.schema).parquet(place).select(*columns)
+    ends = read(f"{path}/step=-1")
     for k in targets.agg(F.array_sort(F.collect_set("k"))).first()[0]:
-        won = track_winners(best_matches(open_links(links.where(F.col("k") == k), assigned())))
-        with_births(targets.where(F.col("k") == k), won).write.parquet(f"{path}/step={k}")
-    linked = assigned()
+        won = track_winners(best_matches(open_links(links.where(F.col("k") == k), ends)))
+        fresh = with_births(nodes.where(F.col("k") == k), won).withColumn("fresh", F.lit(True)).select(*columns)
+        passed = ends.where(F.col("until") > k).join(won, ["aoi_id", *TRACK], "left_anti")
+        place = f"{path}/step={k}"
+        fresh.unionByName(passed.withColumn("fresh", F.lit(False)).select(*columns)).write.parquet(place)
+        ends = read(place).where(F.col("until") > k)
+    result = [*REGION, *TRACK, "iou", "from_k", "from_no"]
+    linked = read(path).where("fresh").select(*result)
     alone = regions.select(*REGION).join(linked, REGION, "left_anti")
-    return linked.unionByName(with_births(alone, nothing))
+    return linked.unionByName(with_births(alone, nothing).select(*result))

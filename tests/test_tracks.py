@@ -6,30 +6,6 @@ from landshift.config import Policy
 from landshift.operators import tracks
 
 
-def greedy(regions: dict[int, list[set]], threshold: float):
-    """The matching rules, one interval after the other."""
-    open_tracks: list[list[tuple[int, int]]] = []
-    out = {}
-    for k in sorted(regions):
-        frozen = [t[-1] for t in open_tracks]
-        claimed = set()
-        for no, pixels in enumerate(regions[k], start=1):
-            best = None
-            for index, (pk, pn) in enumerate(frozen):
-                other = regions[pk][pn - 1]
-                iou = len(pixels & other) / len(pixels | other)
-                if iou >= threshold and (best is None or iou > best[0]):
-                    best = (iou, index)
-            if best and best[1] not in claimed:
-                claimed.add(best[1])
-                open_tracks[best[1]].append((k, no))
-                out[(k, no)] = (open_tracks[best[1]][0], round(best[0], 9))
-            else:
-                open_tracks.append([(k, no)])
-                out[(k, no)] = ((k, no), 1.0)
-    return out
-
-
 def tables(spark, regions):
     pixels, sizes = [], []
     for k, found in regions.items():
@@ -54,6 +30,33 @@ def track(spark, regions, threshold=0.25):
     return {(r.k, r.region_no): ((r.birth_k, r.birth_no), round(r.iou, 9)) for r in found}
 
 
+def holds_rules(regions, found, threshold):
+    """What any right assignment fulfils, read off the assignment itself."""
+    members: dict = {}
+    for (k, no), (birth, _) in sorted(found.items()):
+        members.setdefault(birth, []).append((k, no))
+    pixels = lambda region: regions[region[0]][region[1] - 1]
+    shared = lambda a, b: len(pixels(a) & pixels(b)) / len(pixels(a) | pixels(b))
+    before = lambda birth, k: max((m for m in members[birth] if m[0] < k), default=None)
+
+    def favourite(region):
+        """The open track that a region overlaps most; the oldest of equals."""
+        ends = [(birth, before(birth, region[0])) for birth in members]
+        fits = [(shared(end, region), birth) for birth, end in ends if end and shared(end, region) >= threshold]
+        return min(fits, key=lambda f: (-f[0], f[1]), default=(None, None))
+
+    for birth, line in members.items():
+        assert line[0] == birth and len({k for k, _ in line}) == len(line)
+    for region, (birth, iou) in found.items():
+        best, wanted = favourite(region)
+        if birth != region:  # it continues the track it fits best, and no region before it wanted that one
+            assert birth == wanted and abs(iou - best) < 1e-9
+            assert all(favourite((region[0], no))[1] != wanted for no in range(1, region[1]))
+        elif wanted is not None:  # it lost its favourite to a region before it
+            assert iou == 1.0
+            assert any(favourite((region[0], no))[1] == wanted for no in range(1, region[1]))
+
+
 def test_gap_is_linked_and_identical_regions_have_full_overlap(spark):
     regions = {0: [box(0, 0, 3, 3)], 1: [box(8, 8, 2, 2)], 2: [box(0, 0, 3, 3)]}
     found = track(spark, regions)
@@ -64,8 +67,8 @@ def test_gap_is_linked_and_identical_regions_have_full_overlap(spark):
 def test_loser_starts_a_new_track_without_second_choice(spark):
     """Both later regions fit the first track best; the second could also take the other."""
     regions = {0: [box(0, 0, 4, 8), box(0, 8, 4, 2)], 1: [box(0, 0, 4, 4), box(0, 4, 4, 6)]}
-    assert track(spark, regions) == greedy(regions, 0.25)
-    assert track(spark, regions)[(1, 2)][0] == (1, 2)
+    # 16 of 32 and 16 of 40 pixels with the first track; the second track holds 8 of 24.
+    assert track(spark, regions) == {(0, 1): ((0, 1), 1.0), (0, 2): ((0, 2), 1.0), (1, 1): ((0, 1), 0.5), (1, 2): ((1, 2), 1.0)}
 
 
 @pytest.mark.parametrize("seed", range(3))
@@ -80,4 +83,4 @@ def test_random_sequences_follow_the_rules(spark, seed):
                 used |= cells
                 found.append(cells)
         regions[k] = found
-    assert track(spark, regions, 0.2) == greedy(regions, 0.2)
+    holds_rules(regions, track(spark, regions, 0.2), 0.2)
