@@ -8,12 +8,16 @@ shuffled join, so no join in this package carries a broadcast hint.
 
 from __future__ import annotations
 
+import os
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+PACKAGE_PARENT = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+
+
 def build_session(cores: str = "*", app: str = "landshift") -> SparkSession:
     """A local session for tests and the benchmark."""
     builder = (
@@ -38,6 +42,10 @@ def configure(spark: SparkSession) -> SparkSession:
     }.items():
         if spark.conf.get(key, None) != value:
             spark.conf.set(key, value)
+    # Workers that start in another folder import the package from where the driver has it.
+    environment = spark.sparkContext.environment
+    if PACKAGE_PARENT not in environment.get("PYTHONPATH", "").split(os.pathsep):
+        environment["PYTHONPATH"] = os.pathsep.join(filter(None, [PACKAGE_PARENT, environment.get("PYTHONPATH")]))
     return spark
 
 
