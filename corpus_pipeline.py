@@ -16,28 +16,33 @@ MIX_SHARE, MIX_EPOCHS, MIX_CYCLE = 1.9, 2.0, (3, 1, 2)
 
 def toxicity_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that are more likely toxic than not."""
+    configure(spark)
     machine = toxicity.train(docs, learnable(spark, sf_dir))
     return toxicity.with_score(docs, machine, "__score").where("__score < 0.5").select(*docs.columns)
 
 
 def near_dup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep one document of each group of near duplicates: a similarity of 0.8 on five-word shingles."""
+    configure(spark)
     return near_dup.deduplicate(docs, percent=80)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Drop documents that hold a benchmark item, edited or not."""
+    configure(spark)
     return decontaminate.decontaminate(docs, table(spark, sf_dir, "benchmark"))
 
 
 def mix_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Repeat documents so that sources meet their target weights."""
+    configure(spark)
     weigh = lambda ordinal, size: mixing.cycled(ordinal, size, MIX_CYCLE) * size
     return mixing.repeat_rows(docs, weigh, MIX_SHARE, MIX_EPOCHS)
 
 
 def shard_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Add the shard of each document; copies of a document share it."""
+    configure(spark)
     return sharding.place(docs, "doc_id", SHARDS, TABLE_SIZE)
 
 
