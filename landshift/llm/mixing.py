@@ -10,7 +10,8 @@ Within a source a target is so many whole repetitions plus a rest. The rest goes
 the documents in the order of a seeded digest: digests fall into ``BUCKETS`` slices,
 slices before the one where the rest runs out are taken whole, documents in that slice
 take an equal fraction of their words. Sizes are summed per slice before they are
-shuffled, so a source with a third of all rows costs no task more than ``BUCKETS`` rows.
+shuffled, and the slice is looked for among 256 groups of 256 slices, so a source with a
+third of all rows costs no task more than a few hundred rows.
 
 Defined results: a null or empty text has size 0 and takes 0; a null source is a source
 like any other (last in order); documents that repeat are mixed one by one, by their own
@@ -90,11 +91,21 @@ def mix_plan(rows: DataFrame, weigh: Callable[[Column, Column], Column], share:
     plan = targets.withColumn("whole", whole.cast("bigint")).withColumn(
         "rest", F.col("target") - F.col("whole") * F.col("source_size")
     )
-    before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    filled = sliced.withColumn("before", F.coalesce(F.sum("words").over(before), F.lit(0)))
-    edge = filled.alias("f").join(plan.alias("p"), F.expr("f.source <=> p.source")).where(
-        "before <= rest and rest < before + words"
-    ).select("p.source", F.col("bucket").alias("edge"), ((F.col("rest") - F.col("before")) / F.col("words")).alias("fraction"))
+    # The slice where the rest runs out: first among groups of slices, then inside that group.
+    group = F.shiftright("bucket", 8)
+    earlier = lambda by: F.coalesce(F.sum("words").over(
+        Window.partitionBy("source").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    groups = sliced.groupBy("source", group.alias("group")).agg(F.sum("words").alias("words")).withColumn("before", earlier("group"))
+    ends = "before <= rest and rest < before + words"
+    open_group = groups.alias("g").join(plan.alias("p"), F.expr("g.source <=> p.source")).where(ends).select(
+        "p.source", "group", "before", "rest"
+    )
+    within = F.coalesce(F.sum("words").over(
+        Window.partitionBy("s.source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    inside = sliced.withColumn("group", group).alias("s").join(
+        open_group.alias("o"), F.expr("s.source <=> o.source and s.group = o.group")
+    ).select("s.source", "bucket", "words", "rest", (F.col("before") + within).alias("before"))
+    edge = inside.where(ends).select("source", F.col("bucket").alias("edge"), ((F.col("rest") - F.col("before")) / F.col("words")).alias("fraction"))
     return materialize(
         plan.alias("p").join(edge.alias("e"), F.expr("p.source <=> e.source"), "left").select(
             "p.*", F.coalesce("edge", F.lit(BUCKETS)).alias("edge"), F.coalesce("fraction", F.lit(0.0)).alias("fraction")
