@@ -358,11 +358,11 @@ def grouped(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         shared.join(components(first), "rep", "left").withColumn("component", F.coalesce("component", "rep")), "near-dup-known"
     )
     sizes = known.groupBy("key", "component").agg(F.count(F.lit(1)).alias("size"))
-    split = sizes.groupBy("key").agg(
+    split = materialize(sizes.groupBy("key").agg(
         F.sum("size").alias("total"), F.max("size").alias("most"),
         F.max_by("component", F.struct("size", "component")).alias("largest"), F.count(F.lit(1)).alias("groups"),
-    ).where("groups > 1").drop("groups")
-    open_ = known.join(split, "key")
+    ).where("groups > 1").drop("groups"), "near-dup-split")
+    open_ = known.join(split.hint("merge"), "key")  # both sides are plain tables, so a hot key can be split
     pieces = lambda n: F.ceil(n / BLOCK).cast("int")
     asking, asked = pieces(F.col("total") - F.col("most")), pieces(F.col("total"))
     spread = lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), n).cast("int")
