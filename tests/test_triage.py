@@ -3,7 +3,8 @@ from datetime import datetime
 import pytest
 from pyspark.sql import functions as F
 
-from landshift.functions import history, scoring, text
+from landshift.config import PROCESSING_VERSION
+from landshift.functions import history, limits, scoring
 from landshift.operators import reuse, triage
 
 
@@ -40,12 +41,33 @@ def test_score_is_monotone(spark, field):
     assert score(spark, **high).p.score > score(spark, **low).p.score
 
 
-def test_fixed_rounds_on_the_stored_value(spark):
-    numbers = [0.4745, 0.125, 0.375, 2.675, 1234.5, 1235.5, 0.0, 0.995, 0.5745, 0.1235]
-    df = spark.createDataFrame([(v,) for v in numbers], ["v"])
-    for places in (0, 2, 3):
-        found = [r[0] for r in df.select(text.fixed(F.col("v"), places)).collect()]
-        assert found == [f"{v:.{places}f}" for v in numbers]
+def test_explanations_are_codes_with_numbers(spark):
+    rows = [(1, 0.7, 0.39, 0.4, 0.71), (2, 0.5, 0.5, 0.19, 0.39), (3, 0.1, 0.7, 0.3, 0.0)]
+    frame = spark.createDataFrame(rows, "id int, p double, c double, m double, q double")
+    parts = F.struct(
+        F.col("p").alias("temporal_persistence"), F.col("c").alias("temporal_consistency"),
+        F.col("m").alias("change_magnitude"), F.lit(0.6).alias("score"),
+    )
+    told = scoring.explain(parts, F.lit("persistent"), F.lit("high"), F.lit("urgent"), F.lit(900.0), F.lit(0.3), F.col("q"))
+    found = {r.id: r.e for r in frame.select("id", told.alias("e")).collect()}
+    names = lambda entries: {m.measure: m.value for m in entries}
+    assert names(found[1].raised_by) == {"temporal_persistence": 0.7, "change_magnitude": 0.4, "quality_support": 0.71}
+    assert names(found[1].lowered_by) == {"temporal_consistency": 0.39}
+    assert names(found[2].raised_by) == {} and names(found[2].lowered_by) == {"change_magnitude": 0.19, "quality_support": 0.39}
+    assert names(found[3].lowered_by) == {"temporal_persistence": 0.1}  # no support at all is no weak support
+    assert (found[1].severity_basis.area_m2, found[1].priority_basis.priority) == (900.0, "urgent")
+
+
+def test_limits_name_their_facts(spark):
+    rows = [(1, "valid_unusable", "few", "v", True, True), (2, "failed", "", "v", True, True), (3, "usable", None, "old", False, False),
+            (4, "acquired", None, "v", True, True), (5, "usable", None, PROCESSING_VERSION, True, True)]
+    frame = spark.createDataFrame(rows, "acq_id int, state string, reason string, version string, mask boolean, display boolean")
+    told = limits.observation_limits(*[F.col(c) for c in ("acq_id", "state", "reason", "version", "mask", "display")])
+    found = {r.acq_id: [(m.code, m.fact) for m in r.t] for r in frame.select("acq_id", told.alias("t")).collect()}
+    assert found == {
+        1: [("too_few_usable_pixels", "few")], 2: [("preparation_failed", None)], 4: [("preparation_pending", "acquired")], 5: [],
+        3: [("no_class_mask", None), ("other_mask_version", "old"), ("no_current_picture", None)],
+    }
 
 
 def test_season_and_gaps(spark):
