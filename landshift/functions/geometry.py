@@ -246,6 +246,17 @@ def is_valid(rings: Column) -> Column:
     )
 
 
+def is_box(rings: Column) -> Column:
+    """One closed ring of four different corners whose edges follow the axes; cheap to see."""
+    ring = rings[0]
+    straight = F.forall(segments(ring), lambda s: (s["a"]["x"] == s["b"]["x"]) | (s["a"]["y"] == s["b"]["y"]))
+    return F.coalesce(
+        (F.size(rings) == 1) & (F.size(ring) == 5) & (ring[0] == ring[4]) & (F.size(F.array_distinct(ring)) == 4)
+        & (ring[0] != ring[2]) & (ring[0]["x"] != ring[2]["x"]) & (ring[0]["y"] != ring[2]["y"]) & straight,
+        F.lit(False),
+    )
+
+
 INNER_SCALES = (0.95, 0.9, 0.8, 0.7, 0.6, 0.5, 0.35, 0.2)
 
 

@@ -82,7 +82,10 @@ def meeting(items: DataFrame, aois: DataFrame) -> DataFrame:
             & (F.col("_ix") == cell(F.greatest(a[0], b[0]))) & (F.col("_iy") == cell(F.greatest(a[1], b[1]))),
         )
         .where((a[0] <= b[2]) & (a[2] >= b[0]) & (a[1] <= b[3]) & (a[3] >= b[1]))
-        .where(geometry.intersects(F.col("rings"), F.col("aoi_rings")))
+        .where(
+            F.when(geometry.is_box(F.col("rings")) & geometry.is_box(F.col("aoi_rings")), True)
+            .otherwise(geometry.intersects(F.col("rings"), F.col("aoi_rings")))
+        )
         .drop("_box", "_aoi_box", "_ix", "_iy", "_ax", "_ay")
     )
 
@@ -107,11 +110,13 @@ def search(items: DataFrame, aois: DataFrame, collection: str, start: str, end:
 
 def covering(found: DataFrame) -> DataFrame:
     """Search results with all bands whose valid footprint covers the AOI, each item once per AOI."""
-    whole = found.where(
-        has_required_assets(F.col("assets"))
-        & geometry.is_valid(F.col("rings"))
-        & geometry.covers(F.col("rings"), F.col("aoi_rings"))
+    a, b = geometry.bounds(F.col("rings")), geometry.bounds(F.col("aoi_rings"))
+    around = (a[0] <= b[0]) & (a[1] <= b[1]) & (a[2] >= b[2]) & (a[3] >= b[3])
+    # Most footprints are told by their boxes; a footprint that is a box covers what its bounds do.
+    exact = F.when(geometry.is_box(F.col("rings")), True).otherwise(
+        geometry.is_valid(F.col("rings")) & geometry.covers(F.col("rings"), F.col("aoi_rings"))
     )
+    whole = found.where(has_required_assets(F.col("assets"))).where(around).where(exact)
     return whole.dropDuplicates(["aoi_id", "item_id"])
 
 
