@@ -170,8 +170,11 @@ def _pack(rep: dict, base: int) -> None:
     rep["tables"] = tables
 
 
-def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
-    """Distinct (item, supposed start) that agree in some repetition, over one run of words."""
+def candidates(ids: np.ndarray, first: np.ndarray, index: Index) -> np.ndarray:
+    """Distinct (item, supposed start) that agree in some repetition, over the words of all rows.
+
+    A supposed start lies in the row of its window: an item whose leading words are missing starts with the row.
+    """
     base = len(index.vocabulary) + 1
     found = [np.zeros(0, dtype=np.int64)]
     reach = len(ids) + 1
@@ -195,7 +198,8 @@ def candidates(ids: np.ndarray, index: Index) -> np.ndarray:
             low, high = np.searchsorted(keys, key), np.searchsorted(keys, key, side="right")
             times = high - low
             which = np.repeat(low, times) + np.arange(times.sum()) - np.repeat(np.cumsum(times) - times, times)
-            begin = np.maximum(np.repeat(start, times) - rep["offset"][c], 0)
+            window = np.repeat(start, times)
+            begin = np.maximum(window - rep["offset"][c], first[np.searchsorted(first, window, side="right") - 1])
             found.append(np.unique(numbers[which] * reach + begin))
     pairs = np.unique(np.concatenate(found))
     return np.stack([pairs // reach, pairs % reach])
@@ -223,7 +227,7 @@ def best_alignment(item: np.ndarray, text: np.ndarray) -> tuple[np.ndarray, np.n
 
 def verified(ids: np.ndarray, first: np.ndarray, index: Index, edits: float) -> list[tuple[int, int, int, int, int]]:
     """(row, item, edits, begin, end) of the best leak of each item in each row."""
-    numbers, starts = candidates(ids, index)
+    numbers, starts = candidates(ids, first, index)
     best: dict[tuple[int, int], tuple[int, int, int]] = {}
     for number in np.unique(numbers):
         item = index.items[number]

@@ -84,6 +84,17 @@ def test_recall_at_the_largest_edit_rate():
     assert hits >= 0.88 * 120
 
 
+def test_rows_that_open_inside_an_item():
+    texts = [" ".join(cases.prose(700 + k, 15 + k)) for k in range(40)]
+    index = d.build_index(list(range(40)), texts)
+    found = 0
+    for number, item in enumerate(index.items):
+        rows = [np.zeros(30, np.int32), item[3:], np.zeros(0, np.int32), np.zeros(30, np.int32)]
+        first = np.cumsum([0, *map(len, rows)])
+        found += any(r[:3] == (1, number, 3) for r in d.verified(np.concatenate(rows), first, index, d.EDITS))
+    assert found >= 38
+
+
 def test_empty_tables(spark):
     frame, table = cases.docs(spark, cases.odd_rows()), spark.createDataFrame([(1, "a b c d e f g h i")], ITEMS)
     assert d.leaks(frame, cases.empty(table)).count() == 0
