@@ -6,13 +6,19 @@ random strings and one of ordinary identifiers: a run is a secret if the log-lik
 ratio of random against ordinary is at least ``MIN_GAIN``.
 
 The models are trained from labelled samples, rows (kind, value) with kind ``random`` or
-``ordinary``. ``scan`` takes them from the corpus itself: what the patterns find is labelled
-random, and runs that touch no pattern's span are labelled ordinary. The random model leans on
-a uniform prior (``RANDOM_PRIOR`` characters per context), so alphabets that the samples lack
-still count as random. Each model is a table of at most 65 x 65 counts, whatever the corpus.
+``ordinary``. The random model leans on a uniform prior (``RANDOM_PRIOR`` characters per
+context), so alphabets that the samples lack still count as random. Each model is a table of
+at most 68 x 68 counts, whatever the corpus.
 
-Main path: DataFrame functions only. Texts are read once; spans and runs are kept as a narrow
-stage table. Nothing but the two count tables is shuffled, after partial aggregation.
+Without samples, ``scan`` learns the ordinary model from what cannot hold the secrets sought: all
+words of the corpus that are letters only and shorter than a run, as written and in capitals, and
+identifiers joined from ``NAMED`` words. The random model is its prior then. The parts of the
+ordinary model have fixed shares, one of them uniform, so neither how many runs are secrets
+nor the size of the corpus moves a judgement.
+
+Main path: DataFrame functions only. Texts are read once for spans and runs, which are kept as a
+narrow stage table, and without samples once for words. Only counts of words and steps are
+shuffled, after partial aggregation.
 
 Positions count code points, ends are exclusive. Defined results: a null text is empty and has
 no spans; repeated rows have equal results; an empty table gives an empty result; without
@@ -21,6 +27,7 @@ samples no run is judged random by more than the priors say. Only ``doc_id`` and
 
 from __future__ import annotations
 
+from collections import Counter
 from math import log
 
 from pyspark.sql import Column, DataFrame
@@ -37,11 +44,30 @@ KINDS = ("assign", "access", "hex", "markov")
 
 NAMES = r"(?i)password|passwd|secret|token|api_?key"
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
-RUN = r"[A-Za-z0-9+/_=-]{16,}"
+KEY = "A-Za-z0-9+/_=-"
+RUN = f"[{KEY}]{{16,}}"
 WIDTH = len(ALPHABET) + 1  # 0: before the first character
 MIN_GAIN = 8.0
 RANDOM_PRIOR, ORDINARY_PRIOR = 64.0, 1.0
 
+WORD = "^[A-Za-z]{2,15}$"  # shorter than a run
+# Words of common identifiers, and the shares of corpus words and named words where both know a context.
+NAMED = """add address all append application args array async base batch begin bool buffer build bytes cache call case
+change char check child class clear client close code column command config connection content context control count create
+current data database date debug default delete description device document double element enable encode end engine entry error event
+exception exists expected factory false field file filter find first flag float format frame from function generate get group
+handle handler hash header height hidden host image import index info init input insert instance integer item iterator
+join key label language last layer layout left length level library limit line link list load local lock log main manager
+map mask match max memory merge message method min mode model module move name next node none note null number object
+offset open operation option order output package page parameter parent parse parser path pattern person pixel point position
+prefix previous print process product project property provider public query queue range read record reference region register
+remove render replace report request reset resource response result return right root row run schema score script search select
+sequence server service session set shape shift short show size socket sort source space split stack start state static status
+step stop store stream string style system table target task temp test text thread time timestamp title token total trace
+train transform tree true type unit update upload user util valid value vector version view visible warning weight width
+window word work write"""
+SHARES = (0.6, 0.3)
+
 FOUND = "array<struct<start:int,stop:int,value:string>>"
 
 
@@ -88,11 +114,12 @@ def spans_and_runs(docs: DataFrame) -> DataFrame:
     return found.withColumn("runs", F.filter("runs", apart))
 
 
-def samples(found: DataFrame) -> DataFrame:
-    """Labelled samples (kind, value) from spans and runs."""
-    known = F.transform(F.concat("assign", "access", "hex"), lambda s: F.struct(F.lit("random").alias("kind"), s["value"].alias("value")))
-    rest = F.transform("runs", lambda s: F.struct(F.lit("ordinary").alias("kind"), s["value"].alias("value")))
-    return found.select(F.inline(F.concat(known, rest)))
+def word_steps(docs: DataFrame) -> DataFrame:
+    """Counts (step, n) over all words that are too short for a run, as written and in capitals."""
+    pieces = docs.select(F.explode(F.split("text", f"[^{KEY}]+")).alias("word"))
+    words = pieces.where(F.col("word").rlike(WORD)).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
+    cased = words.select("n", F.explode(F.array("word", F.upper("word"))).alias("word"))
+    return cased.select("n", F.explode(steps(F.col("word"))).alias("step")).groupBy("step").agg(F.sum("n").alias("n"))
 
 
 def steps(value: Column) -> Column:
@@ -119,6 +146,34 @@ def train(labelled: DataFrame) -> list[float]:
     return ratio
 
 
+def named_steps() -> Counter:
+    """Steps of identifiers of two named words each, in the usual ways of joining, and of dates and numbers."""
+    seen: Counter = Counter()
+    words = NAMED.split()
+    for k, (a, b) in enumerate(zip(words, words[7:] + words[:7])):
+        date = f"{1980 + k % 60}-{k % 12 + 1:02d}-{k % 28 + 1:02d}"
+        for value in (date, date.replace("-", "/"), f"{k * 7919}_{a}", f"{a}_{k}", f"{a}_{b}", f"{a}-{b}", f"{a}/{b}", a + b.title(), (a + " " + b).title().replace(" ", ""), f"{a}_{b}".upper()):
+            places = [0, *[ALPHABET.index(c) + 1 for c in value]]
+            seen.update(x * WIDTH + y for x, y in zip(places, places[1:]))
+    return seen
+
+
+def ratios(corpus: dict[int, int]) -> list[float]:
+    """Log-likelihood ratio of every step, from the steps of corpus words and named words; random is uniform."""
+    uniform = 1 / len(ALPHABET)
+    parts = list(zip(SHARES, (corpus, named_steps())))
+    ratio = [0.0] * (WIDTH * WIDTH)
+    for a in range(WIDTH):
+        totals = [sum(seen.get(a * WIDTH + b, 0) for b in range(1, WIDTH)) for _, seen in parts]
+        whole = sum(share for (share, _), total in zip(parts, totals) if total)
+        for b in range(1, WIDTH):
+            s = a * WIDTH + b
+            known = sum(share * seen.get(s, 0) / total for (share, seen), total in zip(parts, totals) if total)
+            ordinary = known / whole * sum(SHARES) + (1 - sum(SHARES)) * uniform if whole else uniform
+            ratio[s] = log(uniform / ordinary)
+    return ratio
+
+
 def gain(value: Column, ratio: list[float]) -> Column:
     """Log-likelihood ratio of a value."""
     table = F.lit(ratio)
@@ -128,7 +183,8 @@ def gain(value: Column, ratio: list[float]) -> Column:
 def scan(docs: DataFrame, labelled: DataFrame | None = None) -> DataFrame:
     """One row per document: doc_id, assign, access, hex and markov spans (start, stop, value)."""
     found = materialize(spans_and_runs(docs), "secret-spans")
-    ratio = train(samples(found) if labelled is None else labelled)
+    # The counts are at most WIDTH**2 rows.
+    ratio = ratios({r["step"]: r["n"] for r in word_steps(docs).collect()}) if labelled is None else train(labelled)
     likely = F.filter("runs", lambda r: gain(r["value"], ratio) >= MIN_GAIN)
     return found.select("doc_id", "assign", "access", "hex", likely.alias("markov"))
 

@@ -62,6 +62,17 @@ def test_models_tell_keys_from_identifiers(spark):
     assert all((s.start, s.stop) == (6, 38) for r in keys for s in r.markov)
 
 
+def test_half_of_all_runs_are_keys(spark):
+    draw = random.Random(5)
+    words = ["read", "parser", "value", "stream", "count", "schema", "column", "table"]
+    texts = [(k, " ".join(["see", "_".join(draw.choice(words) for _ in range(4)), "here on 2024-01-01-12-30-45"])) for k in range(200)]
+    texts += [(1000 + k, f"é use {key(draw)} now") for k in range(200)] + [(1, "token = 0123456789abcdef0123")] * 200
+    found = secrets.scan(cases.docs(spark, texts)).collect()
+    assert not any(r.markov for r in found if r.doc_id < 1000)
+    keys = [r for r in found if r.doc_id >= 1000]
+    assert sum([(s.start, s.stop) for s in r.markov] == [(6, 38)] for r in keys) >= 195
+
+
 def test_gain_of_a_value_by_hand(spark):
     ratio = [0.01 * k for k in range(secrets.WIDTH**2)]
     at = lambda c: secrets.ALPHABET.index(c) + 1
