@@ -23,7 +23,8 @@ larger benchmark takes more passes over the documents. Nothing is shuffled.
 Defined results: a null or empty text leaks nothing; items with fewer than ``MIN_WORDS`` words
 (null and empty ones too) are no evidence and match nothing; repeated items each match; documents
 with a null doc_id are searched like others and reported with a null id, one row for each;
-empty tables give an empty result. Only the named id and text columns are read.
+empty tables give an empty result. ``leaks`` reads only the named id and text columns; ``decontaminate``
+passes whole rows on.
 """
 
 from __future__ import annotations
@@ -38,7 +39,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.llm import words
-from landshift.session import materialize
 
 EDITS = 0.2
 TARGET = 0.99
@@ -268,24 +268,43 @@ def search(index: Index, edits: float):
     return run
 
 
-def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, target: float = TARGET, block: int = BLOCK) -> DataFrame:
-    """One row per document and item that leaks into it: doc_id, item_id, edits, start_word, stop_word.
+def clean(index: Index, edits: float):
+    """Whole rows into which no item of the index leaks."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in words.slices(batches):
+            code, first = word_codes(part.column("text"))
+            stay = np.ones(part.num_rows, dtype=bool)
+            stay[[r[0] for r in verified(numbered(code, index.vocabulary), first, index, edits)] if len(code) else []] = False
+            yield part.filter(pa.array(stay))
 
-    Places count words as this module cuts them; of several leaks the best, then the first is told.
-    """
+    return run
+
+
+def indexes(items: DataFrame, edits: float, target: float, block: int) -> Iterator[Index]:
+    """The indexes of all blocks of items."""
     items = items.select("item_id", "text").where("text is not null")
-    docs = docs.select("doc_id", "text")
     blocks = max(-(-items.count() // block), 1)
-    parts = []
     for number in range(blocks):
         mine = items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(blocks)) == number).collect()
         mine = sorted(mine, key=lambda r: (r.item_id is None, r.item_id or 0, r.text))
-        index = build_index([r.item_id for r in mine], [r.text for r in mine], edits, target)
-        parts.append(docs.mapInArrow(search(index, edits), "doc_id bigint, item_id bigint, edits int, start_word int, stop_word int"))
+        yield build_index([r.item_id for r in mine], [r.text for r in mine], edits, target)
+
+
+def leaks(docs: DataFrame, items: DataFrame, edits: float = EDITS, target: float = TARGET, block: int = BLOCK) -> DataFrame:
+    """One row per document and item that leaks into it: doc_id, item_id, edits, start_word, stop_word.
+
+    Places count words as this module cuts them; of several leaks the best, then the first is told.
+    """
+    docs = docs.select("doc_id", "text")
+    parts = [
+        docs.mapInArrow(search(index, edits), "doc_id bigint, item_id bigint, edits int, start_word int, stop_word int")
+        for index in indexes(items, edits, target, block)
+    ]
     return reduce(DataFrame.unionByName, parts)
 
 
-def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS, target: float = TARGET) -> DataFrame:
-    """All columns of the documents into which no item leaks."""
-    gone = materialize(leaks(docs, items, edits, target).select(F.col("doc_id").alias("__gone")).distinct(), "leaking")
-    return docs.join(gone, docs["doc_id"] == F.col("__gone"), "left_anti")
+def decontaminate(docs: DataFrame, items: DataFrame, edits: float = EDITS, target: float = TARGET, block: int = BLOCK) -> DataFrame:
+    """All columns of the documents into which no item leaks; rows are judged by their texts, whatever their ids."""
+    for index in indexes(items, edits, target, block):
+        docs = docs.mapInArrow(clean(index, edits), docs.schema)
+    return docs

@@ -95,6 +95,19 @@ def test_rows_that_open_inside_an_item():
     assert found >= 38
 
 
+def test_rows_are_removed_whatever_their_ids(spark):
+    item = " ".join(cases.prose(77, 30))
+    leak, plain = " ".join(cases.prose(3, 20)) + " " + item, " ".join(cases.prose(4, 20))
+    other = " ".join(cases.prose(78, 30))
+    frame = cases.docs(spark, [(None, leak), (None, plain), (1, leak), (1, plain), (2, None), (None, None), (3, other)])
+    table = spark.createDataFrame([(1, item), (2, other)], ITEMS)
+    want = sorted([(None, plain), (1, plain), (2, None), (None, None)], key=str)
+    for block in (d.BLOCK, 1):
+        kept = d.decontaminate(frame, table, **({} if block == d.BLOCK else {"block": block}))
+        assert kept.schema == frame.schema
+        assert sorted([(r.doc_id, r.text) for r in kept.collect()], key=str) == want
+
+
 def test_empty_tables(spark):
     frame, table = cases.docs(spark, cases.odd_rows()), spark.createDataFrame([(1, "a b c d e f g h i")], ITEMS)
     assert d.leaks(frame, cases.empty(table)).count() == 0
