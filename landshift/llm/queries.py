@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landshift.llm import (
-    decontaminate, mixing, near_dup, neighbours, quality, secrets, sharding, substring, token_counts, toxicity,
+    bpe, conversations, decontaminate, mixing, near_dup, neighbours, quality, secrets, sharding, substring, token_counts, toxicity,
+    vector_codes,
 )
+from landshift.llm.oracles import CONVERSATIONS_SQL, VECTOR_CODES_SQL
 from landshift.llm.labelled import held_out
 from landshift.session import configure
 
@@ -200,3 +202,40 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = table(spark, sf_dir, "embeddings")
     return neighbours.search(vectors, vectors.where("vec_id % 20 = 0"))
+
+
+# --- BPE -------------------------------------------------------------------------------
+
+
+@register("op11_bpe")
+def op11_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.public_vocabulary()
+    coded = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).drop("text"), vocabulary)
+    hashed = coded.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), "ids", F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.with_id_digest(hashed)
+
+
+# --- vector codes ----------------------------------------------------------------------
+
+
+@register("op12_vector_codes", VECTOR_CODES_SQL)
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    codes, books = vector_codes.compress(table(spark, sf_dir, "embeddings"))
+    lengths = sorted({length for length, _ in books})
+    digests = F.array(*[F.lit(vector_codes.digest(books, n)) for n in lengths])
+    found = F.element_at(digests, F.array_position(F.lit(lengths), F.col("length")).cast("int")) if lengths else F.lit(None).cast("string")
+    digits = F.transform("code", lambda c: F.lower(F.lpad(F.hex(c), 2, "0")))
+    return vector_codes.with_label_error(codes).select(
+        "vec_id", F.concat_ws("", digits).alias("code"), "error", "label_error", found.alias("codebooks_sha256")
+    )
+
+
+# --- conversations ---------------------------------------------------------------------
+
+
+@register("op13_conversations", CONVERSATIONS_SQL)
+def op13_conversations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    messages = table(spark, sf_dir, "conversations")
+    return conversations.repair(conversations.damaged(messages), messages.select("conv_id")).select(
+        "conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"
+    )
