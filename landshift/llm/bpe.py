@@ -18,8 +18,9 @@ into pre-tokens by the file's own rules. Each pre-token is encoded as follows.
 Decoding gathers byte ranges: all tokens lie in one buffer, an offset table tells where. Files
 without a decoder join tokens by spaces, as the library does.
 
-Everything is local to a row; nothing is shuffled. A text is cut at spaces, which no pre-token
-crosses, and ids of short pieces are remembered per worker (at most ``REMEMBERED``).
+Everything is local to a row; nothing is shuffled. Plain Latin text is cut into pre-tokens by one pattern, other
+pieces between spaces, which no pre-token crosses, by the library's steps; ids of short pre-tokens are
+remembered per worker (at most ``REMEMBERED``).
 
 Defined results: null and empty texts have no ids, and null or empty id lists decode to the empty
 text; ids outside the vocabulary and null ids are passed over in decoding; repeated rows have equal
@@ -33,7 +34,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -43,11 +44,23 @@ from pyspark.sql import types as T
 
 from landshift.llm import words
 
-REMEMBERED = 200_000
-SHORT = 64  # characters of a piece that is remembered
-SEGMENT = 1 << 20  # ids that are decoded at a time
+REMEMBERED = 400_000
+SHORT = 64  # characters of a pre-token that is remembered
+SEGMENT = 1 << 18  # ids that are decoded at a time
 MARK = 0x10000  # added to the last character of a word
 
+# The steps of the public word file, and what they do to pieces of plain Latin characters, which
+# no step composes and whose lower case does not depend on their neighbours. Other pieces take the library's steps.
+WORD_STEPS = {
+    "normalizer": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}],
+    "pattern": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+",
+}
+ODD = re.compile("[^\t-\r -~À-ÖØ-öø-ÿ]")
+STRETCH = 1 << 16  # characters of plain text that are cut into words at a time
+PLAIN_WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^\t-\r a-zß-öø-ÿ0-9]+")
+_SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+BYTE_CHARACTERS = {b: b for b in _SHOWN} | {b: 256 + n for n, b in enumerate(b for b in range(256) if b not in _SHOWN)}
+
 
 def public_vocabulary() -> str:
     """Where the word tokenizer of the public files lies."""
@@ -74,32 +87,37 @@ class Merges:
             self.rank[whole], self.halves[whole], self.joined[pair] = rank, pair, rank
         self.never = never
         self.table: dict[tuple[int, int], bool] = {}
+        self.along: tuple[dict, dict] = ({}, {})
 
     def sides(self, token: int, side: int) -> list[tuple[int, int]]:
         """(part, rank at which it is used up) along one side of a token, from the single character on."""
-        out, until = [], self.never
-        while True:
-            out.append((token, until))
-            if token not in self.halves:
-                return out[::-1]
-            until, token = self.rank[token], self.halves[token][side]
+        known = self.along[side].get(token)
+        if known is None:
+            out, until, part = [], self.never, token
+            while True:
+                out.append((part, until))
+                if part not in self.halves:
+                    break
+                until, part = self.rank[part], self.halves[part][side]
+            known = self.along[side][token] = out[::-1]
+        return known
 
     def crossing(self, left: int, right: int) -> tuple[int, int] | None:
         """The first pair of parts that merges across the seam of two tokens."""
-        a, b = self.sides(left, 1), self.sides(right, 0)
-        i = j = 0
+        ones, twos = iter(self.sides(left, 1)), iter(self.sides(right, 0))
+        (one, one_until), (two, two_until) = next(ones), next(twos)
+        joined, never = self.joined, self.never
         while True:
-            (one, one_until), (two, two_until) = a[i], b[j]
-            rank = self.joined.get((one, two), self.never)
+            rank = joined.get((one, two))
             # Of equal merges the leftmost goes first: the left token's own, then the seam's.
-            if rank < one_until and rank <= two_until and rank < self.never:
+            if rank is not None and rank < one_until and rank <= two_until:
                 return one, two
-            if i + 1 == len(a) and j + 1 == len(b):
-                return None
-            if j + 1 == len(b) or (i + 1 < len(a) and one_until <= two_until):
-                i += 1
+            if one_until <= two_until:
+                if one_until == never:  # both tokens are whole
+                    return None
+                one, one_until = next(ones)
             else:
-                j += 1
+                two, two_until = next(twos)
 
     def compatible(self, left: int, right: int) -> bool:
         known = self.table.get((left, right))
@@ -133,9 +151,10 @@ class Encoder:
             word = self.marked(token[: -len(merges.suffix)]) if ends else token
             if number in good and word:
                 spelled[word] = number
-                self.automaton.add_word(word, (len(word), number))
+                self.automaton.add_word(word, number)
         self.automaton.make_automaton()
         self.size = {number: len(word) for word, number in spelled.items()}
+        self.spelled = spelled
         self.prefix: dict[int, int | None] = {}
         for word, number in spelled.items():
             self.prefix[number] = next((spelled[word[:k]] for k in range(len(word) - 1, 0, -1) if word[:k] in spelled), None)
@@ -143,35 +162,65 @@ class Encoder:
     def marked(self, word: str) -> str:
         return word[:-1] + chr(ord(word[-1]) + MARK) if self.merges.suffix else word
 
-    def longest(self, word: str) -> list[int | None]:
-        """The longest token that starts at each place."""
-        out: list[int | None] = [None] * len(word)
-        for end, (size, number) in self.automaton.iter(word):
-            out[end - size + 1] = number  # later ends are longer
-        return out
-
     def encode(self, word: str) -> list[int]:
         word = self.marked(word)
-        longest, size, prefix, fits = self.longest(word), self.size, self.prefix, self.merges.compatible
-        dead = bytearray(len(word) + 1)
+        whole = self.spelled.get(word)
+        if whole is not None:
+            return [whole]
+        size, prefix, table, compatible = self.size, self.prefix, self.merges.table, self.merges.compatible
+        # The longest token that starts at each place; later ends are longer.
+        longest: list[int | None] = [None] * (len(word) + 1)
+        for end, number in self.automaton.iter(word):
+            longest[end - size[number] + 1] = number
+        dead = None
         out: list[int] = []
-        place, token = 0, longest[0]
+        place, token, last = 0, longest[0], None
         while place < len(word):
-            while token is not None and (dead[place + size[token]] or (out and not fits(out[-1], token))):
+            while token is not None:
+                stop = place + size[token]
+                if dead is None or not dead[stop]:
+                    if last is None:
+                        break
+                    fits = table.get((last, token))
+                    if fits is None:
+                        fits = compatible(last, token)
+                    if fits:
+                        break
                 token = prefix[token]
             if token is not None:
                 out.append(token)
-                place += size[token]
-                token = longest[place] if place < len(word) else None
+                place, last = stop, token
+                token = longest[place]
                 continue
+            if dead is None:
+                dead = bytearray(len(word) + 1)
             dead[place] = 1
             if not out:
                 raise ValueError("the vocabulary lacks a byte of this word")
             token = out.pop()
             place -= size[token]
+            last = out[-1] if out else None
         return out
 
 
+class Remembered(dict):
+    """Results for words, of which short ones are kept, at most ``REMEMBERED`` of them in two generations."""
+
+    def __init__(self, make: Callable[[str], bytes]):
+        self.make, self.old = make, {}
+
+    def __missing__(self, word: str) -> bytes:
+        made = self.old.get(word)
+        if made is None:
+            made = self.make(word)
+        if len(word) <= SHORT:
+            if 2 * len(self) >= REMEMBERED:  # words that are met again move on, the others are forgotten
+                self.old = dict(self)
+                self.clear()
+            self[word] = made
+        return made
+
+
 class Codec:
     """A tokenizer file: text to ids and back."""
 
@@ -189,13 +238,15 @@ class Codec:
         steps = Tokenizer.from_file(path)
         self.normalize = steps.normalizer.normalize_str if steps.normalizer else str
         self.split = steps.pre_tokenizer.pre_tokenize_str
+        first = (spec["pre_tokenizer"] or {}).get("pretokenizers", [{}])[0]
+        told = {"normalizer": (spec["normalizer"] or {}).get("normalizers"), "pattern": first.get("pattern", {}).get("Regex")}
+        self.odd = ODD if told == WORD_STEPS else re.compile("[^ ]")  # others: every piece takes the library's steps
         pairs = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self.encoder = Encoder(Merges(model["vocab"], pairs, model.get("end_of_word_suffix") or ""))
         self.special = {t["content"]: self._packed([t["id"]]) for t in spec["added_tokens"]}
         longest_first = sorted(self.special, key=len, reverse=True)
         self.cut = re.compile("(" + "|".join(map(re.escape, longest_first)) + ")") if longest_first else None
-        self.pieces: dict[str, bytes] = {}
-        self.words: dict[str, bytes] = {}
+        self.words = Remembered(lambda word: self._packed(self.encoder.encode(word)))
         names = {i: t for t, i in model["vocab"].items()} | {t["id"]: t["content"] for t in spec["added_tokens"]}
         spelled = [names[i].encode() + b" " if i in names else b"" for i in range(max(names) + 1)] + [b""]
         self.offsets = np.concatenate([[0], np.cumsum([len(s) for s in spelled])])
@@ -205,33 +256,38 @@ class Codec:
     def _packed(ids: list[int]) -> bytes:
         return np.array(ids, dtype="<u4").tobytes()
 
-    def _word(self, word: str) -> bytes:
-        known = self.words.get(word)
-        if known is None:
-            known = self._packed(self.encoder.encode(word))
-            if len(word) <= SHORT:
-                if len(self.words) >= REMEMBERED:
-                    self.words.clear()
-                self.words[word] = known
-        return known
-
-    def _piece(self, piece: str) -> bytes:
-        known = self.pieces.get(piece)
-        if known is None:
-            known = b"".join([self._word(word) for word, _ in self.split(self.normalize(piece))])
-            if len(piece) <= SHORT:
-                if len(self.pieces) >= REMEMBERED:
-                    self.pieces.clear()
-                self.pieces[piece] = known
-        return known
+    def _plain(self, text: str) -> Iterator[bytes]:
+        """Ids of plain text, a stretch of whole pieces at a time."""
+        begin = 0
+        while begin < len(text):
+            stop = text.find(" ", begin + STRETCH)
+            part = text[begin : stop if stop >= 0 else len(text)].lower()
+            cut = PLAIN_WORDS.findall(part)
+            if not part.isascii():
+                cut = [word if word.isascii() else word.encode().decode("latin-1").translate(BYTE_CHARACTERS) for word in cut]
+            yield b"".join(map(self.words.__getitem__, cut))
+            begin += max(len(part), 1)
+
+    def _text(self, text: str) -> bytes:
+        """Ids of a text without special tokens. Pieces with odd characters take the file's own steps."""
+        out, done = [], 0
+        for odd in self.odd.finditer(text):
+            if odd.start() < done:
+                continue
+            begin = text.rfind(" ", 0, odd.start()) + 1
+            stop = text.find(" ", odd.end())
+            stop = len(text) if stop < 0 else stop
+            out += self._plain(text[done:begin])
+            out += [self.words[word] for word, _ in self.split(self.normalize(text[begin:stop]))]
+            done = stop
+        out += self._plain(text[done:])
+        return b"".join(out)
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         if self.cut is None or not self.cut.search(text):
-            return b"".join(map(self._piece, text.split(" ")))
-        return b"".join([
-            self.special[part] if n % 2 else b"".join(map(self._piece, part.split(" "))) for n, part in enumerate(self.cut.split(text))
-        ])
+            return self._text(text)
+        return b"".join([self.special[part] if n % 2 else self._text(part) for n, part in enumerate(self.cut.split(text))])
 
     def decode(self, ids: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes and row bounds of the texts whose ids are ids[bounds[i]:bounds[i+1]]."""
