@@ -25,6 +25,7 @@ PRIORITY_WEIGHTS = {"urgent": 4, "high": 3, "normal": 2, "low": 1}
 SEVERITY_WEIGHTS = {"high": 3, "medium": 2, "low": 1}
 REQUIRED_BANDS = ("red", "nir")
 QUALITY_BAND = "scl"
+BAND_NAMES = ("B04 red", "B08 nir")
 DISPLAY_BANDS = ("red", "green", "blue")
 NOTE_LIMIT = 2000
 

@@ -289,6 +289,25 @@ def geojson(rings: Column) -> Column:
     return F.to_json(F.struct(coordinates.alias("coordinates"), F.lit("Polygon").alias("type")))
 
 
+def multi_geojson(polygons: Column) -> Column:
+    """GeoJSON text of several polygons; a single one is told as Polygon."""
+    place = lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.array(p["x"], p["y"])))
+    many = F.to_json(F.struct(F.transform(polygons, place).alias("coordinates"), F.lit("MultiPolygon").alias("type")))
+    return F.when(F.size(polygons) == 1, geojson(polygons[0])).when(F.size(polygons) > 1, many)
+
+
+def multi_bounds(polygons: Column) -> Column:
+    """[left, bottom, right, top] of several polygons."""
+    boxes = F.transform(polygons, bounds)
+    side = lambda k: F.transform(boxes, lambda b: b[k])
+    return F.array(F.array_min(side(0)), F.array_min(side(1)), F.array_max(side(2)), F.array_max(side(3)))
+
+
+def multi_corners(polygons: Column) -> Column:
+    """Number of corners of all rings."""
+    return F.aggregate(F.flatten(polygons), F.lit(0), lambda n, ring: n + F.size(ring) - 1)
+
+
 # --- projections -----------------------------------------------------------------
 # The WGS 84 ellipsoid, the UTM scale and the standard parallel of the
 # global equal-area cylindrical grid.

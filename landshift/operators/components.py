@@ -18,11 +18,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.config import Policy
-from landshift.operators.skew import SALTS, attach_group_values
+from landshift.functions import lattice
+from landshift.operators.skew import attach_group_values
 from landshift.session import materialize
 
 SCOPE = ["aoi_id", "k"]
-# Border edges up to which a fragment graph is contracted without salting.
+NOMINAL_AREA = 100.0  # of a pixel whose grid is not known
+LATTICES = 64  # tiles whose cell sizes a task remembers
 
 # Executors need not have this package installed: the labelling functions travel with
 # the job.
@@ -111,7 +113,30 @@ def _lists(lengths: np.ndarray, values: pa.Array) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(offsets, type=pa.int32()), values)
 
 
+class _Lattices(dict):
+    """Cell sizes of the tiles that a task has met lately; the intervals of a tile share them."""
+
+    def __missing__(self, key: tuple) -> np.ndarray:
+        if len(self) >= LATTICES:
+            self.pop(next(iter(self)))
+        crs, transform, top, left, side = key
+        self[key] = found = lattice.cell_areas(crs, transform, top, left, side, side)
+        return found
+
+
+def _pixel_areas(batch: pa.RecordBatch, known: _Lattices, group: np.ndarray, local_row: np.ndarray, local_col: np.ndarray) -> np.ndarray:
+    areas = np.full(len(group), NOMINAL_AREA)
+    bounds = np.searchsorted(group, np.arange(batch.num_rows + 1))
+    columns = [batch.column(c).to_pylist() for c in ("crs", "transform", "tile_row", "tile_col", "side")]
+    for n, (crs, transform, tile_row, tile_col, side) in enumerate(zip(*columns)):
+        at = slice(bounds[n], bounds[n + 1])
+        if crs is not None and bounds[n] < bounds[n + 1]:
+            areas[at] = known[crs, tuple(transform), tile_row * side, tile_col * side, side][local_row[at], local_col[at]]
+    return areas
+
+
 def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = _Lattices()
     for batch in batches:
         changed = batch.column("changed")
         pixels = changed.flatten()
@@ -130,36 +155,44 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             [pa.array(row[edge].astype(np.int32)), pa.array(col[edge].astype(np.int32)), pa.array(labels[edge])],
             names=["row", "col", "label"],
         )
-        names = [n for n in batch.schema.names if n != "side"]
+        areas = _pixel_areas(batch, known, group, local_row, local_col)
+        names = [n for n in batch.schema.names if n not in ("side", "crs", "transform")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in names]
-            + [_lists(lengths, pa.array(labels)), _lists(np.bincount(group[edge], minlength=len(lengths)), border)],
-            names=[*names, "labels", "border"],
+            + [_lists(lengths, pa.array(labels)), _lists(lengths, pa.array(areas)), _lists(np.bincount(group[edge], minlength=len(lengths)), border)],
+            names=[*names, "labels", "areas", "border"],
         )
 
 
-def label_tiles(tiles: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def label_tiles(tiles: DataFrame, policy: Policy = Policy(), headers: DataFrame | None = None) -> DataFrame:
     """Label the changed pixels of every tile on its own.
 
-    Adds ``labels``, one per entry of ``changed``, and ``border``, the labelled pixels on
-    the rim of the tile, which is all that joining tiles has to read.
+    Adds ``labels`` and ``areas``, one per entry of ``changed``, and ``border``, the labelled pixels on
+    the rim of the tile, which is all that joining tiles has to read. ``headers`` (aoi_id, k, grid) give
+    equal-area sizes; pixels without a grid count as nominal ones. Headers meet tiles, never pixels.
     """
     fields = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in tiles.schema.fields)
-    return tiles.withColumn("side", F.lit(policy.tile)).mapInArrow(
-        _label_batches, f"{fields}, labels array<bigint>, border array<struct<row:int,col:int,label:bigint>>"
+    if headers is None:
+        placed = tiles.withColumns({"crs": F.lit(None).cast("string"), "transform": F.lit(None).cast("array<double>")})
+    else:
+        known = headers.select(*SCOPE, F.col("grid.crs").alias("crs"), F.col("grid.transform").alias("transform"))
+        placed = tiles.join(known, SCOPE, "left")
+    return placed.select(*tiles.columns, "crs", "transform", F.lit(policy.tile).alias("side")).mapInArrow(
+        _label_batches, f"{fields}, labels array<bigint>, areas array<double>, border array<struct<row:int,col:int,label:bigint>>"
     )
 
 
 def explode_pixels(labelled: DataFrame) -> DataFrame:
     """One row per changed pixel."""
     return labelled.select(
-        *SCOPE, F.explode(F.arrays_zip("changed", "labels")).alias("_p")
+        *SCOPE, F.explode(F.arrays_zip("changed", "labels", "areas")).alias("_p")
     ).select(
         *SCOPE,
         F.col("_p.changed.row").alias("row"),
         F.col("_p.changed.col").alias("col"),
         F.col("_p.changed.signal").alias("signal"),
         F.col("_p.labels").alias("label"),
+        F.col("_p.areas").alias("area"),
     )
 
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from landshift.config import DISPLAY_VERSION, EXPORT_VERSION
+from landshift.config import BAND_NAMES, DISPLAY_VERSION, EXPORT_VERSION
 from landshift.functions import geometry, grids, limits
 
 RUN_FIGURES = (
@@ -41,7 +41,7 @@ def evidence_observations(candidates: DataFrame, acquisitions: DataFrame) -> Dat
     """One row per candidate and acquisition.
 
     Shares are percentages over 100; mask and display count as available when their
-    tables have the scene (``has_mask``, ``has_display``).
+    tables have the scene (``has_mask``, ``has_display``). Cloud cover and tile are those of the catalog.
     """
     refs = candidates.select("candidate_id", F.explode("acquisition_ids").alias("acq_id"))
     share = lambda name: (F.col(f"{name}_percentage") / 100.0).alias(f"{name}_fraction")
@@ -50,7 +50,8 @@ def evidence_observations(candidates: DataFrame, acquisitions: DataFrame) -> Dat
         "acq_id", "aoi_id", "item_id", "collection", "ts", "state", "reason", "grid", "processing_version",
         "masking_method", "visualization_version", share("usable"), share("cloud"), share("shadow"),
         share("invalid"), F.col("has_mask").alias("mask_available"),
-        F.coalesce(display, F.lit(False)).alias("display_available"),
+        F.coalesce(display, F.lit(False)).alias("display_available"), "cloud_cover", "mgrs_tile",
+        F.array(*map(F.lit, BAND_NAMES)).alias("bands"),
     )
     return refs.join(facts, "acq_id").withColumn(
         "limits",
@@ -101,16 +102,20 @@ def pixel_centroids(track_pixels: DataFrame, grids_by_aoi: DataFrame) -> DataFra
 
 
 def snapshots(evidence: DataFrame, reviews: DataFrame, centroids: DataFrame) -> DataFrame:
-    """Portable investigation snapshots as sorted-key JSON, without any file path."""
+    """Portable investigation snapshots as sorted-key JSON, without any file path.
+
+    The candidate's outline (column ``geometry``) becomes GeoJSON.
+    """
     reviewed = evidence.join(
         reviews.select("candidate_id", "decision", "note", "created_at", "updated_at"), "candidate_id", "left"
     ).join(centroids, ["aoi_id", "birth_k", "birth_no"], "left")
     run = F.col("primary_run")
     observation = lambda o: F.struct(
-        o["acq_id"].alias("acquisition_id"), o["ts"].alias("acquisition_datetime"), o["aoi_id"].alias("aoi_id"),
+        o["ts"].alias("acquisition_datetime"), o["acq_id"].alias("acquisition_id"), o["aoi_id"].alias("aoi_id"),
+        o["bands"].alias("bands"), o["cloud_cover"].alias("cloud_cover"),
         o["cloud_fraction"].alias("cloud_fraction"), o["collection"].alias("collection"),
         o["display_available"].alias("display_available"), o["invalid_fraction"].alias("invalid_fraction"),
-        o["item_id"].alias("item_id"), o["masking_method"].alias("masking_method"),
+        o["item_id"].alias("item_id"), o["masking_method"].alias("masking_method"), o["mgrs_tile"].alias("mgrs_tile"),
         o["state"].alias("observation_state"), o["mask_available"].alias("quality_mask_available"),
         o["processing_version"].alias("quality_processing_version"), o["reason"].alias("quality_reason"),
         o["shadow_fraction"].alias("shadow_fraction"), o["usable_fraction"].alias("usable_pixel_fraction"),
@@ -136,6 +141,7 @@ def snapshots(evidence: DataFrame, reviews: DataFrame, centroids: DataFrame) ->
         "centroid": F.struct(F.col("centroid.y").alias("latitude"), F.col("centroid.x").alias("longitude")),
         "detection_summary": summary,
         "export_version": F.lit(EXPORT_VERSION),
+        "geometry": F.parse_json(geometry.multi_geojson(F.col("geometry"))),
         "observation_quality": F.struct(
             "is_quality_limited", "quality_limits", F.col("alignment").alias("spatial_alignment")
         ),

@@ -1,4 +1,12 @@
-"""Region outlines: pixel sets to polygons with holes."""
+"""Region outlines: pixel sets to polygons with holes.
+
+Sides between pixels of a region cancel in a distributed sum. What is left is cut into tiles, and
+each tile links its sides to chains in an Arrow function. Chains that leave their tile are put in order by
+pointer doubling over chain rows, so the number of rounds grows with the logarithm of the chains of a ring,
+and neither the sides nor the chains of a region ever meet in one task. Areas, corners and boxes are
+sums over chains. A hole finds its polygon by the next upright side to the right of its top. Only
+the finished outline, corners alone, is one value per polygon.
+"""
 
 from __future__ import annotations
 
@@ -8,18 +16,27 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.functions import geometry
+from landshift.operators.skew import number_buckets
 from landshift.schemas import RINGS
+from landshift.session import materialize
 
 cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = ["aoi_id", "k", "region_no"]
+SIDE = 512  # tiles whose sides are linked in one step
+BAND = 64  # grid rows per slice when the polygons of a region are numbered
+CHAIN = (
+    "chain bigint, entry_row int, entry_col int, entry_dir int, saddle boolean, exit_row int, exit_col int, exit_dir int, closed boolean, "
+    "points array<struct<y:int,x:int>>, doubled bigint, corners bigint, top struct<y:int,x:int>, "
+    "uprights array<struct<col:int,low:int,high:int>>, box struct<left:int,top:int,right:int,bottom:int>"
+)
 
 
-def outline_edges(region_pixels: DataFrame) -> DataFrame:
+def outline_edges(region_pixels: DataFrame, keys: list[str] = KEY) -> DataFrame:
     """Directed boundary edges with the region on their right.
 
     Every pixel emits its four sides; a side shared by two pixels of the region is
@@ -34,144 +51,247 @@ def outline_edges(region_pixels: DataFrame) -> DataFrame:
 
     sides = F.array(edge(True, r, c, 1), edge(True, r + 1, c, -1), edge(False, r, c, -1), edge(False, r, c + 1, 1))
     return (
-        region_pixels.select(*KEY, F.explode(sides).alias("e"))
-        .groupBy(*KEY, "e.horizontal", "e.row", "e.col")
+        region_pixels.select(*keys, F.explode(sides).alias("e"))
+        .groupBy(*keys, "e.horizontal", "e.row", "e.col")
         .agg(F.sum("e.sign").alias("sign"))
         .where("sign <> 0")
     )
 
 
-def _successors(
-    group: np.ndarray, horizontal: np.ndarray, row: np.ndarray, col: np.ndarray, forward: np.ndarray
-) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Start vertices, and for every edge the one that follows it in its group."""
-    d_row = np.where(horizontal, 0, np.where(forward, 1, -1))
-    d_col = np.where(horizontal, np.where(forward, 1, -1), 0)
-    start_row = row + (~horizontal & ~forward)
-    start_col = col + (horizontal & ~forward)
-    width, height = int(col.max()) + 2, int(row.max()) + 2
-    start = (group * height + start_row) * width + start_col
-    end = start + d_row * width + d_col
+def _chains(row: np.ndarray, col: np.ndarray, way: np.ndarray, home: np.ndarray) -> dict[str, np.ndarray]:
+    """Sides of many tiles linked to chains.
+
+    A side starts at (row, col) and goes one step ``way`` (0 right, 1 down, 2 left, 3 up); ``home`` is its tile,
+    and equal for sides that may follow each other. Returns sides in the order of chains, with bounds of the chains.
+    """
+    n = len(row)
+    end_row, end_col = row + (way == 1) - (way == 3), col + (way == 0) - (way == 2)
+    low_row, low_col = row.min() - 1, col.min() - 1
+    height, width = int(row.max() - low_row) + 2, int(col.max() - low_col) + 2
+    spot = lambda r, c: (home * height + (r - low_row)) * width + (c - low_col)
+    start, end = spot(row, col), spot(end_row, end_col)
     order = np.argsort(start, kind="stable")
-    at = np.searchsorted(start[order], end)
-    first = order[at]
-    second = order[np.minimum(at + 1, len(order) - 1)]
-    # Where two edges leave a vertex, the right turn stays with the same pixel.
-    right = (d_row[second] == d_col) & (d_col[second] == -d_row) & (start[second] == end)
-    return start_row, start_col, np.where(right, second, first)
-
-
-def _rings(following: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Least edge of every edge's ring, and its steps from there to the ring's end, by pointer doubling."""
-    least, jump, reach = np.arange(len(following)), following, 1
-    while reach < len(following):
+    sorted_start = start[order]
+    at = np.minimum(np.searchsorted(sorted_start, end), n - 1)
+    met = sorted_start[at] == end
+    first, second = order[at], order[np.minimum(at + 1, n - 1)]
+    # Where two sides leave a corner, the right turn stays with the same pixel.
+    right = (start[second] == end) & (way[second] == (way + 1) % 4)
+    following = np.where(met, np.where(right, second, first), -1)
+    two = np.zeros(n, dtype=bool)
+    same = np.flatnonzero(sorted_start[1:] == sorted_start[:-1])
+    two[order[same]] = two[order[same + 1]] = True
+    leads = np.ones(n, dtype=bool)
+    leads[following[following >= 0]] = False
+    # Least side and distance to the end of each chain or ring, by pointer doubling.
+    last = following < 0
+    jump, least = np.where(last, np.arange(n), following), np.arange(n)
+    reach = 1
+    while reach < n:
         least = np.minimum(least, least[jump])
         jump, reach = jump[jump], 2 * reach
-    last = following == least
-    steps, jump = np.where(last, 0, 1), np.where(last, np.arange(len(following)), following)
-    while (jump != jump[jump]).any():
-        steps = steps + steps[jump]
-        jump = jump[jump]
-    return least, steps
+        if np.array_equal(least, least[jump]) and np.array_equal(jump, jump[jump]):
+            break
+    ring = ~last[jump]
+    stop = np.where(ring, least, jump)  # a ring is cut in front of its least side
+    ends = last | (ring & (following == least))
+    steps, hop = np.where(ends, 0, 1), np.where(ends, np.arange(n), following)
+    while not np.array_equal(hop, hop[hop]):
+        steps = steps + steps[hop]
+        hop = hop[hop]
+    order = np.lexsort((-steps, np.where(ring, stop, hop), ring))
+    opens = np.flatnonzero(np.concatenate([[True], np.diff(np.where(ring, n + stop, hop)[order]) != 0]))
+    return {"order": order, "opens": opens, "ring": ring[order][opens], "two": two[order][opens], "end_row": end_row, "end_col": end_col}
+
 
+def _chain_batches(keys: list[str]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if batch.num_rows == 0:
+                continue
+            lists = batch.column("edges")
+            edges = lists.flatten()
+            field = lambda name: edges.field(name).to_numpy(zero_copy_only=False)
+            home = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
+            row, col, way = (field(c).astype(np.int64) for c in ("row", "col", "way"))
+            linked = _chains(row, col, way, home)
+            order, opens, closed = linked["order"], linked["opens"], linked["ring"]
+            y, x, d = row[order], col[order], way[order]
+            end_y, end_x = linked["end_row"][order], linked["end_col"][order]
+            n, closes = len(order), np.append(opens[1:], len(order)) - 1
+            size = closes - opens + 1
+            chain = np.repeat(np.arange(len(opens)), size)
+            before = np.arange(n) - 1
+            before[opens] = closes  # of rings; where an open chain begins is told later
+            turn = d[before] != d
+            turn[opens[~closed]] = True
+            doubled = np.add.reduceat(x * end_y - end_x * y, opens)
+            position = np.lexsort((x, y, chain))[opens]
+            top_y, top_x = y[position], x[position]
+            least = lambda v: np.minimum.reduceat(v, opens)
+            most = lambda v: np.maximum.reduceat(v, opens)
+            kept = np.flatnonzero(turn)
+            per = np.bincount(chain[kept], minlength=len(opens))
+            # Upright runs: sides that go on in the same direction.
+            upright = d % 2 == 1
+            begins = upright & (turn | (np.arange(n) == opens[chain]))
+            fresh, run_id = np.flatnonzero(begins), np.cumsum(begins) - 1
+            rows_of = np.where(d == 1, y, end_y)
+            low = np.full(len(fresh), np.iinfo(np.int64).max)
+            high = np.full(len(fresh), -1)
+            np.minimum.at(low, run_id[upright], rows_of[upright])
+            np.maximum.at(high, run_id[upright], rows_of[upright] + 1)
+            uprights = np.bincount(chain[fresh], minlength=len(opens))
+            struct = lambda **columns: pa.StructArray.from_arrays([pa.array(v.astype(np.int32)) for v in columns.values()], names=list(columns))
+            nested = lambda counts, values: pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), type=pa.int32()), values)
+            i32 = lambda v: pa.array(v.astype(np.int32))
+            columns = {
+                **{k: batch.column(k).take(pa.array(home[order][opens])) for k in keys},
+                "chain": pa.array((y[opens] << 33) + (x[opens] << 2) + d[opens]),
+                "entry_row": i32(y[opens]), "entry_col": i32(x[opens]), "entry_dir": i32(d[opens]), "saddle": pa.array(linked["two"]),
+                "exit_row": i32(end_y[closes]), "exit_col": i32(end_x[closes]), "exit_dir": i32(d[closes]), "closed": pa.array(closed),
+                "points": nested(per, struct(y=y[kept], x=x[kept])), "doubled": pa.array(doubled),
+                "corners": pa.array(per - ~closed), "top": struct(y=top_y, x=top_x),
+                "uprights": nested(uprights, struct(col=x[fresh], low=low, high=high)),
+                "box": struct(left=least(x), top=least(y), right=most(x), bottom=most(y)),
+            }
+            yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
-def _doubled_area(ring: np.ndarray) -> int:
-    """Twice the signed area of a closed ring; negative for holes."""
-    x, y = ring[:, 0], ring[:, 1]
-    return int((x[:-1] * y[1:] - x[1:] * y[:-1]).sum())
+    return run
 
 
-def _corners(x: np.ndarray, y: np.ndarray, ring: np.ndarray) -> np.ndarray:
-    """Flags of the points, in ring order, at which a ring turns."""
-    opens = np.flatnonzero(np.diff(ring, prepend=-1))
-    closes = np.append(opens[1:], len(ring)) - 1
-    before, after = np.arange(len(ring)) - 1, np.arange(len(ring)) + 1
-    before[opens], after[closes] = closes, opens
-    return (x[before] + x[after] != 2 * x) | (y[before] + y[after] != 2 * y)
+def chains(pixels: DataFrame, keys: list[str] = KEY, side: int = SIDE) -> DataFrame:
+    """The outline of each pixel set, cut into the chains of its tiles."""
+    edge = outline_edges(pixels, keys)
+    across, ahead = F.col("horizontal"), F.col("sign") > 0
+    way = F.when(across, F.when(ahead, 0).otherwise(2)).otherwise(F.when(ahead, 1).otherwise(3))
+    sided = edge.select(
+        *keys, (F.col("row") + F.when(~across & ~ahead, 1).otherwise(0)).alias("row"),
+        (F.col("col") + F.when(across & ~ahead, 1).otherwise(0)).alias("col"), way.alias("way"),
+    )
+    tiled = sided.groupBy(*keys, F.floor(F.col("row") / side).alias("_tr"), F.floor(F.col("col") / side).alias("_tc")).agg(
+        F.collect_list(F.struct("row", "col", "way")).alias("edges")
+    )
+    kinds = ", ".join(f"{k} {pixels.schema[k].dataType.simpleString()}" for k in keys)
+    return tiled.select(*keys, "edges").mapInArrow(_chain_batches(keys), f"{kinds}, {CHAIN}")
 
 
-def _owners(top: np.ndarray, group: np.ndarray, row: np.ndarray, col: np.ndarray, ring: np.ndarray, hole: np.ndarray) -> np.ndarray:
-    """Outer ring of every ring.
+def _doubled(ranked: DataFrame, keys: list[str], steps: int) -> DataFrame:
+    """One doubling: each chain looks as far again along its ring."""
+    ahead = ranked.select(*keys, F.col("chain").alias("jump"), F.col("jump").alias("_jump"), F.col("low").alias("_low"), F.col("at").alias("_at"))
+    lower = F.col("_low") < F.col("low")
+    return ranked.join(ahead, [*keys, "jump"]).select(
+        *keys, "chain", F.col("_jump").alias("jump"), F.least("low", "_low").alias("low"),
+        F.when(lower, F.col("_at") + steps).otherwise(F.col("at")).alias("at"), "turns", (F.col("changed") | lower).alias("changed"),
+    )
+
 
-    From the pixel above the topmost side of a hole, the next vertical side to the right bounds
-    the same polygon. It is part of the outer ring or of a hole further right. ``group``, ``row``,
-    ``col`` and ``ring`` describe the vertical sides, ``top`` has group, row and column of that pixel.
+def ring_order(linked: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The ring (its least chain) of every open chain and the steps from there to that chain.
+
+    ``linked`` has for each chain the next one (``jump``). A round doubles the look-ahead twice.
     """
-    key = np.lexsort((col, row, group))
-    height, width = int(max(row.max(), top[:, 1].max())) + 2, int(max(col.max(), top[:, 2].max())) + 3
-    flat = (group * height + row) * width + col
-    wanted = (top[:, 0] * height + top[:, 1]) * width + top[:, 2] + 1
-    owner = np.arange(len(hole))
-    at = np.minimum(np.searchsorted(flat[key], wanted[hole]), len(key) - 1)
-    owner[hole] = ring[key][at]
-    while hole[owner].any():
-        owner = owner[owner]
-    return owner
-
-
-def _outline_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        if batch.num_rows == 0:
-            continue
-        lists = batch.column("edges")
-        edges = lists.flatten()
-        field = lambda name: edges.field(name).to_numpy(zero_copy_only=False)
-        group = np.repeat(np.arange(batch.num_rows), np.diff(lists.offsets.to_numpy()))
-        start_row, start_col, following = _successors(
-            group, field("horizontal"), field("row").astype(np.int64), field("col").astype(np.int64), field("sign") > 0
-        )
-        least, steps = _rings(following)
-        order = np.lexsort((-steps, least))
-        names, ring = np.unique(least[order], return_inverse=True)
-        x, y = start_col[order], start_row[order]
-        turn = _corners(x, y, ring)
-        x, y, ring = x[turn], y[turn], ring[turn]
-        bounds = np.searchsorted(ring, np.arange(len(names) + 1))
-        parts = [np.stack([x[a:b], y[a:b]], axis=1) for a, b in zip(bounds[:-1], bounds[1:])]
-        parts = [np.concatenate([p, p[:1]]) for p in parts]
-        hole = np.array([_doubled_area(p) < 0 for p in parts])
-        top = np.array([[group[n], t[1] - 1, t[0]] for n, p in zip(names, parts) for t in [p[np.lexsort((p[:, 0], p[:, 1]))[0]]]])
-        upright = ~field("horizontal")
-        place = np.searchsorted(names, least)
-        owner = _owners(
-            top, group[upright], field("row").astype(np.int64)[upright], field("col").astype(np.int64)[upright], place[upright], hole
-        )
-        found: dict[int, list[np.ndarray]] = {i: [parts[i]] for i in np.flatnonzero(~hole)}
-        for i in np.flatnonzero(hole):
-            found[owner[i]].append(parts[i])
-        numbers: dict[int, int] = {}
-        polygons = []
-        for i in sorted(found):
-            region = int(group[names[i]])
-            numbers[region] = numbers.get(region, 0) + 1
-            polygons.append((region, numbers[region], found[i]))
-        flat = [ring for _, _, p in polygons for ring in p]
-        points = np.concatenate(flat).astype(np.float64)
-        ends = lambda sizes: pa.array(np.concatenate([[0], np.cumsum(sizes)]), type=pa.int32())
-        xy = pa.StructArray.from_arrays([pa.array(points[:, 0].copy()), pa.array(points[:, 1].copy())], names=["x", "y"])
-        nested = pa.ListArray.from_arrays(
-            ends([len(p) for _, _, p in polygons]), pa.ListArray.from_arrays(ends([len(r) for r in flat]), xy)
-        )
-        rows = pa.array([i for i, _, _ in polygons])
-        names = [n for n in batch.schema.names if n != "edges"]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column(n).take(rows) for n in names]
-            + [pa.array([n for _, n, _ in polygons], type=pa.int32()), nested],
-            names=[*names, "polygon_no", "rings"],
-        )
+    ranked = materialize(
+        linked.select(*keys, "chain", "jump", F.col("chain").alias("low"), F.lit(0).cast("bigint").alias("at"), "turns", F.lit(True).alias("changed")), "ring-ends"
+    )
+    steps = 1
+    while not ranked.where("changed").isEmpty():
+        fresh = ranked.withColumn("changed", F.lit(False))
+        ranked = materialize(_doubled(_doubled(fresh, keys, steps), keys, 2 * steps), "ring-order")
+        steps *= 4
+    return ranked.select(*keys, "chain", F.col("low").alias("ring"), "at", "turns")
 
 
-def polygonize(region_pixels: DataFrame) -> DataFrame:
-    """Polygons in pixel-corner coordinates (x = column, y = row).
+def rings(pixels: DataFrame, keys: list[str] = KEY, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
+    """(chains with their ring and place, rings with area, corners, top and box)."""
+    found = materialize(chains(pixels, keys, side), "chains")
+    loose = found.where("not closed")
+    placed = found.where("closed").withColumns({"ring": F.col("chain"), "at": F.lit(0).cast("bigint"), "turns": F.lit(True)})
+    if not loose.isEmpty():
+        ends = loose.select(*keys, "chain", F.col("exit_row").alias("entry_row"), F.col("exit_col").alias("entry_col"), "exit_dir")
+        starts = loose.select(*keys, F.col("chain").alias("jump"), "entry_row", "entry_col", "entry_dir", "saddle")
+        fits = ~F.col("saddle") | (F.col("entry_dir") == (F.col("exit_dir") + 1) % 4)
+        linked = ends.join(starts, [*keys, "entry_row", "entry_col"]).where(fits)
+        # Whether the ring turns where it enters the next chain.
+        entered = linked.select(*keys, F.col("jump").alias("chain"), (F.col("entry_dir") != F.col("exit_dir")).alias("turns"))
+        order = ring_order(linked.select(*keys, "chain", "jump").join(entered, [*keys, "chain"]), keys)
+        placed = placed.unionByName(loose.join(order, [*keys, "chain"]).select(*placed.columns))
+    placed = placed.withColumn("corners", F.col("corners") + F.when(~F.col("closed") & F.col("turns"), 1).otherwise(0))
+    stored = materialize(placed, "ring-chains")
+    figures = stored.groupBy(*keys, "ring").agg(
+        F.sum("doubled").alias("doubled"), F.sum("corners").alias("corners"), F.min("top").alias("top"),
+        F.min("box.left").alias("left"), F.max("box.right").alias("right"), F.max("box.bottom").alias("bottom"),
+    )
+    return stored, materialize(figures, "rings")
 
-    Pixels that touch only at a corner give separate polygons of one region. Sides between
-    pixels cancel in a distributed sum; what is left of a region, its outline, forms one row,
-    which is as long as the polygons that come out of it. Sizes and tiles change nothing.
+
+def hole_owners(stored: DataFrame, figures: DataFrame, keys: list[str] = KEY) -> DataFrame:
+    """The outer ring around each hole: (keys, ring, owner).
+
+    From the pixel above the top of a hole the next upright side to the right bounds the same polygon. It is
+    part of the outer ring or of a hole further right, whose owner is then the same.
     """
-    rows = outline_edges(region_pixels).groupBy(*KEY).agg(
-        F.array_sort(F.collect_list(F.struct("row", "col", "horizontal", "sign"))).alias("edges")
+    holes = figures.where("doubled < 0")
+    asked = holes.select(*keys, F.col("ring").alias("hole"), (F.col("top.y") - 1).alias("row"), (F.col("top.x") + 1).alias("col"))
+    upright = stored.join(holes.select(*keys).distinct(), keys, "left_semi").select(*keys, "ring", F.inline("uprights")).select(
+        *keys, "ring", "col", F.explode(F.sequence(F.col("low"), F.col("high") - 1)).alias("row")
+    )
+    met = upright.join(asked.select(*keys, "row").distinct(), [*keys, "row"], "left_semi").select(
+        *keys, "row", "col", F.lit(None).cast("bigint").alias("hole"), "ring"
+    )
+    lines = met.unionByName(asked.withColumn("ring", F.lit(None).cast("bigint")).select(*met.columns))
+    line = Window.partitionBy(*keys, "row").orderBy("col", F.col("hole").asc_nulls_last()).rowsBetween(1, Window.unboundedFollowing)
+    owners = lines.withColumn("owner", F.first("ring", ignorenulls=True).over(line)).where("hole is not null").select(
+        *keys, F.col("hole").alias("ring"), "owner"
     )
-    return rows.mapInArrow(_outline_batches, f"aoi_id bigint, k int, region_no bigint, polygon_no int, rings {RINGS}")
+    owners = materialize(owners, "hole-owners")
+    while True:
+        ahead = owners.select(*keys, F.col("ring").alias("owner"), F.col("owner").alias("_next"))
+        if owners.join(ahead, [*keys, "owner"], "left_semi").isEmpty():
+            return owners
+        owners = materialize(
+            owners.join(ahead, [*keys, "owner"], "left").select(*keys, "ring", F.coalesce("_next", "owner").alias("owner")), "hole-owners"
+        )
+
+
+def polygonize(pixels: DataFrame, keys: list[str] = KEY, side: int = SIDE) -> DataFrame:
+    """Polygons in pixel-corner coordinates (x = column, y = row): keys, polygon_no, rings.
+
+    ``pixels`` are distinct (keys, row, col). Pixels that touch only at a corner give separate polygons of one
+    region. Rings begin at their top left corner; polygons are numbered in raster order of these. Sizes and tiles change nothing.
+    """
+    stored, figures = rings(pixels, keys, side)
+    # Open chains begin with their entry, which is a corner only where the ring turns there.
+    own = F.when(F.col("closed") | F.col("turns"), F.col("points")).otherwise(F.slice("points", 2, F.size("points")))
+    ordered = F.array_sort(F.collect_list(F.struct((F.col("at") > 0).alias("later"), (-F.col("at")).alias("place"), own.alias("own"))))
+    corners = stored.groupBy(*keys, "ring").agg(F.flatten(F.transform(ordered, lambda c: c["own"])).alias("p"))
+    first = F.array_position("p", F.array_min("p")).cast("int")
+    turned = F.concat(F.slice("p", first, F.size("p")), F.slice("p", F.lit(1), first))
+    shown = F.transform(turned, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
+    outlined = corners.select(*keys, "ring", shown.alias("outline")).join(figures.select(*keys, "ring", "top", "doubled"), [*keys, "ring"])
+    if figures.where("doubled < 0").isEmpty():
+        owned = outlined.withColumn("owner", F.col("ring"))
+    else:
+        owners = hole_owners(stored, figures, keys)
+        owned = outlined.join(owners, [*keys, "ring"], "left").withColumn("owner", F.coalesce("owner", "ring"))
+    part = F.struct((F.col("doubled") < 0).alias("hole"), "top", "outline")
+    whole = owned.groupBy(*keys, "owner").agg(F.transform(F.array_sort(F.collect_list(part)), lambda q: q["outline"]).alias("rings"))
+    shells = figures.where("doubled > 0").select(*keys, F.col("ring").alias("owner"), "top", F.floor(F.col("top.y") / BAND).alias("_band"))
+    numbers = number_buckets(shells, keys, ["_band"], ["top"], "polygon_no").select(*keys, "owner", F.col("polygon_no").cast("int").alias("polygon_no"))
+    return numbers.join(whole, [*keys, "owner"]).select(*keys, "polygon_no", "rings")
+
+
+def track_outlines(track_pixels: DataFrame, grids: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
+    """The dissolved regions of each track as polygons in longitude and latitude: keys, geometry.
+
+    ``track_pixels`` are the distinct pixels of the regions, ``grids`` has one header per AOI. Outer rings run
+    counter-clockwise on the map.
+    """
+    found = polygonize(track_pixels, keys, side).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("polygon_no", "rings"))).alias("p"))
+    t = F.col("grid.transform")
+    place = lambda p: geometry.from_utm(t[2] + p["x"] * t[0] + p["y"] * t[1], t[5] + p["x"] * t[3] + p["y"] * t[4], F.col("grid.crs"))
+    outline = F.transform("p", lambda q: F.transform(q["rings"], lambda r: F.reverse(F.transform(r, place))))
+    return found.join(grids.select("aoi_id", "grid"), "aoi_id").select(*keys, outline.alias("geometry"))
 
 
 def georeference(polygons: DataFrame, grids: DataFrame) -> DataFrame:

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.config import DECISIONS, OBSERVATION_STATES
-from landshift.functions import text
+from landshift.functions import geometry, text
+from landshift.sources.tables import aoi_verdict
 
 
 def missing_references(rows: DataFrame, column: str, target: DataFrame, key: str) -> DataFrame:
@@ -35,11 +36,13 @@ def audit_candidates(
     aois: DataFrame,
     runs: DataFrame,
     located: DataFrame,
+    boundary: DataFrame | None = None,
 ) -> DataFrame:
     """Violations of the provenance rules.
 
     ``located`` lists the candidates with a pixel inside their AOI. Id arrays of a
-    candidate are as short as its track, so exploding them is safe.
+    candidate are as short as its track, so exploding them is safe. With a ``boundary`` (one row, rings) outlines
+    have to be there and inside it, and so do the AOIs, whose rings are then longitudes and latitudes.
     """
     facts = signals.select(
         "analysis_id", "signal_id",
@@ -70,9 +73,26 @@ def audit_candidates(
         _broken(ends.where(outside), "foreign acquisition", F.col("run_id")),
         _broken(ends.where("before_acq = after_acq"), "identical acquisitions", F.col("run_id")),
     ]
+    if boundary is not None:
+        checks += _place_checks(candidates, homes, aois, boundary)
     return reduce(DataFrame.unionByName, checks)
 
 
+def _place_checks(candidates: DataFrame, homes: DataFrame, aois: DataFrame, boundary: DataFrame) -> list[DataFrame]:
+    domain = F.col("_domain")
+    shaped = candidates.select("candidate_id", "geometry").withColumn("_domain", boundary.scalar())
+    missing = F.col("geometry").isNull() | (F.size("geometry") == 0)
+    inside = F.forall("geometry", lambda rings: geometry.covers(domain, rings))
+    verdicts = aois.select("aoi_id", "rings").withColumn("_domain", boundary.scalar()).select(
+        "aoi_id", aoi_verdict(F.col("rings"), domain).alias("verdict")
+    )
+    return [
+        _broken(shaped.where(missing), "empty geometry", F.lit("")),
+        _broken(shaped.where(~missing & ~inside), "outside domain", F.lit("")),
+        _broken(homes.join(verdicts.where("verdict <> 'valid'"), "aoi_id"), "AOI not accepted", F.col("verdict")),
+    ]
+
+
 def _rule(rows: DataFrame, name: str, key) -> DataFrame:
     return rows.select(F.lit(name).alias("rule"), key.cast("string").alias("key"))
 

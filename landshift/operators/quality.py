@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landshift.config import MASKING_METHOD, PROCESSING_VERSION, Policy
 from landshift.functions import history, spectral
+from landshift.operators.skew import join_headers
 
 KEYS = ["aoi_id", "acq_id"]
 CLASSES = ("invalid", "cloud", "shadow", "usable")
@@ -93,7 +94,7 @@ def resample_nearest(target: DataFrame, source: DataFrame, grids: DataFrame) ->
     t, s = F.col("target_grid.transform"), F.col("source_grid.transform")
     x = t[2] + (F.col("col") + 0.5) * t[0]
     y = t[5] + (F.col("row") + 0.5) * t[4]
-    keyed = target.join(grids, KEYS).select(
+    keyed = join_headers(target, grids).select(
         *KEYS,
         "row",
         "col",

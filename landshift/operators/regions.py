@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.config import DETECTOR_VERSION, PROCESSING_VERSION, Policy
-from landshift.functions import geometry, spectral
-from landshift.operators import change
+from landshift.functions import spectral
+from landshift.operators import change, reuse
 from landshift.operators.components import (
     SCOPE, connect_fragments, explode_pixels, key_col, key_row, label_tiles, with_region_key,
 )
-from landshift.operators.skew import SALTS, number_buckets
+from landshift.operators.skew import join_headers, number_buckets
 from landshift.session import materialize
+from landshift.sources.pixel_store import within_scenes
 
 # Rows of the grid per numbering slice: bounds a slice whatever the region count.
 NUMBER_BAND = 64
@@ -31,36 +32,49 @@ class Detection:
     runs: DataFrame
     # Intervals that must not be compared (aoi_id, k, before_acq, after_acq, rule); in no run.
     violations: DataFrame
+    # Region pixels of reused intervals, as ``region_pixels`` gives them.
+    reused_pixels: DataFrame | None = None
 
     def region_pixels(self) -> DataFrame:
         """Pixels of the kept regions. The join key is a tile fragment, hence bounded."""
         kept = self.fragments.select(*SCOPE, "label", "region_key", "region_no", "pixel_count")
-        return explode_pixels(self.tiles).join(kept, [*SCOPE, "label"]).drop("label")
+        made = explode_pixels(self.tiles).join(kept, [*SCOPE, "label"]).drop("label")
+        return made if self.reused_pixels is None else made.unionByName(self.reused_pixels.select(*made.columns))
+
+    def region_areas(self) -> DataFrame:
+        """Equal-area size of every kept region, summed over its pixels."""
+        return self.region_pixels().groupBy(*SCOPE, "region_no").agg(F.sum("area").alias("area_m2"))
 
     def track_pixels(self, tracks: DataFrame) -> DataFrame:
         """Distinct pixels of each track: the union of its regions."""
         born = self.fragments.join(tracks, [*SCOPE, "region_no"]).select(
             *SCOPE, "label", "birth_k", "birth_no"
         )
-        pixels = explode_pixels(self.tiles).join(born, [*SCOPE, "label"])
-        return pixels.select("aoi_id", "birth_k", "birth_no", "row", "col").distinct()
+        columns = ["aoi_id", "birth_k", "birth_no", "row", "col"]
+        pixels = explode_pixels(self.tiles).join(born, [*SCOPE, "label"]).select(*columns)
+        if self.reused_pixels is not None:
+            salted = self.reused_pixels.select(*SCOPE, "region_no", "row", "col")
+            pixels = pixels.unionByName(join_headers(salted, tracks.select(*SCOPE, "region_no", *columns[1:3]), (*SCOPE, "region_no")).select(*columns))
+        return pixels.distinct()
 
 
-def pixel_areas(pixels: DataFrame, grids: DataFrame | None) -> DataFrame:
-    """Add ``area``: equal-area square metres per pixel.
+@dataclass(frozen=True)
+class Store:
+    """Detection results of earlier jobs, by the scenes they compare and not by interval numbers."""
+
+    runs: DataFrame
+    regions: DataFrame
+    pixels: DataFrame
 
-    ``grids`` has one header per interval; a salt spreads a large scene over many tasks.
-    Without grid headers the nominal 10 m pixel is used.
-    """
-    if grids is None:
-        return pixels.withColumn("area", F.lit(100.0))
-    t = F.col("grid.transform")
-    x = t[2] + F.col("col") * t[0]
-    y = t[5] + F.col("row") * t[4]
-    area = geometry.pixel_area_m2(x, y, F.abs(t[0]), F.abs(t[4]), F.col("grid.crs"))
-    salt = F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)).cast("int")
-    copies = grids.select(*SCOPE, "grid", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("_salt"))
-    return pixels.withColumn("_salt", salt).join(copies, [*SCOPE, "_salt"]).withColumn("area", area).drop("grid", "_salt")
+
+PAIR = ["aoi_id", "before_acq", "after_acq"]
+
+
+def to_store(found: Detection) -> Store:
+    """What a later job needs to reuse the intervals of this one."""
+    ends = found.runs.select(*SCOPE, "before_acq", "after_acq")
+    by_pair = lambda rows: rows.join(ends, SCOPE).drop("k", "run_id", "region_id")
+    return Store(found.runs.drop("k"), by_pair(found.regions), by_pair(found.region_pixels()))
 
 
 def fragment_stats(pixels: DataFrame) -> DataFrame:
@@ -167,11 +181,16 @@ def detect(
     policy: Policy = Policy(),
     equal_area: bool = True,
     aois: DataFrame | None = None,
+    store: Store | None = None,
 ) -> Detection:
     """Change regions and runs for all neighbouring observations of all AOIs.
 
     Intervals whose headers forbid a comparison, and those without one usable pixel in
     common, are told as violations and give neither runs nor regions.
+
+    With a ``store``, only intervals without a reusable run in it are detected, and only pixels of
+    scenes at their ends are read. Stored runs and regions take the numbers that their intervals have
+    today, so the result is that of a full detection.
     """
     optional = [c for c in ("processing_version", "mask_grid") if c in acquisitions.columns]
     ordered = change.sequence(change.eligible(acquisitions)).select(
@@ -179,20 +198,26 @@ def detect(
     )
     checked = materialize(change.comparisons(ordered, aois, policy), "intervals")
     refused = checked.where(F.col("rule").isNotNull())
-    pairs = checked.where(F.col("rule").isNull()).drop("rule")
-    allowed = pairs.select("aoi_id", F.col("k").alias("seq"), F.lit(True).alias("opens"))
+    allowed = checked.where(F.col("rule").isNull()).drop("rule")
+    pairs, reused = allowed, None
+    if store is not None:
+        known = reuse.reusable_runs(store.runs, acquisitions, policy).select(*PAIR)
+        reused = materialize(allowed.join(known, PAIR, "left_semi"), "reused-intervals")
+        pairs = allowed.join(known, PAIR, "left_anti")
+        ends = pairs.select("aoi_id", F.explode(F.array("before_acq", "after_acq")).alias("acq_id")).distinct()
+        pixels = within_scenes(pixels, ends)
+    opened = pairs.select("aoi_id", F.col("k").alias("seq"), F.lit(True).alias("opens"))
     sequenced = materialize(
-        ordered.join(allowed, ["aoi_id", "seq"], "left").withColumn("opens", F.coalesce("opens", F.lit(False))), "sequence"
+        ordered.join(opened, ["aoi_id", "seq"], "left").withColumn("opens", F.coalesce("opens", F.lit(False))), "sequence"
     )
     # The scene that opens an interval has its grid.
     headers = sequenced.where("opens").select("aoi_id", F.col("seq").alias("k"), "grid")
     tiles = materialize(
-        label_tiles(change.change_tiles(change.pixel_pairs(pixels, sequenced, policy), policy), policy),
+        label_tiles(change.change_tiles(change.pixel_pairs(pixels, sequenced, policy), policy), policy, headers if equal_area else None),
         "tiles",
     )
     stars = connect_fragments(tiles, policy)
-    changed = pixel_areas(explode_pixels(tiles), headers if equal_area else None)
-    fragments = materialize(with_region_key(fragment_stats(changed), stars), "fragments")
+    fragments = materialize(with_region_key(fragment_stats(explode_pixels(tiles)), stars), "fragments")
     regions = materialize(keep_regions(region_stats(fragments), policy), "regions")
     kept = fragments.join(
         regions.select(*SCOPE, "region_key", "region_no", "pixel_count"), [*SCOPE, "region_key"]
@@ -204,7 +229,17 @@ def detect(
         missing_comparisons(runs).select(*told, F.lit("no usable pixel").alias("rule"))
     )
     compared = runs.where(F.col("quality_valid_pixel_count") > 0)
-    return Detection(pairs, tiles, kept, regions, compared, violations)
+    if reused is None:
+        return Detection(pairs, tiles, kept, regions, compared, violations)
+    today = reused.select(*PAIR, "k", "run_id")
+    figures = [c for c in compared.columns if c not in allowed.columns]
+    old_runs = reused.join(store.runs.select(*PAIR, *figures), PAIR).select(*compared.columns)
+    numbered = store.regions.join(today, PAIR).withColumn("region_id", change.region_id(F.col("run_id"), F.col("region_no")))
+    old_pixels = materialize(join_headers(store.pixels, today.drop("run_id"), tuple(PAIR)).drop("before_acq", "after_acq"), "reused-pixels")
+    return Detection(
+        allowed, tiles, kept, materialize(regions.unionByName(numbered.select(*regions.columns)), "all-regions"),
+        materialize(compared.unionByName(old_runs), "all-runs"), violations, old_pixels,
+    )
 
 
 def missing_comparisons(runs: DataFrame) -> DataFrame:

@@ -36,9 +36,15 @@ def track_entries(tracks: DataFrame, regions: DataFrame, runs: DataFrame) -> Dat
     return tracks.join(sizes, [*SCOPE, "region_no"]).join(facts, SCOPE)
 
 
-def build_signals(tracks: DataFrame, regions: DataFrame, runs: DataFrame, policy: Policy = Policy()) -> DataFrame:
+def build_signals(
+    tracks: DataFrame, regions: DataFrame, runs: DataFrame, policy: Policy = Policy(), outlines: DataFrame | None = None
+) -> DataFrame:
     """One signal per track. A track has at most one region per interval, which bounds
-    every array here by the number of intervals."""
+    every array here by the number of intervals.
+
+    ``outlines`` (aoi_id, birth_k, birth_no, geometry) are the dissolved regions of the tracks; without
+    them signals have no column ``geometry``.
+    """
     fields = (
         "k", "region_id", "iou", "pixel_count", "run_id", "before_acq", "after_acq",
         "before_ts", "after_ts", "quality_support", "run_mean", "run_max", "mid_day",
@@ -60,6 +66,10 @@ def build_signals(tracks: DataFrame, regions: DataFrame, runs: DataFrame, policy
     gaps = history.gap_count(F.col("e.k"))
     intervals = F.col("interval_count")
     quality = total("quality_support")
+    shape = []
+    if outlines is not None:
+        numbered = numbered.join(outlines.select("aoi_id", "birth_k", "birth_no", "geometry"), ["aoi_id", "birth_k", "birth_no"], "left")
+        shape = ["geometry"]
     return numbered.select(
         F.col("aoi_id").alias("analysis_id"),
         "aoi_id",
@@ -89,6 +99,7 @@ def build_signals(tracks: DataFrame, regions: DataFrame, runs: DataFrame, policy
         F.col("e.region_id").alias("source_region_ids"),
         F.array_sort(F.array_distinct("e.run_id")).alias("detection_run_ids"),
         F.array_sort(F.array_distinct(F.concat("e.before_acq", "e.after_acq"))).alias("acquisition_ids"),
+        *shape,
     )
 
 

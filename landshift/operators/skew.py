@@ -39,6 +39,16 @@ def attach_group_values(
     return salted.join(per_salt, [*keys, "_salt"]).drop("_salt")
 
 
+def join_headers(pixels: DataFrame, headers: DataFrame, keys: tuple[str, ...] = ("aoi_id", "acq_id")) -> DataFrame:
+    """Pixels with the facts of their scene, on a salted key: a scene that holds most pixels is many join groups.
+
+    Where the planner broadcasts the headers, by the size of their files, the salt costs a copy per header.
+    """
+    salt = F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)).cast("int")
+    copies = headers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return pixels.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+
+
 def number_buckets(
     rows: DataFrame,
     keys: Sequence[str],

@@ -135,13 +135,18 @@ def review_violations(log: DataFrame) -> DataFrame:
     ).where(F.col("rule").isNotNull())
 
 
+def decided():
+    """Whether a log row may count: a known decision with a note that fits."""
+    return F.col("decision").isin(*DECISIONS, "unreviewed") & text.note_fits(F.col("note"))
+
+
 def current_reviews(log: DataFrame) -> DataFrame:
     """State of every reviewed candidate after its whole log.
 
     The newest decision wins. ``unreviewed`` deletes the review, so ``created_at`` is
     the first decision after the last reset.
     """
-    valid = log.where(F.col("decision").isin(*DECISIONS, "unreviewed") & text.note_fits(F.col("note")))
+    valid = log.where(decided())
     at = F.struct("ts", "log_id")
     marked = attach_group_values(
         valid, ["candidate_id"], ["log_id"],
@@ -197,25 +202,43 @@ def top_candidates(candidates: DataFrame, count: int = 5) -> DataFrame:
 
 def page_candidates(candidates: DataFrame, size: int = 20) -> DataFrame:
     """Page number and number of pages per candidate."""
-    pages = candidates.groupBy("analysis_id").agg(
-        F.ceil(F.max("rank") / size).cast("int").alias("pages")
-    )
-    return candidates.withColumn("page", F.ceil(F.col("rank") / size).cast("int")).join(pages, "analysis_id")
+    last = attach_group_values(candidates, ["analysis_id"], ["candidate_id"], {"_last": (F.max, F.col("rank"))})
+    number = lambda rank: F.ceil(F.col(rank) / size).cast("int")
+    return last.withColumns({"page": number("rank"), "pages": number("_last")}).drop("_last")
+
+
+KEPT = ("review_state", "created_at", "updated_at")
 
 
 def upsert_candidates(stored: DataFrame, triaged: DataFrame, now) -> DataFrame:
-    """Stored candidates after a new triage.
+    """Stored candidates after a new triage, with every field of it: figures, id lists, explanation and outline.
 
-    New figures replace old ones; ``created_at`` and the review state of a stored
+    New values replace old ones; ``created_at`` and the review state of a stored
     candidate stay, and candidates outside the new triage are untouched.
     """
-    figures = ["analysis_id", "signal_id", "score", "rank", "severity", "priority"]
-    old = stored.select("candidate_id", F.struct(*figures, "review_state", "created_at", "updated_at").alias("o"))
+    figures = [c for c in triaged.columns if c != "candidate_id" and c not in KEPT]
+    old = stored.select("candidate_id", F.struct(*figures, *KEPT).alias("o"))
     new = triaged.select("candidate_id", F.struct(*figures).alias("n"))
+    value = lambda c: F.when(F.col("n").isNotNull(), F.col(f"n.{c}")).otherwise(F.col(f"o.{c}"))
     return old.join(new, "candidate_id", "full_outer").select(
         "candidate_id",
-        *[F.coalesce(f"n.{c}", f"o.{c}").alias(c) for c in figures],
+        *[value(c).alias(c) for c in figures],
         F.coalesce("o.review_state", F.lit("unreviewed")).alias("review_state"),
         F.coalesce("o.created_at", now).alias("created_at"),
         F.when(F.col("n").isNotNull(), now).otherwise(F.col("o.updated_at")).alias("updated_at"),
     )
+
+
+def no_candidates(triaged: DataFrame) -> DataFrame:
+    """An empty table of stored candidates."""
+    moment = F.lit(None).cast("timestamp")
+    return triaged.where("false").withColumns({"review_state": F.lit(""), "created_at": moment, "updated_at": moment})
+
+
+def mirror_reviews(stored: DataFrame, reviews: DataFrame) -> DataFrame:
+    """Stored candidates that show the state of their reviews; a review that is gone leaves ``unreviewed``."""
+    decided = reviews.select("candidate_id", F.col("decision").alias("_state"), F.col("updated_at").alias("_at"))
+    state = F.coalesce("_state", F.lit("unreviewed"))
+    return stored.join(decided, "candidate_id", "left").withColumns({
+        "updated_at": F.when(state != F.col("review_state"), F.greatest("updated_at", "_at")).otherwise(F.col("updated_at")), "review_state": state,
+    }).select(*stored.columns)

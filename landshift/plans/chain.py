@@ -9,14 +9,17 @@ from __future__ import annotations
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from landshift.config import Policy
-from landshift.operators import change, quality, regions, signals, tracks, triage
+from landshift.operators import change, polygons, quality, regions, signals, tracks, triage
 from landshift.plans import fixtures
 from landshift.session import configure, materialize
+from landshift.sources import pixel_store, tables
 
 # The fixture grid is 20 pixels wide; tiles of 16 make regions cross tile borders.
 FIXTURE_POLICY = Policy(tile=16)
+TRACK_KEY = ["aoi_id", "birth_k", "birth_no"]
 
 
 class Chain:
@@ -27,9 +30,24 @@ class Chain:
         self.sf_dir = sf_dir
         self.policy = policy
 
+    @cached_property
+    def pixel_table(self) -> pixel_store.PixelTable:
+        """Pixels as delivered, over the whole grid of their scenes, clustered by tile."""
+        return pixel_store.write(fixtures.pixels(self.spark, self.sf_dir), self.policy.tile)
+
+    @cached_property
+    def raw_pixels(self) -> DataFrame:
+        return self.pixel_table.read(self.spark)
+
+    @cached_property
+    def aois(self) -> DataFrame:
+        return fixtures.aois(self.spark, self.sf_dir)
+
     @cached_property
     def pixels(self) -> DataFrame:
-        return materialize(fixtures.pixels(self.spark, self.sf_dir), "pixels")
+        """Pixels inside their AOI; the others count as nodata."""
+        clipped = tables.clip_to_aoi(self.raw_pixels.drop("tile_row", "tile_col", "tile_key"), self.scenes, self.aois)
+        return pixel_store.write(clipped, self.policy.tile).read(self.spark)
 
     @cached_property
     def scenes(self) -> DataFrame:
@@ -45,7 +63,7 @@ class Chain:
 
     @cached_property
     def detection(self) -> regions.Detection:
-        return regions.detect(self.pixels, self.acquisitions, self.policy, equal_area=False)
+        return regions.detect(self.pixels, self.acquisitions, self.policy, aois=self.aois)
 
     @cached_property
     def region_pixels(self) -> DataFrame:
@@ -53,16 +71,29 @@ class Chain:
 
     @cached_property
     def overlap(self) -> DataFrame:
-        return materialize(tracks.region_overlap(self.region_pixels, self.policy), "overlap")
+        return materialize(tracks.sweep(self.region_pixels, self.policy), "overlap")
 
     @cached_property
     def tracks(self) -> DataFrame:
         return materialize(tracks.track_regions(self.detection.regions, self.overlap), "tracks")
 
+    @cached_property
+    def grids(self) -> DataFrame:
+        """One grid header per AOI."""
+        return self.scenes.groupBy("aoi_id").agg(F.any_value("grid").alias("grid"))
+
+    @cached_property
+    def track_pixels(self) -> DataFrame:
+        return materialize(self.detection.track_pixels(self.tracks), "track-pixels")
+
+    @cached_property
+    def outlines(self) -> DataFrame:
+        return materialize(polygons.track_outlines(self.track_pixels, self.grids, TRACK_KEY), "outlines")
+
     @cached_property
     def signals(self) -> DataFrame:
         d = self.detection
-        return materialize(signals.build_signals(self.tracks, d.regions, d.runs, self.policy), "signals")
+        return materialize(signals.build_signals(self.tracks, d.regions, d.runs, self.policy, self.outlines), "signals")
 
     @cached_property
     def relationships(self) -> DataFrame:

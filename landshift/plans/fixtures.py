@@ -100,6 +100,8 @@ def scenes(spark: SparkSession, sf_dir: str) -> DataFrame:
                 F.lit(0), F.lit(0), F.lit(0),
             ).cast("timestamp").alias("ts"),
             grid(F.col("aoi_id")).alias("grid"),
+            (F.pmod(F.col("aoi_id") * 100 + F.col("acq"), F.lit(50)) / 2.0).alias("cloud_cover"),
+            F.concat(F.lit("43P"), F.element_at(F.array(*map(F.lit, "GHKM")), (F.pmod("aoi_id", F.lit(4)) + 1).cast("int"))).alias("mgrs_tile"),
         )
     )
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.config import Policy
-from landshift.operators import quality, reuse
+from landshift.operators import change, polygons, quality, regions, reuse, signals, tracks, triage
 from landshift.session import materialize
+from landshift.sources.pixel_store import within_scenes
 from landshift.sources.tables import clip_to_aoi
 
 KEYS = ["aoi_id", "acq_id"]
@@ -16,20 +17,16 @@ KEYS = ["aoi_id", "acq_id"]
 def acquire(pixels: DataFrame, scenes: DataFrame, aois: DataFrame, stored: DataFrame, policy: Policy = Policy()) -> DataFrame:
     """Observations of all discovered scenes, with their origin and the best per AOI.
 
-    Complete stored scenes are reused. The others are screened on the class band alone;
-    only scenes that pass have their bands read, clipped to the AOI and assessed. The
-    passing scene ids are a stage table of known size, so the planner can broadcast it
-    and prune the partitions of the pixel table with it.
+    Complete stored scenes are reused. The others are screened on the class band alone, inside their AOI;
+    only scenes that pass have their bands read, clipped to the AOI and assessed. Both reads tell the scan the
+    range of the scenes they want, which skips row groups of a clustered pixel table.
     """
     done, todo = reuse.split_reuse(scenes, stored)
-    screened = materialize(
-        quality.screen_scenes(pixels.select(*KEYS, "scl").join(todo.select(*KEYS), KEYS, "left_semi"), todo, policy),
-        "screened",
-    )
+    classes = within_scenes(pixels.select(*KEYS, "row", "col", "scl"), todo)
+    screened = materialize(quality.screen_scenes(clip_to_aoi(classes, todo, aois), todo, policy), "screened")
     rejected = screened.where(~F.col("passed")).withColumn("origin", F.lit("screened_unusable"))
     passed = todo.join(screened.where("passed").select(*KEYS), KEYS, "left_semi")
-    wanted = materialize(passed.select(*KEYS), "passed")
-    clipped = clip_to_aoi(pixels.join(wanted, KEYS, "left_semi"), passed, aois)
+    clipped = clip_to_aoi(within_scenes(pixels, passed), passed, aois)
     assessed = quality.assess_scenes(clipped, passed, policy).withColumn("origin", F.lit("completed"))
     reused = stored.join(done.select(*KEYS), KEYS, "left_semi").withColumn("origin", F.lit("available"))
     columns = [*KEYS, "item_id", "ts", "state", "reason", "usable_percentage", "cloud_percentage", "shadow_percentage", "origin"]
@@ -41,6 +38,20 @@ def acquire(pixels: DataFrame, scenes: DataFrame, aois: DataFrame, stored: DataF
     return observations.join(best, KEYS, "left").withColumn("best", F.coalesce("best", F.lit(False)))
 
 
+def analyse(found: regions.Detection, acquisitions: DataFrame, grids: DataFrame, policy: Policy = Policy()) -> dict[str, DataFrame]:
+    """Tracks, signals, analyses and candidates of a detection, whether its runs are new or reused."""
+    pairs = tracks.sweep(materialize(found.region_pixels(), "region-pixels"), policy)
+    lines = materialize(tracks.track_regions(found.regions, pairs), "tracks")
+    key = ["aoi_id", *tracks.TRACK]
+    outlines = polygons.track_outlines(materialize(found.track_pixels(lines), "track-pixels"), grids, key)
+    told = materialize(signals.build_signals(lines, found.regions, found.runs, policy, outlines), "signals")
+    related = materialize(signals.build_relationships(found.runs, lines), "relationships")
+    sequence = change.sequence(change.eligible(acquisitions))
+    analyses = materialize(signals.build_analyses(sequence, found.runs, told, policy), "analyses")
+    candidates = materialize(triage.triage(told, found.regions, found.runs, analyses, related), "candidates")
+    return {"tracks": lines, "signals": told, "relationships": related, "analyses": analyses, "candidates": candidates}
+
+
 def orchestrate(
     sequence: DataFrame,
     intervals: DataFrame,

@@ -8,6 +8,7 @@ instead of tiles, one unrolled step per interval instead of a loop.
 
 from __future__ import annotations
 
+from landshift.functions import geometry as G
 from landshift.plans.fixtures import BOUNDARY, CUT, ORDERS_PER_AOI, ORIGIN_Y, SIDE
 
 AOI = f"(l_orderkey // {ORDERS_PER_AOI} + 1)"
@@ -22,6 +23,23 @@ def cte(name: str, body: str, *needs: str, materialized: bool = True) -> None:
     CTES[name] = (f"{name} AS {hint}(\n{body.strip()}\n)", needs)
 
 
+UTM = G.UTM_SCALE * G.RECTIFYING
+
+
+def sql_series(terms, body: str) -> str:
+    return " + ".join(f"({a!r}::DOUBLE) * {body.format(m=2 * j)}" for j, a in enumerate(terms, start=1))
+
+
+def sql_inverse(x: str, y: str, source: str, keep: str) -> str:
+    """Rows of ``source`` with lon (radians from the zone's meridian) and lat of (x, y)."""
+    return f"""
+SELECT {keep}, lam, chi + {sql_series(G.DELTA, 'sin({m} * chi)')} AS phi
+FROM (SELECT {keep}, atan2(sinh(eta), cos(xi)) AS lam, asin(sin(xi) / cosh(eta)) AS chi
+  FROM (SELECT {keep}, xi0 - ({sql_series(G.BETA, 'sin({m} * xi0) * cosh({m} * eta0)')}) AS xi,
+               eta0 - ({sql_series(G.BETA, 'cos({m} * xi0) * sinh({m} * eta0)')}) AS eta
+    FROM (SELECT {keep}, ({y}) / {UTM!r}::DOUBLE AS xi0, (({x}) - 500000) / {UTM!r}::DOUBLE AS eta0 FROM {source})))"""
+
+
 def with_chain(select: str, *names: str) -> str:
     ordered: list[str] = []
 
@@ -47,7 +65,7 @@ SELECT {AOI} AS aoi_id, year(l_shipdate) - 1994 AS acq,
        min(l_partkey) AS part, min(l_partkey * 31 + l_orderkey) AS mix
 FROM lineitem GROUP BY ALL""")
 
-cte("px", """
+cte("px_all", """
 SELECT aoi_id, aoi_id * 100 + acq AS acq_id, "row", "col",
        CAST(floor(q_max) * 20 AS FLOAT) AS red,
        CAST(floor(floor(p_max) / 20) AS FLOAT) AS nir,
@@ -58,6 +76,13 @@ SELECT aoi_id, aoi_id * 100 + acq AS acq_id, "row", "col",
        CAST(floor(q_min) * 30 AS FLOAT) AS blue
 FROM px_cells""", "px_cells")
 
+# Pixel centres inside the octagonal AOI of the grid.
+INSIDE_OF = """({0}"col" + {0}"row" + 1) * 10 > 45 AND (20 - {0}"col" + {0}"row") * 10 > 45
+  AND ({0}"col" + 20 - {0}"row") * 10 > 45 AND (39 - {0}"col" - {0}"row") * 10 > 45"""
+INSIDE = INSIDE_OF.format("")
+
+cte("px", f"SELECT * FROM px_all WHERE {INSIDE}", "px_all")
+
 cte("scn", f"""
 SELECT DISTINCT aoi_id, aoi_id * 100 + acq AS acq_id,
        'scene/' || aoi_id || '.' || acq AS item_id,
@@ -138,11 +163,27 @@ SELECT r.aoi_id, r.k, r."row", r."col", c.signal, min(r.label) AS region_key
 FROM reach r JOIN changed c ON c.aoi_id = r.aoi_id AND c.k = r.k AND c.idx = r.idx
 GROUP BY r.aoi_id, r.k, r."row", r."col", c.signal""", "reach", "changed")
 
+# Equal-area size of every grid cell from its four projected corners.
+cte("cell_corners", """
+SELECT aoi_id, "row" AS r, "col" AS c, n, CAST(600000 + (aoi_id % 1000) * 200 + ("col" + dx) * 10 AS DOUBLE) AS x,
+       CAST(1500000 - ("row" + dy) * 10 AS DOUBLE) AS y
+FROM (SELECT DISTINCT aoi_id, "row", "col" FROM px), (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) v(n, dx, dy)""", "px")
+_K0 = f"(cos(radians(30.0::DOUBLE)) / sqrt(1 - {G.ECC2!r}::DOUBLE * sin(radians(30.0::DOUBLE)) ** 2))"
+cte("cell_flat", f"""
+SELECT aoi_id, r, c, n, lam * {G.SEMI_MAJOR!r}::DOUBLE * {_K0} AS ex,
+       {G.SEMI_MAJOR!r}::DOUBLE / (2 * {_K0}) * (1 - {G.ECC2!r}::DOUBLE) * (sin(phi) / (1 - {G.ECC2!r}::DOUBLE * sin(phi) ** 2) + atanh({G.ECC!r}::DOUBLE * sin(phi)) / {G.ECC!r}::DOUBLE) AS ey
+FROM ({sql_inverse('x', 'y', 'cell_corners', 'aoi_id, r, c, n')})""", "cell_corners")
+cte("cell_sizes", """
+SELECT aoi_id, r AS "row", c AS "col",
+       abs((max(ex) FILTER (n = 2) - max(ex) FILTER (n = 0)) * (max(ey) FILTER (n = 3) - max(ey) FILTER (n = 1))
+         - (max(ey) FILTER (n = 2) - max(ey) FILTER (n = 0)) * (max(ex) FILTER (n = 3) - max(ex) FILTER (n = 1))) / 2 AS cell_m2
+FROM cell_flat GROUP BY ALL""", "cell_flat")
+
 cte("all_regions", """
-SELECT aoi_id, k, region_key, count(*) AS pixel_count, count(*) * 100.0 AS area_m2,
+SELECT aoi_id, k, region_key, count(*) AS pixel_count, sum(cell_m2) AS area_m2,
        sum(CAST(signal AS DOUBLE)) / count(*) AS mean_change_signal,
        max(CAST(signal AS DOUBLE)) AS max_change_signal
-FROM comp GROUP BY aoi_id, k, region_key""", "comp")
+FROM comp JOIN cell_sizes USING (aoi_id, "row", "col") GROUP BY aoi_id, k, region_key""", "comp", "cell_sizes")
 
 cte("regions", f"""
 SELECT *, region_key // {SIDE} AS first_row, region_key % {SIDE} AS first_col,
@@ -222,6 +263,12 @@ FROM regions r LEFT JOIN win_{_k} w ON w.aoi_id = r.aoi_id AND w.region_no = r.r
 WHERE r.k = {_k}""", _prev, f"win_{_k}", "regions")
 cte("tracks", f"SELECT * FROM track_{MAX_INTERVALS}", f"track_{MAX_INTERVALS}")
 
+# Pairs whose earlier region was still the end of its track.
+cte("end_pairs", """
+SELECT o.* FROM overlap_all o JOIN tracks t ON t.aoi_id = o.aoi_id AND t.k = o.from_k AND t.region_no = o.from_no
+WHERE NOT EXISTS (SELECT 1 FROM tracks u WHERE u.aoi_id = t.aoi_id AND u.birth_k = t.birth_k AND u.birth_no = t.birth_no
+                  AND u.k > o.from_k AND u.k < o.k)""", "overlap_all", "tracks")
+
 cte("entries", """
 SELECT t.*, r.region_id, r.pixel_count, r.area_m2, r.mean_change_signal, r.max_change_signal,
        u.run_id, u.before_acq, u.after_acq, u.before_ts, u.after_ts, u.quality_support,
@@ -233,6 +280,42 @@ SELECT t.*, r.region_id, r.pixel_count, r.area_m2, r.mean_change_signal, r.max_c
 FROM tracks t JOIN regions r USING (aoi_id, k, region_no) JOIN runs u USING (aoi_id, k)
 WINDOW tr AS (PARTITION BY t.aoi_id, birth_k, birth_no ORDER BY t.k)""", "tracks", "regions", "runs")
 
+# Outlines of tracks from their pixels alone: a grid corner with one or three pixels around it is one
+# vertex, one with two that face each other is two; polygons less holes are pixels less neighbour
+# pairs plus full blocks of four.
+cte("tpx", """
+SELECT DISTINCT e.aoi_id, e.birth_k, e.birth_no, p."row", p."col"
+FROM entries e JOIN rpx p ON p.aoi_id = e.aoi_id AND p.k = e.k AND p.region_no = e.region_no""", "entries", "rpx")
+cte("track_around", """
+SELECT aoi_id, birth_k, birth_no, "row" + dy AS y, "col" + dx AS x, count(*) AS n, min((dx + dy) % 2) = max((dx + dy) % 2) AS facing
+FROM tpx, range(2) a(dy), range(2) b(dx) GROUP BY ALL""", "tpx")
+cte("track_beside", """
+SELECT p.aoi_id, p.birth_k, p.birth_no, count(*) AS pairs FROM tpx p JOIN tpx q
+  ON p.aoi_id = q.aoi_id AND p.birth_k = q.birth_k AND p.birth_no = q.birth_no
+ AND ((q."row" = p."row" AND q."col" = p."col" + 1) OR (q."row" = p."row" + 1 AND q."col" = p."col"))
+GROUP BY ALL""", "tpx")
+cte("track_shape", """
+SELECT t.aoi_id, t.birth_k, t.birth_no, t.union_pixels, CAST(v.corners AS BIGINT) AS corners,
+       t.union_pixels - coalesce(b.pairs, 0) + v.blocks AS shells_less_holes, v.left_x, v.top_y, v.right_x, v.bottom_y, t.mid_row, t.mid_col
+FROM (SELECT aoi_id, birth_k, birth_no, count(*) AS union_pixels, avg("row" + 0.5) AS mid_row, avg("col" + 0.5) AS mid_col FROM tpx GROUP BY ALL) t
+JOIN (SELECT aoi_id, birth_k, birth_no, sum(CASE WHEN n IN (1, 3) THEN 1 WHEN n = 2 AND facing THEN 2 ELSE 0 END) AS corners,
+             count(*) FILTER (n = 4) AS blocks, min(x) AS left_x, min(y) AS top_y, max(x) AS right_x, max(y) AS bottom_y
+      FROM track_around GROUP BY ALL) v USING (aoi_id, birth_k, birth_no)
+LEFT JOIN track_beside b USING (aoi_id, birth_k, birth_no)""", "tpx", "track_around", "track_beside")
+
+# Corners and middles of the outlines in longitude and latitude, from the grid of the scenes.
+_PLACE = "CAST(600000 + (aoi_id % 1000) * 200 + {x} * 10 AS DOUBLE) AS gx, CAST(1500000 - {y} * 10 AS DOUBLE) AS gy"
+_TRACK = "aoi_id, birth_k, birth_no"
+cte("track_places", f"""
+SELECT {_TRACK}, {_PLACE.format(x='x', y='y')} FROM track_around WHERE n IN (1, 3) OR (n = 2 AND facing)""", "track_around")
+cte("track_map", f"""
+SELECT {_TRACK}, round(min(75 + degrees(lam)), 6) AS left_lon, round(min(degrees(phi)), 6) AS bottom_lat,
+       round(max(75 + degrees(lam)), 6) AS right_lon, round(max(degrees(phi)), 6) AS top_lat
+FROM ({sql_inverse('gx', 'gy', 'track_places', _TRACK)}) GROUP BY ALL""", "track_places")
+cte("track_spots", f"SELECT {_TRACK}, {_PLACE.format(x='mid_col', y='mid_row')} FROM track_shape", "track_shape")
+cte("track_middle", f"""
+SELECT {_TRACK}, round(75 + degrees(lam), 6) AS lon, round(degrees(phi), 6) AS lat FROM ({sql_inverse('gx', 'gy', 'track_spots', _TRACK)})""", "track_spots")
+
 cte("totals", """
 SELECT aoi_id, CAST(count(*) AS INTEGER) AS interval_count, sum(quality_support) AS total_quality,
        sum(filtered_changed_pixel_count) AS total_pixels

@@ -5,14 +5,14 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from landshift.config import SIGNAL_STATES
-from landshift.functions import limits, scoring, spectral, text
+from landshift.functions import geometry, limits, scoring, spectral, text
 from landshift.operators import (
-    change, components, display, evidence, provenance, quality, regions, reuse, signals, tracks, triage,
+    change, components, display, evidence, polygons, provenance, quality, regions, reuse, signals, tracks, triage,
 )
 from landshift.plans import fixtures
-from landshift.plans.chain import Chain
-from landshift.plans.oracle_chain import cte
-from landshift.plans.q_sources import INSIDE, artifacts
+from landshift.plans.chain import TRACK_KEY, Chain
+from landshift.plans.oracle_chain import INSIDE, INSIDE_OF, cte
+from landshift.plans.q_sources import artifacts
 from landshift.plans.registry import joined, query, r6, sql_list, sql_stamp, stamp
 from landshift.sources import tables
 
@@ -58,21 +58,21 @@ def join_resample_nearest(c):
 
 
 @query("join_region_overlap", """
-SELECT aoi_id, from_k, from_no, k, region_no, shared, round(iou, 6) AS iou FROM overlap_all""", "overlap_all")
+SELECT aoi_id, from_k, from_no, k, region_no, shared, round(iou, 6) AS iou FROM end_pairs""", "end_pairs")
 def join_region_overlap(c):
-    """All touching region pairs, without an IoU limit."""
-    return tracks.region_overlap(c.region_pixels, c.policy, minimum=0.0).select(
+    """Regions and the open track ends that they touch, without an IoU limit."""
+    return tracks.region_overlap(c.region_pixels, c.policy).select(
         "aoi_id", "from_k", "from_no", "k", "region_no", "shared", r6("iou").alias("iou")
     )
 
 
 @query("join_region_refs", """
-SELECT e.aoi_id AS analysis_id, s.signal_id, e.region_id, e.pixel_count, e.area_m2::DOUBLE AS area_m2,
+SELECT e.aoi_id AS analysis_id, s.signal_id, e.region_id, e.pixel_count, round(e.area_m2::DOUBLE, 2) AS area_m2,
        round(e.mean_change_signal, 6) AS mean_change_signal, round(e.max_change_signal, 6) AS max_change_signal
 FROM entries e JOIN signals s USING (aoi_id, birth_k, birth_no)""", "entries", "signals")
 def join_region_refs(c):
     return triage.source_regions(c.signals, c.detection.regions).select(
-        "analysis_id", "signal_id", "region_id", "pixel_count", "area_m2",
+        "analysis_id", "signal_id", "region_id", "pixel_count", F.round("area_m2", 2).alias("area_m2"),
         r6("mean_change_signal").alias("mean_change_signal"), r6("max_change_signal").alias("max_change_signal"),
     )
 
@@ -113,7 +113,7 @@ JOIN rpx ON rpx.aoi_id = e.aoi_id AND rpx.k = e.k AND rpx.region_no = e.region_n
 
 def located(c: Chain):
     """Candidates with at least one pixel centre inside their AOI."""
-    pixels = c.detection.track_pixels(c.tracks)
+    pixels = c.track_pixels
     scene = c.scenes.groupBy("aoi_id").agg(F.min("acq_id").alias("acq_id"), F.any_value("grid").alias("grid"))
     inside = tables.clip_to_aoi(
         pixels.join(scene.select("aoi_id", "acq_id"), "aoi_id"), scene, fixtures.aois(c.spark, c.sf_dir)
@@ -192,11 +192,11 @@ RUN_AREAS = ["total_changed_area_m2", "largest_region_area_m2", "mean_region_are
 
 
 @query("agg_run_stats", f"""
-SELECT run_id, region_count, filtered_changed_pixel_count, {', '.join(f'round({a}::DOUBLE, 6) AS {a}' for a in RUN_AREAS)},
+SELECT run_id, region_count, filtered_changed_pixel_count, {', '.join(f'round({a}::DOUBLE, 2) AS {a}' for a in RUN_AREAS)},
        round(mean_change_signal, 6) AS mean_change_signal, round(max_change_signal, 6) AS max_change_signal FROM runs""", "runs")
 def agg_run_stats(c):
     return c.detection.runs.select(
-        "run_id", "region_count", "filtered_changed_pixel_count", *[r6(a).alias(a) for a in RUN_AREAS],
+        "run_id", "region_count", "filtered_changed_pixel_count", *[F.round(a, 2).alias(a) for a in RUN_AREAS],
         r6("mean_change_signal").alias("mean_change_signal"), r6("max_change_signal").alias("max_change_signal"),
     )
 
@@ -258,20 +258,28 @@ def agg_id_sets(c):
 
 
 @query("agg_region_union", """
-SELECT s.analysis_id, s.signal_id, count(DISTINCT p."row" * 20 + p."col") AS union_pixels
-FROM signals s JOIN entries e USING (aoi_id, birth_k, birth_no) JOIN rpx p ON p.aoi_id = e.aoi_id AND p.k = e.k AND p.region_no = e.region_no
-GROUP BY ALL""", "signals", "entries", "rpx")
+SELECT s.analysis_id, s.signal_id, union_pixels, union_pixels AS outline_pixels, corners, shells_less_holes,
+       left_x::BIGINT AS left_x, top_y::BIGINT AS top_y, right_x::BIGINT AS right_x, bottom_y::BIGINT AS bottom_y
+FROM signals s JOIN track_shape USING (aoi_id, birth_k, birth_no)""", "signals", "track_shape")
 def agg_region_union(c):
-    key = ["aoi_id", "birth_k", "birth_no"]
-    sizes = c.detection.track_pixels(c.tracks).groupBy(*key).agg(F.count(F.lit(1)).alias("union_pixels"))
-    return c.signals.join(sizes, key).select("analysis_id", "signal_id", "union_pixels")
+    """The regions of a track dissolved: its pixels, and the outline around them."""
+    sizes = c.track_pixels.groupBy(*TRACK_KEY).agg(F.count(F.lit(1)).alias("union_pixels"))
+    outline = polygons.polygonize(c.track_pixels, TRACK_KEY, side=c.policy.tile)
+    box = geometry.bounds(F.col("rings"))
+    corners = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring) - 1)
+    figures = outline.groupBy(*TRACK_KEY).agg(
+        F.round(F.sum(geometry.polygon_area(F.col("rings")))).cast("bigint").alias("outline_pixels"), F.sum(corners).alias("corners"),
+        F.sum(2 - F.size("rings")).alias("shells_less_holes"), F.min(box[0]).cast("bigint").alias("left_x"), F.min(box[1]).cast("bigint").alias("top_y"),
+        F.max(box[2]).cast("bigint").alias("right_x"), F.max(box[3]).cast("bigint").alias("bottom_y"),
+    )
+    return c.signals.join(sizes, TRACK_KEY).join(figures, TRACK_KEY).select("analysis_id", "signal_id", "union_pixels", *figures.columns[3:])
 
 
 # The ladder of stand-ins: signals whose references or interval figures were removed.
 LADDER = """CASE WHEN signal_id % 4 = 0 THEN {full} WHEN signal_id % 4 = 1 THEN {interval} WHEN signal_id % 4 = 2 THEN {run} ELSE {none} END"""
 @query("agg_physical_metrics", f"""
 SELECT analysis_id, signal_id,
-  round({LADDER.format(full='area_m2', interval='runs_area', run='runs_area', none='0.0')}::DOUBLE, 6) AS area_m2,
+  round({LADDER.format(full='area_m2', interval='runs_area', run='runs_area', none='0.0')}::DOUBLE, 2) AS area_m2,
   round({LADDER.format(full='mean_delta', interval='list_avg(interval_means)', run='CASE WHEN runs_mean > 0 THEN runs_mean ELSE 0.2 END', none='0.2')}, 6) AS mean_delta,
   round({LADDER.format(full='max_delta', interval='list_max(interval_maxima)', run='CASE WHEN runs_max > 0 THEN runs_max ELSE 0.2 END', none='0.2')}, 6) AS max_delta
 FROM signals""", "signals")
@@ -286,7 +294,7 @@ def agg_physical_metrics(c):
     })
     measured = triage.physical_metrics(stripped, c.detection.regions, c.detection.runs)
     return measured.select(
-        "analysis_id", "signal_id", r6("area_m2").alias("area_m2"), r6("mean_delta").alias("mean_delta"),
+        "analysis_id", "signal_id", F.round("area_m2", 2).alias("area_m2"), r6("mean_delta").alias("mean_delta"),
         r6("max_delta").alias("max_delta"),
     )
 
@@ -299,22 +307,18 @@ def _band_limits(band: str) -> str:
 
 
 BANDS = ("red", "green", "blue")
-cte("limits", f"SELECT aoi_id, acq_id, {', '.join(_band_limits(b) for b in BANDS)} FROM px GROUP BY aoi_id, acq_id", "px")
+cte("limits", f"SELECT aoi_id, acq_id, {', '.join(_band_limits(b) for b in BANDS)} FROM px_all GROUP BY aoi_id, acq_id", "px_all")
 LIMIT_COLUMNS = [f"{b}_{side}" for b in BANDS for side in ("low", "high")]
 
 
-def inside_octagon():
-    """Octagon test on pixel centres, as a column."""
-    row, col = F.col("row"), F.col("col")
-    return (
-        ((col + row + 1) * 10 > 45) & ((20 - col + row) * 10 > 45)
-        & ((col + 20 - row) * 10 > 45) & ((39 - col - row) * 10 > 45)
-    )
+def located_pixels(c: Chain):
+    """Delivered pixels, with whether they lie in their AOI."""
+    return tables.with_inside(c.raw_pixels, c.scenes, c.aois)
 
 
 @query("agg_percentile_stretch", f"SELECT acq_id, {', '.join(f'round({n}, 6) AS {n}' for n in LIMIT_COLUMNS)} FROM limits", "limits")
 def agg_percentile_stretch(c):
-    return display.stretch_limits(c.pixels, inside_octagon()).select("acq_id", *[r6(n).alias(n) for n in LIMIT_COLUMNS])
+    return display.stretch_limits(located_pixels(c), F.col("inside")).select("acq_id", *[r6(n).alias(n) for n in LIMIT_COLUMNS])
 
 
 @query("agg_distinct_checks", """
@@ -538,7 +542,7 @@ PARTS = {"temporal_persistence": "pers", "temporal_consistency": "cons", "change
          "observation_quality": "qual", "matched_region_coverage": "cover"}
 
 
-@query("fn_score", f"SELECT candidate_id, score, {', '.join(f'round({v}, 4) AS {n}' for n, v in PARTS.items())} FROM candidates", "candidates")
+@query("fn_score", f"SELECT candidate_id, score, {', '.join(f'round(CAST({v} AS DECIMAL(20, 12)), 4)::DOUBLE AS {n}' for n, v in PARTS.items())} FROM candidates", "candidates")
 def fn_score(c):
     return c.candidates.select("candidate_id", "score", *[F.col(f"parts.{n}").alias(n) for n in PARTS])
 
@@ -589,7 +593,7 @@ FROM candidates""", "candidates")
 
 
 @query("fn_explain", """
-SELECT candidate_id, raised_by, lowered_by, severity, priority, state, round(score, 6) AS score, round(area_m2::DOUBLE, 6) AS area_m2,
+SELECT candidate_id, raised_by, lowered_by, severity, priority, state, round(score, 6) AS score, round(area_m2::DOUBLE, 2) AS area_m2,
        round(mean_delta, 6) AS mean_delta, round(quality_support, 6) AS quality_support, change_magnitude FROM explained""", "explained")
 def fn_explain(c):
     e = F.col("explanation")
@@ -600,7 +604,7 @@ def fn_explain(c):
     return c.candidates.select(
         "candidate_id", told("raised_by"), told("lowered_by"), basis["severity"].alias("severity"),
         urgency["priority"].alias("priority"), urgency["state"].alias("state"), r6(urgency["score"]).alias("score"),
-        r6(basis["area_m2"]).alias("area_m2"), r6(basis["mean_delta"]).alias("mean_delta"),
+        F.round(basis["area_m2"], 2).alias("area_m2"), r6(basis["mean_delta"]).alias("mean_delta"),
         r6(urgency["quality_support"]).alias("quality_support"), basis["change_magnitude"].alias("change_magnitude"),
     )
 
@@ -638,13 +642,17 @@ def fn_quality_limits(c):
 
 
 cte("display", f"""
-SELECT acq_id, "row", "col", {', '.join(f"CASE WHEN {INSIDE} THEN CAST(floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, ({b}::DOUBLE - {b}_low) / ({b}_high - {b}_low) * 255.0::DOUBLE))) AS INTEGER) ELSE 0 END AS {b}" for b in BANDS)},
-       CASE WHEN {INSIDE} THEN 255 ELSE 0 END AS alpha
-FROM px JOIN limits USING (aoi_id, acq_id)""", "px", "limits")
+SELECT s.acq_id, g."row", g."col",
+       {', '.join(f"coalesce(CASE WHEN {INSIDE_OF.format('p.')} THEN CAST(floor(least(255.0::DOUBLE, greatest(0.0::DOUBLE, ({b}::DOUBLE - {b}_low) / ({b}_high - {b}_low) * 255.0::DOUBLE))) AS INTEGER) END, 0) AS {b}" for b in BANDS)},
+       CASE WHEN {INSIDE_OF.format('p.')} THEN 255 ELSE 0 END AS alpha
+FROM scn s JOIN limits USING (acq_id) CROSS JOIN (SELECT r::INTEGER AS "row", c::INTEGER AS "col" FROM range(20) a(r), range(20) b(c)) g
+LEFT JOIN px_all p ON p.acq_id = s.acq_id AND p."row" = g."row" AND p."col" = g."col" """, "scn", "px_all", "limits")
 
 
 def shown(c: Chain):
-    return display.display_pixels(c.pixels, display.stretch_limits(c.pixels, inside_octagon()), inside_octagon())
+    """Display images over the crop rectangles of all scenes."""
+    pixels, inside = located_pixels(c), F.col("inside")
+    return display.display_pixels(pixels, display.stretch_limits(pixels, inside), inside, display.aoi_windows(c.scenes, c.aois))
 
 
 @query("fn_stretch_u8", 'SELECT acq_id, "row", "col", red, green, blue FROM display', "display")

@@ -9,10 +9,10 @@ from landshift.functions import geometry
 from landshift.operators import components, display, polygons, provenance, regions, reuse, tracks
 from landshift.plans import fixtures, jobs
 from landshift.plans.chain import Chain
-from landshift.plans.oracle_chain import cte
+from landshift.plans.oracle_chain import INSIDE, UTM, cte, sql_series
 from landshift.plans.q_analysis import GRAY, located, shown
 from landshift.plans.q_sources import (
-    EXPORT_SQL, INSIDE, artifacts, assembled, discovered, export_fields, exported, items, raw_aois, reusable,
+    EXPORT_NEEDS, EXPORT_SQL, artifacts, assembled, discovered, export_fields, exported, items, raw_aois, reusable,
 )
 from landshift.plans.registry import query, r6, sql_stamp, stamp
 from landshift.session import stage_path
@@ -87,30 +87,15 @@ def geo_valid(c):
     )
 
 
-def _series(terms, body: str) -> str:
-    return " + ".join(f"({a!r}::DOUBLE) * {body.format(m=2 * j)}" for j, a in enumerate(terms, start=1))
-
-
 G = geometry
-_SCALE = G.UTM_SCALE * G.RECTIFYING
 cte("utm", f"""
-SELECT id, lon, lat, 500000 + {_SCALE!r}::DOUBLE * (eta0 + {_series(G.ALPHA, 'cos({m} * xi0) * sinh({m} * eta0)')}) AS easting,
-       {_SCALE!r}::DOUBLE * (xi0 + {_series(G.ALPHA, 'sin({m} * xi0) * cosh({m} * eta0)')}) AS northing
+SELECT id, lon, lat, 500000 + {UTM!r}::DOUBLE * (eta0 + {sql_series(G.ALPHA, 'cos({m} * xi0) * sinh({m} * eta0)')}) AS easting,
+       {UTM!r}::DOUBLE * (xi0 + {sql_series(G.ALPHA, 'sin({m} * xi0) * cosh({m} * eta0)')}) AS northing
 FROM (SELECT *, atan2(t, cos(lam)) AS xi0, atanh(sin(lam) / sqrt(1 + t * t)) AS eta0
   FROM (SELECT *, sinh(atanh(sin(radians(lat))) - {G.ECC!r}::DOUBLE * atanh({G.ECC!r}::DOUBLE * sin(radians(lat)))) AS t, radians(lon - 75) AS lam
     FROM (SELECT id, l AS lon, b AS lat FROM shapes)))""", "shapes")
 
 
-def _sql_inverse(x: str, y: str, source: str, keep: str) -> str:
-    """Rows of ``source`` with lon (radians from the zone's meridian) and lat of (x, y)."""
-    return f"""
-SELECT {keep}, lam, chi + {_series(G.DELTA, 'sin({m} * chi)')} AS phi
-FROM (SELECT {keep}, atan2(sinh(eta), cos(xi)) AS lam, asin(sin(xi) / cosh(eta)) AS chi
-  FROM (SELECT {keep}, xi0 - ({_series(G.BETA, 'sin({m} * xi0) * cosh({m} * eta0)')}) AS xi,
-               eta0 - ({_series(G.BETA, 'cos({m} * xi0) * sinh({m} * eta0)')}) AS eta
-    FROM (SELECT {keep}, ({y}) / {_SCALE!r}::DOUBLE AS xi0, (({x}) - 500000) / {_SCALE!r}::DOUBLE AS eta0 FROM {source})))"""
-
-
 @query("geo_project", """
 SELECT id, round(easting, 3) AS easting, round(northing, 3) AS northing, round(lon, 6) AS lon, round(lat, 6) AS lat FROM utm""", "utm")
 def geo_project(c):
@@ -124,30 +109,9 @@ def geo_project(c):
     )
 
 
-# Equal-area size of each pixel of a kept region from its four projected corners.
-cte("corner_points", """
-SELECT r.aoi_id, r.k, r.region_no, r."row" AS pr, r."col" AS pc, n,
-       CAST(600000 + (r.aoi_id % 1000) * 200 + (r."col" + dx) * 10 AS DOUBLE) AS x, CAST(1500000 - (r."row" + dy) * 10 AS DOUBLE) AS y
-FROM rpx r, (VALUES (0, 0, 0), (1, 1, 0), (2, 1, 1), (3, 0, 1)) v(n, dx, dy)""", "rpx")
-_KEEP = "aoi_id, k, region_no, pr, pc, n"
-_E2, _E = repr(G.ECC2), repr(G.ECC)
-_K0 = "(cos(radians(30.0::DOUBLE)) / sqrt(1 - {e2} * sin(radians(30.0::DOUBLE)) ** 2))".format(e2=f"{_E2}::DOUBLE")
-cte("flat_corners", f"""
-SELECT {_KEEP}, lam * {G.SEMI_MAJOR!r}::DOUBLE * {_K0} AS ex,
-       {G.SEMI_MAJOR!r}::DOUBLE / (2 * {_K0}) * (1 - {_E2}::DOUBLE) * (sin(phi) / (1 - {_E2}::DOUBLE * sin(phi) ** 2) + atanh({_E}::DOUBLE * sin(phi)) / {_E}::DOUBLE) AS ey
-FROM ({_sql_inverse('x', 'y', 'corner_points', _KEEP)})""", "corner_points")
-
-
-@query("agg_region_area", """
-SELECT aoi_id, k, region_no, round(sum(a), 2) AS area_m2 FROM (
-  SELECT aoi_id, k, region_no, pr, pc,
-         abs((max(ex) FILTER (n = 2) - max(ex) FILTER (n = 0)) * (max(ey) FILTER (n = 3) - max(ey) FILTER (n = 1))
-           - (max(ey) FILTER (n = 2) - max(ey) FILTER (n = 0)) * (max(ex) FILTER (n = 3) - max(ex) FILTER (n = 1))) / 2 AS a
-  FROM flat_corners GROUP BY aoi_id, k, region_no, pr, pc) GROUP BY aoi_id, k, region_no""", "flat_corners")
+@query("agg_region_area", "SELECT aoi_id, k, region_no, round(area_m2, 2) AS area_m2 FROM regions", "regions")
 def agg_region_area(c):
-    grid = c.sequence.select("aoi_id", F.col("seq").alias("k"), "grid")
-    sized = regions.pixel_areas(c.region_pixels, grid)
-    return sized.groupBy("aoi_id", "k", "region_no").agg(F.round(F.sum("area"), 2).alias("area_m2"))
+    return c.detection.region_areas().select("aoi_id", "k", "region_no", F.round("area_m2", 2).alias("area_m2"))
 
 
 # --- iterative operators ----------------------------------------------------------------
@@ -194,7 +158,7 @@ def polygonize(c):
     """Outlines per region: area, vertices, shells less holes, and box."""
     box = geometry.bounds(F.col("rings"))
     corners = F.aggregate("rings", F.lit(0), lambda n, ring: n + F.size(ring) - 1)
-    return polygons.polygonize(c.region_pixels).groupBy("aoi_id", "k", "region_no").agg(
+    return polygons.polygonize(c.region_pixels, side=c.policy.tile).groupBy("aoi_id", "k", "region_no").agg(
         F.round(F.sum(geometry.polygon_area(F.col("rings")))).cast("bigint").alias("area_pixels"),
         F.sum(corners).alias("vertices"), F.sum(2 - F.size("rings")).alias("shells_less_holes"),
         F.min(box[0]).alias("left_x"), F.min(box[1]).alias("top_y"), F.max(box[2]).alias("right_x"), F.max(box[3]).alias("bottom_y"),
@@ -205,7 +169,7 @@ def polygonize(c):
 
 cte("clipped_counts", f"""
 SELECT s.acq_id, count(*) FILTER (red + nir <> 0 AND scl IN (4, 5, 6) AND {INSIDE}) AS usable
-FROM scn s JOIN px p ON p.acq_id = s.acq_id GROUP BY s.acq_id""", "scn", "px")
+FROM scn s JOIN px_all p ON p.acq_id = s.acq_id GROUP BY s.acq_id""", "scn", "px_all")
 cte("observations", """
 SELECT a.aoi_id, a.acq_id, a.item_id, a.ts,
   CASE WHEN kept THEN 'available' WHEN s.state <> 'usable' THEN 'screened_unusable' ELSE 'completed' END AS origin,
@@ -217,39 +181,59 @@ JOIN screened s USING (acq_id) JOIN clipped_counts c USING (acq_id)""", "acq", "
 
 @query("job_acquire", "SELECT aoi_id, acq_id, origin, state, usable_percentage FROM observations", "observations")
 def job_acquire(c):
-    found = jobs.acquire(c.pixels, c.scenes, fixtures.aois(c.spark, c.sf_dir), artifacts(c), c.policy)
+    found = jobs.acquire(c.raw_pixels, c.scenes, c.aois, artifacts(c), c.policy)
     return found.select("aoi_id", "acq_id", "origin", "state", "usable_percentage")
 
 
 @query("job_detect", """
-SELECT r.aoi_id, r.k, u.before_acq, u.after_acq, r.region_no, r.pixel_count, r.area_m2::DOUBLE AS area_m2,
+SELECT r.aoi_id, r.k, u.before_acq, u.after_acq, r.region_no, r.pixel_count, round(r.area_m2, 2) AS area_m2,
        round(r.mean_change_signal, 6) AS mean_change_signal, round(r.max_change_signal, 6) AS max_change_signal, u.changed_pixel_percentage
 FROM regions r JOIN runs u USING (aoi_id, k)""", "regions", "runs")
 def job_detect(c):
     found = c.detection
     figures = found.runs.select("aoi_id", "k", "before_acq", "after_acq", "changed_pixel_percentage")
     return found.regions.join(figures, ["aoi_id", "k"]).select(
-        "aoi_id", "k", "before_acq", "after_acq", "region_no", "pixel_count", "area_m2",
+        "aoi_id", "k", "before_acq", "after_acq", "region_no", "pixel_count", F.round("area_m2", 2).alias("area_m2"),
         r6("mean_change_signal").alias("mean_change_signal"), r6("max_change_signal").alias("max_change_signal"),
         "changed_pixel_percentage",
     )
 
 
-@query("job_temporal", """
-SELECT s.analysis_id, s.signal_id, s.state, s.season, s.support_count, round(s.persistence_ratio, 6) AS persistence_ratio, a.state AS analysis_state
-FROM signals s JOIN (SELECT analysis_id, state FROM analyses) a USING (analysis_id)""", "signals", "analyses")
+OUTLINE_SQL = "corners, shells_less_holes, left_lon, bottom_lat, right_lon, top_lat"
+
+
+def outline_figures():
+    """Corners, polygons less holes, and box of a column ``geometry``."""
+    box = geometry.multi_bounds(F.col("geometry"))
+    names = ("left_lon", "bottom_lat", "right_lon", "top_lat")
+    parts = F.aggregate("geometry", F.lit(0), lambda n, rings: n + 2 - F.size(rings))
+    return [
+        geometry.multi_corners(F.col("geometry")).cast("bigint").alias("corners"), parts.cast("bigint").alias("shells_less_holes"),
+        *[r6(box[k]).alias(name) for k, name in enumerate(names)],
+    ]
+
+
+# The verdict of an analysis is looked up in a map: DuckDB does not end on this join with the recursive parts below it.
+@query("job_temporal", f"""
+SELECT s.analysis_id, s.signal_id, s.state, s.season, s.support_count, round(s.persistence_ratio, 6) AS persistence_ratio,
+       v.states[s.aoi_id] AS analysis_state, {OUTLINE_SQL}
+FROM (SELECT * FROM track_shape JOIN track_map USING (aoi_id, birth_k, birth_no)) o JOIN signals s USING (aoi_id, birth_k, birth_no),
+     (SELECT map(list(analysis_id), list(state)) AS states FROM analyses) v""", "signals", "analyses", "track_shape", "track_map")
 def job_temporal(c):
     return c.signals.join(c.analyses.select("analysis_id", F.col("state").alias("analysis_state")), "analysis_id").select(
         "analysis_id", "signal_id", "state", "season", "support_count", r6("persistence_ratio").alias("persistence_ratio"),
-        "analysis_state",
+        "analysis_state", *outline_figures(),
     )
 
 
-@query("job_triage", """
-SELECT candidate_id, rank, priority, severity, score, round(area_m2::DOUBLE, 6) AS area_m2, round(mean_delta, 6) AS mean_delta FROM candidates""", "candidates")
+@query("job_triage", f"""
+SELECT candidate_id, rank, priority, severity, score, round(area_m2::DOUBLE, 2) AS area_m2, round(mean_delta, 6) AS mean_delta, {OUTLINE_SQL}
+FROM candidates JOIN track_shape USING (aoi_id, birth_k, birth_no) JOIN track_map USING (aoi_id, birth_k, birth_no)""",
+       "candidates", "track_shape", "track_map")
 def job_triage(c):
     return c.candidates.select(
-        "candidate_id", "rank", "priority", "severity", "score", r6("area_m2").alias("area_m2"), r6("mean_delta").alias("mean_delta")
+        "candidate_id", "rank", "priority", "severity", "score", F.round("area_m2", 2).alias("area_m2"), r6("mean_delta").alias("mean_delta"),
+        *outline_figures(),
     )
 
 
@@ -263,17 +247,21 @@ LEFT JOIN (SELECT analysis_id AS aoi_id, state FROM analyses) a USING (aoi_id)
 LEFT JOIN (SELECT aoi_id, count(*) AS n FROM candidates GROUP BY aoi_id) t USING (aoi_id)""",
        "seqd", "iv", "reusable_runs", "analyses", "candidates")
 def job_orchestrate(c):
+    """A whole analysis in which intervals with a reusable run are not detected again."""
     today = reusable(c)
-    intervals = c.detection.intervals
-    requested = intervals.select("aoi_id", F.col("k").alias("seq"), "before_acq", "after_acq")
-    stored = reuse.plan_detections(intervals, today).select(
+    kept = regions.to_store(c.detection)
+    known = today.select("aoi_id", "before_acq", "after_acq")
+    held = lambda rows: rows.join(known, ["aoi_id", "before_acq", "after_acq"], "left_semi")
+    store = regions.Store(held(kept.runs), held(kept.regions), held(kept.pixels))
+    found = regions.detect(c.pixels, c.acquisitions, c.policy, aois=c.aois, store=store)
+    made = jobs.analyse(found, c.acquisitions, c.grids, c.policy)
+    requested = found.intervals.select("aoi_id", F.col("k").alias("seq"), "before_acq", "after_acq")
+    stored = reuse.plan_detections(found.intervals, today).select(
         F.col("aoi_id").alias("analysis_id"), F.col("k").alias("seq"), "before_acq", "after_acq",
         F.coalesce("reused_run", "run_id").alias("run_id"),
     )
-    matching = reuse.matching_analyses(
-        c.analyses.select("analysis_id", "iou_threshold"), stored, requested, today, c.policy
-    )
-    return jobs.orchestrate(c.sequence, intervals, today, matching, c.analyses, c.candidates)
+    matching = reuse.matching_analyses(made["analyses"].select("analysis_id", "iou_threshold"), stored, requested, today, c.policy)
+    return jobs.orchestrate(c.sequence, found.intervals, today, matching, made["analyses"], made["candidates"])
 
 
 @query("job_evidence", """
@@ -302,25 +290,36 @@ UNION ALL SELECT candidate_id, 'no evidence', '' FROM audited WHERE kind = 4
 UNION ALL SELECT candidate_id, 'missing acquisition', '-7' FROM audited WHERE kind = 2
 UNION ALL SELECT candidate_id, 'missing detection run', '-9' FROM audited WHERE kind = 3
 UNION ALL SELECT candidate_id, 'outside AOI', '' FROM audited WHERE candidate_id NOT IN (SELECT candidate_id FROM located)
+UNION ALL SELECT candidate_id, 'empty geometry', '' FROM audited WHERE kind = 5
+UNION ALL SELECT candidate_id, 'outside domain', '' FROM audited WHERE signal_id % 12 = 6
+UNION ALL SELECT DISTINCT candidate_id, 'AOI not accepted', 'invalid' FROM audited WHERE aoi_id % 4 = 1 AND kind <> 4
 UNION ALL SELECT candidate_id, 'foreign acquisition', r::VARCHAR FROM (SELECT candidate_id, unnest(detection_run_ids) AS r FROM audited WHERE kind = 4)""",
        "audited", "located")
 def job_provenance_audit(c):
     """Candidates audited after some of their references were broken."""
     kind = F.pmod("signal_id", F.lit(6))
+    away = lambda p: F.struct((p["x"] + 40.0).alias("x"), p["y"].alias("y"))
+    moved = F.transform("geometry", lambda rings: F.transform(rings, lambda q: F.transform(q, away)))
     broken = c.candidates.withColumns({
         "analysis_id": F.when(kind == 1, -1).otherwise(F.col("analysis_id")),
         "acquisition_ids": F.when(kind == 2, F.array_append("acquisition_ids", F.lit(-7)))
         .when(kind == 4, F.slice("acquisition_ids", 1, 0)).otherwise(F.col("acquisition_ids")),
         "detection_run_ids": F.when(kind == 3, F.array_append("detection_run_ids", F.lit(-9)))
         .otherwise(F.col("detection_run_ids")),
+        "geometry": F.when(kind == 5, F.slice("geometry", 1, 0)).when(F.pmod("signal_id", F.lit(12)) == 6, moved).otherwise(F.col("geometry")),
     })
     d = c.detection
+    placed = c.aois.join(c.grids, "aoi_id").select("aoi_id", geometry.unproject_rings(F.col("rings"), F.col("grid.crs")).alias("rings"))
+    # Some AOIs cross themselves: two neighbouring corners change places.
+    ring = F.col("rings")[0]
+    crossed = F.array(F.concat(F.slice(ring, 1, 1), F.slice(ring, 3, 1), F.slice(ring, 2, 1), F.slice(ring, 4, F.size(ring))))
+    aois = placed.withColumn("rings", F.when(F.pmod("aoi_id", F.lit(4)) == 1, crossed).otherwise(F.col("rings")))
     return provenance.audit_candidates(
-        broken, c.analyses, c.signals, c.acquisitions, fixtures.aois(c.spark, c.sf_dir), d.runs, located(c)
+        broken, c.analyses, c.signals, c.acquisitions, aois, d.runs, located(c), fixtures.boundary(c.spark)
     )
 
 
-@query("job_export", EXPORT_SQL, "reviewed")
+@query("job_export", EXPORT_SQL, *EXPORT_NEEDS)
 def job_export(c):
     return export_fields(exported(c))
 
@@ -357,29 +356,40 @@ def prj_display(c):
 
 
 cte("preview", """
-SELECT DISTINCT a.candidate_id, a.acq_id, r."row", r."col"
-FROM (SELECT candidate_id, aoi_id, birth_k, birth_no, unnest(acquisition_ids) AS acq_id FROM candidates) a
-JOIN entries e ON e.aoi_id = a.aoi_id AND e.birth_k = a.birth_k AND e.birth_no = a.birth_no
-JOIN rpx r ON r.aoi_id = e.aoi_id AND r.k = e.k AND r.region_no = e.region_no""", "candidates", "entries", "rpx")
+SELECT c.candidate_id, c.aoi_id, c.birth_k, c.birth_no, unnest(acquisition_ids) AS acq_id, left_x, top_y, right_x, bottom_y
+FROM candidates c JOIN track_shape USING (aoi_id, birth_k, birth_no)""", "candidates", "track_shape")
 
 
 @query("prj_ndvi_preview", f"""
-SELECT v.candidate_id, v.acq_id, v."row", v."col",
+SELECT v.candidate_id, v.acq_id, g."row", g."col",
        {GRAY.format(v="CASE WHEN red <> 0 AND nir <> 0 THEN CAST(CAST((nir - red) / (nir + red) AS FLOAT) AS DOUBLE) END")} AS gray
-FROM preview v LEFT JOIN px p ON p.acq_id = v.acq_id AND p."row" = v."row" AND p."col" = v."col" """, "preview", "px")
+FROM preview v JOIN (SELECT r::INTEGER AS "row", c::INTEGER AS "col" FROM range(20) a(r), range(20) b(c)) g
+  ON g."row" >= top_y AND g."row" < bottom_y AND g."col" >= left_x AND g."col" < right_x
+LEFT JOIN tpx t ON t.aoi_id = v.aoi_id AND t.birth_k = v.birth_k AND t.birth_no = v.birth_no AND t."row" = g."row" AND t."col" = g."col"
+LEFT JOIN px p ON p.acq_id = v.acq_id AND p."row" = t."row" AND p."col" = t."col" """, "preview", "tpx", "px")
 def prj_ndvi_preview(c):
     key = ["aoi_id", "birth_k", "birth_no"]
     scenes = c.candidates.select(*key, "candidate_id", F.explode("acquisition_ids").alias("acq_id"))
-    footprint = c.detection.track_pixels(c.tracks).join(scenes, key).drop("birth_k", "birth_no")
+    footprint = c.track_pixels.join(scenes, key).drop("birth_k", "birth_no")
     return display.preview_pixels(c.pixels, footprint).select("candidate_id", "acq_id", "row", "col", "gray")
 
 
 # --- streams -------------------------------------------------------------------------------
 
 
-def _stream(c: Chain, table: str):
-    schema = fixtures.table(c.spark, c.sf_dir, table).schema
-    return streams.read_arrivals(c.spark, c.sf_dir, schema, f"{table}.parquet")
+ARRIVALS = 4  # files that arrive one after the other
+
+
+def _stream(c: Chain, table: str, ts: str):
+    """Rows of a table as files that arrive in the order of time, each a micro-batch."""
+    rows = fixtures.table(c.spark, c.sf_dir, table)
+    when = F.unix_micros(F.col(ts).cast("timestamp"))
+    span = rows.agg(F.min(when).alias("low"), F.max(when).alias("high")).first()
+    part = F.floor((when - span.low) * ARRIVALS / (span.high - span.low + 1))
+    folder = stage_path(c.spark, f"arrivals-{table}")
+    for k in range(ARRIVALS):
+        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
+    return streams.read_arrivals(c.spark, folder, rows.schema, files_per_batch=1)
 
 
 def _scene_rows(events):
@@ -398,18 +408,18 @@ SELECT aoi_id, item_id, version, state FROM (
   SELECT event_id % 4 + 1 AS aoi_id, 'item-' || (event_id // 12) AS item_id, ts, event_id AS version, event_type AS state FROM events)
 QUALIFY row_number() OVER (PARTITION BY aoi_id, item_id ORDER BY ts DESC, version DESC) = 1""")
 def stream_scene_ingest(c):
-    rows = _scene_rows(_stream(c, "events"))
+    rows = _scene_rows(_stream(c, "events", "ts"))
     log = stage_path(c.spark, "scene-log")
-    streams.ingest_scenes(rows, log, stage_path(c.spark, "checkpoint")).awaitTermination()
+    streams.ingest_scenes(rows, log, stage_path(c.spark, "checkpoint"), every=3).awaitTermination()
     return streams.current_scenes(c.spark, log, rows.schema).select("aoi_id", "item_id", "version", "state")
 
 
 @query("stream_review_upsert", f"""
 SELECT candidate_id, decision, note, {sql_stamp('created_at')} AS created_at, {sql_stamp('updated_at')} AS updated_at FROM reviews""", "reviews")
 def stream_review_upsert(c):
-    rows = fixtures.review_rows(_stream(c, "orders"))
+    rows = fixtures.review_rows(_stream(c, "orders", "o_orderdate"))
     log = stage_path(c.spark, "review-log")
-    streams.ingest_reviews(rows, log, stage_path(c.spark, "checkpoint")).awaitTermination()
+    streams.ingest_reviews(rows, log, stage_path(c.spark, "checkpoint"), every=3).awaitTermination()
     return streams.review_state(c.spark, log, rows.schema).select(
         "candidate_id", "decision", "note", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at")
     )
@@ -419,7 +429,7 @@ def stream_review_upsert(c):
 def stream_progress(c):
     out = stage_path(c.spark, "progress")
     streams.count_progress(
-        _scene_rows(_stream(c, "events")).select("aoi_id", "state"), out, stage_path(c.spark, "checkpoint")
+        _scene_rows(_stream(c, "events", "ts")).select("aoi_id", "state"), out, stage_path(c.spark, "checkpoint")
     ).awaitTermination()
     return streams.current_progress(c.spark, out)
 

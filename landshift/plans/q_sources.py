@@ -9,8 +9,8 @@ from landshift.functions import geometry, grids, history
 from landshift.operators import change, evidence, reuse, triage
 from landshift.plans import fixtures
 from landshift.plans.chain import Chain
-from landshift.plans.oracle_chain import BOUNDARY, CATALOG_FROM, CATALOG_TO, cte
-from landshift.plans.registry import query, r6, sql_stamp, stamp
+from landshift.plans.oracle_chain import BOUNDARY, CATALOG_FROM, CATALOG_TO, INSIDE, cte
+from landshift.plans.registry import joined, query, r6, sql_list, sql_stamp, stamp
 from landshift.session import materialize, stage_path
 from landshift.sources import catalog, tables
 
@@ -45,6 +45,7 @@ def src_catalog_items(c):
 
 @query("src_pixels", 'SELECT aoi_id, acq_id, "row", "col", red, nir, CAST(scl AS INTEGER) AS scl FROM px', "px")
 def src_pixels(c):
+    """Prepared pixels, read back from the clustered table."""
     return c.pixels.select("aoi_id", "acq_id", "row", "col", "red", "nir", "scl")
 
 
@@ -229,40 +230,49 @@ def sink_temporal(c):
 
 
 @query("sink_candidates", f"""
-SELECT candidate_id, score, rank, priority,
+SELECT candidate_id, analysis_id, signal_id, score, rank, priority, severity, state, round(area_m2::DOUBLE, 2) AS area_m2, round(mean_delta, 6) AS mean_delta,
+       {sql_list('source_region_ids')} AS regions, {sql_list('detection_run_ids')} AS runs, {sql_list('acquisition_ids')} AS acquisitions, corners,
        CASE WHEN first_change_ts < TIMESTAMP '{STORED_BEFORE}' THEN 'accepted' ELSE 'unreviewed' END AS review_state,
        CASE WHEN first_change_ts < TIMESTAMP '{STORED_BEFORE}' THEN '2020-01-01 00:00:00' ELSE '2020-02-01 00:00:00' END AS created_at,
        '2020-02-01 00:00:00' AS updated_at
-FROM candidates""", "candidates")
+FROM candidates JOIN track_shape USING (aoi_id, birth_k, birth_no)""", "candidates", "track_shape")
 def sink_candidates(c):
-    old = F.lit("2020-01-01").cast("timestamp")
-    stored = c.candidates.where(F.col("first_change_ts") < F.lit(STORED_BEFORE).cast("timestamp")).select(
-        "candidate_id", "analysis_id", "signal_id", F.lit(0.0).alias("score"), F.lit(0).cast("bigint").alias("rank"),
-        F.lit("low").alias("severity"), F.lit("low").alias("priority"), F.lit("accepted").alias("review_state"),
-        old.alias("created_at"), old.alias("updated_at"),
-    )
+    """All fields of the candidates, over a table in which the older ones stand accepted with other figures."""
+    moment = lambda text: F.lit(text).cast("timestamp")
     path = stage_path(c.spark, "stored-candidates")
-    first = triage.upsert_candidates(stored.where("false"), stored, old).withColumn("review_state", F.lit("accepted"))
-    tables.put(first, path, ["candidate_id"])
-    merge = lambda before, new: triage.upsert_candidates(before, new, F.lit("2020-02-01").cast("timestamp"))
-    shaped = triage.upsert_candidates(stored.where("false"), c.candidates, old)
+    none = triage.no_candidates(c.candidates)
+    older = c.candidates.where(F.col("first_change_ts") < moment(STORED_BEFORE)).withColumns(
+        {"score": F.lit(0.0), "priority": F.lit("low"), "geometry": F.slice("geometry", 1, 0)}
+    )
+    tables.put(triage.upsert_candidates(none, older, moment("2020-01-01")).withColumn("review_state", F.lit("accepted")), path, ["candidate_id"])
+    shaped = triage.upsert_candidates(none, c.candidates, moment("2020-02-01"))
+    merge = lambda before, new: triage.upsert_candidates(before, new, moment("2020-02-01"))
     for _ in range(2):
         tables.put(shaped, path, ["candidate_id"], merge=merge)
     return tables.read_table(c.spark, path, shaped.schema).select(
-        "candidate_id", "score", "rank", "priority", "review_state",
+        "candidate_id", "analysis_id", "signal_id", "score", "rank", "priority", "severity", "state", F.round("area_m2", 2).alias("area_m2"),
+        r6("mean_delta").alias("mean_delta"), joined("source_region_ids").alias("regions"), joined("detection_run_ids").alias("runs"),
+        joined("acquisition_ids").alias("acquisitions"), geometry.multi_corners(F.col("geometry")).cast("bigint").alias("corners"), "review_state",
         stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"),
     )
 
 
 @query("sink_review", f"""
-SELECT candidate_id, decision, note, {sql_stamp('created_at')} AS created_at, {sql_stamp('updated_at')} AS updated_at
-FROM reviews""", "reviews")
+SELECT r.candidate_id, decision, note, {sql_stamp('created_at')} AS created_at, {sql_stamp('updated_at')} AS updated_at,
+       CASE WHEN c.candidate_id IS NOT NULL THEN decision END AS shown_state
+FROM reviews r LEFT JOIN candidates c USING (candidate_id)""", "reviews", "candidates")
 def sink_review(c):
-    path = stage_path(c.spark, "stored-reviews")
+    """Reviews written by key, and mirrored into the stored candidates."""
+    path, shown = stage_path(c.spark, "stored-reviews"), stage_path(c.spark, "shown-candidates")
+    stored = triage.upsert_candidates(triage.no_candidates(c.candidates), c.candidates, F.lit("1990-01-01").cast("timestamp"))
+    tables.put(stored, shown, ["candidate_id"])
     for _ in range(2):
         tables.put(c.reviews, path, ["candidate_id"])
-    return tables.read_table(c.spark, path, c.reviews.schema).select(
-        "candidate_id", "decision", "note", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at")
+        reviews = tables.read_table(c.spark, path, c.reviews.schema)
+        tables.put(triage.mirror_reviews(tables.read_table(c.spark, shown, stored.schema), reviews), shown, ["candidate_id"])
+    mirrored = tables.read_table(c.spark, shown, stored.schema).select("candidate_id", F.col("review_state").alias("shown_state"))
+    return tables.read_table(c.spark, path, c.reviews.schema).join(mirrored, "candidate_id", "left").select(
+        "candidate_id", "decision", "note", stamp("created_at").alias("created_at"), stamp("updated_at").alias("updated_at"), "shown_state"
     )
 
 
@@ -286,29 +296,88 @@ def assembled(c: Chain):
 
 
 def exported(c: Chain):
-    grid = c.scenes.groupBy("aoi_id").agg(F.any_value("grid").alias("grid"))
-    centroids = evidence.pixel_centroids(c.detection.track_pixels(c.tracks), grid)
+    centroids = evidence.pixel_centroids(c.track_pixels, c.grids)
     return evidence.snapshots(assembled(c), c.reviews, centroids)
 
 
-EXPORT_SQL = """
-SELECT candidate_id, rank, priority, score, review_state AS decision, detection_run_ids[1] AS first_run
-FROM reviewed"""
+# The whole snapshot, from the candidate, its runs, observations, review and outline.
+cte("export_scenes", """
+SELECT candidate_id, count(*) AS observations, round(sum(usable_percentage / 100), 6) AS usable_sum, round(sum(cloud_percentage / 100), 6) AS cloud_sum,
+       sum((acq_id % 50) / 2.0::DOUBLE) AS cover_sum, min('43P' || 'GHKM'[(aoi_id % 4 + 1)::INTEGER]) AS tile,
+       count(*) FILTER (acq_id % 9 = 4) + count(*) FILTER (acq_id % 9 IN (6, 7)) AS limits
+FROM (SELECT candidate_id, unnest(acquisition_ids) AS acq_id FROM candidates) JOIN acq USING (acq_id) GROUP BY ALL""", "candidates", "acq")
+EXPORT_SQL = f"""
+SELECT c.candidate_id, c.analysis_id, c.aoi_id, c.signal_id, c.rank, c.priority, c.severity, c.score, c.review_state AS decision, r.note,
+       {sql_stamp('r.created_at')} AS created_at, {sql_stamp('r.updated_at')} AS updated_at, {sql_list('c.detection_run_ids')} AS runs,
+       {sql_list('c.acquisition_ids')} AS acquisitions, u.before_acq, u.after_acq, b.item_id AS before_item, a.item_id AS after_item,
+       0.20::DOUBLE AS threshold, u.region_count, u.raw_changed_pixel_count, u.filtered_changed_pixel_count, u.quality_valid_pixel_count, u.excluded_pixel_count,
+       u.changed_pixel_percentage, round(u.total_changed_area_m2::DOUBLE, 2) AS total_area, round(u.median_region_area_m2::DOUBLE, 2) AS median_area,
+       round(u.mean_change_signal, 6) AS mean_change_signal, c.state, c.interval_count, c.support_count, c.recurrence_count,
+       round(c.persistence_ratio, 6) AS persistence_ratio, round(c.temporal_consistency, 6) AS temporal_consistency,
+       {sql_stamp('c.first_change_ts')} AS first_change, {sql_stamp('c.last_supporting_ts')} AS last_supporting,
+       e.observations, e.usable_sum, e.cloud_sum, e.cover_sum, e.tile, 2 * e.observations AS band_names, e.limits, TRUE AS aligned,
+       corners, shells_less_holes, left_lon, bottom_lat, right_lon, top_lat, lon, lat
+FROM reviewed c JOIN runs u ON u.run_id = c.detection_run_ids[1] JOIN acq b ON b.acq_id = u.before_acq JOIN acq a ON a.acq_id = u.after_acq
+JOIN export_scenes e USING (candidate_id) LEFT JOIN reviews r USING (candidate_id)
+JOIN track_shape s ON s.aoi_id = c.aoi_id AND s.birth_k = c.birth_k AND s.birth_no = c.birth_no
+JOIN track_map m ON m.aoi_id = c.aoi_id AND m.birth_k = c.birth_k AND m.birth_no = c.birth_no
+JOIN track_middle t ON t.aoi_id = c.aoi_id AND t.birth_k = c.birth_k AND t.birth_no = c.birth_no"""
+EXPORT_NEEDS = ("reviewed", "reviews", "runs", "acq", "export_scenes", "track_shape", "track_map", "track_middle")
+
+_OBSERVATION = "struct<item_id:string,usable_pixel_fraction:double,cloud_fraction:double,cloud_cover:double,mgrs_tile:string,bands:array<string>>"
+SNAPSHOT = (
+    "candidate_id string, analysis_id bigint, aoi_id bigint, signal_id bigint, rank bigint, priority string, severity string, score double, "
+    "analyst_review struct<decision:string,note:string,created_at:timestamp,updated_at:timestamp>, "
+    "provenance struct<detection_run_ids:array<bigint>,acquisition_ids:array<bigint>,before_acquisition_id:bigint,after_acquisition_id:bigint,"
+    "before_item_id:string,after_item_id:string>, "
+    "detection_summary struct<threshold:double,region_count:bigint,raw_changed_pixel_count:bigint,filtered_changed_pixel_count:bigint,"
+    "quality_valid_pixel_count:bigint,excluded_pixel_count:bigint,changed_pixel_percentage:double,total_changed_area_m2:double,"
+    "median_region_area_m2:double,mean_change_signal:double>, "
+    "temporal_evidence struct<state:string,interval_count:int,support_count:int,recurrence_count:int,persistence_ratio:double,"
+    "temporal_consistency:double,first_change_datetime:timestamp,last_supporting_datetime:timestamp>, "
+    f"all_observations array<{_OBSERVATION}>, before_observation {_OBSERVATION}, after_observation {_OBSERVATION}, "
+    "observation_quality struct<quality_limits:array<struct<code:string>>,spatial_alignment:struct<aligned:boolean>>, "
+    "geometry struct<type:string,coordinates:string>, centroid struct<longitude:double,latitude:double>"
+)
 
 
 def export_fields(documents):
-    field = lambda path, kind: F.get_json_object("json", path).cast(kind)
-    return documents.select(
-        field("$.candidate_id", "string").alias("candidate_id"),
-        field("$.rank", "bigint").alias("rank"),
-        field("$.priority", "string").alias("priority"),
-        field("$.score", "double").alias("score"),
-        field("$.analyst_review.decision", "string").alias("decision"),
-        field("$.provenance.detection_run_ids[0]", "bigint").alias("first_run"),
-    )
-
-
-@query("sink_export_json", EXPORT_SQL, "reviewed")
+    """What the snapshots say, read back from their text."""
+    d = documents.select(F.from_json("json", SNAPSHOT).alias("d")).select("d.*")
+    place = lambda c: F.transform(c, lambda rings: F.transform(rings, lambda r: F.transform(r, lambda p: F.struct(p[0].alias("x"), p[1].alias("y")))))
+    text = F.col("geometry.coordinates")
+    polygons = F.when(F.col("geometry.type") == "Polygon", F.array(F.from_json(text, "array<array<array<double>>>"))).otherwise(
+        F.from_json(text, "array<array<array<array<double>>>>")
+    )
+    d = d.withColumn("outline", place(polygons))
+    total = lambda field: F.aggregate(F.col(f"all_observations.{field}"), F.lit(0.0), lambda acc, v: acc + v)
+    box = geometry.multi_bounds(F.col("outline"))
+    given = lambda part, *names: [F.col(f"{part}.{n}").alias(n) for n in names]
+    parts = F.aggregate("outline", F.lit(0), lambda n, rings: n + 2 - F.size(rings))
+    return d.select(
+        "candidate_id", "analysis_id", "aoi_id", "signal_id", "rank", "priority", "severity", "score", *given("analyst_review", "decision", "note"),
+        stamp("analyst_review.created_at").alias("created_at"), stamp("analyst_review.updated_at").alias("updated_at"),
+        joined("provenance.detection_run_ids").alias("runs"), joined("provenance.acquisition_ids").alias("acquisitions"),
+        F.col("provenance.before_acquisition_id").alias("before_acq"), F.col("provenance.after_acquisition_id").alias("after_acq"),
+        F.col("before_observation.item_id").alias("before_item"), F.col("provenance.after_item_id").alias("after_item"),
+        *given("detection_summary", "threshold", "region_count", "raw_changed_pixel_count", "filtered_changed_pixel_count", "quality_valid_pixel_count",
+               "excluded_pixel_count", "changed_pixel_percentage"),
+        F.round("detection_summary.total_changed_area_m2", 2).alias("total_area"), F.round("detection_summary.median_region_area_m2", 2).alias("median_area"),
+        r6("detection_summary.mean_change_signal").alias("mean_change_signal"),
+        *given("temporal_evidence", "state", "interval_count", "support_count", "recurrence_count"),
+        r6("temporal_evidence.persistence_ratio").alias("persistence_ratio"), r6("temporal_evidence.temporal_consistency").alias("temporal_consistency"),
+        stamp("temporal_evidence.first_change_datetime").alias("first_change"), stamp("temporal_evidence.last_supporting_datetime").alias("last_supporting"),
+        F.size("all_observations").cast("bigint").alias("observations"), r6(total("usable_pixel_fraction")).alias("usable_sum"),
+        r6(total("cloud_fraction")).alias("cloud_sum"), total("cloud_cover").alias("cover_sum"), F.array_min("all_observations.mgrs_tile").alias("tile"),
+        F.size(F.flatten("all_observations.bands")).cast("bigint").alias("band_names"),
+        F.size("observation_quality.quality_limits").cast("bigint").alias("limits"), F.col("observation_quality.spatial_alignment.aligned").alias("aligned"),
+        geometry.multi_corners(F.col("outline")).cast("bigint").alias("corners"), parts.cast("bigint").alias("shells_less_holes"),
+        *[r6(box[k]).alias(n) for k, n in enumerate(("left_lon", "bottom_lat", "right_lon", "top_lat"))],
+        r6("centroid.longitude").alias("lon"), r6("centroid.latitude").alias("lat"),
+    )
+
+
+@query("sink_export_json", EXPORT_SQL, *EXPORT_NEEDS)
 def sink_export_json(c):
     """Snapshots written as JSON lines, then read back."""
     path = stage_path(c.spark, "export")
@@ -435,13 +504,11 @@ def chk_mask_alignment(c):
 
 
 # Octagon test in metres from the upper-left grid corner.
-INSIDE = """("col" + "row" + 1) * 10 > 45 AND (20 - "col" + "row") * 10 > 45
-  AND ("col" + 20 - "row") * 10 > 45 AND (39 - "col" - "row") * 10 > 45"""
 
 
-@query("flt_aoi_clip", f'SELECT aoi_id, acq_id, "row", "col", red FROM px WHERE {INSIDE}', "px")
+@query("flt_aoi_clip", f'SELECT aoi_id, acq_id, "row", "col", red FROM px_all WHERE {INSIDE}', "px_all")
 def flt_aoi_clip(c):
-    clipped = tables.clip_to_aoi(c.pixels, c.scenes, fixtures.aois(c.spark, c.sf_dir))
+    clipped = tables.clip_to_aoi(c.raw_pixels, c.scenes, c.aois)
     return clipped.select("aoi_id", "acq_id", "row", "col", "red")
 
 
@@ -583,7 +650,7 @@ def sort_catalog(c):
 
 @query("top_catalog_item", "SELECT aoi_id, item_id FROM discovered WHERE position = 1", "discovered")
 def top_catalog_item(c):
-    return discovered(c).where("position = 1").select("aoi_id", "item_id")
+    return catalog.best(catalog.covering(found(c))).select("aoi_id", "item_id")
 
 
 @query("set_reuse_split", """
@@ -623,6 +690,6 @@ def set_ids_equal(c):
     )
 
 
-@query("set_region_iou", "SELECT aoi_id, from_k, from_no, k, region_no, shared, round(iou, 6) AS iou FROM links", "links")
+@query("set_region_iou", "SELECT aoi_id, from_k, from_no, k, region_no, shared, round(iou, 6) AS iou FROM end_pairs WHERE iou >= 0.25", "end_pairs")
 def set_region_iou(c):
     return c.overlap.select("aoi_id", "from_k", "from_no", "k", "region_no", "shared", r6("iou").alias("iou"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landshift.config import QUALITY_BAND, REQUIRED_BANDS, Policy
 from landshift.functions import geometry, text
+from landshift.operators.skew import rank_within
 from landshift.schemas import CATALOG_PAGE, MULTIPOLYGON_COORDINATES, POLYGON_COORDINATES
 
 
@@ -135,10 +136,16 @@ def domain_violations(found: DataFrame, boundary: DataFrame) -> DataFrame:
 
 def ranked(covered: DataFrame) -> DataFrame:
     """Position per AOI: clearest first, then earliest, then item id."""
-    order = Window.partitionBy("aoi_id").orderBy(
-        cloud_order(F.col("cloud_cover")).asc_nulls_last(), "ts", "item_id"
-    )
-    return covered.withColumn("position", F.row_number().over(order))
+    cloud = covered.withColumn("_cloud", cloud_order(F.col("cloud_cover")))
+    order = [F.col("_cloud").asc_nulls_last(), F.col("ts").asc(), F.col("item_id").asc()]
+    return rank_within(cloud, ["aoi_id"], order, "position").drop("_cloud")
+
+
+def best(covered: DataFrame) -> DataFrame:
+    """The first item of each AOI in that order, as an aggregate."""
+    cloud = cloud_order(F.col("cloud_cover"))
+    rank = F.struct(F.isnull(cloud).alias("n"), cloud.alias("c"), F.col("ts"), F.col("item_id"))
+    return covered.groupBy("aoi_id").agg(F.min_by(F.struct(*[c for c in covered.columns if c != "aoi_id"]), rank).alias("_best")).select("aoi_id", "_best.*")
 
 
 def discover(items: DataFrame, aois: DataFrame, collection: str, start: str, end: str, policy: Policy = Policy()) -> DataFrame:

@@ -10,45 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from landshift.functions import geometry
-from landshift.operators.skew import latest_by
-from landshift.schemas import AOI_GEOJSON, PIXELS
+from landshift.operators.skew import join_headers, latest_by
+from landshift.schemas import AOI_GEOJSON
 from landshift.session import materialize
 
 
-def write_pixels(pixels: DataFrame, path: str) -> None:
-    """Pixel table laid out by AOI and scene, in pixel order inside the files.
-
-    Partition pruning then skips whole scenes, row-group statistics skip windows of a
-    scene. Rows are spread by grid block first, so one large scene has many writers.
-    """
-    block = 1024
-    (
-        pixels.repartition(
-            "aoi_id", "acq_id", F.floor(F.col("row") / block), F.floor(F.col("col") / block)
-        )
-        .sortWithinPartitions("aoi_id", "acq_id", "row", "col")
-        .write.partitionBy("aoi_id", "acq_id")
-        .mode("overwrite")
-        .parquet(path)
-    )
-
-
-def read_pixels(
-    spark: SparkSession,
-    path: str,
-    aoi_id: int | None = None,
-    window: tuple[int, int, int, int] | None = None,
-) -> DataFrame:
-    """Pixels of one AOI or all; ``window`` is (first row, first col, last row, last col)."""
-    pixels = spark.read.schema(PIXELS).parquet(path)
-    if aoi_id is not None:
-        pixels = pixels.where(F.col("aoi_id") == aoi_id)
-    if window is not None:
-        top, left, bottom, right = window
-        pixels = pixels.where(F.col("row").between(top, bottom) & F.col("col").between(left, right))
-    return pixels
-
-
 def parse_aois(raw: DataFrame) -> DataFrame:
     """AOI rows (aoi_id, geometry_json) with rings; NULL rings where unreadable."""
     parsed = F.from_json("geometry_json", AOI_GEOJSON)
@@ -76,11 +42,12 @@ def valid_aois(raw: DataFrame, boundary: DataFrame) -> DataFrame:
     )
 
 
-def clip_to_aoi(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:
-    """Pixels whose centre lies in the AOI polygon, with the others dropped as nodata.
+def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:
+    """Adds ``inside``: whether a pixel's centre lies in the AOI polygon.
 
     Scene headers and AOI rings are one row per scene or AOI. Comparisons with the outer
-    and an inner box decide for most pixels; only those between run the polygon test.
+    and an inner box decide for most pixels; only those between run the polygon test. Headers meet
+    pixels on a salted key, so a scene may hold most pixels.
     """
     rings = F.col("_rings")
     shapes = materialize(
@@ -94,17 +61,20 @@ def clip_to_aoi(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFr
     )
     header = scenes.select(
         "aoi_id", "acq_id", F.col("grid.transform").alias("_t"), F.col("grid.crs").alias("_crs")
-    ).join(boxed, ["aoi_id", "_crs"])
+    ).join(boxed, ["aoi_id", "_crs"]).drop("_crs")
     x = F.col("_t")[2] + (F.col("col") + 0.5) * F.col("_t")[0]
     y = F.col("_t")[5] + (F.col("row") + 0.5) * F.col("_t")[4]
-    located = pixels.join(header, ["aoi_id", "acq_id"]).withColumns({"_x": x, "_y": y})
+    located = join_headers(pixels, header).withColumns({"_x": x, "_y": y})
     x, y, box, core = F.col("_x"), F.col("_y"), F.col("_box"), F.col("_core")
     clearly = F.coalesce((x > core[0]) & (x < core[2]) & (y > core[1]) & (y < core[3]), F.lit(False))
-    return (
-        located.where(x.between(box[0], box[2]) & y.between(box[1], box[3]))
-        .where(clearly | geometry.contains_point(F.col("_rings"), x, y))
-        .drop("_t", "_crs", "_rings", "_box", "_core", "_x", "_y")
-    )
+    near = x.between(box[0], box[2]) & y.between(box[1], box[3])
+    inside = F.when(~near, False).when(clearly, True).otherwise(geometry.contains_point(F.col("_rings"), x, y))
+    return located.withColumn("inside", inside).drop("_t", "_rings", "_box", "_core", "_x", "_y")
+
+
+def clip_to_aoi(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:
+    """Pixels whose centre lies in the AOI polygon, with the others dropped as nodata."""
+    return with_inside(pixels, scenes, aois).where("inside").drop("inside")
 
 
 def scan_acquisitions(acquisitions: DataFrame, aoi_id: int | None = None) -> DataFrame:

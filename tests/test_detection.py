@@ -182,3 +182,54 @@ def test_ids_that_do_not_fit_stop_the_job(spark):
             frame.select(change.run_id(F.col("aoi"), F.col("k"))).collect()
     top = spark.createDataFrame([((1 << change.AOI_BITS) - 1, (1 << change.INTERVAL_BITS) - 1, (1 << change.REGION_BITS) - 1)], "a bigint, k int, n bigint")
     assert top.select(change.region_id(change.run_id(F.col("a"), F.col("k")), F.col("n"))).first()[0] == 2**63 - 1
+
+
+def scenes_of_growth(spark):
+    """Five scenes in which regions appear, grow and vanish."""
+    rng = np.random.default_rng(11)
+    shape, red = (24, 24), np.full((24, 24), 2)
+    rows = []
+    for acq in range(1, 6):
+        nir = np.full(shape, 6)
+        for _ in range(3):
+            r, c = rng.integers(0, 18, 2)
+            nir[r : r + rng.integers(2, 7), c : c + rng.integers(2, 7)] = 2
+        rows.append(pixel_rows(acq, red, nir, np.full(shape, 4)))
+    pixels = pixel_table(spark, *rows)
+    policy = Policy(tile=8, min_usable_fraction=0.1)
+    return pixels, quality.assess_scenes(pixels, scene_table(spark, [1, 2, 3, 4, 5], 24, 24), policy), policy
+
+
+def test_reused_intervals_are_not_read_and_give_a_full_result(spark):
+    pixels, acquisitions, policy = scenes_of_growth(spark)
+    full = regions.detect(pixels, acquisitions, policy)
+    rows = lambda frame: sorted(map(str, frame.select(*sorted(frame.columns)).collect()))
+    # Yesterday scene 3 was not there: the pairs were (1, 2), (2, 4), (4, 5), the last one is interval 3 today.
+    order = [r.acq_id for r in change.sequence(change.eligible(acquisitions)).orderBy("seq").collect()]
+    missing = order[2]
+    old = regions.detect(pixels.where(F.col("acq_id") != missing), acquisitions.where(F.col("acq_id") != missing), policy)
+    # Pixels of the first scene are gone: its interval is reused.
+    found = regions.detect(pixels.where(F.col("acq_id") != order[0]), acquisitions, policy, store=regions.to_store(old))
+    assert sorted(r.k for r in found.tiles.select("k").distinct().collect()) == [1, 2]
+    assert rows(found.runs) == rows(full.runs)
+    assert rows(found.regions) == rows(full.regions)
+    assert rows(found.region_pixels()) == rows(full.region_pixels())
+    assert rows(found.intervals) == rows(full.intervals)
+
+
+def test_a_store_of_other_settings_is_passed_over(spark):
+    pixels, acquisitions, policy = scenes_of_growth(spark)
+    stored = regions.to_store(regions.detect(pixels, acquisitions, Policy(tile=8, min_usable_fraction=0.1, threshold=0.3)))
+    found = regions.detect(pixels, acquisitions, policy, store=stored)
+    assert found.reused_pixels.isEmpty() and found.tiles.select("k").distinct().count() == 4
+
+
+def test_areas_are_those_of_the_projected_corners(spark):
+    from landshift.functions import geometry, lattice
+
+    crs, transform = "EPSG:32643", [10.0, 0.0, 600000.0, 0.0, -10.0, 1500000.0]
+    made = lattice.cell_areas(crs, transform, 3, 5, 4, 6)
+    x, y = F.lit(600000.0) + F.col("c") * 10.0, F.lit(1500000.0) - F.col("r") * 10.0
+    cells = spark.createDataFrame([(r, c) for r in range(3, 7) for c in range(5, 11)], "r int, c int")
+    want = cells.select("r", "c", geometry.pixel_area_m2(x, y, F.lit(10.0), F.lit(10.0), F.lit(crs)).alias("a")).orderBy("r", "c").collect()
+    assert made.ravel() == pytest.approx([w.a for w in want], abs=1e-6)

@@ -1,14 +1,16 @@
 import json
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from helpers import pixel_rows, pixel_table, scene_table
 from landshift import schemas
 from landshift.config import Policy
 from landshift.functions import geometry
-from landshift.operators import skew
-from landshift.session import stage_path
-from landshift.sources import catalog, tables
+from landshift.operators import change, skew
+from landshift.session import materialize, stage_path
+from landshift.sources import catalog, pixel_store, tables
 
 
 def box(left, bottom, right, top):
@@ -44,12 +46,41 @@ def test_catalog_discovery(spark):
 def test_pixel_table_round_trip_and_pruning(spark):
     ones = [[1, 2], [3, 4]]
     pixels = pixel_table(spark, pixel_rows(1, ones, ones, ones), pixel_rows(2, ones, ones, ones, aoi=2))
-    path = stage_path(spark, "pixel-table")
-    tables.write_pixels(pixels, path)
-    read = tables.read_pixels(spark, path, aoi_id=2, window=(0, 0, 0, 1))
+    stored = pixel_store.write(pixels, side=2)
+    read = stored.read(spark, aoi_id=2, window=(0, 0, 0, 1))
     assert sorted((r.acq_id, r.row, r.col, r.red) for r in read.collect()) == [(2, 0, 0, 1.0), (2, 0, 1, 2.0)]
     plan = read._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(aoi_id" in plan and "PushedFilters: [IsNotNull(row)" in plan
+    pushed = plan[plan.index("PushedFilters") :]
+    assert "EqualTo(aoi_id,2)" in pushed and "LessThanOrEqual(row,0)" in pushed and "LessThanOrEqual(tile_col,0)" in pushed
+    wanted = spark.createDataFrame([(2, 2)], "aoi_id bigint, acq_id bigint")
+    read = stored.read(spark, scenes=wanted)
+    assert [r.acq_id for r in read.select("acq_id").distinct().collect()] == [2]
+    assert "GreaterThanOrEqual(acq_id,2)" in read._jdf.queryExecution().executedPlan().toString()
+    assert {(r.aoi_id, r.acq_id): r.pixels for r in stored.tiles.collect()} == {(1, 1): 4, (2, 2): 4}
+
+
+def test_clustered_pixels_are_not_shuffled_for_differencing(spark):
+    rng = np.random.default_rng(3)
+    red, fours = np.full((9, 9), 2), np.full((9, 9), 4)
+    pixels = pixel_table(spark, *[pixel_rows(a, red, rng.integers(1, 9, (9, 9)), fours) for a in (1, 2, 3)])
+    policy = Policy(tile=4, min_usable_fraction=0.1)
+    stored = pixel_store.write(pixels, side=4)
+    sequenced = materialize(change.sequence(scene_table(spark, [1, 2, 3], 9, 9)), "sequence")
+    clustered = change.pixel_pairs(stored.read(spark), sequenced, policy)
+    plan = clustered._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange hashpartitioning" not in plan and "Bucketed: true" in plan
+    plain = change.pixel_pairs(pixels, sequenced, policy)
+    show = lambda frame: sorted(map(str, frame.collect()))
+    assert show(clustered) == show(plain)
+    with pytest.raises(Exception, match="tiles of another size"):
+        change.pixel_pairs(stored.read(spark), sequenced, Policy(tile=8)).count()
+
+
+def test_tiles_follow_the_z_curve(spark):
+    cells = spark.createDataFrame([(r, c) for r in range(4) for c in range(4)], "r int, c int")
+    found = {(x.r, x.c): x.k for x in cells.select("r", "c", pixel_store.curve(F.col("r"), F.col("c")).alias("k")).collect()}
+    want = {(r, c): sum(((r >> b & 1) << 2 * b + 1) | ((c >> b & 1) << 2 * b) for b in range(2)) for r in range(4) for c in range(4)}
+    assert found == want
 
 
 def test_clip_uses_pixel_centres_of_a_projected_aoi(spark):

@@ -31,3 +31,53 @@ def test_progress_counts_over_batches(spark):
     jobs.count_progress(stream, out, stage_path(spark, "checkpoint")).awaitTermination()
     found = {(r.aoi_id, r.state): r.completed for r in jobs.current_progress(spark, out).collect()}
     assert found == {(1, "completed"): 2, (1, "failed"): 1, (2, "completed"): 3}
+
+
+def _arrive(spark, rows, schema, folder):
+    spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(folder)
+
+
+def test_late_and_repeated_reviews_and_compaction(spark):
+    """Folding every second batch changes no state; repeats count once, rows behind the watermark not at all."""
+    import datetime
+
+    day = lambda n: datetime.datetime(2024, 1, 1) + datetime.timedelta(days=n)
+    schema = "candidate_id string, decision string, note string, ts timestamp, log_id bigint"
+    batches = [
+        [("a", "accepted", None, day(0), 1), ("b", "rejected", "x", day(1), 2), ("a", "investigate", "y", day(2), 3), ("a", "rejected", None, day(1), 11)],
+        [("a", "unreviewed", None, day(40), 4), ("a", "rejected", "z", day(41), 5), ("b", "rejected", "x", day(1), 2)],
+        [("a", "accepted", "w", day(50), 6), ("b", "investigate", None, day(90), 7)],
+        [("a", "unreviewed", None, day(45), 8), ("c", "accepted", None, day(91), 12)],
+        [("a", "investigate", "v", day(95), 10), ("b", "investigate", None, day(90), 7), ("b", "accepted", "late", day(0), 9)],
+    ]
+    folder, log = stage_path(spark, "arrivals"), stage_path(spark, "reviews")
+    for rows in batches:
+        _arrive(spark, rows, schema, folder)
+    stream = jobs.read_arrivals(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    jobs.ingest_reviews(stream, log, stage_path(spark, "checkpoint"), delay="60 days", every=2).awaitTermination()
+    on_time = spark.createDataFrame([r for rows in batches for r in rows if r[4] != 9], schema).distinct()
+    state = lambda rows: sorted(tuple(r) for r in rows.collect())
+    assert state(jobs.review_state(spark, log, on_time.schema)) == state(current_reviews(on_time))
+    bases, kept, _ = jobs._folders(spark, log)
+    assert bases and min(kept) > 0  # the first batches are folded away
+    # Of the settled rows of "a" only the ends are left; the reset of day 45 came within the watermark.
+    left = {r.log_id for r in jobs.read_log(spark, log, on_time.schema).collect()}
+    assert left == {r.log_id for r in on_time.collect()} - {11}
+
+
+def test_scenes_are_kept_once(spark):
+    import datetime
+
+    schema = "aoi_id bigint, item_id string, ts timestamp, version bigint, state string"
+    at = lambda n: datetime.datetime(2024, 5, 1, n)
+    folder, log = stage_path(spark, "arrivals"), stage_path(spark, "scenes")
+    for rows in (
+        [(1, "s", at(1), 1, "queued"), (1, "t", at(1), 2, "queued")], [(1, "s", at(2), 3, "acquired"), (1, "s", at(1), 1, "queued")],
+        [(2, "s", at(3), 4, "failed")], [(1, "t", at(4), 5, "acquired")],
+    ):
+        _arrive(spark, rows, schema, folder)
+    stream = jobs.read_arrivals(spark, folder, spark.createDataFrame([], schema).schema, files_per_batch=1)
+    jobs.ingest_scenes(stream, log, stage_path(spark, "checkpoint"), every=2).awaitTermination()
+    found = {(r.aoi_id, r.item_id): r.state for r in jobs.current_scenes(spark, log, spark.createDataFrame([], schema).schema).collect()}
+    assert found == {(1, "s"): "acquired", (1, "t"): "acquired", (2, "s"): "failed"}
+    assert jobs.read_log(spark, log, spark.createDataFrame([], schema).schema).count() == 3

@@ -25,7 +25,7 @@ def box(top, left, height, width):
 def track(spark, regions, threshold=0.25):
     pixels, sizes = tables(spark, regions)
     policy = Policy(iou_threshold=threshold, tile=4)
-    found = tracks.track_regions(sizes, tracks.region_overlap(pixels, policy)).collect()
+    found = tracks.track_regions(sizes, tracks.sweep(pixels, policy)).collect()
     assert len(found) == sum(len(v) for v in regions.values())
     return {(r.k, r.region_no): ((r.birth_k, r.birth_no), round(r.iou, 9)) for r in found}
 
@@ -84,3 +84,32 @@ def test_random_sequences_follow_the_rules(spark, seed):
                 found.append(cells)
         regions[k] = found
     holds_rules(regions, track(spark, regions, 0.2), 0.2)
+
+
+def pairs_of(spark, regions, **options):
+    pixels, _ = tables(spark, regions)
+    return tracks.sweep(pixels, Policy(iou_threshold=0.25, tile=4), **options).collect()
+
+
+def test_a_stable_field_is_compared_once_per_interval(spark):
+    """Twelve intervals with the same two regions: eleven pairs each, not 66."""
+    regions = {k: [box(0, 0, 5, 5), box(0, 7, 3, 3)] for k in range(12)}
+    found = pairs_of(spark, regions)
+    assert sorted((p.from_k, p.from_no, p.k, p.region_no, p.iou) for p in found) == sorted(
+        (k, no, k + 1, no, 1.0) for k in range(11) for no in (1, 2)
+    )
+    assert {(p.birth_k, p.won) for p in found} == {(0, True)}
+
+
+def test_an_end_that_another_face_closed_is_passed_over(spark):
+    """The first region is continued on its left half; its right half is covered again much later."""
+    regions = {0: [box(0, 0, 4, 8)], 1: [box(0, 0, 4, 5)], 3: [box(0, 5, 4, 3)], 4: [box(0, 0, 4, 8)]}
+    found = {(p.from_k, p.k): (p.shared, p.won) for p in pairs_of(spark, regions, minimum=0.0)}
+    assert found == {(0, 1): (20, True), (1, 4): (20, True), (3, 4): (12, False)}
+
+
+def test_ends_stay_open_over_any_gap(spark):
+    regions = {0: [box(0, 0, 3, 3)], 40: [box(0, 0, 3, 4)], 41: [box(9, 9, 2, 2)]}
+    found = pairs_of(spark, regions)
+    assert [(p.from_k, p.k, p.shared, p.won) for p in found] == [(0, 40, 9, True)]
+    assert pairs_of(spark, {5: [box(0, 0, 3, 3)]}) == []
