@@ -125,6 +125,9 @@ class _Lattices(dict):
 
 
 def _pixel_areas(batch: pa.RecordBatch, known: _Lattices, group: np.ndarray, local_row: np.ndarray, local_col: np.ndarray) -> np.ndarray:
+    """Sizes of all pixels; none at all where no tile has a grid."""
+    if batch.column("crs").null_count == batch.num_rows:
+        return np.zeros(0)
     areas = np.full(len(group), NOMINAL_AREA)
     bounds = np.searchsorted(group, np.arange(batch.num_rows + 1))
     columns = [batch.column(c).to_pylist() for c in ("crs", "transform", "tile_row", "tile_col", "side")]
@@ -159,7 +162,7 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
         names = [n for n in batch.schema.names if n not in ("side", "crs", "transform")]
         yield pa.RecordBatch.from_arrays(
             [batch.column(n) for n in names]
-            + [_lists(lengths, pa.array(labels)), _lists(lengths, pa.array(areas)), _lists(np.bincount(group[edge], minlength=len(lengths)), border)],
+            + [_lists(lengths, pa.array(labels)), _lists(lengths if len(areas) else 0 * lengths, pa.array(areas)), _lists(np.bincount(group[edge], minlength=len(lengths)), border)],
             names=[*names, "labels", "areas", "border"],
         )
 
@@ -167,7 +170,7 @@ def _label_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
 def label_tiles(tiles: DataFrame, policy: Policy = Policy(), headers: DataFrame | None = None) -> DataFrame:
     """Label the changed pixels of every tile on its own.
 
-    Adds ``labels`` and ``areas``, one per entry of ``changed``, and ``border``, the labelled pixels on
+    Adds ``labels`` and ``areas``, one per entry of ``changed`` (no areas without grids), and ``border``, the labelled pixels on
     the rim of the tile, which is all that joining tiles has to read. ``headers`` (aoi_id, k, grid) give
     equal-area sizes; pixels without a grid count as nominal ones. Headers meet tiles, never pixels.
     """
@@ -192,7 +195,7 @@ def explode_pixels(labelled: DataFrame) -> DataFrame:
         F.col("_p.changed.col").alias("col"),
         F.col("_p.changed.signal").alias("signal"),
         F.col("_p.labels").alias("label"),
-        F.col("_p.areas").alias("area"),
+        F.coalesce("_p.areas", F.lit(NOMINAL_AREA)).alias("area"),
     )
 
 

@@ -20,7 +20,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.functions import geometry
-from landshift.operators.skew import number_buckets
 from landshift.schemas import RINGS
 from landshift.session import materialize
 
@@ -28,11 +27,10 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 
 KEY = ["aoi_id", "k", "region_no"]
 SIDE = 512  # tiles whose sides are linked in one step
-BAND = 64  # grid rows per slice when the polygons of a region are numbered
 CHAIN = (
     "chain bigint, entry_row int, entry_col int, entry_dir int, saddle boolean, exit_row int, exit_col int, exit_dir int, closed boolean, "
     "points array<struct<y:int,x:int>>, doubled bigint, corners bigint, top struct<y:int,x:int>, "
-    "uprights array<struct<col:int,low:int,high:int>>, box struct<left:int,top:int,right:int,bottom:int>"
+    "uprights array<struct<col:int,low:int,high:int>>"
 )
 
 
@@ -128,8 +126,6 @@ def _chain_batches(keys: list[str]):
             doubled = np.add.reduceat(x * end_y - end_x * y, opens)
             position = np.lexsort((x, y, chain))[opens]
             top_y, top_x = y[position], x[position]
-            least = lambda v: np.minimum.reduceat(v, opens)
-            most = lambda v: np.maximum.reduceat(v, opens)
             kept = np.flatnonzero(turn)
             per = np.bincount(chain[kept], minlength=len(opens))
             # Upright runs: sides that go on in the same direction.
@@ -153,7 +149,6 @@ def _chain_batches(keys: list[str]):
                 "points": nested(per, struct(y=y[kept], x=x[kept])), "doubled": pa.array(doubled),
                 "corners": pa.array(per - ~closed), "top": struct(y=top_y, x=top_x),
                 "uprights": nested(uprights, struct(col=x[fresh], low=low, high=high)),
-                "box": struct(left=least(x), top=least(y), right=most(x), bottom=most(y)),
             }
             yield pa.RecordBatch.from_arrays(list(columns.values()), list(columns))
 
@@ -202,27 +197,35 @@ def ring_order(linked: DataFrame, keys: list[str] = KEY) -> DataFrame:
     return ranked.select(*keys, "chain", F.col("low").alias("ring"), "at", "turns")
 
 
-def rings(pixels: DataFrame, keys: list[str] = KEY, side: int = SIDE) -> tuple[DataFrame, DataFrame]:
-    """(chains with their ring and place, rings with area, corners, top and box)."""
+def rings(pixels: DataFrame, keys: list[str] = KEY, side: int = SIDE) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(chains with their ring and place, rings with area, corners and top, rings with their points).
+
+    A closed chain is a ring as it stands; only chains that leave their tile are put together.
+    """
     found = materialize(chains(pixels, keys, side), "chains")
+    closed = found.where("closed")
+    stored = closed.select(*keys, F.col("chain").alias("ring"), "uprights")
+    figures = closed.select(*keys, F.col("chain").alias("ring"), "doubled", "corners", "top")
+    points = closed.select(*keys, F.col("chain").alias("ring"), F.col("points").alias("p"))
     loose = found.where("not closed")
-    placed = found.where("closed").withColumns({"ring": F.col("chain"), "at": F.lit(0).cast("bigint"), "turns": F.lit(True)})
-    if not loose.isEmpty():
-        ends = loose.select(*keys, "chain", F.col("exit_row").alias("entry_row"), F.col("exit_col").alias("entry_col"), "exit_dir")
-        starts = loose.select(*keys, F.col("chain").alias("jump"), "entry_row", "entry_col", "entry_dir", "saddle")
-        fits = ~F.col("saddle") | (F.col("entry_dir") == (F.col("exit_dir") + 1) % 4)
-        linked = ends.join(starts, [*keys, "entry_row", "entry_col"]).where(fits)
-        # Whether the ring turns where it enters the next chain.
-        entered = linked.select(*keys, F.col("jump").alias("chain"), (F.col("entry_dir") != F.col("exit_dir")).alias("turns"))
-        order = ring_order(linked.select(*keys, "chain", "jump").join(entered, [*keys, "chain"]), keys)
-        placed = placed.unionByName(loose.join(order, [*keys, "chain"]).select(*placed.columns))
-    placed = placed.withColumn("corners", F.col("corners") + F.when(~F.col("closed") & F.col("turns"), 1).otherwise(0))
-    stored = materialize(placed, "ring-chains")
-    figures = stored.groupBy(*keys, "ring").agg(
-        F.sum("doubled").alias("doubled"), F.sum("corners").alias("corners"), F.min("top").alias("top"),
-        F.min("box.left").alias("left"), F.max("box.right").alias("right"), F.max("box.bottom").alias("bottom"),
+    if loose.isEmpty():
+        return stored, figures, points
+    ends = loose.select(*keys, "chain", F.col("exit_row").alias("entry_row"), F.col("exit_col").alias("entry_col"), "exit_dir")
+    starts = loose.select(*keys, F.col("chain").alias("jump"), "entry_row", "entry_col", "entry_dir", "saddle")
+    fits = ~F.col("saddle") | (F.col("entry_dir") == (F.col("exit_dir") + 1) % 4)
+    linked = ends.join(starts, [*keys, "entry_row", "entry_col"]).where(fits)
+    # Whether the ring turns where it enters the next chain.
+    entered = linked.select(*keys, F.col("jump").alias("chain"), (F.col("entry_dir") != F.col("exit_dir")).alias("turns"))
+    order = ring_order(linked.select(*keys, "chain", "jump").join(entered, [*keys, "chain"]), keys)
+    joined = materialize(loose.join(order, [*keys, "chain"]), "ring-chains")
+    made = joined.groupBy(*keys, "ring").agg(
+        F.sum("doubled").alias("doubled"), F.sum(F.col("corners") + F.when(F.col("turns"), 1).otherwise(0)).alias("corners"), F.min("top").alias("top")
     )
-    return stored, materialize(figures, "rings")
+    # Chains begin with their entry, which is a corner only where the ring turns there.
+    own = F.when(F.col("turns"), F.col("points")).otherwise(F.slice("points", 2, F.size("points")))
+    in_order = F.array_sort(F.collect_list(F.struct((F.col("at") > 0).alias("later"), (-F.col("at")).alias("place"), own.alias("own"))))
+    put = joined.groupBy(*keys, "ring").agg(F.flatten(F.transform(in_order, lambda c: c["own"])).alias("p"))
+    return stored.unionByName(joined.select(*stored.columns)), figures.unionByName(made), points.unionByName(put)
 
 
 def hole_owners(stored: DataFrame, figures: DataFrame, keys: list[str] = KEY) -> DataFrame:
@@ -255,30 +258,25 @@ def hole_owners(stored: DataFrame, figures: DataFrame, keys: list[str] = KEY) ->
 
 
 def polygonize(pixels: DataFrame, keys: list[str] = KEY, side: int = SIDE) -> DataFrame:
-    """Polygons in pixel-corner coordinates (x = column, y = row): keys, polygon_no, rings.
+    """Polygons in pixel-corner coordinates (x = column, y = row): keys, top_row, top_col, rings.
 
     ``pixels`` are distinct (keys, row, col). Pixels that touch only at a corner give separate polygons of one
-    region. Rings begin at their top left corner; polygons are numbered in raster order of these. Sizes and tiles change nothing.
+    region, each named by the top left corner of its outer ring. Rings begin at their top left corner; holes follow in
+    raster order of theirs. Sizes and tiles change nothing.
     """
-    stored, figures = rings(pixels, keys, side)
-    # Open chains begin with their entry, which is a corner only where the ring turns there.
-    own = F.when(F.col("closed") | F.col("turns"), F.col("points")).otherwise(F.slice("points", 2, F.size("points")))
-    ordered = F.array_sort(F.collect_list(F.struct((F.col("at") > 0).alias("later"), (-F.col("at")).alias("place"), own.alias("own"))))
-    corners = stored.groupBy(*keys, "ring").agg(F.flatten(F.transform(ordered, lambda c: c["own"])).alias("p"))
+    stored, figures, points = rings(pixels, keys, side)
     first = F.array_position("p", F.array_min("p")).cast("int")
     turned = F.concat(F.slice("p", first, F.size("p")), F.slice("p", F.lit(1), first))
     shown = F.transform(turned, lambda p: F.struct(p["x"].cast("double").alias("x"), p["y"].cast("double").alias("y")))
-    outlined = corners.select(*keys, "ring", shown.alias("outline")).join(figures.select(*keys, "ring", "top", "doubled"), [*keys, "ring"])
+    outlined = points.select(*keys, "ring", F.array_min("p").alias("top"), shown.alias("outline"))
+    named = lambda top: [top["y"].alias("top_row"), top["x"].alias("top_col")]
     if figures.where("doubled < 0").isEmpty():
-        owned = outlined.withColumn("owner", F.col("ring"))
-    else:
-        owners = hole_owners(stored, figures, keys)
-        owned = outlined.join(owners, [*keys, "ring"], "left").withColumn("owner", F.coalesce("owner", "ring"))
-    part = F.struct((F.col("doubled") < 0).alias("hole"), "top", "outline")
-    whole = owned.groupBy(*keys, "owner").agg(F.transform(F.array_sort(F.collect_list(part)), lambda q: q["outline"]).alias("rings"))
-    shells = figures.where("doubled > 0").select(*keys, F.col("ring").alias("owner"), "top", F.floor(F.col("top.y") / BAND).alias("_band"))
-    numbers = number_buckets(shells, keys, ["_band"], ["top"], "polygon_no").select(*keys, "owner", F.col("polygon_no").cast("int").alias("polygon_no"))
-    return numbers.join(whole, [*keys, "owner"]).select(*keys, "polygon_no", "rings")
+        return outlined.select(*keys, *named(F.col("top")), F.array("outline").alias("rings"))
+    owners = hole_owners(stored, figures, keys)
+    part = F.struct(F.col("owner").isNotNull().alias("hole"), "top", "outline")
+    owned = outlined.join(owners, [*keys, "ring"], "left").withColumn("part", part).groupBy(*keys, F.coalesce("owner", "ring").alias("owner"))
+    whole = owned.agg(F.array_sort(F.collect_list("part")).alias("parts"))
+    return whole.select(*keys, *named(F.col("parts")[0]["top"]), F.transform("parts", lambda q: q["outline"]).alias("rings"))
 
 
 def track_outlines(track_pixels: DataFrame, grids: DataFrame, keys: list[str], side: int = SIDE) -> DataFrame:
@@ -287,7 +285,7 @@ def track_outlines(track_pixels: DataFrame, grids: DataFrame, keys: list[str], s
     ``track_pixels`` are the distinct pixels of the regions, ``grids`` has one header per AOI. Outer rings run
     counter-clockwise on the map.
     """
-    found = polygonize(track_pixels, keys, side).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("polygon_no", "rings"))).alias("p"))
+    found = polygonize(track_pixels, keys, side).groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("top_row", "top_col", "rings"))).alias("p"))
     t = F.col("grid.transform")
     place = lambda p: geometry.from_utm(t[2] + p["x"] * t[0] + p["y"] * t[1], t[5] + p["x"] * t[3] + p["y"] * t[4], F.col("grid.crs"))
     outline = F.transform("p", lambda q: F.transform(q["rings"], lambda r: F.reverse(F.transform(r, place))))

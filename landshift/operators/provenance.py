@@ -82,7 +82,10 @@ def _place_checks(candidates: DataFrame, homes: DataFrame, aois: DataFrame, boun
     domain = F.col("_domain")
     shaped = candidates.select("candidate_id", "geometry").withColumn("_domain", boundary.scalar())
     missing = F.col("geometry").isNull() | (F.size("geometry") == 0)
-    inside = F.forall("geometry", lambda rings: geometry.covers(domain, rings))
+    # A domain that is a box covers what its bounds do.
+    box, own = geometry.bounds(domain), geometry.multi_bounds(F.col("geometry"))
+    within = (own[0] >= box[0]) & (own[1] >= box[1]) & (own[2] <= box[2]) & (own[3] <= box[3])
+    inside = within & (geometry.is_box(domain) | F.forall("geometry", lambda rings: geometry.covers(domain, rings)))
     verdicts = aois.select("aoi_id", "rings").withColumn("_domain", boundary.scalar()).select(
         "aoi_id", aoi_verdict(F.col("rings"), domain).alias("verdict")
     )

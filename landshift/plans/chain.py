@@ -41,12 +41,18 @@ class Chain:
 
     @cached_property
     def aois(self) -> DataFrame:
-        return fixtures.aois(self.spark, self.sf_dir)
+        return materialize(fixtures.aois(self.spark, self.sf_dir), "aois")
+
+    @cached_property
+    def located_pixels(self) -> DataFrame:
+        """Pixels as delivered, with whether they lie in their AOI."""
+        raw = self.raw_pixels.drop("tile_row", "tile_col", "tile_key")
+        return materialize(tables.with_inside(raw, self.scenes, self.aois), "located-pixels")
 
     @cached_property
     def pixels(self) -> DataFrame:
         """Pixels inside their AOI; the others count as nodata."""
-        clipped = tables.clip_to_aoi(self.raw_pixels.drop("tile_row", "tile_col", "tile_key"), self.scenes, self.aois)
+        clipped = self.located_pixels.where("inside").drop("inside")
         return pixel_store.write(clipped, self.policy.tile).read(self.spark)
 
     @cached_property

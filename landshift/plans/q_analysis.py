@@ -311,14 +311,9 @@ cte("limits", f"SELECT aoi_id, acq_id, {', '.join(_band_limits(b) for b in BANDS
 LIMIT_COLUMNS = [f"{b}_{side}" for b in BANDS for side in ("low", "high")]
 
 
-def located_pixels(c: Chain):
-    """Delivered pixels, with whether they lie in their AOI."""
-    return tables.with_inside(c.raw_pixels, c.scenes, c.aois)
-
-
 @query("agg_percentile_stretch", f"SELECT acq_id, {', '.join(f'round({n}, 6) AS {n}' for n in LIMIT_COLUMNS)} FROM limits", "limits")
 def agg_percentile_stretch(c):
-    return display.stretch_limits(located_pixels(c), F.col("inside")).select("acq_id", *[r6(n).alias(n) for n in LIMIT_COLUMNS])
+    return display.stretch_limits(c.located_pixels, F.col("inside")).select("acq_id", *[r6(n).alias(n) for n in LIMIT_COLUMNS])
 
 
 @query("agg_distinct_checks", """
@@ -651,7 +646,7 @@ LEFT JOIN px_all p ON p.acq_id = s.acq_id AND p."row" = g."row" AND p."col" = g.
 
 def shown(c: Chain):
     """Display images over the crop rectangles of all scenes."""
-    pixels, inside = located_pixels(c), F.col("inside")
+    pixels, inside = c.located_pixels, F.col("inside")
     return display.display_pixels(pixels, display.stretch_limits(pixels, inside), inside, display.aoi_windows(c.scenes, c.aois))
 
 

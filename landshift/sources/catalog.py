@@ -9,6 +9,7 @@ from landshift.config import QUALITY_BAND, REQUIRED_BANDS, Policy
 from landshift.functions import geometry, text
 from landshift.operators.skew import rank_within
 from landshift.schemas import CATALOG_PAGE, MULTIPOLYGON_COORDINATES, POLYGON_COORDINATES
+from landshift.session import materialize
 
 
 def read_catalog(spark: SparkSession, path: str) -> DataFrame:
@@ -136,7 +137,8 @@ def domain_violations(found: DataFrame, boundary: DataFrame) -> DataFrame:
 
 def ranked(covered: DataFrame) -> DataFrame:
     """Position per AOI: clearest first, then earliest, then item id."""
-    cloud = covered.withColumn("_cloud", cloud_order(F.col("cloud_cover")))
+    # Written first: range partitioning reads its input twice.
+    cloud = materialize(covered.withColumn("_cloud", cloud_order(F.col("cloud_cover"))), "covered")
     order = [F.col("_cloud").asc_nulls_last(), F.col("ts").asc(), F.col("item_id").asc()]
     return rank_within(cloud, ["aoi_id"], order, "position").drop("_cloud")
 

@@ -46,6 +46,7 @@ def test_catalog_discovery(spark):
 def test_pixel_table_round_trip_and_pruning(spark):
     ones = [[1, 2], [3, 4]]
     pixels = pixel_table(spark, pixel_rows(1, ones, ones, ones), pixel_rows(2, ones, ones, ones, aoi=2))
+    spark.conf.set("spark.sql.maxMetadataStringLength", "10000")
     stored = pixel_store.write(pixels, side=2)
     read = stored.read(spark, aoi_id=2, window=(0, 0, 0, 1))
     assert sorted((r.acq_id, r.row, r.col, r.red) for r in read.collect()) == [(2, 0, 0, 1.0), (2, 0, 1, 2.0)]
