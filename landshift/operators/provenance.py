@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from landshift.config import DECISIONS, OBSERVATION_STATES
 from landshift.functions import geometry, text
+from landshift.session import materialize
 from landshift.sources.tables import aoi_verdict
 
 
@@ -22,10 +23,13 @@ def missing_references(rows: DataFrame, column: str, target: DataFrame, key: str
     return rows.where(F.col(column).isNotNull()).join(known, column, "left_anti")
 
 
-def _broken(rows: DataFrame, rule: str, detail) -> DataFrame:
-    return rows.select(
-        "candidate_id", F.lit(rule).alias("rule"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")
-    )
+def _violations(rows: DataFrame, rules: list) -> DataFrame:
+    """(candidate_id, rule, detail) of every rule (name, whether it is broken, detail) from one pass over the rows."""
+    told = [
+        F.when(broken, F.struct(F.lit(rule).alias("rule"), F.coalesce(detail.cast("string"), F.lit("")).alias("detail")))
+        for rule, broken, detail in rules
+    ]
+    return rows.select("candidate_id", F.explode(F.array_compact(F.array(*told))).alias("_v")).select("candidate_id", "_v.rule", "_v.detail")
 
 
 def audit_candidates(
@@ -48,52 +52,51 @@ def audit_candidates(
         "analysis_id", "signal_id",
         F.col("detection_run_ids").alias("signal_runs"), F.col("acquisition_ids").alias("signal_acqs"),
     )
-    matched = candidates.join(facts, ["analysis_id", "signal_id"], "left")
-    mismatch = (F.col("signal_runs") != F.col("detection_run_ids")) | (F.col("signal_acqs") != F.col("acquisition_ids"))
-    acq_refs = candidates.select("candidate_id", F.explode("acquisition_ids").alias("acq_id"))
-    run_refs = candidates.select("candidate_id", "acquisition_ids", F.explode("detection_run_ids").alias("run_id"))
-    homes = acq_refs.join(acquisitions.select("acq_id", "aoi_id"), "acq_id").select("candidate_id", "aoi_id").distinct()
-    # A hot AOI does not matter here: the AOI list is one row per AOI.
-    homeless = homes.join(aois.select("aoi_id").distinct(), "aoi_id", "left_anti")
-    ends = run_refs.join(runs.select("run_id", "before_acq", "after_acq"), "run_id")
-    outside = ~F.array_contains("acquisition_ids", F.col("before_acq")) | ~F.array_contains(
-        "acquisition_ids", F.col("after_acq")
+    flag = lambda rows, key, name: rows.select(key).distinct().withColumn(name, F.lit(True))
+    own = (
+        candidates.join(facts, ["analysis_id", "signal_id"], "left")
+        .join(flag(analyses, "analysis_id", "_analysed"), "analysis_id", "left")
+        .join(flag(located, "candidate_id", "_located"), "candidate_id", "left")
     )
-    empty = (F.size("detection_run_ids") == 0) | (F.size("acquisition_ids") == 0)
-    checks = [
-        _broken(missing_references(candidates, "analysis_id", analyses, "analysis_id"),
-                "missing temporal analysis", F.col("analysis_id")),
-        _broken(matched.where(F.col("signal_runs").isNull()), "missing temporal signal", F.col("signal_id")),
-        _broken(matched.where(mismatch), "signal mismatch", F.col("signal_id")),
-        _broken(candidates.where(empty), "no evidence", F.lit("")),
-        _broken(missing_references(acq_refs, "acq_id", acquisitions, "acq_id"), "missing acquisition", F.col("acq_id")),
-        _broken(homeless, "missing AOI", F.col("aoi_id")),
-        _broken(candidates.join(located, "candidate_id", "left_anti"), "outside AOI", F.lit("")),
-        _broken(missing_references(run_refs, "run_id", runs, "run_id"), "missing detection run", F.col("run_id")),
-        _broken(ends.where(outside), "foreign acquisition", F.col("run_id")),
-        _broken(ends.where("before_acq = after_acq"), "identical acquisitions", F.col("run_id")),
+    nothing = F.lit("")
+    own_rules = [
+        ("missing temporal analysis", F.col("analysis_id").isNotNull() & F.col("_analysed").isNull(), F.col("analysis_id")),
+        ("missing temporal signal", F.col("signal_runs").isNull(), F.col("signal_id")),
+        ("signal mismatch", (F.col("signal_runs") != F.col("detection_run_ids")) | (F.col("signal_acqs") != F.col("acquisition_ids")), F.col("signal_id")),
+        ("no evidence", (F.size("detection_run_ids") == 0) | (F.size("acquisition_ids") == 0), nothing),
+        ("outside AOI", F.col("_located").isNull(), nothing),
     ]
+    homes_of = aois.select("aoi_id", "rings")
+    verdict = F.lit("valid")
     if boundary is not None:
-        checks += _place_checks(candidates, homes, aois, boundary)
-    return reduce(DataFrame.unionByName, checks)
-
-
-def _place_checks(candidates: DataFrame, homes: DataFrame, aois: DataFrame, boundary: DataFrame) -> list[DataFrame]:
-    domain = F.col("_domain")
-    shaped = candidates.select("candidate_id", "geometry").withColumn("_domain", boundary.scalar())
-    missing = F.col("geometry").isNull() | (F.size("geometry") == 0)
-    # A domain that is a box covers what its bounds do.
-    box, own = geometry.bounds(domain), geometry.multi_bounds(F.col("geometry"))
-    within = (own[0] >= box[0]) & (own[1] >= box[1]) & (own[2] <= box[2]) & (own[3] <= box[3])
-    inside = within & (geometry.is_box(domain) | F.forall("geometry", lambda rings: geometry.covers(domain, rings)))
-    verdicts = aois.select("aoi_id", "rings").withColumn("_domain", boundary.scalar()).select(
-        "aoi_id", aoi_verdict(F.col("rings"), domain).alias("verdict")
+        domain = F.col("_domain")
+        own = own.withColumn("_domain", boundary.scalar())
+        missing = F.col("geometry").isNull() | (F.size("geometry") == 0)
+        # A domain that is a box covers what its bounds do.
+        box, bounds = geometry.bounds(domain), geometry.multi_bounds(F.col("geometry"))
+        within = (bounds[0] >= box[0]) & (bounds[1] >= box[1]) & (bounds[2] <= box[2]) & (bounds[3] <= box[3])
+        inside = within & (geometry.is_box(domain) | F.forall("geometry", lambda rings: geometry.covers(domain, rings)))
+        own_rules += [("empty geometry", missing, nothing), ("outside domain", ~missing & ~inside, nothing)]
+        homes_of, verdict = homes_of.withColumn("_domain", boundary.scalar()), aoi_verdict(F.col("rings"), domain)
+    # One row per AOI, judged once.
+    verdicts = materialize(homes_of.select("aoi_id", verdict.alias("verdict")).distinct(), "aoi-verdicts")
+    acq_refs = candidates.select("candidate_id", F.explode("acquisition_ids").alias("acq_id")).join(
+        acquisitions.select("acq_id", "aoi_id", F.lit(True).alias("_known")), "acq_id", "left"
     )
-    return [
-        _broken(shaped.where(missing), "empty geometry", F.lit("")),
-        _broken(shaped.where(~missing & ~inside), "outside domain", F.lit("")),
-        _broken(homes.join(verdicts.where("verdict <> 'valid'"), "aoi_id"), "AOI not accepted", F.col("verdict")),
-    ]
+    homes = acq_refs.where("_known").select("candidate_id", "aoi_id").distinct().join(verdicts, "aoi_id", "left")
+    run_refs = candidates.select("candidate_id", "acquisition_ids", F.explode("detection_run_ids").alias("run_id")).join(
+        runs.select("run_id", "before_acq", "after_acq"), "run_id", "left"
+    )
+    foreign = ~F.array_contains("acquisition_ids", F.col("before_acq")) | ~F.array_contains("acquisition_ids", F.col("after_acq"))
+    return reduce(DataFrame.unionByName, [
+        _violations(own, own_rules),
+        _violations(acq_refs, [("missing acquisition", F.col("_known").isNull(), F.col("acq_id"))]),
+        _violations(homes, [("missing AOI", F.col("verdict").isNull(), F.col("aoi_id")), ("AOI not accepted", F.col("verdict") != "valid", F.col("verdict"))]),
+        _violations(run_refs, [
+            ("missing detection run", F.col("before_acq").isNull(), F.col("run_id")), ("foreign acquisition", foreign, F.col("run_id")),
+            ("identical acquisitions", F.col("before_acq") == F.col("after_acq"), F.col("run_id")),
+        ]),
+    ])
 
 
 def _rule(rows: DataFrame, name: str, key) -> DataFrame:
