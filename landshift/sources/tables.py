@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -140,14 +141,18 @@ def put(
     that now has no rows loses its old ones. ``merge(stored, incoming)`` may combine both instead.
     The table lies in buckets of its keys. Only buckets of the scope are read; they are staged
     and then replaced as whole partitions, so a repeated or resumed job leaves the same rows.
-    A marker row per bucket keeps an emptied bucket from being passed over.
+    A marker row per bucket keeps an emptied bucket from being passed over. One job at a time writes a table,
+    and readers wait for it.
     """
     spark, schema = incoming.sparkSession, incoming.schema
     bucket = F.pmod(F.xxhash64(*keys), F.lit(BUCKETS)).cast("int")
     worked = materialize((incoming if scope is None else scope).select(*keys).distinct(), "worked-keys")
     buckets = worked.select(bucket.alias("_bucket")).distinct()
     near = read_table(spark, path, schema).withColumn("_bucket", bucket).join(buckets, "_bucket", "left_semi").drop("_bucket")
-    merged = merge(near, incoming) if merge else near.join(worked, keys, "left_anti").unionByName(incoming)
+    # Null keys are keys like others: a repeated write replaces their rows too.
+    replaced = worked.select(*[F.col(k).alias(f"_w_{k}") for k in keys])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"_w_{k}")) for k in keys])
+    merged = merge(near, incoming) if merge else near.join(replaced, same, "left_anti").unionByName(incoming)
     rows = merged.select(*schema.fieldNames(), F.lit(False).alias("_marker"), bucket.alias("_bucket"))
     empty = [F.lit(None).cast(f.dataType).alias(f.name) for f in schema.fields]
     markers = buckets.select(*empty, F.lit(True).alias("_marker"), "_bucket")

@@ -142,3 +142,13 @@ def test_keyed_writes_repeat_and_empty(spark):
     assert stored() == [(2, 1), (3, 3)]
     tables.put(rows((2, 5)), path, ["run_id"], merge=lambda old, new: old.unionByName(new))
     assert stored() == [(2, 1), (2, 5), (3, 3)]
+
+
+def test_rows_with_null_keys_are_replaced_like_others(spark):
+    path = stage_path(spark, "keyed")
+    rows = lambda n: spark.createDataFrame([(1, None, n), (None, None, n), (None, "b", n), (2, "c", n)], "a bigint, b string, n int")
+    for n in (1, 2, 2):
+        tables.put(rows(n), path, ["a", "b"])
+    tables.put(spark.createDataFrame([], "a bigint, b string, n int"), path, ["a", "b"], spark.createDataFrame([(None, "b")], "a bigint, b string"))
+    stored = tables.read_table(spark, path, rows(0).schema)
+    assert sorted(map(str, (tuple(r) for r in stored.collect()))) == sorted(map(str, [(1, None, 2), (None, None, 2), (2, "c", 2)]))
