@@ -65,6 +65,20 @@ def percentage6(part: Column, whole: Column) -> Column:
     return F.round(F.coalesce(F.try_divide(part, whole) * 100.0, F.lit(0.0)), 6)
 
 
+def interpolate(lower: Column, upper: Column, part: Column) -> Column:
+    """Value ``part`` of the way between two 16-bit values, with one rounding for ``lower * (1 - part) + ...``.
+
+    The products with the high and the low half of the weight are exact; what their sum loses is added last.
+    """
+    weight, above = 1.0 - part, upper * part
+    half = F.round(weight * float(1 << 26)) / float(1 << 26)
+    first, rest = lower * half, lower * (weight - half)
+    total = first + above
+    back = total - first
+    lost = (first - (total - back)) + (above - back)
+    return total + (lost + rest)
+
+
 def stretch_byte(value: Column, low: Column, high: Column, inside: Column) -> Column:
     """Linear stretch to 0..255, truncated; 0 outside the AOI or without data."""
     scaled = (value.cast("double") - low) / (high - low) * 255.0

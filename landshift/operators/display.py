@@ -11,7 +11,7 @@ import sys
 import numpy as np
 import pyarrow as pa
 from pyspark import cloudpickle
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from landshift.config import DISPLAY_BANDS, VALID_CLASSES
@@ -83,23 +83,35 @@ def fill_windows(pixels: DataFrame, windows: DataFrame, keys: list[str], values:
 def stretch_limits(pixels: DataFrame, inside) -> DataFrame:
     """2nd and 98th percentile per scene and band over valid pixels inside the AOI.
 
-    Exact: bands are 16-bit integers, so the buffer of a scene holds at most 65,536
-    value counts per band and combines before the shuffle.
+    Exact: equal values are counted before the shuffle, and bands are 16-bit integers, so a scene has at
+    most 65,536 counts per band. Bytes are cut at whole numbers, so the last bit of a limit shows.
     """
-    values = {
-        band: F.when(
-            inside & spectral.finite(F.col(band)) & (F.col(band) > 0) & F.col("scl").isin(*VALID_CLASSES),
-            F.col(band).cast("double"),
-        )
-        for band in DISPLAY_BANDS
-    }
-    limits = pixels.groupBy(*KEYS).agg(
-        *[F.percentile(v, F.array(F.lit(0.02), F.lit(0.98))).alias(b) for b, v in values.items()]
+    accepted = lambda b: inside & spectral.finite(F.col(b)) & (F.col(b) > 0) & F.col("scl").isin(*VALID_CLASSES)
+    values = F.array(*[
+        F.struct(F.lit(i).alias("band"), F.when(accepted(b), F.col(b).cast("double")).alias("value")) for i, b in enumerate(DISPLAY_BANDS)
+    ])
+    scale = [*KEYS, "band"]
+    counts = pixels.select(*KEYS, F.explode(values).alias("_v")).select(*KEYS, "_v.*").groupBy(*scale, "value").agg(
+        F.count("value").alias("n")  # the row of NULL counts nothing and keeps scenes without valid pixels
     )
-    low = {b: F.coalesce(F.col(b)[0], F.lit(DEFAULT_LOW)) for b in DISPLAY_BANDS}
-    high = {b: F.coalesce(F.greatest(F.col(b)[1], F.when(F.col(b)[1] <= F.col(b)[0], F.col(b)[0] + 1.0)), F.lit(DEFAULT_HIGH)) for b in DISPLAY_BANDS}
+    seen = Window.partitionBy(*scale)
+    ranked = counts.withColumns({"until": F.sum("n").over(seen.orderBy("value")), "last": F.sum("n").over(seen) - 1})
+    ends = {}
+    for i, b in enumerate(DISPLAY_BANDS):
+        for side, q in (("low", 0.02), ("high", 0.98)):
+            at = F.col("last") * F.lit(q)
+            reached = lambda rank: F.min(F.when((F.col("band") == i) & (F.col("until") > rank), F.col("value")))
+            ends[f"{b}_{side}"] = F.struct(
+                reached(F.floor(at)).alias("lower"), reached(F.ceil(at)).alias("upper"),
+                F.max(F.when(F.col("band") == i, at - F.floor(at))).alias("part"),
+            )
+    limits = ranked.groupBy(*KEYS).agg(*[e.alias(name) for name, e in ends.items()]).select(
+        *KEYS, *[spectral.interpolate(F.col(name)["lower"], F.col(name)["upper"], F.col(name)["part"]).alias(name) for name in ends]
+    )
+    high = lambda b: F.greatest(F.col(f"{b}_high"), F.when(F.col(f"{b}_high") <= F.col(f"{b}_low"), F.col(f"{b}_low") + 1.0))
     return limits.select(
-        *KEYS, *[low[b].alias(f"{b}_low") for b in DISPLAY_BANDS], *[high[b].alias(f"{b}_high") for b in DISPLAY_BANDS]
+        *KEYS, *[F.coalesce(f"{b}_low", F.lit(DEFAULT_LOW)).alias(f"{b}_low") for b in DISPLAY_BANDS],
+        *[F.coalesce(high(b), F.lit(DEFAULT_HIGH)).alias(f"{b}_high") for b in DISPLAY_BANDS],
     )
 
 
