@@ -43,10 +43,10 @@ def src_catalog_items(c):
     return found(c, catalog.read_catalog(c.spark, path), Policy(catalog_limit=25)).select("aoi_id", "item_id", F.col("result_no").cast("bigint").alias("result_no"))
 
 
-@query("src_pixels", 'SELECT aoi_id, acq_id, "row", "col", red, nir, CAST(scl AS INTEGER) AS scl FROM px', "px")
+@query("src_pixels", 'SELECT aoi_id, acq_id, "row", "col", red, nir, CAST(scl AS INTEGER) AS scl FROM px_all', "px_all")
 def src_pixels(c):
-    """Prepared pixels, read back from the clustered table."""
-    return c.pixels.select("aoi_id", "acq_id", "row", "col", "red", "nir", "scl")
+    """All pixels as delivered, read back from the clustered table."""
+    return c.raw_pixels.select("aoi_id", "acq_id", "row", "col", "red", "nir", "scl")
 
 
 # AOI documents from customers: boxes inside, on and outside the boundary, a bow-tie, a

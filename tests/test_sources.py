@@ -9,6 +9,8 @@ from landshift import schemas
 from landshift.config import Policy
 from landshift.functions import geometry
 from landshift.operators import change, skew
+from landshift.plans import fixtures
+from landshift.plans.queries import QUERIES
 from landshift.session import materialize, stage_path
 from landshift.sources import catalog, pixel_store, tables
 
@@ -152,3 +154,9 @@ def test_rows_with_null_keys_are_replaced_like_others(spark):
     tables.put(spark.createDataFrame([], "a bigint, b string, n int"), path, ["a", "b"], spark.createDataFrame([(None, "b")], "a bigint, b string"))
     stored = tables.read_table(spark, path, rows(0).schema)
     assert sorted(map(str, (tuple(r) for r in stored.collect()))) == sorted(map(str, [(1, None, 2), (None, None, 2), (2, "c", 2)]))
+
+
+def test_src_pixels_tells_cells_outside_their_aoi_too(spark):
+    data = "/root/testdata/sf0.001"
+    wanted = fixtures.pixels(spark, data).select("acq_id", "row", "col").collect()
+    assert sorted(QUERIES["src_pixels"](spark, data).select("acq_id", "row", "col").collect()) == sorted(wanted)
