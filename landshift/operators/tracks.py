@@ -15,16 +15,11 @@ REGION = [*SCOPE, "region_no"]
 SOURCE = ["aoi_id", "from_k", "from_no"]
 
 
-def overlay_faces(region_pixels: DataFrame, policy: Policy = Policy()) -> DataFrame:
-    """The regions of every overlay face in the order of intervals, one row per face and region.
-
-    The regions that cover a pixel form its stack, which is never longer than the number of
-    intervals; pixels of an AOI with the same stack are one face. ``pixels`` is the size of the face and
-    ``next_k`` the interval in which a region covers it again. Faces of a single region are left out.
-    """
+def _stacks(region_pixels: DataFrame, policy: Policy) -> DataFrame:
+    """Overlay faces of at least two regions: the regions of a face in the order of intervals, and its size in pixels."""
     side = policy.tile
     tile = ["aoi_id", "_tr", "_tc"]
-    stacks = (
+    return (
         region_pixels.withColumn("_tr", F.floor(F.col("row") / side))
         .withColumn("_tc", F.floor(F.col("col") / side))
         .repartition(*tile)
@@ -33,8 +28,17 @@ def overlay_faces(region_pixels: DataFrame, policy: Policy = Policy()) -> DataFr
         .where(F.size("stack") > 1)
         .groupBy("aoi_id", "stack")
         .agg(F.count(F.lit(1)).alias("pixels"))
-        .withColumn("face", F.monotonically_increasing_id())
     )
+
+
+def overlay_faces(region_pixels: DataFrame, policy: Policy = Policy()) -> DataFrame:
+    """The regions of every overlay face in the order of intervals, one row per face and region.
+
+    The regions that cover a pixel form its stack, which is never longer than the number of
+    intervals; pixels of an AOI with the same stack are one face. ``pixels`` is the size of the face and
+    ``next_k`` the interval in which a region covers it again. Faces of a single region are left out.
+    """
+    stacks = _stacks(region_pixels, policy).withColumn("face", F.monotonically_increasing_id())
     entries = stacks.select("face", "aoi_id", "pixels", "stack", F.posexplode("stack").alias("_at", "_r"))
     return entries.select(
         "face", "aoi_id", F.col("_r.k").alias("k"), F.col("_r.region_no").alias("region_no"), F.col("_r.pixel_count").alias("pixel_count"),
@@ -159,9 +163,26 @@ def sweep(region_pixels: DataFrame, policy: Policy = Policy(), minimum: float |
     return pairs.join(mark, [*REGION, "from_k", "from_no"], "left").withColumn("won", F.coalesce("won", F.lit(False)))
 
 
-def region_overlap(region_pixels: DataFrame, policy: Policy = Policy(), minimum: float = 0.0) -> DataFrame:
-    """Pairs that share pixels, of a region and an earlier one that was the end of its track."""
-    return sweep(region_pixels, policy, minimum)
+def region_overlap(region_pixels: DataFrame, policy: Policy = Policy(), minimum: float | None = None) -> DataFrame:
+    """All earlier/later region pairs of an AOI that share pixels, with their IoU; the least one told is ``minimum``.
+
+    Pairs are formed per overlay face rather than per pixel, and a face is never longer than the number
+    of intervals. Pairs whose sizes alone rule out the wanted IoU are not formed.
+    """
+    minimum = policy.iou_threshold if minimum is None else minimum
+    count = lambda r: r["pixel_count"]
+    reachable = lambda a, b: F.least(count(a), count(b)) >= F.greatest(count(a), count(b)) * minimum
+    later = F.filter("stack", lambda r: (r["k"] > F.col("_early.k")) & reachable(F.col("_early"), r))
+    pairs = (
+        _stacks(region_pixels, policy).withColumn("_early", F.explode("stack"))
+        .select("aoi_id", "pixels", "_early", F.explode(later).alias("_late"))
+    )
+    shared = pairs.groupBy(
+        "aoi_id", F.col("_early.k").alias("from_k"), F.col("_early.region_no").alias("from_no"), F.col("_late.k").alias("k"),
+        F.col("_late.region_no").alias("region_no"), F.col("_early.pixel_count").alias("from_pixels"), F.col("_late.pixel_count").alias("to_pixels"),
+    ).agg(F.sum("pixels").alias("shared"))
+    union = F.col("from_pixels") + F.col("to_pixels") - F.col("shared")
+    return shared.withColumn("iou", F.col("shared") / union).where(F.col("iou") >= minimum)
 
 
 def track_regions(regions: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from landshift.config import DISPLAY_VERSION, Policy
 from landshift.functions import geometry, grids, history
-from landshift.operators import change, evidence, reuse, triage
+from landshift.operators import change, evidence, reuse, tracks, triage
 from landshift.plans import fixtures
 from landshift.plans.chain import Chain
 from landshift.plans.oracle_chain import BOUNDARY, CATALOG_FROM, CATALOG_TO, INSIDE, cte
@@ -690,6 +690,7 @@ def set_ids_equal(c):
     )
 
 
-@query("set_region_iou", "SELECT aoi_id, from_k, from_no, k, region_no, shared, round(iou, 6) AS iou FROM end_pairs WHERE iou >= 0.25", "end_pairs")
+@query("set_region_iou", "SELECT aoi_id, from_k, from_no, k, region_no, shared, round(iou, 6) AS iou FROM links", "links")
 def set_region_iou(c):
-    return c.overlap.select("aoi_id", "from_k", "from_no", "k", "region_no", "shared", r6("iou").alias("iou"))
+    """All region pairs that overlap enough to be linked, whether a track links them or not."""
+    return tracks.region_overlap(c.region_pixels, c.policy).select("aoi_id", "from_k", "from_no", "k", "region_no", "shared", r6("iou").alias("iou"))

@@ -101,6 +101,15 @@ def test_a_stable_field_is_compared_once_per_interval(spark):
     assert {(p.birth_k, p.won) for p in found} == {(0, True)}
 
 
+def test_overlap_tells_pairs_that_no_track_links(spark):
+    """Three intervals with the same region, and a smaller one: all pairs, not only those of open ends."""
+    pixels, _ = tables(spark, {0: [box(0, 0, 5, 5)], 1: [box(0, 0, 5, 5)], 2: [box(0, 0, 5, 5)], 3: [box(0, 0, 2, 2)]})
+    policy = Policy(iou_threshold=0.25, tile=4)
+    told = lambda **options: sorted((p.from_k, p.k, p.shared) for p in tracks.region_overlap(pixels, policy, **options).collect())
+    assert told() == [(0, 1, 25), (0, 2, 25), (1, 2, 25)]
+    assert told(minimum=0.0) == [(0, 1, 25), (0, 2, 25), (0, 3, 4), (1, 2, 25), (1, 3, 4), (2, 3, 4)]
+
+
 def test_an_end_that_another_face_closed_is_passed_over(spark):
     """The first region is continued on its left half; its right half is covered again much later."""
     regions = {0: [box(0, 0, 4, 8)], 1: [box(0, 0, 4, 5)], 3: [box(0, 5, 4, 3)], 4: [box(0, 0, 4, 8)]}
