@@ -263,12 +263,6 @@ FROM regions r LEFT JOIN win_{_k} w ON w.aoi_id = r.aoi_id AND w.region_no = r.r
 WHERE r.k = {_k}""", _prev, f"win_{_k}", "regions")
 cte("tracks", f"SELECT * FROM track_{MAX_INTERVALS}", f"track_{MAX_INTERVALS}")
 
-# Pairs whose earlier region was still the end of its track.
-cte("end_pairs", """
-SELECT o.* FROM overlap_all o JOIN tracks t ON t.aoi_id = o.aoi_id AND t.k = o.from_k AND t.region_no = o.from_no
-WHERE NOT EXISTS (SELECT 1 FROM tracks u WHERE u.aoi_id = t.aoi_id AND u.birth_k = t.birth_k AND u.birth_no = t.birth_no
-                  AND u.k > o.from_k AND u.k < o.k)""", "overlap_all", "tracks")
-
 cte("entries", """
 SELECT t.*, r.region_id, r.pixel_count, r.area_m2, r.mean_change_signal, r.max_change_signal,
        u.run_id, u.before_acq, u.after_acq, u.before_ts, u.after_ts, u.quality_support,
