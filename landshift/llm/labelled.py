@@ -1,4 +1,4 @@
-"""Bounded samples of labelled documents for fitting classifiers."""
+"""Labelled documents for fitting classifiers."""
 
 from __future__ import annotations
 
@@ -13,16 +13,25 @@ def held_out(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5)) == 0
 
 
+def _known(labels: DataFrame, label: str) -> DataFrame:
+    """(doc_id, label): ids that are null or carry no label are left out; of contradicting labels the larger counts."""
+    return labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull()).groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
+
+
+def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
+    """(text, label) of every labelled document.
+
+    The labels are a stage table, so the planner knows before it starts whether texts have to be shuffled to meet them.
+    """
+    known = materialize(_known(labels, label), f"labels-{label}")
+    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:
     """(text, label) of at most ``bound`` labelled ids, chosen by a hash of the id.
 
-    Ids that are null or carry no label are left out; of contradicting labels the
-    larger counts. The chosen ids are at most ``bound`` rows, which bounds the broadcast.
+    The chosen ids are at most ``bound`` rows, which bounds the broadcast.
     """
-    chosen = (
-        labels.where(F.col("doc_id").isNotNull() & F.col(label).isNotNull())
-        .groupBy("doc_id").agg(F.max(label).cast("int").alias("label"))
-        .orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    )
+    chosen = _known(labels, label).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     texts = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id")
     return materialize(texts.select("text", "label"), f"labelled-{label}")

@@ -95,3 +95,12 @@ def test_odd_rows_and_missing_labels(spark):
 def test_description_of_empty_columns():
     assert quality.describe(pa.array([], pa.string())).shape == (0, quality.FEATURES)
     assert np.isfinite(quality.describe(pa.array(["", None, "a"], pa.string()))).all()
+
+
+def test_quality_learns_from_every_labelled_document(spark):
+    rows = [("Plain words of a clean text.", 1)] * 20_500 + [("## %% $$", 0)] * 500
+    frame, labels = labelled(spark, rows)
+    model = quality.train(frame, labels)
+    looks = quality.describe(pa.array([rows[0][0], rows[-1][0]])).astype(float)
+    assert np.allclose(model.mean, (looks[0] * 20_500 + looks[1] * 500) / 21_000, rtol=0, atol=1e-9)
+    assert accuracy(quality.with_score(frame, model), labels, "quality", quality.AT_CUT) == 1
