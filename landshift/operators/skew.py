@@ -86,6 +86,12 @@ def rank_within(rows: DataFrame, keys: Sequence[str], order: Sequence[Column], n
     return number_buckets(sliced, keys, ["_slice"], order, name).drop("_slice")
 
 
+def spread_rows(rows: DataFrame) -> DataFrame:
+    """Rows over all tasks, for work that a file of few bytes would leave to one task. The number is set: AQE keeps it."""
+    spark = rows.sparkSession
+    return rows.repartition(max(spark.sparkContext.defaultParallelism, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+
+
 def latest_by(rows: DataFrame, keys: Sequence[str], order: Sequence[str]) -> DataFrame:
     """Newest row per key, as an aggregate: rows of a hot key combine before the shuffle."""
     rest = [c for c in rows.columns if c not in keys and c not in order]

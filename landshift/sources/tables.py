@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, IntegerType, StructField, StructType
 
 from landshift.functions import geometry
-from landshift.operators.skew import join_headers, latest_by
+from landshift.operators.skew import join_headers, latest_by, spread_rows
 from landshift.schemas import AOI_GEOJSON
 from landshift.session import materialize
 
@@ -20,27 +20,35 @@ def parse_aois(raw: DataFrame) -> DataFrame:
     """AOI rows (aoi_id, geometry_json) with rings; NULL rings where unreadable."""
     parsed = F.from_json("geometry_json", AOI_GEOJSON)
     rings = F.when(parsed["type"] == "Polygon", geometry.rings_from_coordinates(parsed["coordinates"]))
-    return raw.withColumn("rings", rings)
+    return spread_rows(raw).withColumn("rings", rings)
 
 
 def aoi_verdict(rings: Column, boundary: Column) -> Column:
-    """Why an AOI is refused, or ``valid``. Touching the boundary is allowed."""
+    """Why an AOI is refused, or ``valid``. Touching the boundary is allowed.
+
+    Boxes are told by their bounds: a box is valid, and a boundary that is one covers what its bounds do.
+    """
+    a, b = geometry.bounds(boundary), geometry.bounds(rings)
+    around = (a[0] <= b[0]) & (a[1] <= b[1]) & (a[2] >= b[2]) & (a[3] >= b[3])
+    valid = F.when(geometry.is_box(rings), True).otherwise(geometry.is_valid(rings))
+    covered = F.when(~around, False).when(geometry.is_box(boundary), True).otherwise(geometry.covers(boundary, rings))
     return (
         F.when(rings.isNull(), "malformed")
         .when(F.size(rings) == 0, "empty")
-        .when(~geometry.is_valid(rings), "invalid")
-        .when(~geometry.covers(boundary, rings), "outside boundary")
+        .when(~valid, "invalid")
+        .when(~covered, "outside boundary")
         .otherwise("valid")
     )
 
 
 def valid_aois(raw: DataFrame, boundary: DataFrame) -> DataFrame:
-    """AOI list without unreadable, invalid or foreign polygons. ``boundary`` is a scalar."""
-    return (
-        parse_aois(raw).withColumn("boundary_rings", boundary.scalar())
-        .where(aoi_verdict(F.col("rings"), F.col("boundary_rings")) == "valid")
-        .drop("boundary_rings")
-    )
+    """AOI list without unreadable, invalid or foreign polygons. ``boundary`` is a scalar.
+
+    Verdicts are written first: a filter on them would be moved below the parsing and parse once per mention.
+    """
+    verdict = aoi_verdict(F.col("rings"), F.col("boundary_rings"))
+    told = parse_aois(raw).withColumn("boundary_rings", boundary.scalar()).withColumn("_verdict", verdict).drop("boundary_rings")
+    return materialize(told, "aoi-verdicts").where("_verdict = 'valid'").drop("_verdict")
 
 
 def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:

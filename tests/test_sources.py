@@ -160,3 +160,14 @@ def test_src_pixels_tells_cells_outside_their_aoi_too(spark):
     data = "/root/testdata/sf0.001"
     wanted = fixtures.pixels(spark, data).select("acq_id", "row", "col").collect()
     assert sorted(QUERIES["src_pixels"](spark, data).select("acq_id", "row", "col").collect()) == sorted(wanted)
+
+
+def test_aois_of_one_file_are_judged_by_all_tasks(spark):
+    ring = lambda l, b, r, t: json.dumps({"type": "Polygon", "coordinates": [box(l, b, r, t)]})
+    raw = spark.createDataFrame([(1, ring(0, 0, 1, 1)), (2, ring(3, 0, 5, 1)), (3, "{"), (4, ring(0, 0, 4, 4)), (5, ring(0, 0, 0, 1))], "aoi_id bigint, geometry_json string")
+    assert tables.parse_aois(raw.coalesce(1)).rdd.getNumPartitions() > 1
+    octagon = [[(1, 0), (3, 0), (4, 1), (4, 3), (3, 4), (1, 4), (0, 3), (0, 1), (1, 0)]]
+    for rings, valid in (([box(0, 0, 4, 4)], [1, 4]), (octagon, [])):
+        rings = [[(float(x), float(y)) for x, y in ring_] for ring_ in rings]
+        domain = spark.createDataFrame([(rings,)], "boundary_rings array<array<struct<x:double,y:double>>>")
+        assert sorted(r.aoi_id for r in tables.valid_aois(raw, domain).collect()) == valid
