@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from landshift.functions import geometry
 from landshift.operators import components, display, polygons, provenance, regions, reuse, tracks
+from landshift.operators.skew import spread_rows
 from landshift.plans import fixtures, jobs
 from landshift.plans.chain import Chain
 from landshift.plans.oracle_chain import INSIDE, UTM, cte, sql_series
@@ -30,7 +31,7 @@ FROM customer""")
 
 
 def shapes(c: Chain):
-    base = fixtures.table(c.spark, c.sf_dir, "customer").select(
+    base = spread_rows(fixtures.table(c.spark, c.sf_dir, "customer")).select(
         F.col("c_custkey").alias("id"),
         (F.lit(75.0) + F.pmod("c_custkey", F.lit(24)) * 0.125).alias("l"),
         (F.lit(12.0) + F.col("c_nationkey") * 0.125).alias("b"),
