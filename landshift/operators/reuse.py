@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from landshift.config import DETECTOR_VERSION, DISPLAY_VERSION, LEGACY_VERSION, Policy
+from landshift.operators.skew import attach_group_values, rank_within
+from landshift.session import materialize
 
 TOLERANCE = 1e-6
 
@@ -121,7 +123,5 @@ def orchestration_counts(planned: DataFrame) -> DataFrame:
 
 def progress(steps: DataFrame) -> DataFrame:
     """Counter of finished steps per AOI in processing order."""
-    ordered = Window.partitionBy("aoi_id").orderBy("position")
-    return steps.withColumn("current", F.row_number().over(ordered)).withColumn(
-        "total", F.count(F.lit(1)).over(Window.partitionBy("aoi_id"))
-    )
+    numbered = rank_within(materialize(steps, "steps"), ["aoi_id"], [F.col("position").asc()], "current")
+    return attach_group_values(numbered, ["aoi_id"], ["position"], {"total": (F.sum, F.lit(1))})

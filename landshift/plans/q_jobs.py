@@ -439,5 +439,5 @@ def stream_progress(c):
 SELECT aoi_id, item_id, position, count(*) OVER (PARTITION BY aoi_id) AS total FROM discovered""", "discovered")
 def progress_events(c):
     """Acquisition progress: one row per finished scene with running and total counts."""
-    counted = reuse.progress(discovered(c))
+    counted = reuse.progress(discovered(c).select("aoi_id", "item_id", "position"))
     return counted.select("aoi_id", "item_id", F.col("current").cast("bigint").alias("position"), "total")

@@ -64,7 +64,8 @@ def meeting(items: DataFrame, aois: DataFrame) -> DataFrame:
 
     Both sides are spread over the grid cells of their boxes and joined on the cell. A pair
     counts in the cell of the lower left corner of what its boxes share, hence once. The boxes
-    decide first; only pairs of meeting boxes run the polygon test.
+    decide first; only pairs of meeting boxes run the polygon test. The cells of the AOIs are a stage table, so that
+    few AOIs are known to be few, and items that share a cell are not collected to meet them.
     """
     cell = lambda value: F.floor(value / CELL_DEGREES).cast("int")
 
@@ -79,7 +80,7 @@ def meeting(items: DataFrame, aois: DataFrame) -> DataFrame:
     a, b = F.col("_box"), F.col("_aoi_box")
     return (
         spread(left, "_box", "_i").join(
-            spread(right, "_aoi_box", "_a"),
+            materialize(spread(right, "_aoi_box", "_a"), "aoi-cells"),
             (F.col("_ix") == F.col("_ax")) & (F.col("_iy") == F.col("_ay"))
             & (F.col("_ix") == cell(F.greatest(a[0], b[0]))) & (F.col("_iy") == cell(F.greatest(a[1], b[1]))),
         )

@@ -171,3 +171,13 @@ def test_aois_of_one_file_are_judged_by_all_tasks(spark):
         rings = [[(float(x), float(y)) for x, y in ring_] for ring_ in rings]
         domain = spark.createDataFrame([(rings,)], "boundary_rings array<array<struct<x:double,y:double>>>")
         assert sorted(r.aoi_id for r in tables.valid_aois(raw, domain).collect()) == valid
+
+
+def test_few_aois_out_of_many_rows_do_not_move_the_items(spark):
+    """All items lie in one cell; the AOIs come from a table that the planner takes for large."""
+    made = spark.range(3_000_000).select((F.col("id") % 2).alias("aoi_id")).distinct()
+    aois = made.select("aoi_id", F.array(F.array(*[F.struct(F.lit(x).alias("x"), F.lit(y).alias("y")) for x, y in box(0.1, 0.1, 0.9, 0.9)])).alias("rings"))
+    items = aois.select(F.col("aoi_id").alias("item_id"), "rings")
+    met = catalog.meeting(spark.createDataFrame(items.collect(), items.schema), aois)
+    assert "SortMergeJoin" not in met._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.item_id, r.aoi_id) for r in met.collect()) == [(i, a) for i in (0, 1) for a in (0, 1)]
