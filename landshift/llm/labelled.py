@@ -21,10 +21,11 @@ def _known(labels: DataFrame, label: str) -> DataFrame:
 def labelled_texts(docs: DataFrame, labels: DataFrame, label: str) -> DataFrame:
     """(text, label) of every labelled document.
 
-    The labels are a stage table, so the planner knows before it starts whether texts have to be shuffled to meet them.
+    Labels grow with the corpus, so both sides are shuffled at every size and the work grows like the input; the labels,
+    one row per id, are hashed, and no text is sorted.
     """
     known = materialize(_known(labels, label), f"labels-{label}")
-    return docs.select("doc_id", "text").join(known, "doc_id").select("text", "label")
+    return docs.select("doc_id", "text").join(known.hint("shuffle_hash"), "doc_id").select("text", "label")
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, bound: int) -> DataFrame:

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import functions as F
 
 from landshift.llm import quality, toxicity
-from landshift.llm.labelled import held_out
+from landshift.llm.labelled import held_out, labelled_texts
 from tests.llm import cases
 
 
@@ -104,3 +104,11 @@ def test_quality_learns_from_every_labelled_document(spark):
     looks = quality.describe(pa.array([rows[0][0], rows[-1][0]])).astype(float)
     assert np.allclose(model.mean, (looks[0] * 20_500 + looks[1] * 500) / 21_000, rtol=0, atol=1e-9)
     assert accuracy(quality.with_score(frame, model), labels, "quality", quality.AT_CUT) == 1
+
+
+def test_few_labels_meet_texts_by_the_plan_of_many(spark):
+    frame, labels = labelled(spark, [("Plain words of a clean text.", 1), ("## %% $$", 0)] * 50)
+    joined = labelled_texts(frame, labels, "quality")
+    assert sorted(joined.collect()) == sorted([("Plain words of a clean text.", 1), ("## %% $$", 0)] * 50)
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "ShuffledHashJoin" in plan and "BroadcastHashJoin" not in plan and "Sort" not in plan.replace("SortAggregate", "")
