@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from landshift.config import Policy
 from landshift.functions import geometry, grids, history, spectral
 from landshift.operators.skew import join_headers
+from landshift.sources.pixel_store import join_scenes, on_tiles
 
 # Ids carry their parents, so they are stable across runs: a run id holds the AOI and
 # the interval, a region id the run and the region number. A part that does not fit its
@@ -144,16 +145,14 @@ def pixel_pairs(pixels: DataFrame, sequenced: DataFrame, policy: Policy = Policy
     A window over the pixel replaces the before/after self-join. Rows are partitioned
     by AOI tile, which also serves the window and every per-tile aggregate behind it,
     so the pixel table is shuffled once and one large AOI spreads over many tasks. Pixels of a
-    clustered table (``pixel_store``, with the tiles of the policy) lie so already and are not shuffled, as long as the
-    planner broadcasts the headers.
+    clustered table (``pixel_store``, with the tiles of the policy) lie so already and are not shuffled.
     """
     clustered = "tile_row" in pixels.columns
     opens = F.col("opens") if "opens" in sequenced.columns else F.lit(True)
     observed = sequenced.select("aoi_id", "acq_id", "seq", opens.alias("opens"))
     side = policy.tile
     if clustered:
-        fits = (F.col("tile_row") == F.floor(F.col("row") / side)) & (F.col("tile_col") == F.floor(F.col("col") / side))
-        joined = pixels.where(F.assert_true(fits, "tiles of another size").isNull()).join(observed, ["aoi_id", "acq_id"])
+        joined = join_scenes(pixels.where(on_tiles(side)), observed)
     else:
         joined = join_headers(pixels, observed)
     place = {c: F.col(c) if clustered else F.floor(F.col(n) / side).cast("int") for c, n in (("tile_row", "row"), ("tile_col", "col"))}

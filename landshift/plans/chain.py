@@ -45,15 +45,14 @@ class Chain:
 
     @cached_property
     def located_pixels(self) -> DataFrame:
-        """Pixels as delivered, with whether they lie in their AOI."""
-        raw = self.raw_pixels.drop("tile_row", "tile_col", "tile_key")
-        return materialize(tables.with_inside(raw, self.scenes, self.aois), "located-pixels")
+        """Pixels as delivered, with whether they lie in their AOI, in the buckets they are delivered in."""
+        table = pixel_store.write(tables.with_inside(self.raw_pixels, self.scenes, self.aois), self.policy.tile, self.pixel_table.buckets)
+        return table.read(self.spark)
 
     @cached_property
     def pixels(self) -> DataFrame:
         """Pixels inside their AOI; the others count as nodata."""
-        clipped = self.located_pixels.where("inside").drop("inside")
-        return pixel_store.write(clipped, self.policy.tile).read(self.spark)
+        return self.located_pixels.where("inside").drop("inside")
 
     @cached_property
     def scenes(self) -> DataFrame:

@@ -14,6 +14,7 @@ from landshift.functions import geometry
 from landshift.operators.skew import join_headers, latest_by, spread_rows
 from landshift.schemas import AOI_GEOJSON
 from landshift.session import materialize
+from landshift.sources.pixel_store import join_scenes
 
 
 def parse_aois(raw: DataFrame) -> DataFrame:
@@ -56,7 +57,7 @@ def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFr
 
     Scene headers and AOI rings are one row per scene or AOI. Comparisons with the outer
     and an inner box decide for most pixels; only those between run the polygon test. Headers meet
-    pixels on a salted key, so a scene may hold most pixels.
+    clustered pixels in their tiles, others on a salted key, so a scene may hold most pixels.
     """
     rings = F.col("_rings")
     shapes = materialize(
@@ -73,7 +74,7 @@ def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFr
     ).join(boxed, ["aoi_id", "_crs"]).drop("_crs")
     x = F.col("_t")[2] + (F.col("col") + 0.5) * F.col("_t")[0]
     y = F.col("_t")[5] + (F.col("row") + 0.5) * F.col("_t")[4]
-    located = join_headers(pixels, header).withColumns({"_x": x, "_y": y})
+    located = (join_scenes if "tile_row" in pixels.columns else join_headers)(pixels, header).withColumns({"_x": x, "_y": y})
     x, y, box, core = F.col("_x"), F.col("_y"), F.col("_box"), F.col("_core")
     clearly = F.coalesce((x > core[0]) & (x < core[2]) & (y > core[1]) & (y < core[3]), F.lit(False))
     near = x.between(box[0], box[2]) & y.between(box[1], box[3])

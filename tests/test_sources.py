@@ -79,6 +79,27 @@ def test_clustered_pixels_are_not_shuffled_for_differencing(spark):
         change.pixel_pairs(stored.read(spark), sequenced, Policy(tile=8)).count()
 
 
+def test_headers_meet_clustered_pixels_in_their_buckets_at_any_size(spark):
+    rng = np.random.default_rng(5)
+    red, fours = rng.integers(1, 9, (9, 9)), np.full((9, 9), 4)
+    pixels = pixel_table(spark, *[pixel_rows(a, red, rng.integers(1, 9, (9, 9)), fours, aoi) for a in (1, 2, 3) for aoi in (1, 2)])
+    headers = spark.createDataFrame([(aoi, a, 10 * aoi + a) for aoi in (1, 2) for a in (1, 3)] + [(2, 3, 99), (7, 1, 0), (1, None, 1)], "aoi_id bigint, acq_id bigint, fact int")
+    plain = pixels.join(headers, ["aoi_id", "acq_id"])
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the headers were many
+    try:
+        stored = pixel_store.write(pixels, side=4).read(spark)
+        joined = pixel_store.join_scenes(stored, headers)
+        shuffled = [line for line in joined._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in line and "red" in line]
+        found = joined.select(*plain.columns)
+        assert found.exceptAll(plain).isEmpty() and plain.exceptAll(found).isEmpty()
+        again = pixel_store.write(joined, side=4)
+        moved = joined.repartition(again.buckets, *pixel_store.TILE)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert not shuffled and moved.count("REPARTITION") == 0
+    assert again.read(spark).select(*plain.columns).exceptAll(plain).isEmpty()
+
+
 def test_tiles_follow_the_z_curve(spark):
     cells = spark.createDataFrame([(r, c) for r in range(4) for c in range(4)], "r int, c int")
     found = {(x.r, x.c): x.k for x in cells.select("r", "c", pixel_store.curve(F.col("r"), F.col("c")).alias("k")).collect()}
