@@ -381,16 +381,27 @@ def prj_ndvi_preview(c):
 ARRIVALS = 4  # files that arrive one after the other
 
 
+FILE_ROWS = 10_000  # rows that are worth a file of their own
+
+
 def _stream(c: Chain, table: str, ts: str):
-    """Rows of a table as files that arrive in the order of time, each a micro-batch."""
+    """Rows of a table as files that arrive in the order of time, each arrival a micro-batch.
+
+    Arrivals of many rows are written by all tasks. Each then has the same number of files, none of them empty, so a batch
+    still takes one arrival.
+    """
     rows = fixtures.table(c.spark, c.sf_dir, table)
     when = F.unix_micros(F.col(ts).cast("timestamp"))
     span = rows.agg(F.min(when).alias("low"), F.max(when).alias("high")).first()
     part = F.floor((when - span.low) * ARRIVALS / (span.high - span.low + 1))
+    sizes = rows.agg(*[F.count_if(part == k).alias(f"n{k}") for k in range(ARRIVALS)]).first()
+    tasks = c.spark.sparkContext.defaultParallelism
+    files = tasks if min(sizes) >= tasks * max(FILE_ROWS, rows.rdd.getNumPartitions()) else 1
     folder = stage_path(c.spark, f"arrivals-{table}")
     for k in range(ARRIVALS):
-        rows.where(part == k).coalesce(1).write.mode("append").parquet(folder)
-    return streams.read_arrivals(c.spark, folder, rows.schema, files_per_batch=1)
+        arrived = rows.where(part == k)
+        (arrived.repartition(files) if files > 1 else arrived.coalesce(1)).write.mode("append").parquet(folder)
+    return streams.read_arrivals(c.spark, folder, rows.schema, files_per_batch=files)
 
 
 def _scene_rows(events):

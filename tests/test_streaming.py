@@ -81,3 +81,24 @@ def test_scenes_are_kept_once(spark):
     found = {(r.aoi_id, r.item_id): r.state for r in jobs.current_scenes(spark, log, spark.createDataFrame([], schema).schema).collect()}
     assert found == {(1, "s"): "acquired", (1, "t"): "acquired", (2, "s"): "failed"}
     assert jobs.read_log(spark, log, spark.createDataFrame([], schema).schema).count() == 3
+
+
+def test_large_arrivals_are_written_by_all_tasks_and_stay_one_batch(spark, monkeypatch):
+    from landshift.plans import fixtures, q_jobs
+    from landshift.plans.chain import chain
+
+    monkeypatch.setattr(q_jobs, "FILE_ROWS", 10)
+    c = chain(spark, "/root/testdata/sf0.001")
+    orders = fixtures.table(spark, c.sf_dir, "orders")
+    rows = fixtures.review_rows(q_jobs._stream(c, "orders", "o_orderdate"))
+    log, read = stage_path(spark, "reviews"), {}
+    jobs.ingest_reviews(rows, log, stage_path(spark, "checkpoint"), every=100).awaitTermination()
+    for k in jobs._folders(spark, log)[1]:
+        seen = spark.read.schema(rows.schema).parquet(f"{log}/batch_id={k}")
+        read[k] = seen.agg(F.min("ts"), F.max("ts"), F.count("*")).first()
+    ranges = sorted(tuple(r) for r in read.values() if r[2])
+    assert len(ranges) == q_jobs.ARRIVALS and all(a[1] <= b[0] for a, b in zip(ranges, ranges[1:]))
+    assert sum(r[2] for r in ranges) == orders.count()
+    arrived = q_jobs._stream(c, "orders", "o_orderdate")._jdf.queryExecution().analyzed().toString()
+    folder = arrived[arrived.index("FileSource[") + len("FileSource["):].split("]")[0]
+    assert len(spark.read.parquet(folder).inputFiles()) == q_jobs.ARRIVALS * spark.sparkContext.defaultParallelism
