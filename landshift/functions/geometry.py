@@ -110,6 +110,11 @@ def on_boundary(rings: Column, x: Column, y: Column) -> Column:
 
 def contains_point(rings: Column, x: Column, y: Column) -> Column:
     """Even-odd ray cast; holes work because all rings are counted together."""
+    return crossed_oddly(all_segments(rings), x, y)
+
+
+def crossed_oddly(edges: Column, x: Column, y: Column) -> Column:
+    """``contains_point`` for rings that were cut into their edges before (``all_segments``)."""
 
     def crosses(s: Column) -> Column:
         a, b = s["a"], s["b"]
@@ -117,7 +122,7 @@ def contains_point(rings: Column, x: Column, y: Column) -> Column:
         at = a["x"] + F.try_divide((y - a["y"]) * (b["x"] - a["x"]), b["y"] - a["y"])
         return F.when(spans & (x < at), 1).otherwise(0)
 
-    hits = F.aggregate(all_segments(rings), F.lit(0), lambda total, s: total + crosses(s))
+    hits = F.aggregate(edges, F.lit(0), lambda total, s: total + crosses(s))
     return F.pmod(hits, F.lit(2)) == 1
 
 

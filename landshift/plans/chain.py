@@ -30,10 +30,14 @@ class Chain:
         self.sf_dir = sf_dir
         self.policy = policy
 
+    @cached_property
+    def buckets(self) -> int:
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
     @cached_property
     def pixel_table(self) -> pixel_store.PixelTable:
         """Pixels as delivered, over the whole grid of their scenes, clustered by tile."""
-        return pixel_store.write(fixtures.pixels(self.spark, self.sf_dir), self.policy.tile)
+        return pixel_store.write(fixtures.pixels(self.spark, self.sf_dir, self.policy.tile, self.buckets), self.policy.tile, self.buckets)
 
     @cached_property
     def raw_pixels(self) -> DataFrame:
@@ -45,9 +49,17 @@ class Chain:
 
     @cached_property
     def located_pixels(self) -> DataFrame:
-        """Pixels as delivered, with whether they lie in their AOI, in the buckets they are delivered in."""
-        table = pixel_store.write(tables.with_inside(self.raw_pixels, self.scenes, self.aois), self.policy.tile, self.pixel_table.buckets)
-        return table.read(self.spark)
+        """Pixels as delivered, with whether they lie in their AOI; shuffled and written once.
+
+        Where another query has kept the delivered pixels, they are read and stay in their buckets.
+        """
+        side, tiles = self.policy.tile, None
+        if "pixel_table" in self.__dict__:
+            delivered = self.raw_pixels
+        else:
+            delivered = fixtures.pixels(self.spark, self.sf_dir, side, self.buckets)
+            tiles = fixtures.tiles(self.spark, self.sf_dir, side)
+        return pixel_store.write(tables.with_inside(delivered, self.scenes, self.aois, tiles), side, self.buckets).read(self.spark)
 
     @cached_property
     def pixels(self) -> DataFrame:

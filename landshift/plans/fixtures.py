@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from landshift.config import PROCESSING_VERSION
+from landshift.sources.pixel_store import gather, tile_columns
 
 SIDE = 20  # side of the fixture grid in pixels
 ORDERS_PER_AOI = 1500
@@ -33,15 +34,26 @@ def _keyed(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Band and class pixels; absent grid cells are nodata."""
-    cells = _keyed(spark, sf_dir).groupBy("aoi_id", "acq", "row", "col").agg(
-        F.max("l_quantity").alias("q_max"),
-        F.max("l_extendedprice").alias("p_max"),
-        F.min("l_quantity").alias("q_min"),
-        F.min("l_extendedprice").alias("p_min"),
-        F.min("l_partkey").alias("part"),
-        F.min(F.col("l_partkey") * 31 + F.col("l_orderkey")).alias("mix"),
+def tiles(spark: SparkSession, sf_dir: str, side: int) -> DataFrame:
+    """The tiles that hold pixels."""
+    return _keyed(spark, sf_dir).select("aoi_id", *[number.alias(c) for c, number in tile_columns(side).items()]).distinct()
+
+
+def pixels(spark: SparkSession, sf_dir: str, side: int | None = None, buckets: int | None = None) -> DataFrame:
+    """Band and class pixels; absent grid cells are nodata.
+
+    With the ``side`` of tiles, line items are gathered by tile in ``buckets`` tasks, and pixels lie there as a pixel table wants them.
+    """
+    lines = _keyed(spark, sf_dir).select(
+        "aoi_id", "acq", "row", "col", F.col("l_quantity").alias("q"), F.col("l_extendedprice").alias("p"), F.col("l_partkey").alias("part"),
+        (F.col("l_partkey") * 31 + F.col("l_orderkey")).alias("mix"),
+    )
+    tile = []
+    if side is not None:
+        lines, tile = gather(lines, side, buckets), ["tile_row", "tile_col"]
+    cells = lines.groupBy("aoi_id", *tile, "acq", "row", "col").agg(
+        F.max("q").alias("q_max"), F.max("p").alias("p_max"), F.min("q").alias("q_min"), F.min("p").alias("p_min"),
+        F.min("part").alias("part"), F.min("mix").alias("mix"),
     )
     code = F.pmod("mix", F.lit(12))
     overcast = (F.pmod(F.col("aoi_id") + F.col("acq"), F.lit(6)) == 0) & (F.pmod("part", F.lit(3)) > 0)
@@ -59,6 +71,7 @@ def pixels(spark: SparkSession, sf_dir: str) -> DataFrame:
         scl.cast("int").alias("scl"),
         F.floor(F.floor("p_min") / 25).cast("float").alias("green"),
         (F.floor("q_min") * 30).cast("float").alias("blue"),
+        *tile,
     )
 
 

@@ -52,12 +52,13 @@ def valid_aois(raw: DataFrame, boundary: DataFrame) -> DataFrame:
     return materialize(told, "aoi-verdicts").where("_verdict = 'valid'").drop("_verdict")
 
 
-def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:
+def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame, tiles: DataFrame | None = None) -> DataFrame:
     """Adds ``inside``: whether a pixel's centre lies in the AOI polygon.
 
     Scene headers and AOI rings are one row per scene or AOI. Comparisons with the outer
     and an inner box decide for most pixels; only those between run the polygon test. Headers meet
-    clustered pixels in their tiles, others on a salted key, so a scene may hold most pixels.
+    clustered pixels in their tiles, others on a salted key, so a scene may hold most pixels. Boxes and
+    edges are told once per AOI, by all tasks. ``tiles`` are all tiles of clustered pixels, if they are known.
     """
     rings = F.col("_rings")
     shapes = materialize(
@@ -67,19 +68,23 @@ def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFr
         "aoi-shapes",
     )
     boxed = materialize(
-        shapes.withColumns({"_box": geometry.bounds(rings), "_core": geometry.inner_box(rings)}), "aoi-boxes"
+        spread_rows(shapes).select(
+            "aoi_id", "_crs", geometry.all_segments(rings).alias("_edges"), geometry.bounds(rings).alias("_box"), geometry.inner_box(rings).alias("_core")
+        ),
+        "aoi-boxes",
     )
     header = scenes.select(
         "aoi_id", "acq_id", F.col("grid.transform").alias("_t"), F.col("grid.crs").alias("_crs")
     ).join(boxed, ["aoi_id", "_crs"]).drop("_crs")
     x = F.col("_t")[2] + (F.col("col") + 0.5) * F.col("_t")[0]
     y = F.col("_t")[5] + (F.col("row") + 0.5) * F.col("_t")[4]
-    located = (join_scenes if "tile_row" in pixels.columns else join_headers)(pixels, header).withColumns({"_x": x, "_y": y})
+    met = join_scenes(pixels, header, tiles) if "tile_row" in pixels.columns else join_headers(pixels, header)
+    located = met.withColumns({"_x": x, "_y": y})
     x, y, box, core = F.col("_x"), F.col("_y"), F.col("_box"), F.col("_core")
     clearly = F.coalesce((x > core[0]) & (x < core[2]) & (y > core[1]) & (y < core[3]), F.lit(False))
     near = x.between(box[0], box[2]) & y.between(box[1], box[3])
-    inside = F.when(~near, False).when(clearly, True).otherwise(geometry.contains_point(F.col("_rings"), x, y))
-    return located.withColumn("inside", inside).drop("_t", "_rings", "_box", "_core", "_x", "_y")
+    inside = F.when(~near, False).when(clearly, True).otherwise(geometry.crossed_oddly(F.col("_edges"), x, y))
+    return located.withColumn("inside", inside).drop("_t", "_edges", "_box", "_core", "_x", "_y")
 
 
 def clip_to_aoi(pixels: DataFrame, scenes: DataFrame, aois: DataFrame) -> DataFrame:

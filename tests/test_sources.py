@@ -1,4 +1,5 @@
 import json
+import re
 
 import numpy as np
 import pytest
@@ -9,7 +10,7 @@ from landshift import schemas
 from landshift.config import Policy
 from landshift.functions import geometry
 from landshift.operators import change, skew
-from landshift.plans import fixtures
+from landshift.plans import chain, fixtures
 from landshift.plans.queries import QUERIES
 from landshift.session import materialize, stage_path
 from landshift.sources import catalog, pixel_store, tables
@@ -202,3 +203,35 @@ def test_few_aois_out_of_many_rows_do_not_move_the_items(spark):
     met = catalog.meeting(spark.createDataFrame(items.collect(), items.schema), aois)
     assert "SortMergeJoin" not in met._jdf.queryExecution().executedPlan().toString()
     assert sorted((r.item_id, r.aoi_id) for r in met.collect()) == [(i, a) for i in (0, 1) for a in (0, 1)]
+
+
+def test_located_pixels_are_shuffled_and_written_once(spark, monkeypatch):
+    data = "/root/testdata/sf0.001"
+    written = []
+    write = pixel_store.write
+    monkeypatch.setattr(pixel_store, "write", lambda pixels, *more: written.append(pixels) or write(pixels, *more))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if the headers were many
+    try:
+        fresh = chain.Chain(spark, data)
+        direct = fresh.located_pixels
+        plan = written[0]._jdf.queryExecution().executedPlan().toString()
+        kept = chain.Chain(spark, data)
+        kept.pixel_table
+        stored = kept.located_pixels.select(*direct.columns)
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert len(written) == 3 and "pixel_table" not in fresh.__dict__
+    assert plan.count("REPARTITION_BY_NUM") == 1 and not re.search(r"hashpartitioning\(aoi_id#\d+L, acq#", plan)
+    assert direct.count() == fixtures.pixels(spark, data).count()
+    assert direct.exceptAll(stored).isEmpty() and stored.exceptAll(direct).isEmpty()
+
+
+def test_aoi_shapes_are_told_by_all_tasks(spark, monkeypatch):
+    tasks = {}
+    keep = tables.materialize
+    monkeypatch.setattr(tables, "materialize", lambda frame, name: tasks.update({name: frame.rdd.getNumPartitions()}) or keep(frame, name))
+    ones = [[1] * 4] * 4
+    corners = [(600000.0, 5000000.0), (600021.0, 5000000.0), (600021.0, 4999984.0), (600000.0, 4999984.0), (600000.0, 5000000.0)]
+    aois = spark.createDataFrame([(1, [corners])], f"aoi_id bigint, rings {schemas.RINGS}")
+    tables.with_inside(pixel_table(spark, pixel_rows(1, ones, ones, ones)), scene_table(spark, [1], 4, 4), aois).count()
+    assert tasks["aoi-boxes"] >= 8
