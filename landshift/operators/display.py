@@ -136,6 +136,13 @@ def display_pixels(pixels: DataFrame, limits: DataFrame, inside, windows: DataFr
     return filled.select(*KEYS, "row", "col", *[F.coalesce(c, F.lit(0)).alias(c) for c in (*DISPLAY_BANDS, "alpha")])
 
 
+def alpha_pixels(pixels: DataFrame, inside, windows: DataFrame) -> DataFrame:
+    """The alpha bytes of ``display_pixels`` over every cell of the crop rectangles. No limit shows in them, so none is told."""
+    opaque = pixels.select(*KEYS, "row", "col", spectral.alpha_byte(inside, *[F.col(b) for b in DISPLAY_BANDS]).alias("alpha"))
+    filled = fill_windows(opaque.where("alpha > 0"), windows, KEYS, ["alpha"])
+    return filled.select(*KEYS, "row", "col", F.coalesce("alpha", F.lit(0)).alias("alpha"))
+
+
 def preview_pixels(pixels: DataFrame, footprint: DataFrame) -> DataFrame:
     """Grey NDVI of each candidate on each of its acquisitions, over the box of its pixels.
 

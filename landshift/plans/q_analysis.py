@@ -657,7 +657,8 @@ def fn_stretch_u8(c):
 
 @query("fn_alpha", 'SELECT acq_id, alpha, count(*) AS pixels FROM display GROUP BY acq_id, alpha', "display")
 def fn_alpha(c):
-    return shown(c).groupBy("acq_id", "alpha").agg(F.count(F.lit(1)).alias("pixels"))
+    cells = display.alpha_pixels(c.located_pixels, F.col("inside"), display.aoi_windows(c.scenes, c.aois))
+    return cells.groupBy("acq_id", "alpha").agg(F.count(F.lit(1)).alias("pixels"))
 
 
 GRAY = "coalesce(CAST(floor((least(1.0::DOUBLE, greatest(-1.0::DOUBLE, {v})) + 1.0::DOUBLE) * 127.5::DOUBLE) AS INTEGER), 235)"
