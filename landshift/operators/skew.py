@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from landshift.session import materialize
 
 SALTS = 64
+SALT_BLOCK = 16  # side of the pixel blocks that share a salt
 
 
 def attach_group_values(
@@ -42,11 +43,13 @@ def attach_group_values(
 def join_headers(pixels: DataFrame, headers: DataFrame, keys: tuple[str, ...] = ("aoi_id", "acq_id")) -> DataFrame:
     """Pixels with the facts of their scene, on a salted key: a scene that holds most pixels is many join groups.
 
-    Where the planner broadcasts the headers, by the size of their files, the salt costs a copy per header.
+    Blocks of the grid are dealt to the salts, and a header is copied only for the salts that its pixels have. Headers of few
+    pixels, as of regions, are hardly copied, so where the planner broadcasts them, the driver holds no copy per salt.
     """
-    salt = F.pmod(F.xxhash64("row", "col"), F.lit(SALTS)).cast("int")
-    copies = headers.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    return pixels.withColumn("_salt", salt).join(copies, [*keys, "_salt"]).drop("_salt")
+    block = [F.floor(F.col(c) / SALT_BLOCK) for c in ("row", "col")]
+    salted = pixels.withColumn("_salt", F.pmod(F.xxhash64(*block), F.lit(SALTS)).cast("int"))
+    copies = salted.select(*keys, "_salt").distinct().join(headers, list(keys))
+    return salted.join(copies, [*keys, "_salt"]).drop("_salt")
 
 
 def number_buckets(

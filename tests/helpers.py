@@ -67,3 +67,19 @@ def flood_fill(mask: np.ndarray) -> dict[tuple[int, int], tuple[int, int]]:
                         labels[at] = start
                         todo.append(at)
     return labels
+
+
+def broadcast_rows(frame) -> tuple[list, list[int]]:
+    """The rows of a result, and how many rows each of its broadcasts held."""
+    rows, sent, todo = frame.collect(), [], [frame._jdf.queryExecution().executedPlan()]
+    while todo:
+        node = todo.pop()
+        name = node.nodeName()
+        if name == "AdaptiveSparkPlan":
+            todo.append(node.executedPlan())
+        elif name.endswith("QueryStage"):
+            todo.append(node.plan())
+        if name == "BroadcastExchange":
+            sent.append(node.metrics().apply("numOutputRows").value())
+        todo += [node.children().apply(i) for i in range(node.children().size())]
+    return rows, sent

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import pixel_rows, pixel_table, scene_table
+from helpers import broadcast_rows, pixel_rows, pixel_table, scene_table
 from landshift import schemas
 from landshift.config import Policy
 from landshift.functions import geometry
@@ -135,6 +135,21 @@ def test_hot_key_helpers(spark):
     assert newest.where("key = 0").first()["id"] == 1999 - 1999 % 3 + (1 if 1999 % 3 >= 1 else 0)
 
 
+def test_a_broadcast_holds_no_copy_of_a_header_per_salt(spark):
+    """Small files make the planner broadcast the headers, whatever the salts make of them."""
+    headers = materialize(spark.range(500).select(F.col("id").alias("aoi_id"), F.lit(1).cast("bigint").alias("acq_id"), (F.col("id") * 2).alias("fact")), "headers")
+    few = headers.select("aoi_id", "acq_id", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))).alias("row"), F.pmod("aoi_id", F.lit(40)).cast("int").alias("col"))
+    hot = spark.range(1000).select(F.lit(7).cast("bigint").alias("aoi_id"), F.lit(1).cast("bigint").alias("acq_id"), (F.col("id") * 16 + 3).cast("int").alias("row"), F.lit(50).alias("col"))
+    pixels = materialize(few.unionByName(hot), "pixels")
+    joined = skew.join_headers(pixels, headers)
+    plain = pixels.join(headers, ["aoi_id", "acq_id"]).select(*joined.columns)
+    rows, sent = broadcast_rows(joined)
+    assert sorted(rows) == sorted(plain.collect()) and len(rows) == 2500
+    assert max(sent, default=0) <= 2500
+    # The blocks of a large scene still are many join groups.
+    assert "_salt" in joined._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_footprints_meet_areas_without_ids(spark):
     multi = item("multi", 2, None)
     multi["geometry"] = {"type": "MultiPolygon", "coordinates": [[box(10, 10, 11, 11)], [box(-0.5, -0.5, 2.5, 2.5)]]}
