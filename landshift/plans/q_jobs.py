@@ -16,7 +16,7 @@ from landshift.plans.q_sources import (
     EXPORT_NEEDS, EXPORT_SQL, artifacts, assembled, discovered, export_fields, exported, items, raw_aois, reusable,
 )
 from landshift.plans.registry import query, r6, sql_stamp, stamp
-from landshift.session import stage_path
+from landshift.session import materialize, stage_path
 from landshift.sources import tables
 from landshift.streaming import jobs as streams
 
@@ -253,7 +253,7 @@ def job_orchestrate(c):
     kept = regions.to_store(c.detection)
     known = today.select("aoi_id", "before_acq", "after_acq")
     held = lambda rows: rows.join(known, ["aoi_id", "before_acq", "after_acq"], "left_semi")
-    store = regions.Store(held(kept.runs), held(kept.regions), held(kept.pixels))
+    store = regions.Store(held(kept.runs), held(kept.regions), materialize(held(kept.pixels), "stored-pixels"))
     found = regions.detect(c.pixels, c.acquisitions, c.policy, aois=c.aois, store=store)
     made = jobs.analyse(found, c.acquisitions, c.grids, c.policy)
     requested = found.intervals.select("aoi_id", F.col("k").alias("seq"), "before_acq", "after_acq")

@@ -2,9 +2,10 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from helpers import flood_fill, pixel_rows, pixel_table, scene_table
+from helpers import broadcast_rows, flood_fill, pixel_rows, pixel_table, scene_table
 from landshift.config import Policy
-from landshift.operators import change, components, quality, regions
+from landshift.operators import change, components, quality, regions, tracks
+from landshift.session import materialize
 
 
 def run(spark, before, after, scl_before=None, scl_after=None, policy=None, equal_area=False):
@@ -217,6 +218,18 @@ def test_reused_intervals_are_not_read_and_give_a_full_result(spark):
     assert rows(found.intervals) == rows(full.intervals)
 
 
+def test_reused_regions_are_not_broadcast_once_per_salt(spark):
+    pixels, acquisitions, policy = scenes_of_growth(spark)
+    full = regions.detect(pixels, acquisitions, policy)
+    store = regions.to_store(full)
+    stored = regions.Store(store.runs, store.regions, materialize(store.pixels, "stored-pixels"))
+    found = regions.detect(pixels, acquisitions, policy, store=stored)
+    lines = materialize(tracks.track_regions(found.regions, tracks.sweep(full.region_pixels(), policy)), "tracks")
+    rows, sent = broadcast_rows(found.track_pixels(lines))
+    assert sorted(rows) == sorted(full.track_pixels(lines).collect()) and rows
+    assert max(sent, default=0) <= found.reused_pixels.count() < 64 * lines.count()
+
+
 def test_a_store_of_other_settings_is_passed_over(spark):
     pixels, acquisitions, policy = scenes_of_growth(spark)
     stored = regions.to_store(regions.detect(pixels, acquisitions, Policy(tile=8, min_usable_fraction=0.1, threshold=0.3)))
