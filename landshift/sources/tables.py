@@ -73,12 +73,18 @@ def with_inside(pixels: DataFrame, scenes: DataFrame, aois: DataFrame, tiles: Da
         ),
         "aoi-boxes",
     )
-    header = scenes.select(
-        "aoi_id", "acq_id", F.col("grid.transform").alias("_t"), F.col("grid.crs").alias("_crs")
-    ).join(boxed, ["aoi_id", "_crs"]).drop("_crs")
+    header = scenes.select("aoi_id", "acq_id", F.col("grid.transform").alias("_t"), F.col("grid.crs").alias("_crs"))
     x = F.col("_t")[2] + (F.col("col") + 0.5) * F.col("_t")[0]
     y = F.col("_t")[5] + (F.col("row") + 0.5) * F.col("_t")[4]
-    met = join_scenes(pixels, header, tiles) if "tile_row" in pixels.columns else join_headers(pixels, header)
+    if "tile_row" in pixels.columns:
+        # The scenes of an AOI share its edges.
+        facts = [c for c in boxed.columns if c not in ("aoi_id", "_crs")]
+        by_crs = boxed.where("_crs is not null").groupBy("aoi_id", "_crs").agg(F.collect_list(F.struct(*facts)).alias("_in_crs"))
+        areas = by_crs.groupBy("aoi_id").agg(F.map_from_entries(F.collect_list(F.struct("_crs", "_in_crs"))).alias("_areas"))
+        met = join_scenes(pixels, header, tiles, areas).withColumn("_area", F.explode(F.element_at("_areas", F.col("_crs"))))
+        met = met.select(*pixels.columns, "_t", *[F.col(f"_area.{c}").alias(c) for c in facts])
+    else:
+        met = join_headers(pixels, header.join(boxed, ["aoi_id", "_crs"]).drop("_crs"))
     located = met.withColumns({"_x": x, "_y": y})
     x, y, box, core = F.col("_x"), F.col("_y"), F.col("_box"), F.col("_core")
     clearly = F.coalesce((x > core[0]) & (x < core[2]) & (y > core[1]) & (y < core[3]), F.lit(False))

@@ -250,3 +250,24 @@ def test_aoi_shapes_are_told_by_all_tasks(spark, monkeypatch):
     aois = spark.createDataFrame([(1, [corners])], f"aoi_id bigint, rings {schemas.RINGS}")
     tables.with_inside(pixel_table(spark, pixel_rows(1, ones, ones, ones)), scene_table(spark, [1], 4, 4), aois).count()
     assert tasks["aoi-boxes"] >= 8
+
+
+def test_scenes_of_an_aoi_share_its_edges(spark, monkeypatch):
+    ones = [[1] * 4] * 4
+    pixels = pixel_table(spark, *[pixel_rows(a, ones, ones, ones, aoi) for a in (1, 2) for aoi in (1, 2, 3)])
+    scenes = materialize(scene_table(spark, [1, 2], 4, 4).unionByName(scene_table(spark, [1], 4, 4, 2)).unionByName(scene_table(spark, [1], 4, 4, 3)), "scenes")
+    # Scene 2 has another grid; AOI 2 has two shapes, AOI 3 none.
+    zone = F.when(F.col("acq_id") == 2, "EPSG:32633").otherwise(F.col("grid.crs"))
+    scenes = scenes.withColumn("grid", F.col("grid").withField("crs", zone))
+    square = lambda side: [[(600000.0, 5000000.0), (600000.0 + side, 5000000.0), (600000.0 + side, 5000000.0 - side), (600000.0, 5000000.0 - side), (600000.0, 5000000.0)]]
+    aois = spark.createDataFrame([(1, square(21.0)), (2, square(11.0)), (2, square(31.0))], f"aoi_id bigint, rings {schemas.RINGS}")
+    stored = pixel_store.write(pixels, side=2).read(spark)
+    schemas_of = {}
+    keep = pixel_store.materialize
+    monkeypatch.setattr(pixel_store, "materialize", lambda frame, name: schemas_of.update({name: frame.schema.simpleString()}) or keep(frame, name))
+    found = tables.with_inside(stored, scenes, aois)
+    plain = tables.with_inside(pixels, scenes, aois)
+    show = lambda frame: sorted(map(str, frame.select(*plain.columns).collect()))
+    assert show(found) == show(plain) and found.count() == 4 * 16
+    assert {c for c in found.columns if c.startswith("_")} == set()
+    assert "_t" in schemas_of["scenes-by-aoi"] and "_edges" not in schemas_of["scenes-by-aoi"]
