@@ -89,10 +89,13 @@ def fragment_stats(pixels: DataFrame) -> DataFrame:
 
 
 def region_stats(fragments: DataFrame) -> DataFrame:
-    """Size, area and signal per component."""
+    """Size, area and signal per component.
+
+    Areas are summed as decimals, so that the order of the fragments changes no digit.
+    """
     return fragments.groupBy(*SCOPE, "region_key").agg(
         F.sum("pixels").alias("pixel_count"),
-        F.sum("area").alias("area_m2"),
+        F.sum(F.col("area").cast("decimal(28,9)")).cast("double").alias("area_m2"),
         (F.sum("signal_sum") / F.sum("pixels")).alias("mean_change_signal"),
         F.max("signal_max").alias("max_change_signal"),
     )
